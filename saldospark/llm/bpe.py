@@ -84,6 +84,7 @@ class Merger:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
         self.words = {i: w for w, i in self.ranks.items()}
         self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}  # the generation before: what is still used moves on
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         ranks = self.ranks
@@ -91,13 +92,18 @@ class Merger:
             return (ranks[piece],)
         n = len(piece)
         if n <= 64:
+            get, none = ranks.get, 1 << 60
             parts = [piece[i : i + 1] for i in range(n)]
-            while len(parts) > 1:
-                least, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-                if least == 1 << 60:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            return tuple(ranks[p] for p in parts)
+            pairs = [get(piece[i : i + 2], none) for i in range(n - 1)]
+            while pairs and (least := min(pairs)) < none:
+                at = pairs.index(least)
+                parts[at] += parts.pop(at + 1)
+                del pairs[at]
+                if at < len(pairs):
+                    pairs[at] = get(parts[at] + parts[at + 1], none)
+                if at:
+                    pairs[at - 1] = get(parts[at - 1] + parts[at], none)
+            return tuple([ranks[p] for p in parts])
         # long pieces: a heap of pairs over a linked list, n log n
         end = list(range(1, n + 1))  # where the part that starts here ends; 0: no part starts here
         left = list(range(-1, n - 1))
@@ -127,9 +133,10 @@ class Merger:
         for p in pieces:
             ids = cache.get(p)
             if ids is None:
-                ids = self.merge(p)
+                ids = self.older.get(p) or self.merge(p)
                 if len(cache) >= MAX_CACHE:
-                    cache.clear()
+                    self.older, self.cache = cache, {}
+                    cache = self.cache
                 if len(p) <= 64:
                     cache[p] = ids
             add(ids)
