@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, secrets, simhash, topk
+from . import bpe, decontaminate, langid, quality, secrets, simhash, topk, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -33,11 +33,22 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(_read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    table = quality.word_vectors(docs)
+    return quality.score(docs, table, quality.fit(docs, _read(spark, sf_dir, "labels"), table))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -45,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op3_exact_top_k, op4_benchmark_decontamination, op5_byte_bpe, op7_simhash_near_dedup, op10_language_id)
+    for f in (op1_secret_scan, op3_exact_top_k, op4_benchmark_decontamination, op5_byte_bpe, op6_quality_classifier, op7_simhash_near_dedup, op9_toxicity, op10_language_id)
 }
 
 ORACLES: dict[str, str] = {
