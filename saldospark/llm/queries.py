@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, secrets, simhash, topk, toxicity
+from . import bpe, decontaminate, langid, lmscore, quality, secrets, simhash, topk, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -44,6 +44,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lmscore.score(_read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
@@ -56,7 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op3_exact_top_k, op4_benchmark_decontamination, op5_byte_bpe, op6_quality_classifier, op7_simhash_near_dedup, op9_toxicity, op10_language_id)
+    for f in (op1_secret_scan, op3_exact_top_k, op4_benchmark_decontamination, op5_byte_bpe, op6_quality_classifier, op7_simhash_near_dedup, op8_lm_scoring, op9_toxicity, op10_language_id)
 }
 
 ORACLES: dict[str, str] = {
@@ -72,4 +77,23 @@ ORACLES: dict[str, str] = {
         ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
     """,
+    "op8_lm_scoring": """
+        with w as (
+            select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') as ws from documents
+        ), t as (select doc_id, unnest(ws) as word, unnest(range(len(ws))) as place from w
+        ), b as (select *, coalesce(lag(word) over (partition by doc_id order by place), '\n') as before from t
+        ), own as (
+            select *, count(*) over (partition by doc_id, before, word) as o2, count(*) over (partition by doc_id, before) as o1b,
+                count(*) over (partition by doc_id, word) as o1, count(*) over (partition by doc_id) as o0,
+                count(*) over (partition by before, word) as c2, count(*) over (partition by before) as c1b,
+                count(*) over (partition by word) as c1, count(*) over () as c0
+            from b
+        ), s as (
+            select doc_id, case when c1 > o1 then (c1 - o1)::double / greatest(c0 - o0, 1) else 0.4 / (c0 - o0 + 1) end as s1,
+                c2 - o2 as n2, c1b - o1b as n1b from own
+        ), r as (
+            select doc_id, count(*) as n_words, sum(ln(case when n2 > 0 then n2::double / n1b else 0.4 * s1 end)) as log_score from s group by doc_id
+        )
+        select d.doc_id, coalesce(n_words, 0) as n_words, round(coalesce(log_score, 0), 4) as log_score from documents d left join r using (doc_id)
+    """,
 }
