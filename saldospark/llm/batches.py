@@ -110,12 +110,12 @@ def text_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def whole_batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def whole_batches(docs: DataFrame, id_col: str, text_col: str, max_bytes: int = BATCH_BYTES) -> DataFrame:
     """(batch, ids, texts): a row for each batch."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(source):
-        for key, ids, texts in batches(source):
+        for key, ids, texts in batches(source, max_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([texts], pa.list_(pa.binary()))], names=["batch", "ids", "texts"])
 
     return text_bytes(docs, id_col, text_col).mapInArrow(run, f"batch string, ids array<{id_type}>, texts array<binary>")

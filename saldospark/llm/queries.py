@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lmscore, quality, secrets, simhash, topk, toxicity
+from . import bpe, decontaminate, langid, lmscore, quality, repeats, secrets, simhash, topk, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,6 +21,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(_read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removals(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), k=10, every=100)
 
@@ -61,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op3_exact_top_k, op4_benchmark_decontamination, op5_byte_bpe, op6_quality_classifier, op7_simhash_near_dedup, op8_lm_scoring, op9_toxicity, op10_language_id)
+    for f in (op1_secret_scan, op2_long_repeats, op3_exact_top_k, op4_benchmark_decontamination, op5_byte_bpe, op6_quality_classifier, op7_simhash_near_dedup, op8_lm_scoring, op9_toxicity, op10_language_id)
 }
 
 ORACLES: dict[str, str] = {
