@@ -24,17 +24,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import BATCH_BYTES, batches, bucket_bits, by_bucket, mix, pack_sorted, planes, prefix_hash, span_hash, text_bytes, unpack_sorted, unplanes, whole_batches
+from .batches import batches, bucket_bits, by_bucket, mix, pack_sorted, planes, prefix_hash, span_hash, text_bytes, unpack_sorted, unplanes, whole_batches
 from .common import materialize
 
 WINDOW, GRAM = 100, 32
-HOT = 50_000
+HOT = 5_000
+BATCH_BYTES = 2 << 20
 UNIQUE, LATER, FIRST, MIXED, CROWDED = range(5)
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, ...] | None:
-    """(first window, last window, hash of the anchor, hash of the cover) of every anchor occurrence, and the prefix hash; None below ``WINDOW`` bytes."""
+    """(first window, last window, hash of the anchor, hash of the cover) of every anchor occurrence; None below ``WINDOW`` bytes."""
     n = len(text)
     if n < WINDOW:
         return None
@@ -54,7 +55,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...] | None:
     last = np.append(first[1:], len(anchor)) - 1
     at = anchor[first]
     cover = mix(span_hash(prefix, first, last + WINDOW) + (at - first).astype(np.uint64)) & _LOW48
-    return first, last, h[at], cover, prefix
+    return first, last, mix(h[at] + np.uint64(0x9E3779B97F4A7C15)), cover  # least hashes crowd the low buckets: mixed anew
 
 
 class Batch:
