@@ -118,7 +118,7 @@ def anchor_rows(key: str, b: Batch, bits: int, hot: int) -> list[dict]:
     high = np.maximum.reduceat(b.cover[by], edges) if len(by) else b.cover
     doc = b.ids[b.doc(b.first[b.where])] if len(b.where) else np.zeros(0, np.int64)
     return [
-        {"bucket": k, "batch": key, "keys": pack_sorted(b.keys[i:j]), "n": planes(np.minimum(b.count[i:j], hot + 1).astype(np.uint32)), "low": planes(low[i:j]),
+        {"bucket": k, "batch": key, "keys": pack_sorted(b.keys[i:j]), "n": planes(np.minimum(b.count[i:j], max(2, hot + 1)).astype(np.uint32)), "low": planes(low[i:j]),
          "high": planes(low[i:j] ^ high[i:j]), "doc": planes(doc[i:j]), "place": planes(b.first[b.where[i:j]].astype(np.uint64))}
         for k, i, j in by_bucket(b.keys, bits)
     ]
