@@ -495,10 +495,14 @@ def parse_lines(spark, sf_dir):
 
 @query()
 def statement_from_lines(spark, sf_dir):
-    """The whole path: lines, accounts, noise filter, cascade, propagation, balance."""
-    accounts = C.is_account(P.parse_lines(_lines(spark, sf_dir)))
-    result = H.propagate_labels(C.result_table(C.classify(accounts, seed_dictionary(spark))))
-    return B.balance(result, catalog(spark))
+    """The whole path: lines, accounts, noise filter, cascade, propagation, balance.
+
+    Accounts and labels are read twice each (distinct names and rows; first labels and rows), so both are kept;
+    a lost block is worked out again from its lineage.
+    """
+    accounts = C.is_account(P.parse_lines(_lines(spark, sf_dir))).persist()
+    labelled = C.result_table(C.classify(accounts, seed_dictionary(spark))).persist()
+    return B.balance(H.propagate_labels(labelled), catalog(spark))
 
 
 @query("""select doc_id, cast(unnest(range(len(p))) as integer) as linea, md5(unnest(p)) as texto from (select doc_id, string_split(text, chr(10)) as p from documents)""")
