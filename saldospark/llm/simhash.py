@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import prefix_hash, span_hash
 from .common import connected_components, is_empty, materialize, text_slices
 
 SEED = 42
@@ -141,28 +142,128 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
+# --- one document of each group, at a similarity of five-word shingles -------------------------------------------
+
+SIMILARITY, WIDTH = 0.8, 5
+BROADCAST_IDS = 1_000_000  # ids up to which a set of documents is broadcast (8 MB); larger sets are shuffled
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str, keep: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids(doc_id)``, or with ``keep`` those whose id is."""
+    ids = ids.select(F.col("doc_id").alias(id_col))
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, id_col, "left_semi" if keep else "left_anti")
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> set[int]:
+    """Hashes of the distinct shingles of ``width`` words; a shorter text is one shingle, also an empty one."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {xxhash.xxh3_64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))}
+
+
+def jaccard(a: set[int], b: set[int]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
+
+
+def piece_hashes(text: str | None, reach: int = 8) -> np.ndarray:
+    """Hashes of the distinct pieces of a text. A piece ends at a word whose hash is the least of the ``reach`` words on
+    both sides, so an edit changes the pieces around it and no others."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    data = b" ".join(words)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    stop = np.cumsum(size + 1) - 1
+    start = stop - size
+    prefix = prefix_hash(np.frombuffer(data, np.uint8))
+    h = span_hash(prefix, start, stop)
+    least, padded = h.copy(), np.concatenate((np.full(reach, np.iinfo(np.uint64).max, np.uint64), h, np.full(reach, np.iinfo(np.uint64).max, np.uint64)))
+    for k in range(2 * reach + 1):
+        np.minimum(least, padded[k : k + len(h)], out=least)
+    ends = np.flatnonzero(h == least)
+    if len(ends) == 0 or ends[-1] != len(h) - 1:
+        ends = np.append(ends, len(h) - 1)
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    return np.unique(span_hash(prefix, start[begins], stop[ends])).view(np.int64)
+
+
+def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n, piece): the distinct pieces of each document, and its number of distinct shingles."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in text_slices(batches, "text"):
+            found = [piece_hashes(t) for t in b.column(1).to_pylist()]
+            n = [len(shingle_set(t)) for t in b.column(1).to_pylist()]
+            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(np.array(n, np.int64)[row]), pa.array(np.concatenate(found) if found else [], pa.int64())], names=["doc_id", "n", "piece"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n long, piece long")
+
+
+def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b), a < b, of documents that may be similar: a document and the smallest of its fingerprint component,
+    and a document and the smallest and largest that hold one of its pieces. Linear in the number of pieces: no piece
+    gives all pairs of its documents. Pairs whose numbers of shingles rule the similarity out are left out."""
+    close = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    all_ = materialize(pieces(docs, id_col, text_col))
+    ends = all_.groupBy("piece").agg(F.min(F.struct("doc_id", "n")).alias("lo"), F.max(F.struct("doc_id", "n")).alias("hi")).where("lo.doc_id <> hi.doc_id")
+    ends = materialize(ends)
+    met = all_.join(ends, "piece").select("doc_id", "n", F.explode(F.array("lo", "hi")).alias("r")).where("doc_id <> r.doc_id")
+    fit = met.where(F.least("n", "r.n") >= SIMILARITY * F.greatest("n", "r.n"))
+    return close.unionByName(fit.select(F.least("doc_id", "r.doc_id").alias("a"), F.greatest("doc_id", "r.doc_id").alias("b"))).distinct()
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of ``SIMILARITY`` or more, worked out exactly."""
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    texts = without(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ids, "doc_id", keep=True)
+    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def check(batches):
+        last, known = "", shingle_set("")
+        for b in text_slices(batches, "text"):
+            keep = []
+            for ta, tb in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if (ta or "") != last:
+                    last, known = ta or "", shingle_set(ta)
+                keep.append(jaccard(known, shingle_set(tb)) >= SIMILARITY)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "text").mapInArrow(check, f"a {id_type}, b {id_type}")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that represent their group: the one with the smallest id of each component.
+    """The rows of ``docs`` that represent their group: the smallest id of each group of near-duplicates.
 
-    Of rows that repeat an id one stays (smallest hash of the text). Rows without an id stay only if no
-    document of their group has one. Columns are those of ``docs``.
+    Texts are near-duplicates if their sets of five-word shingles have a similarity of 0.8 or more (equal texts
+    always are; null counts as empty). Fingerprints and pieces propose pairs, the similarity decides. Of rows that
+    repeat an id one stays (smallest hash of the text). A row without an id goes if a document with an id has the
+    same text; of several such rows with one text one stays. Columns are those of ``docs``.
     """
-    groups = near_duplicates(docs, id_col, text_col)
-    drop = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    twice = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
-    orphans = groups.where("doc_id is null and component_id is not null").select("fp").distinct()
-    kept = docs.join(drop, id_col, "left_anti")
-    twice, orphans = materialize(twice), materialize(orphans)
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.where(F.col(id_col).isNotNull())
+    digest = materialize(named.select(F.col(id_col).alias("doc_id"), F.md5(whole.cast("binary")).alias("h")))
+    firsts = materialize(digest.groupBy("h").agg(F.min("doc_id").alias("first_id")))
+    copies = materialize(digest.join(firsts, "h").where("doc_id <> first_id").select("doc_id").distinct())
+    twice = materialize(digest.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not is_empty(twice):
-        again = kept.join(twice, id_col, "left_semi")
-        order = [F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))] + [F.to_json(F.struct("*"))]
+        again = named.join(twice.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+        order = [F.xxhash64(whole), F.to_json(F.struct("*"))]
         one = again.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where("__n = 1").drop("__n")
-        kept = kept.join(twice, id_col, "left_anti").unionByName(one)
-    if not is_empty(orphans):
-        bare = kept.where(F.col(id_col).isNull())
-        tagged = bare.withColumn("__row", F.monotonically_increasing_id())
-        fp = fingerprints(tagged, "__row", text_col)
-        good = fp.join(orphans, "fp", "left_anti").select(F.col("doc_id").alias("__row"))
-        kept = kept.where(F.col(id_col).isNotNull()).unionByName(tagged.join(good, "__row", "left_semi").drop("__row"))
+        named = without(named, twice, id_col).unionByName(one)
+    single = without(named, copies, id_col)
+    edges = similar_pairs(single, materialize(candidates(single, id_col, text_col)), id_col, text_col)
+    labels = connected_components(edges)
+    drop = materialize(copies.unionByName(labels.where("node <> label").select(F.col("node").alias("doc_id"))).distinct())
+    kept = without(named, drop, id_col)
+    bare = docs.where(F.col(id_col).isNull())
+    if not is_empty(bare):
+        key = F.md5(whole.cast("binary"))
+        fresh = bare.withColumn("__h", key).join(firsts.select(F.col("h").alias("__h")), "__h", "left_anti")
+        # equal rows of one text are the same row, so the smallest stands for all
+        kept = kept.unionByName(fresh.groupBy("__h").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("__r")).select("__r.*"))
     return kept
-

@@ -2,8 +2,9 @@ import hashlib
 
 import corpus_pipeline
 from docs import EXTRA
+from test_simhash import similar_groups
 
-from saldospark.llm import bpe, decontaminate, langid, queries, secrets, simhash
+from saldospark.llm import bpe, decontaminate, langid, queries, secrets
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,8 +27,8 @@ def test_stages_chain(spark, sf_dir):
         if name == "language_id":
             assert set(after) <= set(before) and len(after) >= 0.97 * len(before)
         if name == "near_dedup":
-            groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(before)).collect()}
-            assert sorted(ids) == sorted(set(groups.values()))
+            before = sorted(before, key=lambda r: r["doc_id"])
+            assert sorted(ids) == sorted({before[g]["doc_id"] for g in similar_groups([r["text"] for r in before])})
         if name == "decontamination":
             assert sorted(ids) == sorted(r["doc_id"] for r in before if not decontaminate.matches(index, [r["text"]]))
         if name == "secret_scan":

@@ -4,7 +4,7 @@ import re
 
 import pytest
 import xxhash
-from docs import documents, rows, simple
+from docs import documents, rows, simple, words
 
 from saldospark.llm import common, simhash
 
@@ -61,15 +61,54 @@ def test_links_give_the_components(spark, max_cell):
     assert {tuple(sorted(i for i, x in enumerate(got) if x == g)) for g in set(got)} == {tuple(sorted(i for i, x in enumerate(want) if x == w)) for w in set(want)}
 
 
+def similar_groups(texts):
+    sets = [simhash.shingle_set(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if simhash.jaccard(sets[i], sets[j]) >= 0.8:
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def test_keep_one_finds_near_copies(spark):
+    """Copies with a few edits, each from one of several originals, among other texts and a common passage."""
+    r = random.Random(6)
+    common_part = words(r, 30)
+    texts = [words(r, n) for n in (60, 90, 150, 300) for _ in range(4)] + [words(r, 20) + " " + common_part for _ in range(10)] + ["four words are here", "four words are here", "", None, "Four  words\nare here"]
+    for t in texts[:16]:
+        for _ in range(4):
+            w = t.split()
+            for _ in range(r.randrange(1, 1 + len(w) // 50)):
+                w[r.randrange(len(w))] = r.choice(["edit", "other words", "x"])
+            texts.append(" ".join(w))
+    groups = similar_groups(texts)
+    left = {row["doc_id"] for row in simhash.keep_one(simple(spark, texts)).collect()}
+    assert left == set(groups) and len(left) < len(texts) - 50
+
+
 def test_keep_one(spark):
     kept = simhash.keep_one(documents(spark))
     assert kept.columns == documents(spark).columns
-    left = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
-    ids, prints = [r[0] for r in rows()], [fingerprint(r[1]) for r in rows()]
-    comp = components(ids, prints)
-    want = {(i, r[1]) for i, r, c in zip(ids, rows(), comp) if i is not None and i == c} | {(None, r[1]) for i, r, c in zip(ids, rows(), comp) if i is None and c is None}
-    assert left == sorted(want, key=str)
-    assert len([d for d, _ in left if d is not None]) == len({d for d, _ in left if d is not None})
+    data = {r[0]: r[1] for r in rows() if r[0] is not None}
+    groups = similar_groups([data[i] for i in sorted(data)])
+    want = [(i, data[i]) for i in sorted(set(groups))] + [(None, "only here, without an id")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_pieces_survive_edits():
+    r = random.Random(9)
+    w = words(r, 400).split()
+    before = set(simhash.piece_hashes(" ".join(w)).tolist())
+    w[200] = "edited"
+    after = set(simhash.piece_hashes(" ".join(w)).tolist())
+    assert len(before) > 12 and len(before & after) >= len(before) - 5
+    assert len(simhash.piece_hashes("")) == 0 and len(simhash.piece_hashes("a")) == 1
 
 
 def test_empty_and_single(spark):
