@@ -4,7 +4,6 @@ import re
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from saldospark.operators import feedback as H
 from saldospark.operators import metadata as M
@@ -132,12 +131,11 @@ def test_files(spark, tmp_path):
     for name, data in (("a.xlsx", book), ("b.xlsx", b"\0" * 10), ("c.xlsx", b"zip?"), ("d.pdf", b"%PDF-1"), ("e.pdf", b"nope"), ("f.xls", bytes.fromhex("D0CF11E0A1B11AE1")), ("g.txt", b"x"), ("h.xls", b"")):
         (tmp_path / name).write_bytes(data)
     found = files.binary_files(spark, str(tmp_path))
-    ok = {r["doc_id"][-6:]: r["valido"] for r in files.check_files(found).collect()}
-    assert {k[-5:].strip("/"): v for k, v in ok.items()} == {k[-5:].strip("/"): v for k, v in {"a.xlsx": True, "b.xlsx": False, "c.xlsx": False, "/d.pdf": True, "/e.pdf": False, "/f.xls": True, "/g.txt": True, "/h.xls": False}.items()} or ok
-    assert sum(ok.values()) == 4
+    ok = {r["doc_id"].rsplit("/", 1)[-1]: r["valido"] for r in files.check_files(found).collect()}
+    assert ok == {"a.xlsx": True, "b.xlsx": False, "c.xlsx": False, "d.pdf": True, "e.pdf": False, "f.xls": True, "g.txt": True, "h.xls": False}
     cells = files.spreadsheet_cells(found.where("doc_id like '%a.xlsx'"))
     got = [(r["linea"], r["codigo"], r["nombre"], r["monto"], r["confianza_extraccion"]) for r in P.parse_cells(cells).orderBy("linea").collect()]
-    assert got == [(0, "1.01.01", "1.01.01", 7.0, 0.9), (2, None, "Banco Estado", None, 0.9)] or got == [(0, None, "1.01.01", 7.0, 0.9), (2, None, "Banco Estado", None, 0.9)]
+    assert got == [(0, None, "1.01.01", 7.0, 0.9), (2, None, "Banco Estado", None, 0.9)]  # the code is the longest text, so it is the name
     assert [r["texto"] for r in files.header_from_cells(cells).orderBy("linea").collect()] == ["1.01.01 Caja 12.5 7.0", "", "Banco Estado"]
     pdf = files.pdf_lines(found, lambda content: ["uno\ndos", " ", "tres"])
     assert [r["texto"] for r in pdf.where("doc_id like '%d.pdf'").orderBy("linea").collect()] == ["uno", "dos", "tres"]
@@ -185,4 +183,3 @@ def test_upsert_is_idempotent(spark):
 def test_export_name(spark):
     meta = spark.createDataFrame([("d", "Ruiz S.A.", "76.635.890-K"), ("e", None, None)], "doc_id string, razon_social string, rut string")
     assert {r["doc_id"]: r["archivo"] for r in tables.export_name(meta).collect()} == {"d": "Balance_Unificado-Ruiz_S_A_-76635890K", "e": "Balance_Unificado-Empresa-"}
-    assert meta.select(F.lit(1)).count() == 2
