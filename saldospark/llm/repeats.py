@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .batches import batches, bucket_bits, by_bucket, mix, pack_sorted, planes, prefix_hash, span_hash, text_bytes, unpack_sorted, unplanes, whole_batches
+from .columns import window_groups
 from .common import materialize
 
 WINDOW, GRAM = 100, 32
@@ -180,26 +181,40 @@ def edge_rows(key: str, b: Batch, state: np.ndarray, bits: int) -> list[dict]:
     return rows
 
 
-def edge_answers(table: pa.Table) -> pa.Table:
-    """For each window sent, in order, whether it is the first of its kind."""
+def edge_answers(table: pa.Table, by_columns: bool) -> pa.Table:
+    """For each window sent, in order, whether it is the first of its kind. Covers are compared by a column-wise
+    construction over the bucket's distinct covers, or by hash of their windows."""
     order = np.argsort(np.array(table["batch"].to_pylist(), dtype=object), kind="stable")
     rows = table.take(pa.array(order)).to_pylist()
-    hashes, doc, place = [], [], []
-    for r in rows:
-        d, p = unplanes(r["doc"], np.int64), unplanes(r["place"], np.uint64).astype(np.int64)
-        if r["kind"] == 1:
-            size = unplanes(r["size"], np.uint32).astype(np.int64)
-            start = np.concatenate(([0], np.cumsum(size + WINDOW - 1)[:-1]))
-            at = ramp(start, size)
-            hashes.append(span_hash(prefix_hash(np.frombuffer(r["data"], np.uint8)), at, at + WINDOW))
-            doc.append(np.repeat(d, size))
-            place.append(ramp(p, size))
-        else:
-            hashes.append(unpack_sorted(r["data"]))
-            doc.append(d)
-            place.append(p)
-    size = np.array([len(h) for h in hashes])
-    _, back = np.unique(np.concatenate(hashes), return_inverse=True)
+    groups, size, doc, place = [], [], [], []
+    if rows[0]["kind"] == 1:
+        covers: list[bytes] = []
+        for r in rows:
+            n = unplanes(r["size"], np.uint32).astype(np.int64)
+            d, p = unplanes(r["doc"], np.int64), unplanes(r["place"], np.uint64).astype(np.int64)
+            start = np.concatenate(([0], np.cumsum(n + WINDOW - 1)[:-1]))
+            if by_columns:
+                covers += [r["data"][a : a + k + WINDOW - 1] for a, k in zip(start.tolist(), n.tolist())]
+            else:
+                at = ramp(start, n)
+                groups.append(span_hash(prefix_hash(np.frombuffer(r["data"], np.uint8)), at, at + WINDOW))
+            size.append(int(n.sum()))
+            doc.append(np.repeat(d, n))
+            place.append(ramp(p, n))
+        if by_columns:
+            known = {c: i for i, c in enumerate(dict.fromkeys(covers))}
+            who, offset, group = window_groups(list(known), WINDOW)
+            count = np.bincount(who, minlength=len(known))
+            sorted_ = group[np.lexsort((offset, who))]
+            use = np.array([known[c] for c in covers])
+            groups = [sorted_[ramp((np.cumsum(count) - count)[use], count[use])]]
+    else:
+        for r in rows:
+            groups.append(unpack_sorted(r["data"]))
+            size.append(len(groups[-1]))
+            doc.append(unplanes(r["doc"], np.int64))
+            place.append(unplanes(r["place"], np.uint64).astype(np.int64))
+    _, back = np.unique(np.concatenate(groups), return_inverse=True)
     first = earliest(back, np.concatenate(doc), np.repeat(np.arange(len(rows)), size), np.concatenate(place))
     parts = np.split(first, np.cumsum(size)[:-1])
     return pa.table({c: pa.array([r[c] for r in rows], t) for c, t in (("kind", pa.int32()), ("bucket", pa.int32()), ("batch", pa.string()))} | {"answer": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
@@ -240,11 +255,12 @@ def repeated(b: Batch, state: np.ndarray, bits: int, answers: dict) -> np.ndarra
     return np.cumsum(change[:-1]) > 0
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT, batch_bytes: int = BATCH_BYTES, by_columns: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): a row for each row of ``docs``.
 
     Texts are UTF-8 bytes; null counts as empty. A byte is removed if a ``WINDOW``-byte string covers it that also
-    starts earlier: in a document with a smaller id, or earlier in the same one. Rows that repeat an id are
+    starts earlier: in a document with a smaller id, or earlier in the same one. ``by_columns`` compares the covers of
+    mixed anchors by a column-wise construction (slower, same result). Rows that repeat an id are
     documents in the order of their place in the input; null ids come last. ``kept`` (the remaining bytes) is null
     unless asked for. Ids are integers. ``docs`` must be a stable relation (files or a checkpoint).
     """
@@ -287,6 +303,6 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     states = materialize(sent.groupBy("bucket").applyInArrow(lambda t: anchor_states(t, hot), "kind int, bucket int, batch string, answer binary"))
     whole = whole_batches(docs, id_col, text_col, batch_bytes)
     asked = whole.groupBy("batch").cogroup(states.groupBy("batch")).applyInArrow(edges, f"kind int, bucket int, batch string, {binary(EDGE_COLUMNS[3:])}")
-    found = asked.groupBy("kind", "bucket").applyInArrow(edge_answers, "kind int, bucket int, batch string, answer binary")
+    found = asked.groupBy("kind", "bucket").applyInArrow(lambda t: edge_answers(t, by_columns), "kind int, bucket int, batch string, answer binary")
     answers = states.unionByName(found)
     return whole.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

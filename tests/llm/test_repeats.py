@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from docs import rows, written, words
 
-from saldospark.llm import batches, repeats
+from saldospark.llm import batches, columns, repeats
 
 
 def brute(data):
@@ -31,12 +31,12 @@ def corpus():
     return list(enumerate(r.sample(texts, 60))) + [(100 + i, t) for i, t in enumerate(texts[:10])]
 
 
-@pytest.mark.parametrize("hot, batch_bytes", [(5000, 2 << 20), (2, 3000), (5000, 1500), (0, 1 << 20)])
-def test_equals_brute_force(spark, tmp_path, monkeypatch, hot, batch_bytes):
+@pytest.mark.parametrize("hot, batch_bytes, by_columns", [(5000, 2 << 20, False), (2, 3000, False), (5000, 1500, True), (0, 1 << 20, False), (3, 1500, True)])
+def test_equals_brute_force(spark, tmp_path, monkeypatch, hot, batch_bytes, by_columns):
     monkeypatch.setattr(batches, "BUCKET_BYTES", 4000)
     data = corpus()
     docs = written(spark, tmp_path / "d", [(i, t, *rows()[0][2:]) for i, t in data])
-    got = sorted((tuple(r)[:5] for r in repeats.removals(docs, hot=hot, batch_bytes=batch_bytes).collect()), key=str)
+    got = sorted((tuple(r)[:5] for r in repeats.removals(docs, hot=hot, batch_bytes=batch_bytes, by_columns=by_columns).collect()), key=str)
     assert got == brute(data)
 
 
@@ -61,6 +61,28 @@ def test_anchors_depend_on_content_only():
     assert kept and len(kept & inside) >= len(kept) - 2
 
 
+def test_column_wise_construction():
+    """Transform, common prefixes and window groups against sorted suffixes."""
+    r = random.Random(1)
+    for _ in range(60):
+        strings = ["".join(r.choice("ab") for _ in range(r.randrange(10))).encode() for _ in range(r.randrange(1, 8))]
+        suffixes = sorted((tuple(c + 1 for c in s[k:]) + (0, i), i, k) for i, s in enumerate(strings) for k in range(len(s) + 1))
+        suffixes.sort(key=lambda x: [(c, 0) for c in x[0][:-2]] + [(0, x[1])])
+        b, lcp = columns.construct(strings)
+        assert b.tolist() == [strings[i][k - 1] + 1 if k else 0 for _, i, k in suffixes]
+
+        def shared(x, y):
+            return next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+        bodies = [strings[i][k:] for _, i, k in suffixes]
+        assert lcp.tolist() == [0] + [shared(p, q) for p, q in zip(bodies, bodies[1:])]
+        groups = {}
+        for i, k, g in zip(*columns.window_groups(strings, 3)):
+            groups.setdefault(int(g), set()).add(strings[i][k : k + 3])
+        assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+        assert sum(max(0, len(s) - 2) for s in strings) == len(columns.window_groups(strings, 3)[0])
+
+
 def test_packed_columns():
     r = np.random.default_rng(0)
     a = np.sort(r.integers(0, 1 << 63, 100).astype(np.uint64))
