@@ -31,8 +31,12 @@ def _workbook_state(content: bytes) -> str:
         return "all zeros" if not any(content[:4096]) else "no zip"
 
 
-def check_files(files: DataFrame) -> DataFrame:
-    """(doc_id, valido, mensaje): size and signature by suffix; other suffixes pass."""
+def check_files(files: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """(doc_id, valido, mensaje): size and signature by suffix; other suffixes pass.
+
+    The reader passes over files of no bytes; ``expected`` (doc_id) names paths that must be there, and those that
+    weren't read are reported.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(estado=[_workbook_state(c) if s in ("xlsx", "xlsm") else None for c, s in zip(b["content"], b["suffix"])])[["doc_id", "length", "suffix", "head", "estado"]]
@@ -44,7 +48,11 @@ def check_files(files: DataFrame) -> DataFrame:
         message = message.when(F.col("estado") == state, F.lit(text))
     message = message.when((F.col("suffix") == "xls") & (F.hex("head") != "D0CF11E0A1B11AE1"), F.lit("Archivo .xls no tiene firma OLE2 válida"))
     message = message.when((F.col("suffix") == "pdf") & (F.hex(F.substring("head", 1, 5)) != "255044462D"), F.lit("Archivo .pdf no tiene firma PDF válida"))
-    return seen.select("doc_id", message.isNull().alias("valido"), F.coalesce(message, F.lit("OK")).alias("mensaje"))
+    out = seen.select("doc_id", message.isNull().alias("valido"), F.coalesce(message, F.lit("OK")).alias("mensaje"))
+    if expected is not None:
+        absent = expected.select("doc_id").join(files.select("doc_id"), "doc_id", "left_anti")
+        out = out.unionByName(absent.select("doc_id", F.lit(False).alias("valido"), F.lit("Archivo no existe o está vacío (0 bytes)").alias("mensaje")))
+    return out
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

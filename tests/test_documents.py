@@ -131,7 +131,7 @@ def test_files(spark, tmp_path):
     for name, data in (("a.xlsx", book), ("b.xlsx", b"\0" * 10), ("c.xlsx", b"zip?"), ("d.pdf", b"%PDF-1"), ("e.pdf", b"nope"), ("f.xls", bytes.fromhex("D0CF11E0A1B11AE1")), ("g.txt", b"x"), ("h.xls", b"")):
         (tmp_path / name).write_bytes(data)
     found = files.binary_files(spark, str(tmp_path))
-    ok = {r["doc_id"].rsplit("/", 1)[-1]: r["valido"] for r in files.check_files(found).collect()}
+    ok = {r["doc_id"].rsplit("/", 1)[-1]: r["valido"] for r in files.check_files(found, spark.createDataFrame([(f"{tmp_path.as_uri()}/h.xls".replace("file:///", "file:/"),)], "doc_id string")).collect()}
     assert ok == {"a.xlsx": True, "b.xlsx": False, "c.xlsx": False, "d.pdf": True, "e.pdf": False, "f.xls": True, "g.txt": True, "h.xls": False}
     cells = files.spreadsheet_cells(found.where("doc_id like '%a.xlsx'"))
     got = [(r["linea"], r["codigo"], r["nombre"], r["monto"], r["confianza_extraccion"]) for r in P.parse_cells(cells).orderBy("linea").collect()]
