@@ -63,12 +63,11 @@ def parse_lines(lines: DataFrame, profiles: DataFrame | None = None) -> DataFram
     df = df.withColumn("codigo", code).withColumn("_t", F.filter(F.split(rest, r"(?U)\s+"), lambda w: w != ""))
     df = fence(df).withColumn("_t", _drop_short(F.col("_t")))
     df = fence(df.select("doc_id", "linea", "codigo", "_t", "separador_miles", "confianza_base"))
-    # the longest run of amounts at the end
-    n = F.aggregate(F.reverse("_t"), F.struct(F.lit(0).alias("n"), F.lit(False).alias("stop")),
-                    lambda s, t: F.when(s["stop"] | _amount_token(t).isNull(), F.struct(s["n"].alias("n"), F.lit(True).alias("stop"))).otherwise(F.struct((s["n"] + 1).alias("n"), F.lit(False).alias("stop"))))["n"]
-    df = df.withColumn("_n", n)
-    df = fence(df)
-    df = df.withColumn("_m", F.transform(F.slice("_t", F.size("_t") - F.col("_n") + 1, F.col("_n")), _amount_token))
+    # the longest run of amounts at the end: every token is looked at once, and the first gap from the end counts
+    df = fence(df.withColumn("_a", F.transform("_t", _amount_token)))
+    gap = F.array_position(F.reverse(F.transform("_a", lambda a: a.isNull())), True).cast("int")
+    df = df.withColumn("_n", F.when(gap == 0, F.size("_a")).otherwise(gap - 1))
+    df = fence(df.withColumn("_m", F.slice("_a", F.size("_a") - F.col("_n") + 1, F.col("_n"))).drop("_a"))
     df = df.withColumn("nombre", F.btrim(F.array_join(F.slice("_t", F.lit(1), F.size("_t") - F.col("_n")), " "), F.lit(" .-")))
     df = fence(df.drop("_t")).where(F.char_length("nombre") >= 3)
     df = df.withColumn("es_total", F.col("nombre").rlike("(?iU)^" + patterns.TOTAL))
