@@ -1,13 +1,14 @@
-"""Column-wise construction over a collection of strings: Burrows-Wheeler transform and common prefixes.
+"""Column-wise construction over a collection of aligned strings: Burrows-Wheeler transform and common prefixes.
 
-Round j inserts the suffixes of length j of all strings at once, one symbol per string, right to left. The transform
-(one symbol per suffix, in suffix order) and the common prefix of neighbouring suffixes stand in files that each
-round reads and writes from front to back. A new suffix cX stands behind all suffixes with a smaller first symbol and
-behind those that begin with c and whose rest comes before X, so its place is a count of symbols before X's place;
-its common prefix with a neighbour cY is one more than the least common prefix between Y and X.
+The strings stand in a table, one per row, each from a column of its own on. Rounds go through the columns from the
+last to the first: a round inserts one symbol per string, in front of what it already holds, and updates the order of
+the strings by what they hold from this column on, the transform (the symbols in that order) and the common prefixes of
+neighbours. Stable sorting of the symbols over the old order gives the new one; the common prefix of two new
+neighbours with one symbol is one more than the least old common prefix between them, and 0 if the symbols differ.
 
-The number of rounds is the length of the longest string, and every round passes over the whole collection. So this
-serves collections of short strings: here, the covers of mixed anchors (see ``repeats``).
+The columns, and the order and common prefixes after each round, stand in files that are read and written from front to
+back. Since strings are aligned, equal windows stand in one column, so a column's order is all that has to be kept; the
+number of rounds is the number of columns.
 """
 
 from __future__ import annotations
@@ -16,90 +17,54 @@ import tempfile
 
 import numpy as np
 
-CAP = 250
 
+def rounds(strings: list[bytes], begin: np.ndarray, columns: int):
+    """Yields (column, order, transform, common prefixes) from the last column to the first.
 
-def _ramp(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-
-
-class Column:
-    """An array of bytes in a file of the task's own, read and written sequentially."""
-
-    def __init__(self):
-        self.file = tempfile.TemporaryFile()
-
-    def read(self) -> np.ndarray:
-        self.file.seek(0)
-        return np.fromfile(self.file, np.uint8)
-
-    def write(self, data: np.ndarray) -> None:
-        self.file.seek(0)
-        data.tofile(self.file)
-        self.file.truncate()
-
-
-def construct(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(transform, common prefixes up to ``CAP``) of all suffixes, the empty ones first. Symbols are bytes plus one, 0 ends a
-    string; byte 255 can't occur (it isn't part of UTF-8)."""
+    String i stands in the columns from ``begin[i]`` on. Symbols are bytes plus one (byte 255 isn't part of UTF-8); 0
+    stands where a string has nothing, and has no common prefix with anything.
+    """
     m = len(strings)
     size = np.array([len(s) for s in strings], np.int64)
-    data = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
-    begin = np.cumsum(size) - size
-    symbol = lambda i, j: np.where(size[i] > j, data[np.clip(begin[i] + size[i] - 1 - j, 0, max(0, len(data) - 1))] if len(data) else 0, 0).astype(np.uint8)
-    transform, prefixes = Column(), Column()
-    who = np.arange(m)
-    at = np.arange(m)
-    transform.write(symbol(who, 0))
-    prefixes.write(np.zeros(m, np.uint8))
-    for j in range(1, int(size.max(initial=0)) + 1):
-        b, lcp = transform.read(), prefixes.read()
-        active = size[who] >= j
-        who, at = who[active], at[active]
-        order = np.argsort(b, kind="stable")
-        order = order[np.count_nonzero(b == 0) :]  # source of every suffix that isn't empty, in the new order
-        rank = np.empty(len(b), np.int64)
-        rank[order] = np.arange(len(order))
-        place = rank[at]
-        new = np.zeros(m + len(order), bool)
-        new[m + place] = True
-        grown = np.empty(len(new), np.uint8)
-        grown[~new] = b
-        grown[m + place] = symbol(who, j)
-        common = np.zeros(len(new), np.uint8)
-        common[~new] = lcp
-        touched = np.unique(np.concatenate((place, place + 1)))  # new suffixes and those right behind them
-        touched = touched[touched < len(order)]
-        value = np.zeros(len(touched), np.uint8)
-        both = np.flatnonzero(touched > 0)
-        p, q = order[touched[both] - 1], order[touched[both]]
-        same = b[p] == b[q]
-        both, p, q = both[same], p[same], q[same]
-        if len(both):
-            count = q - p
-            least = np.minimum.reduceat(lcp[_ramp(p + 1, count)], np.cumsum(count) - count)
-            value[both] = np.minimum(least.astype(np.int64) + 1, CAP)
-        common[m + touched] = value
-        transform.write(grown)
-        prefixes.write(common)
-        at = m + place
-    return transform.read(), prefixes.read()
-
-
-def window_groups(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, offset, group) of every window of ``width`` bytes; equal windows, and no others, have one group."""
-    b, lcp = construct(strings)
+    row = np.repeat(np.arange(m), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+    table = np.zeros((columns, m), np.uint8)
+    table[columns - 1 - at, row] = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
+    with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as state:
+        table.tofile(symbols)  # the last column first
+        del table
+        symbols.seek(0)
+        np.arange(m, dtype=np.int32).tofile(state)
+        np.zeros(m, np.int32).tofile(state)
+        for column in range(columns - 1, -1, -1):
+            state.seek(0)
+            order, common = np.fromfile(state, np.int32, m), np.fromfile(state, np.int32, m)
+            transform = np.fromfile(symbols, np.uint8, m)[order]
+            new = np.argsort(transform, kind="stable")
+            least = np.zeros(m, np.int32)
+            p, q = new[:-1], new[1:]
+            same = np.flatnonzero((transform[p] == transform[q]) & (transform[p] > 0))
+            if len(same):
+                count = q[same] - p[same]
+                spans = np.repeat(p[same] + 1 - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                least[same + 1] = np.minimum.reduceat(common[spans], np.cumsum(count) - count) + 1
+            order = order[new]
+            state.seek(0)
+            order.tofile(state)
+            least.tofile(state)
+            yield column, order, transform[new], least
+
+
+def window_groups(strings: list[bytes], begin: np.ndarray, width: int) -> np.ndarray:
+    """For all windows of ``width`` bytes of all strings, string by string, a group: windows in one column have one group
+    if, and only if, they are equal."""
     m = len(strings)
-    order = np.argsort(b, kind="stable")[np.count_nonzero(b == 0) :]
-    step = np.full(len(b), -1, np.int64)
-    step[order] = m + np.arange(len(order))
-    group = np.cumsum(lcp < width)
     size = np.array([len(s) for s in strings], np.int64)
-    who, at, out = np.arange(m), np.arange(m), []
-    for j in range(1, int(size.max(initial=0)) + 1):
-        active = size[who] >= j
-        who = who[active]
-        at = step[at[active]]
-        if j >= width:
-            out.append(np.stack((who, size[who] - j, group[at])))
-    return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 3
+    windows = np.maximum(size - width + 1, 0)
+    out = np.zeros(int(windows.sum()), np.int64)
+    start = np.cumsum(windows) - windows - begin
+    for column, order, _, common in rounds(strings, begin, int((begin + size).max(initial=0))):
+        inside = (column >= begin[order]) & (column < begin[order] + windows[order])
+        group = np.cumsum(common < width) + column * (m + 1)
+        out[start[order[inside]] + column] = group[inside]
+    return out

@@ -8,7 +8,9 @@ Anchors: of the ``WINDOW - GRAM + 1`` short strings (``GRAM`` bytes) in a window
 first, is its anchor. Equal windows have equal anchors at the same offset, and the windows of one anchor occurrence
 are a run; the bytes they cover together are its cover. So an anchor that occurs once has no repeated window;
 one whose occurrences all have the same cover ("pure") has them all repeated but for the first occurrence; only
-where covers differ ("mixed", at the edges of repeats) must windows be compared one by one.
+where covers differ ("mixed", at the edges of repeats) must windows be compared one by one. There the covers, aligned at
+their anchors, go through a column-wise construction (see ``columns``) that inserts one symbol per cover in each round and
+updates transform and common prefixes; neighbours with a common prefix of ``WINDOW`` bytes hold equal windows.
 
 All comparing is done by hash bucket on packed columns (see ``batches``): a batch sends each distinct anchor once,
 so frequent passages are combined before the shuffle. For mixed anchors it sends each distinct cover once, as bytes;
@@ -36,7 +38,7 @@ _LOW48 = np.uint64((1 << 48) - 1)
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, ...] | None:
-    """(first window, last window, hash of the anchor, hash of the cover) of every anchor occurrence; None below ``WINDOW`` bytes."""
+    """(first window, last window, hash of the anchor, hash of the cover, place of the anchor in the cover) of every anchor occurrence; None below ``WINDOW`` bytes."""
     n = len(text)
     if n < WINDOW:
         return None
@@ -56,7 +58,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...] | None:
     last = np.append(first[1:], len(anchor)) - 1
     at = anchor[first]
     cover = mix(span_hash(prefix, first, last + WINDOW) + (at - first).astype(np.uint64)) & _LOW48
-    return first, last, mix(h[at] + np.uint64(0x9E3779B97F4A7C15)), cover  # least hashes crowd the low buckets: mixed anew
+    return first, last, mix(h[at] + np.uint64(0x9E3779B97F4A7C15)), cover, at - first  # least hashes crowd the low buckets: mixed anew
 
 
 class Batch:
@@ -68,10 +70,10 @@ class Batch:
         self.ids = np.array([np.iinfo(np.int64).max if ids[i] is None else ids[i] for i in self.order], np.int64)
         self.begin = np.concatenate(([0], np.cumsum([len(t) for t in self.texts]))).astype(np.int64)
         parts = [(k, a) for k, t in enumerate(self.texts) if (a := anchors(t)) is not None]
-        empty = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2
-        self.first, self.last, self.hash, self.cover = (
+        empty = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
+        self.first, self.last, self.hash, self.cover, self.shift = (
             np.concatenate(c) if parts else e
-            for c, e in zip(zip(*((a[0] + self.begin[k], a[1] + self.begin[k], a[2], a[3]) for k, a in parts)) if parts else empty, empty)
+            for c, e in zip(zip(*((a[0] + self.begin[k], a[1] + self.begin[k], *a[2:]) for k, a in parts)) if parts else empty, empty)
         )
         self.keys, self.where, self.back, self.count = np.unique(self.hash, return_index=True, return_inverse=True, return_counts=True)
 
@@ -160,7 +162,7 @@ def states_of(keys: np.ndarray, bits: int, answers: dict) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
 
-EDGE_COLUMNS = ("kind", "bucket", "batch", "size", "data", "doc", "place")
+EDGE_COLUMNS = ("kind", "bucket", "batch", "size", "shift", "data", "doc", "place")
 
 
 def edge_rows(key: str, b: Batch, state: np.ndarray, bits: int) -> list[dict]:
@@ -171,43 +173,41 @@ def edge_rows(key: str, b: Batch, state: np.ndarray, bits: int) -> list[dict]:
     doc = b.ids[b.doc(b.first[at])] if len(at) else np.zeros(0, np.int64)
     for k, i, j in by_bucket(b.hash[at], bits):
         first, last = b.first[at[i:j]], b.last[at[i:j]]
-        rows.append({"kind": 1, "bucket": k, "batch": key, "size": planes((last - first + 1).astype(np.uint32)), "data": b"".join([data[f : e + WINDOW] for f, e in zip(first.tolist(), last.tolist())]),
+        rows.append({"kind": 1, "bucket": k, "batch": key, "size": planes((last - first + 1).astype(np.uint32)), "shift": planes(b.shift[at[i:j]].astype(np.uint32)), "data": b"".join([data[f : e + WINDOW] for f, e in zip(first.tolist(), last.tolist())]),
                      "doc": planes(doc[i:j]), "place": planes(first.astype(np.uint64))})
     h, place = b.windows(b.covers(state, CROWDED))
     h, where = np.unique(h, return_index=True)
     doc = b.ids[b.doc(place[where])] if len(where) else np.zeros(0, np.int64)
     for k, i, j in by_bucket(h, bits):
-        rows.append({"kind": 2, "bucket": k, "batch": key, "size": b"", "data": pack_sorted(h[i:j]), "doc": planes(doc[i:j]), "place": planes(place[where[i:j]].astype(np.uint64))})
+        rows.append({"kind": 2, "bucket": k, "batch": key, "size": b"", "shift": b"", "data": pack_sorted(h[i:j]), "doc": planes(doc[i:j]), "place": planes(place[where[i:j]].astype(np.uint64))})
     return rows
 
 
-def edge_answers(table: pa.Table, by_columns: bool) -> pa.Table:
-    """For each window sent, in order, whether it is the first of its kind. Covers are compared by a column-wise
-    construction over the bucket's distinct covers, or by hash of their windows."""
+def edge_answers(table: pa.Table) -> pa.Table:
+    """For each window sent, in order, whether it is the first of its kind.
+
+    Covers are aligned at their anchors, so that equal windows stand in one column, and compared by a column-wise
+    construction over the bucket's distinct covers; windows of crowded anchors come as hashes.
+    """
     order = np.argsort(np.array(table["batch"].to_pylist(), dtype=object), kind="stable")
     rows = table.take(pa.array(order)).to_pylist()
     groups, size, doc, place = [], [], [], []
     if rows[0]["kind"] == 1:
-        covers: list[bytes] = []
+        covers: list[tuple[int, bytes]] = []
         for r in rows:
-            n = unplanes(r["size"], np.uint32).astype(np.int64)
+            n, shift = (unplanes(r[c], np.uint32).astype(np.int64) for c in ("size", "shift"))
             d, p = unplanes(r["doc"], np.int64), unplanes(r["place"], np.uint64).astype(np.int64)
             start = np.concatenate(([0], np.cumsum(n + WINDOW - 1)[:-1]))
-            if by_columns:
-                covers += [r["data"][a : a + k + WINDOW - 1] for a, k in zip(start.tolist(), n.tolist())]
-            else:
-                at = ramp(start, n)
-                groups.append(span_hash(prefix_hash(np.frombuffer(r["data"], np.uint8)), at, at + WINDOW))
+            covers += [(s, r["data"][a : a + k + WINDOW - 1]) for s, a, k in zip(shift.tolist(), start.tolist(), n.tolist())]
             size.append(int(n.sum()))
             doc.append(np.repeat(d, n))
             place.append(ramp(p, n))
-        if by_columns:
-            known = {c: i for i, c in enumerate(dict.fromkeys(covers))}
-            who, offset, group = window_groups(list(known), WINDOW)
-            count = np.bincount(who, minlength=len(known))
-            sorted_ = group[np.lexsort((offset, who))]
-            use = np.array([known[c] for c in covers])
-            groups = [sorted_[ramp((np.cumsum(count) - count)[use], count[use])]]
+        known = {c: i for i, c in enumerate(dict.fromkeys(covers))}
+        column = WINDOW - GRAM - np.array([s for s, _ in known], np.int64)
+        group = window_groups([c for _, c in known], column, WINDOW)
+        count = np.array([len(c) - WINDOW + 1 for _, c in known], np.int64)
+        use = np.array([known[c] for c in covers])
+        groups = [group[ramp((np.cumsum(count) - count)[use], count[use])]]
     else:
         for r in rows:
             groups.append(unpack_sorted(r["data"]))
@@ -255,12 +255,11 @@ def repeated(b: Batch, state: np.ndarray, bits: int, answers: dict) -> np.ndarra
     return np.cumsum(change[:-1]) > 0
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT, batch_bytes: int = BATCH_BYTES, by_columns: bool = False) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): a row for each row of ``docs``.
 
     Texts are UTF-8 bytes; null counts as empty. A byte is removed if a ``WINDOW``-byte string covers it that also
-    starts earlier: in a document with a smaller id, or earlier in the same one. ``by_columns`` compares the covers of
-    mixed anchors by a column-wise construction (slower, same result). Rows that repeat an id are
+    starts earlier: in a document with a smaller id, or earlier in the same one. Rows that repeat an id are
     documents in the order of their place in the input; null ids come last. ``kept`` (the remaining bytes) is null
     unless asked for. Ids are integers. ``docs`` must be a stable relation (files or a checkpoint).
     """
@@ -303,6 +302,6 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     states = materialize(sent.groupBy("bucket").applyInArrow(lambda t: anchor_states(t, hot), "kind int, bucket int, batch string, answer binary"))
     whole = whole_batches(docs, id_col, text_col, batch_bytes)
     asked = whole.groupBy("batch").cogroup(states.groupBy("batch")).applyInArrow(edges, f"kind int, bucket int, batch string, {binary(EDGE_COLUMNS[3:])}")
-    found = asked.groupBy("kind", "bucket").applyInArrow(lambda t: edge_answers(t, by_columns), "kind int, bucket int, batch string, answer binary")
+    found = asked.groupBy("kind", "bucket").applyInArrow(edge_answers, "kind int, bucket int, batch string, answer binary")
     answers = states.unionByName(found)
     return whole.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -31,12 +31,12 @@ def corpus():
     return list(enumerate(r.sample(texts, 60))) + [(100 + i, t) for i, t in enumerate(texts[:10])]
 
 
-@pytest.mark.parametrize("hot, batch_bytes, by_columns", [(5000, 2 << 20, False), (2, 3000, False), (5000, 1500, True), (0, 1 << 20, False), (3, 1500, True)])
-def test_equals_brute_force(spark, tmp_path, monkeypatch, hot, batch_bytes, by_columns):
+@pytest.mark.parametrize("hot, batch_bytes", [(5000, 2 << 20), (2, 3000), (5000, 1500), (0, 1 << 20), (3, 1500)])
+def test_equals_brute_force(spark, tmp_path, monkeypatch, hot, batch_bytes):
     monkeypatch.setattr(batches, "BUCKET_BYTES", 4000)
     data = corpus()
     docs = written(spark, tmp_path / "d", [(i, t, *rows()[0][2:]) for i, t in data])
-    got = sorted((tuple(r)[:5] for r in repeats.removals(docs, hot=hot, batch_bytes=batch_bytes, by_columns=by_columns).collect()), key=str)
+    got = sorted((tuple(r)[:5] for r in repeats.removals(docs, hot=hot, batch_bytes=batch_bytes).collect()), key=str)
     assert got == brute(data)
 
 
@@ -54,7 +54,7 @@ def test_anchors_depend_on_content_only():
     passage = words(r, 40).encode()
     a, b = (r.randbytes(n) + passage + r.randbytes(50) for n in (211, 407))
     for text, shift in ((a, 211), (b, 407)):
-        first, last, h, _ = repeats.anchors(text)
+        first, last, h, *_ = repeats.anchors(text)
         inside = {(int(f) - shift, int(x)) for f, e, x in zip(first, last, h) if f >= shift and e + 100 <= shift + len(passage)}
         if shift == 211:
             kept = inside
@@ -62,25 +62,25 @@ def test_anchors_depend_on_content_only():
 
 
 def test_column_wise_construction():
-    """Transform, common prefixes and window groups against sorted suffixes."""
+    """Order, transform, common prefixes and window groups of every column against plain sorting."""
     r = random.Random(1)
     for _ in range(60):
         strings = ["".join(r.choice("ab") for _ in range(r.randrange(10))).encode() for _ in range(r.randrange(1, 8))]
-        suffixes = sorted((tuple(c + 1 for c in s[k:]) + (0, i), i, k) for i, s in enumerate(strings) for k in range(len(s) + 1))
-        suffixes.sort(key=lambda x: [(c, 0) for c in x[0][:-2]] + [(0, x[1])])
-        b, lcp = columns.construct(strings)
-        assert b.tolist() == [strings[i][k - 1] + 1 if k else 0 for _, i, k in suffixes]
-
-        def shared(x, y):
-            return next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
-
-        bodies = [strings[i][k:] for _, i, k in suffixes]
-        assert lcp.tolist() == [0] + [shared(p, q) for p, q in zip(bodies, bodies[1:])]
-        groups = {}
-        for i, k, g in zip(*columns.window_groups(strings, 3)):
-            groups.setdefault(int(g), set()).add(strings[i][k : k + 3])
-        assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
-        assert sum(max(0, len(s) - 2) for s in strings) == len(columns.window_groups(strings, 3)[0])
+        begin = np.array([r.randrange(4) for _ in strings])
+        width = int((begin + [len(s) for s in strings]).max())
+        padded = [[0] * b + [c + 1 for c in s] + [0] * (width - b - len(s)) for s, b in zip(strings, begin)]
+        for column, order, transform, common in columns.rounds(strings, begin, width):
+            rest = [p[column:] for p in padded]
+            assert order.tolist() == sorted(range(len(strings)), key=lambda i: rest[i])
+            assert transform.tolist() == [rest[i][0] for i in order]
+            shared = [next((n for n, (x, y) in enumerate(zip(rest[i], rest[j])) if x != y or not x), width - column) for i, j in zip(order, order[1:])]
+            assert common.tolist() == [0, *shared]
+        groups, want, place = columns.window_groups(strings, begin, 3), {}, 0
+        for s, b in zip(strings, begin):
+            for k in range(len(s) - 2):
+                want.setdefault((int(b) + k, s[k : k + 3]), set()).add(int(groups[place]))
+                place += 1
+        assert place == len(groups) and all(len(g) == 1 for g in want.values()) and len({next(iter(g)) for g in want.values()}) == len(want)
 
 
 def test_packed_columns():
