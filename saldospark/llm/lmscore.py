@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from .batches import batches, bucket_bits, by_bucket, mix, pack_sorted, planes, prefix_hash, span_hash, text_bytes, unpack_sorted, unplanes, whole_batches
 
 ORDER, BACKOFF = 2, 0.4
+BATCH_BYTES = 6 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _BEGIN = np.uint64(0x5851F42D4C957F2D)
@@ -94,7 +95,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col:
     id_type, bits = docs.schema[id_col].dataType.simpleString(), bucket_bits(docs, text_col)
 
     def send(source):
-        for key, _, texts in batches(source):
+        for key, _, texts in batches(source, BATCH_BYTES):
             keys, n = distinct(ngrams(texts, order)[2])
             rows = [(b, key, pack_sorted(keys[i:j]), planes(n[i:j].astype(np.uint32))) for b, i, j in by_bucket(keys, bits)]
             cols = list(zip(*rows)) or [[]] * 4
@@ -124,5 +125,5 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col:
 
     sent = text_bytes(docs, id_col, text_col).mapInArrow(send, "bucket int, batch string, keys binary, counts binary")
     answers = sent.groupBy("bucket").applyInArrow(add, "batch string, bucket int, totals binary")
-    whole = whole_batches(docs, id_col, text_col)
+    whole = whole_batches(docs, id_col, text_col, BATCH_BYTES)
     return whole.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, f"doc_id {id_type}, n_words long, log_score double")
