@@ -145,6 +145,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # --- one document of each group, at a similarity of five-word shingles -------------------------------------------
 
 SIMILARITY, WIDTH = 0.8, 5
+FREQUENT, SLICE_BYTES = 1 << 18, 8 << 20
 BROADCAST_IDS = 1_000_000  # ids up to which a set of documents is broadcast (8 MB); larger sets are shuffled
 
 
@@ -189,31 +190,100 @@ def piece_hashes(text: str | None, reach: int = 8) -> np.ndarray:
     return np.unique(span_hash(prefix, start[begins], stop[ends])).view(np.int64)
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, piece): the distinct pieces of each document, and its number of distinct shingles."""
+def shingle_array(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles of ``shingle_set`` as sorted hashes of another kind, worked out column-wise."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(1, np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    stop = np.cumsum(size + 1) - 1
+    start = stop - size
+    width = min(width, len(words))
+    return np.unique(span_hash(prefix_hash(np.frombuffer(b" ".join(words), np.uint8)), start[: len(words) - width + 1], stop[width - 1 :]))
+
+
+def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in many documents, sorted, and their counts; at most ``FREQUENT``. Counted are repeats within
+    slices of the text. The counts only order the shingles, so a shingle missed costs time and no pair."""
+
+    def run(batches):
+        for b in text_slices(batches, "text", SLICE_BYTES):
+            found, n = np.unique(np.concatenate([shingle_array(t) for t in b.column(0).to_pylist()]), return_counts=True)
+            many = n >= 3
+            yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(n[many])], names=["token", "n"])
+
+    counts = materialize(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    power = F.floor(F.log2("n")).cast("int")
+    total, least = 0, 64
+    for k, n in sorted(map(tuple, counts.groupBy(power.alias("k")).count().collect()), reverse=True):
+        total += n
+        if total > FREQUENT:
+            break
+        least = k
+    rows = counts.where(power >= least).toPandas().sort_values("token") if total else None
+    if rows is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    token, n = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def prefix_of(tokens: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of n sorted shingles, by count and hash. Two sets with a similarity of 0.8 have at least
+    ceil(0.8 n) shingles of each in common, so their prefixes meet, whatever the counts are."""
+    n = len(tokens)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        tokens = tokens[np.argsort(np.where(known[at] == tokens, counts[at], 0), kind="stable")]
+    return tokens[: n - (4 * n + 4) // 5 + 1]
+
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n, at, token): the prefix of each document with the place of each shingle, and its number of distinct shingles."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    shipped = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col))
 
     def run(batches):
         for b in text_slices(batches, "text"):
-            found = [piece_hashes(t) for t in b.column(1).to_pylist()]
-            n = [len(shingle_set(t)) for t in b.column(1).to_pylist()]
-            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(np.array(n, np.int64)[row]), pa.array(np.concatenate(found) if found else [], pa.int64())], names=["doc_id", "n", "piece"])
+            sets = [shingle_array(t) for t in b.column(1).to_pylist()]
+            found = [prefix_of(s, *shipped.value) for s in sets]
+            size = [len(f) for f in found]
+            row = np.repeat(np.arange(len(found)), size)
+            n = np.array([len(s) for s in sets], np.int32)[row]
+            at = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(n), pa.array(at), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "n", "at", "token"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n int, at int, token long")
+
+
+def fit(n, at, m, to):
+    """Whether sets of n and m shingles that meet at these places of their prefixes for the first time can be similar."""
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (F.least(n - at, m - to)) >= 4 * (n + m))
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n long, piece long")
 
+def similar_edges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs of similar documents, with the same components as all pairs of similarity ``SIMILARITY`` or more.
 
-def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b), a < b, of documents that may be similar: a document and the smallest of its fingerprint component,
-    and a document and the smallest and largest that hold one of its pieces. Linear in the number of pieces: no piece
-    gives all pairs of its documents. Pairs whose numbers of shingles rule the similarity out are left out."""
+    Any such pair shares a shingle of both prefixes. First a document is compared with the smallest and the largest that
+    hold one of its prefix shingles, and with the smallest of its fingerprint component: linear, and it joins most groups. Then all pairs
+    that share a prefix shingle and aren't yet in one component are compared, none left out.
+    """
     close = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    all_ = materialize(pieces(docs, id_col, text_col))
-    ends = all_.groupBy("piece").agg(F.min(F.struct("doc_id", "n")).alias("lo"), F.max(F.struct("doc_id", "n")).alias("hi")).where("lo.doc_id <> hi.doc_id")
-    ends = materialize(ends)
-    met = all_.join(ends, "piece").select("doc_id", "n", F.explode(F.array("lo", "hi")).alias("r")).where("doc_id <> r.doc_id")
-    fit = met.where(F.least("n", "r.n") >= SIMILARITY * F.greatest("n", "r.n"))
-    return close.unionByName(fit.select(F.least("doc_id", "r.doc_id").alias("a"), F.greatest("doc_id", "r.doc_id").alias("b"))).distinct()
+    all_ = prefixes(docs, id_col, text_col)  # worked out twice: a checkpoint of it would be larger than the text
+    ends = materialize(all_.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi"))
+    shared = materialize(all_.join(ends, "token").select("doc_id", "n", "at", "token", "lo", "hi"))
+    met = shared.select("doc_id", F.explode(F.array("lo", "hi")).alias("r")).where("doc_id <> r")
+    star = met.select(F.least("doc_id", "r").alias("a"), F.greatest("doc_id", "r").alias("b"))
+    first = materialize(star.unionByName(close).distinct())
+    edges = materialize(similar_pairs(docs, first, id_col, text_col))
+    labels = connected_components(edges)
+    named = materialize(shared.join(labels, shared.doc_id == labels.node, "left").select("doc_id", "n", "at", "token", F.coalesce("label", "doc_id").alias("label")))
+    open_ = materialize(named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token"))
+    left = materialize(named.join(open_, "token"))
+    right = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "at", "label")])
+    meet = left.join(right, "token").where((F.col("doc_id") < F.col("doc_id2")) & (F.col("label") != F.col("label2")) & fit(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
+    rest = meet.select(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    return edges.unionByName(similar_pairs(docs, materialize(rest), id_col, text_col))
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -240,7 +310,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` that represent their group: the smallest id of each group of near-duplicates.
 
     Texts are near-duplicates if their sets of five-word shingles have a similarity of 0.8 or more (equal texts
-    always are; null counts as empty). Fingerprints and pieces propose pairs, the similarity decides. Of rows that
+    always are; null counts as empty). Prefixes of the sets propose pairs without loss, the similarity decides. Of rows that
     repeat an id one stays (smallest hash of the text). A row without an id goes if a document with an id has the
     same text; of several such rows with one text one stays. Columns are those of ``docs``.
     """
@@ -256,8 +326,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         one = again.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where("__n = 1").drop("__n")
         named = without(named, twice, id_col).unionByName(one)
     single = without(named, copies, id_col)
-    edges = similar_pairs(single, materialize(candidates(single, id_col, text_col)), id_col, text_col)
-    labels = connected_components(edges)
+    labels = connected_components(similar_edges(single, id_col, text_col))
     drop = materialize(copies.unionByName(labels.where("node <> label").select(F.col("node").alias("doc_id"))).distinct())
     kept = without(named, drop, id_col)
     bare = docs.where(F.col(id_col).isNull())

@@ -92,6 +92,39 @@ def test_keep_one_finds_near_copies(spark):
     assert left == set(groups) and len(left) < len(texts) - 50
 
 
+def edited(r, text, edits):
+    w = text.split()
+    for i in r.sample(range(len(w)), edits):
+        w[i] = f"edit{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_keep_one_finds_an_original_in_the_middle(spark):
+    """Copies that are similar to the original only, which has neither the smallest nor the largest id."""
+    r = random.Random(3)
+    original = " ".join(f"w{r.randrange(10**6)}" for _ in range(300))
+    texts = [original if i == 20 else edited(r, original, 6) for i in range(40)] + ["another text that stands alone here"]
+    assert set(similar_groups(texts)) == {0, 40}
+    assert {row["doc_id"] for row in simhash.keep_one(simple(spark, texts)).collect()} == {0, 40}
+
+
+@pytest.mark.parametrize("frequent", [0, 1 << 18])
+def test_keep_one_equals_brute_force(spark, monkeypatch, frequent):
+    """Copies of copies around the limit of the similarity, short and long, with a passage that is common to many."""
+    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    r = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = []
+    for size in (1, 4, 5, 6, 9, 14, 40, 120):
+        for _ in range(3):
+            chain = [" ".join(f"w{r.randrange(10**6)}" for _ in range(size)) + (" " + passage if size > 9 else "")]
+            for _ in range(8):
+                chain.append(edited(r, r.choice(chain), r.randrange(1, 2 + size // 40)))
+            texts += chain
+    r.shuffle(texts)
+    assert {row["doc_id"] for row in simhash.keep_one(simple(spark, texts)).collect()} == set(similar_groups(texts))
+
+
 def test_keep_one(spark):
     kept = simhash.keep_one(documents(spark))
     assert kept.columns == documents(spark).columns
