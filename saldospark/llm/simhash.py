@@ -261,20 +261,29 @@ def fit(n, at, m, to):
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (F.least(n - at, m - to)) >= 4 * (n + m))
 
 
+def fingerprint_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b), a < b: documents whose fingerprints are linked, by the smallest of each, and documents of one fingerprint."""
+    prints = materialize(fingerprints(docs, id_col, text_col))
+    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    p, q = (points.select(F.col("fp").alias(x), F.col("first_id").alias(f"id_{x}")) for x in "ab")
+    linked = links(points).join(p, "a").join(q, "b").select(F.col("id_a").alias("x"), F.col("id_b").alias("y"))
+    same = prints.join(points, "fp").where("doc_id <> first_id").select(F.col("first_id").alias("x"), F.col("doc_id").alias("y"))
+    return linked.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar_edges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs of similar documents, with the same components as all pairs of similarity ``SIMILARITY`` or more.
 
     Any such pair shares a shingle of both prefixes. First a document is compared with the smallest and the largest that
-    hold one of its prefix shingles, and with the smallest of its fingerprint component: linear, and it joins most groups. Then all pairs
+    hold one of its prefix shingles, and over fingerprint links: linear, and it joins most groups. Then all pairs
     that share a prefix shingle and aren't yet in one component are compared, none left out.
     """
-    close = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     all_ = prefixes(docs, id_col, text_col)  # worked out twice: a checkpoint of it would be larger than the text
     ends = materialize(all_.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi"))
     shared = materialize(all_.join(ends, "token").select("doc_id", "n", "at", "token", "lo", "hi"))
     met = shared.select("doc_id", F.explode(F.array("lo", "hi")).alias("r")).where("doc_id <> r")
     star = met.select(F.least("doc_id", "r").alias("a"), F.greatest("doc_id", "r").alias("b"))
-    first = materialize(star.unionByName(close).distinct())
+    first = materialize(star.unionByName(fingerprint_pairs(docs, id_col, text_col)).distinct())
     edges = materialize(similar_pairs(docs, first, id_col, text_col))
     labels = connected_components(edges)
     named = materialize(shared.join(labels, shared.doc_id == labels.node, "left").select("doc_id", "n", "at", "token", F.coalesce("label", "doc_id").alias("label")))

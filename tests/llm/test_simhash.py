@@ -125,6 +125,13 @@ def test_keep_one_equals_brute_force(spark, monkeypatch, frequent):
     assert {row["doc_id"] for row in simhash.keep_one(simple(spark, texts)).collect()} == set(similar_groups(texts))
 
 
+def test_fingerprint_links_stay(spark, monkeypatch):
+    """Of a chain of links the middle one is proposed too, and a document with an equal fingerprint by its first."""
+    prints = spark.createDataFrame([(10, 0), (11, 3), (12, 15), (13, 15), (14, 255 << 40)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: prints)
+    assert {tuple(r) for r in simhash.fingerprint_pairs(simple(spark, ["x"]), "doc_id", "text").collect()} == {(10, 11), (11, 12), (12, 13)}
+
+
 def test_keep_one(spark):
     kept = simhash.keep_one(documents(spark))
     assert kept.columns == documents(spark).columns
