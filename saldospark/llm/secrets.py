@@ -117,7 +117,7 @@ def guessed_spans(text: str, base: list[tuple[int, str, int]], ranks: dict[str,
         a, b = m.start(1), m.end(1)
         value = m.group(1).rstrip(".,;:!?)]}>")
         b = a + len(value)
-        if len(value) >= 6 and not any(s < b and a < e for s, _, e in base) and not value.isalpha() and guess_cost(value, ranks) >= min_cost:
+        if len(value) >= 6 and not any(s < b and a < e for s, _, e in base) and guess_cost(value, ranks) >= min_cost:
             out.append((a, "guess", b))
     return out
 

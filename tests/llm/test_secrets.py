@@ -70,6 +70,9 @@ def test_model_adds_spans_only():
     assert added("the password is wonderful1 and pass: holidays") == []
     assert added('token = "a1b2c3d4e5f6"') == []  # a base span already
     assert added("nothing to see: here") == []
+    for before in ("pwd: ", "the password is ", "passphrase = ", "password => "):  # letters alone can be a secret
+        assert added(f"{before}QxZvTmKrWpLdHs, he said") == ["QxZvTmKrWpLdHs"]
+        assert added(f"{before}wonderful, he said") == []
 
 
 def test_masking(spark):
