@@ -12,8 +12,12 @@ from __future__ import annotations
 import base64
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
+from itertools import accumulate
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +42,14 @@ _HEX_RUN = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
 _SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
-_DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
+_SEP = "[-/._]?"
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", "(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+#: Dates by shape; at one place a shape matches in one way at most. A year alone has fewer values than a day.
+_DATES = [(re.compile(f"(?=({p}))", re.ASCII), math.log10(n)) for p, n in [
+    (_YEAR, 120), (_YEAR + _SEP + _MONTH + _SEP + _DAY, 120 * 365),
+    *((day + _SEP + _MONTH + _SEP + year, 120 * 365) for day in (_DAY, "[1-9]") for year in (_YEAR, r"\d\d")),
+]]
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def word_ranks(vocabulary: bytes) -> dict[str, float]:
@@ -51,48 +62,112 @@ def word_ranks(vocabulary: bytes) -> dict[str, float]:
     return ranks
 
 
+def word_finder(ranks: dict[str, float]) -> ahocorasick.Automaton:
+    """Finds all ranked words in one pass."""
+    finder = ahocorasick.Automaton()
+    for word, rank in ranks.items():
+        finder.add_word(word, (len(word), rank))
+    if len(finder):
+        finder.make_automaton()
+    return finder
+
+
 def _class_cost(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.islower() else 26 if c.isupper() else 33)
 
 
-def guess_cost(value: str, ranks: dict[str, float], longest: int = 24) -> float:
-    """log10 of the guesses for the cheapest segmentation; linear in the length for a bounded longest segment.
+def _run_ends(true: np.ndarray) -> np.ndarray:
+    """For each place the first place from there on that is not true."""
+    stops = np.where(true, len(true), np.arange(len(true)))
+    return np.minimum.accumulate(stops[::-1])[::-1]
 
-    An empty value costs 0. Each further segment costs a factor of two for the choice of its place.
-    """
-    n, low = len(value), value.lower()
-    plain = low.translate(_SHIFTED)
-    best = [0.0] + [math.inf] * n
-    glue = math.log10(2)
 
-    def offer(i: int, j: int, cost: float) -> None:
-        if best[i] + cost + (glue if i else 0) < best[j]:
-            best[j] = best[i] + cost + (glue if i else 0)
+def _jumps(value: str, plain: str, price: list[float]) -> list[tuple[int, int, float]]:
+    """(start, end, cost) of repeats, walks and dates, by start.
 
+    A repeat is a unit of one to four characters (not itself a repeat) as often as it stands there; a walk goes on over
+    neighbouring keys as far as it can. So both have one end for each start, and their number is linear.
+    """
+    found, ends_of = [], {}
+    cps = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, paid = len(cps), np.concatenate(([0.0], np.cumsum(price)))
+    for width in range(1, min(4, n // 2) + 1):
+        ends = _run_ends(cps[width:] == cps[:-width])
+        i = np.arange(n - width)
+        times = (ends - i) // width + 1
+        many = times > 1
+        for shorter in range(1, width):
+            if width % shorter == 0:
+                many &= ends_of[shorter][: n - width] - i < width - shorter
+        ends_of[width] = ends
+        i, times = i[many], times[many]
+        found.append((i, i + times * width, paid[i + width] - paid[i] + np.log10(times)))
+    if n >= 3:
+        row, col = np.full(128, -9), np.zeros(128, np.int64)
+        for c, (r, k) in _PLACE.items():
+            row[ord(c)], col[ord(c)] = r, k
+        keys = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
+        keys = np.where(keys < 128, keys, 0)
+        down, right = np.diff(row[keys]), np.diff(col[keys])
+        on = (row[keys[1:]] >= 0) & (row[keys[:-1]] >= 0) & (abs(down) <= 1) & (abs(right) <= 1) & ((down != 0) | (right != 0))
+        turn = np.concatenate(([0], np.cumsum((np.diff(down) != 0) | (np.diff(right) != 0))))
+        ends = _run_ends(on)
+        i = np.flatnonzero(ends - np.arange(n - 1) >= 2)
+        last = ends[i]
+        found.append((i, last + 1, np.log10(47 * (last + 1 - i)) + (1 + turn[last - 1] - turn[i]) * math.log10(8)))
+    for shape, cost in _DATES:
+        at = np.array([m.span(1) for m in shape.finditer(value)], np.int64).reshape(-1, 2)
+        found.append((at[:, 0], at[:, 1], np.full(len(at), cost)))
+    i, j, cost = map(np.concatenate, zip(*found))
+    order = np.argsort(i, kind="stable")
+    return list(zip(i[order].tolist(), j[order].tolist(), cost[order].tolist()))
+
+
+def guess_cost(value: str, words: ahocorasick.Automaton) -> float:
+    """log10 of the guesses for the cheapest segmentation into words, dates, repeats, walks and brute-force spans.
+
+    One pass over the value, linear in its length (and in the number of words found). An empty value costs 0. Each
+    further segment costs a factor of two for the choice of its place.
+    """
+    n = len(value)
+    if not n:
+        return 0.0
+    low = value.translate(_LOWER)
+    glue = math.log10(2)
+    costs = {c: _class_cost(c) for c in set(value)}
+    price = [costs[c] for c in value]
+    jumps = iter([*_jumps(value, low.translate(_SHIFTED), price), (n, 0, 0.0)])
+    found = words.iter(low) if len(words) else iter(())
+    capitals = None
+    if low != value:
+        cps = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+        capitals = np.concatenate(([0], np.cumsum((cps >= 65) & (cps <= 90)))).tolist()
+    jump, word = next(jumps), next(found, (n, None))
+    best = [math.inf] * (n + 1)
+    best[0] = before = 0.0
+    entry = [0.0]  # best, with the factor for the place of a next segment
+    brute = math.inf  # the cheapest way that ends in a brute-force span: only its first character pays for the place
     for i in range(n):
-        # brute force: a span grows by one character, so only its first one pays for the place
-        run = 0.0
-        for j in range(i + 1, min(n, i + longest) + 1):
-            run += _class_cost(value[j - 1])
-            offer(i, j, run)
-        for j in range(i + 3, min(n, i + longest) + 1):  # words, with a factor for capitals
-            if (r := ranks.get(low[i:j])) is not None:
-                offer(i, j, r + (0 if value[i:j].islower() else glue if value[i:j].istitle() or value[i:j].isupper() else (j - i) * glue))
-        if m := _DATE.match(value, i):
-            offer(i, m.end(), math.log10(120 if m.end() - i == 4 else 365 * 120))
-        for width in (1, 2, 3, 4):  # repeats of a short unit
-            unit, j = value[i : i + width], i + width
-            while len(unit) == width and value.startswith(unit, j):
-                j += width
-                offer(i, j, sum(map(_class_cost, unit)) + math.log10((j - i) // width))
-        walk, turns, j = None, 0, i + 1  # walks over neighbouring keys
-        while j < n and (p := _PLACE.get(plain[j - 1])) and (q := _PLACE.get(plain[j])):
-            step = (q[0] - p[0], q[1] - p[1])
-            if max(abs(step[0]), abs(step[1])) > 1 or step == (0, 0):
-                break
-            turns, walk, j = turns + (step != walk), step, j + 1
-            if j - i >= 3:
-                offer(i, j, math.log10(47 * (j - i)) + turns * math.log10(8))
+        while jump[0] == i:
+            if before + jump[2] < best[jump[1]]:
+                best[jump[1]] = before + jump[2]
+            jump = next(jumps)
+        brute = (brute if brute < before else before) + price[i]
+        least = best[i + 1]
+        if brute < least:
+            least = brute
+        while word[0] == i:
+            size, cost = word[1]
+            start = i + 1 - size
+            if capitals and (upper := capitals[i + 1] - capitals[start]):  # a factor for capitals
+                cost += glue if upper == size or upper == 1 and capitals[start + 1] > capitals[start] else size * glue
+            cost += entry[start]
+            if cost < least:
+                least = cost
+            word = next(found, (n, None))
+        best[i + 1] = least
+        before = least + glue
+        entry.append(before)
     return best[n]
 
 
@@ -108,16 +183,18 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def guessed_spans(text: str, base: list[tuple[int, str, int]], ranks: dict[str, float], min_cost: float = MIN_COST) -> list[tuple[int, str, int]]:
+def guessed_spans(text: str, base: list[tuple[int, str, int]], words: ahocorasick.Automaton, min_cost: float = MIN_COST) -> list[tuple[int, str, int]]:
     """Values after credential words that overlap no base span and cost at least ``min_cost`` (log10 of guesses)."""
     if not (":" in text or "=" in text or " is " in text):
         return []
-    out = []
+    out, far = [], list(accumulate((e for _, _, e in base), max))
+    starts = [s for s, _, _ in base]
     for m in CONTEXT.finditer(text):
-        a, b = m.start(1), m.end(1)
+        a = m.start(1)
         value = m.group(1).rstrip(".,;:!?)]}>")
         b = a + len(value)
-        if len(value) >= 6 and not any(s < b and a < e for s, _, e in base) and guess_cost(value, ranks) >= min_cost:
+        k = bisect_left(starts, b)  # base spans that begin before the value ends; the farthest of their ends
+        if len(value) >= 6 and not (k and far[k - 1] > a) and guess_cost(value, words) >= min_cost:
             out.append((a, "guess", b))
     return out
 
@@ -150,14 +227,14 @@ def scan(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        ranks = word_ranks(shipped.value)
+        words = word_finder(word_ranks(shipped.value))
         for b in text_slices(batches, "text"):
             rows = []
             for text in texts_of(b, "text"):
                 base = base_spans(text)
-                more = guessed_spans(text, base, ranks, min_cost)
+                more = guessed_spans(text, base, words, min_cost)
                 kinds = [k for _, k, _ in base]
-                cost = max((guess_cost(ASSIGN.match(text, a).group(2) if k == "assign" else text[a:e], ranks) for a, k, e in [*base, *more]), default=0.0)
+                cost = max((guess_cost(ASSIGN.match(text, a).group(2) if k == "assign" else text[a:e], words) for a, k, e in [*base, *more]), default=0.0)
                 rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), len(more), joined(base), joined([*base, *more]), cost, redact(text, [*base, *more]) if redacted and (base or more) else text if redacted else None))
             cols = list(zip(*rows))
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
@@ -181,13 +258,13 @@ def mask_secrets(docs: DataFrame, vocabulary: str) -> DataFrame:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        ranks = word_ranks(shipped.value)
+        words = word_finder(word_ranks(shipped.value))
         for b in text_slices(batches, "text"):
             out = []
             for text in b.column(b.schema.get_field_index("text")).to_pylist():
                 if text:
                     base = base_spans(text)
-                    spans = [*base, *guessed_spans(text, base, ranks)]
+                    spans = [*base, *guessed_spans(text, base, words)]
                     text = redact(text, spans) if spans else text
                 out.append(text)
             at = b.schema.get_field_index("text")
