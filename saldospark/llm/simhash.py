@@ -1,17 +1,22 @@
 """SimHash near-duplicates: fingerprints, segment-popcount grid join, components.
 
-A fingerprint has 64 bits over word shingles. Two fingerprints link at ``radius`` or fewer differing bits.
+A fingerprint has 64 bits over word shingles. Two fingerprints link at ``RADIUS`` (two) or fewer differing bits.
 
 Search: a fingerprint is embedded as 32 popcounts of two-bit segments. Manhattan distance between two
-embeddings is a lower bound of the Hamming distance. The embedding space is cut into a grid: segments form
-``radius + 3`` groups, and a point lies in one cell for each choice of three groups. Two points within
-Manhattan distance ``radius`` differ in at most ``radius`` groups, so they share a cell. Within a cell pairs
-are kept by the Manhattan bound, then verified by the exact number of differing bits.
-
-Cells with more than ``max_cell`` points would give all pairs of a large group of near copies. Their points
-go another exact way: each point also stands at the 64 places one bit away; points that meet at a place are
-within two bits, so linking all of them to the smallest one gives the same components in linear size. (That
-way holds for ``radius`` 2.)
+embeddings is a lower bound of the Hamming distance, so links are found by a range join in the embedding, on grids that
+get finer:
+
+1. A coarse grid: segments form five groups, and a point lies in one cell for each choice of three groups. Two points
+   within Manhattan distance 2 differ in at most two groups, so they share a cell; a point alone in its ten cells
+   has no link.
+2. A fine grid: a cell is one popcount vector. A point goes to its own cell and to those at distance 1. Two points within
+   Manhattan distance 2 meet in a cell; a point that meets no other has no link.
+3. Verification: a cell is split by the exact bits. A point stands at its own fingerprint and at the 64 that differ
+   in one bit (each in a cell of step 2). Points within two bits meet at one of them, and all that meet there are within
+   two bits of each other, 65 at most.
+
+Every step is linear in the points, however crowded a cell is, and nothing depends on how crowded it is. Points that
+meet are linked to the smallest of them, which gives the components of all links.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import prefix_hash, span_hash
@@ -30,7 +35,6 @@ from .common import connected_components, is_empty, materialize, text_slices
 
 SEED = 42
 RADIUS = 2
-MAX_CELL = 32
 LOW_BITS = 0x5555555555555555
 
 
@@ -86,13 +90,6 @@ def popcounts(fp):
     return one.bitwiseXOR(two).bitwiseOR(F.shiftleft(one.bitwiseAND(two), 1))
 
 
-def manhattan(p, q):
-    """Manhattan distance of two packed popcount vectors; fields hold 0, 1 or 2."""
-    x = p.bitwiseXOR(q)
-    low, high = x.bitwiseAND(F.lit(LOW_BITS)), F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(LOW_BITS))
-    return F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(low)))
-
-
 def cell_masks(radius: int = RADIUS, same: int = 3) -> list[int]:
     """A mask of packed fields for each choice of ``same`` of ``radius + same`` interleaved groups of segments."""
     groups = radius + same
@@ -100,27 +97,36 @@ def cell_masks(radius: int = RADIUS, same: int = 3) -> list[int]:
     return [_long(reduce(int.__or__, c)) for c in combinations(masks, same)]
 
 
-def links(points: DataFrame, max_cell: int = MAX_CELL) -> DataFrame:
+def coarse_cells(pc: Column) -> Column:
+    """The ten cells of a packed popcount vector in the coarse grid."""
+    return F.array(*[F.struct(F.lit(i).alias("choice"), pc.bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(cell_masks())])
+
+
+def fine_cells(pc: Column) -> Column:
+    """The packed popcount vectors within Manhattan distance 1: every segment's count one up (below 2) or one down (above 0)."""
+    near = [pc]
+    for s in range(32):
+        count = F.shiftrightunsigned(pc, 2 * s).bitwiseAND(F.lit(3).cast("long"))
+        one, two = (pc.bitwiseXOR(F.lit(_long(bits << 2 * s))) for bits in (1, 3))  # 0 and 1, 1 and 2 change places
+        near += [F.when(count == 0, one).when(count == 1, two), F.when(count == 2, two).when(count == 1, one)]
+    return F.array_compact(F.array(*near))
+
+
+def meeting(points: DataFrame, cells: Column) -> DataFrame:
+    """The points (fp) that share one of their cells with another point."""
+    dealt = points.select("fp", F.explode(cells).alias("cell"))
+    crowd = dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
+    return materialize(dealt.join(crowd, "cell").select("fp").distinct())
+
+
+def links(points: DataFrame) -> DataFrame:
     """Edges (a, b) over the distinct fingerprints in ``points(fp)``, with the components of "differ by two bits or fewer"."""
-    choices = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("pc").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(cell_masks())])
-    cells = points.select("fp", popcounts(F.col("fp")).alias("pc")).select("fp", "pc", F.explode(choices).alias("c")).select("fp", "pc", "c.choice", "c.cell")
-    crowd = materialize(cells.groupBy("choice", "cell").agg(F.count("*").alias("n")).where("n > 1"))
-    members = materialize(cells.join(crowd, ["choice", "cell"]))
-
-    small = members.where(F.col("n") <= max_cell)
-    p, q = small.alias("p"), small.select("choice", "cell", F.col("fp").alias("fp2"), F.col("pc").alias("pc2")).alias("q")
-    near = (
-        p.join(q, (F.col("p.choice") == F.col("q.choice")) & (F.col("p.cell") == F.col("q.cell")) & (F.col("fp") < F.col("fp2"))
-               & (manhattan(F.col("pc"), F.col("pc2")) <= RADIUS) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS))
-        .select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
-    )
-    crowded = members.where(F.col("n") > max_cell).select("fp").distinct()
+    pc = popcounts(F.col("fp"))
+    near = meeting(meeting(points, coarse_cells(pc)), fine_cells(pc))
     places = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_long(1 << i))) for i in range(64)])
     # a place has 65 points at most
-    at = materialize(crowded.select("fp", F.explode(places).alias("place")))
-    low = at.groupBy("place").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("place", "a")
-    star = at.join(low, "place").select("a", F.col("fp").alias("b")).where("a <> b")
-    return near.unionByName(star).distinct()
+    met = near.select("fp", F.explode(places).alias("place")).groupBy("place").agg(F.collect_list("fp").alias("met")).where(F.size("met") > 1)
+    return met.select(F.array_min("met").alias("a"), F.explode("met").alias("b")).where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
