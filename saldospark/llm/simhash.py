@@ -153,6 +153,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SIMILARITY, WIDTH = 0.8, 5
 FREQUENT, SLICE_BYTES = 1 << 18, 8 << 20
 BROADCAST_IDS = 1_000_000  # ids up to which a set of documents is broadcast (8 MB); larger sets are shuffled
+#: Partners of one document that are compared in one run of rows; members up to which a group's pairs are rows (at most
+#: half as many a member); members and shingles of a block of a larger group.
+PART, GROUP, BLOCK_DOCS, BLOCK_SHINGLES = 64, 64, 500, 100_000
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str, keep: bool = False) -> DataFrame:
@@ -174,28 +177,6 @@ def jaccard(a: set[int], b: set[int]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def piece_hashes(text: str | None, reach: int = 8) -> np.ndarray:
-    """Hashes of the distinct pieces of a text. A piece ends at a word whose hash is the least of the ``reach`` words on
-    both sides, so an edit changes the pieces around it and no others."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    data = b" ".join(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    stop = np.cumsum(size + 1) - 1
-    start = stop - size
-    prefix = prefix_hash(np.frombuffer(data, np.uint8))
-    h = span_hash(prefix, start, stop)
-    least, padded = h.copy(), np.concatenate((np.full(reach, np.iinfo(np.uint64).max, np.uint64), h, np.full(reach, np.iinfo(np.uint64).max, np.uint64)))
-    for k in range(2 * reach + 1):
-        np.minimum(least, padded[k : k + len(h)], out=least)
-    ends = np.flatnonzero(h == least)
-    if len(ends) == 0 or ends[-1] != len(h) - 1:
-        ends = np.append(ends, len(h) - 1)
-    begins = np.concatenate(([0], ends[:-1] + 1))
-    return np.unique(span_hash(prefix, start[begins], stop[ends])).view(np.int64)
-
-
 def shingle_array(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The distinct shingles of ``shingle_set`` as sorted hashes of another kind, worked out column-wise."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -235,17 +216,21 @@ def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_of(tokens: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 of n sorted shingles, by count and hash. Two sets with a similarity of 0.8 have at least
-    ceil(0.8 n) shingles of each in common, so their prefixes meet, whatever the counts are."""
+    """The first n - ceil(0.8 n) + 1 + floor(n / 20) of n sorted shingles, by count and hash.
+
+    Sets of n and m shingles with a similarity of 0.8 have c >= 0.8 max(n, m) in common. The k-th common one in any common
+    order stands at place k + n - c or before in the first set, k + m - c or before in the second. So such prefixes have
+    1 + min(n, m) // 20 >= 1 + n // 25 shingles in common at least, whatever the counts are.
+    """
     n = len(tokens)
     if len(known):
         at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
         tokens = tokens[np.argsort(np.where(known[at] == tokens, counts[at], 0), kind="stable")]
-    return tokens[: n - (4 * n + 4) // 5 + 1]
+    return tokens[: n - (4 * n + 4) // 5 + 1 + n // 20]
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, at, token): the prefix of each document with the place of each shingle, and its number of distinct shingles."""
+    """(doc_id, n, token): the prefix of each document, and its number of distinct shingles."""
     id_type = docs.schema[id_col].dataType.simpleString()
     shipped = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col))
 
@@ -253,18 +238,26 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in text_slices(batches, "text"):
             sets = [shingle_array(t) for t in b.column(1).to_pylist()]
             found = [prefix_of(s, *shipped.value) for s in sets]
-            size = [len(f) for f in found]
-            row = np.repeat(np.arange(len(found)), size)
+            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
             n = np.array([len(s) for s in sets], np.int32)[row]
-            at = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(n), pa.array(at), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "n", "at", "token"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(n), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "n", "token"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n int, token long")
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n int, at int, token long")
 
+def rare_shared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(token, doc_id, n): shingles by which similar documents meet.
 
-def fit(n, at, m, to):
-    """Whether sets of n and m shingles that meet at these places of their prefixes for the first time can be similar."""
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (F.least(n - at, m - to)) >= 4 * (n + m))
+    Of a document's prefix count those shingles that stand in another prefix too; a document with fewer than 1 + n // 25
+    of them has no similar one. Similar documents have so many of them in common, so they still share one if each drops
+    its n // 25 most frequent. Documents that share a passage and little else fall out here.
+    """
+    all_ = prefixes(docs, id_col, text_col)  # worked out twice: a checkpoint of it would be larger than the text
+    often = all_.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("doc_id")
+    ranked = all_.join(often, "token").select("*", F.count("*").over(own).alias("s"), F.row_number().over(own.orderBy("df", "token")).alias("k"))
+    least = F.floor(F.col("n") / 25)
+    return materialize(ranked.where((F.col("s") > least) & (F.col("k") <= F.col("s") - least)).select("token", "doc_id", "n"))
 
 
 def fingerprint_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -280,45 +273,125 @@ def fingerprint_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def similar_edges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs of similar documents, with the same components as all pairs of similarity ``SIMILARITY`` or more.
 
-    Any such pair shares a shingle of both prefixes. First a document is compared with the smallest and the largest that
-    hold one of its prefix shingles, and over fingerprint links: linear, and it joins most groups. Then all pairs
-    that share a prefix shingle and aren't yet in one component are compared, none left out.
+    Any such pair shares a shingle of ``rare_shared``. First a document is compared with the smallest and the largest that
+    hold one of its shingles, and over fingerprint links: linear, and it joins most groups. Then all documents that
+    share a shingle and aren't yet in one component are compared, none left out: pair by pair where few hold
+    the shingle, else in blocks, so that no rows of pairs are made of a large group.
     """
-    all_ = prefixes(docs, id_col, text_col)  # worked out twice: a checkpoint of it would be larger than the text
-    ends = materialize(all_.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi"))
-    shared = materialize(all_.join(ends, "token").select("doc_id", "n", "at", "token", "lo", "hi"))
-    met = shared.select("doc_id", F.explode(F.array("lo", "hi")).alias("r")).where("doc_id <> r")
+    rows = rare_shared(docs, id_col, text_col)
+    ends = rows.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
+    met = rows.join(ends, "token").select("doc_id", F.explode(F.array("lo", "hi")).alias("r")).where("doc_id <> r")
     star = met.select(F.least("doc_id", "r").alias("a"), F.greatest("doc_id", "r").alias("b"))
     first = materialize(star.unionByName(fingerprint_pairs(docs, id_col, text_col)).distinct())
     edges = materialize(similar_pairs(docs, first, id_col, text_col))
     labels = connected_components(edges)
-    named = materialize(shared.join(labels, shared.doc_id == labels.node, "left").select("doc_id", "n", "at", "token", F.coalesce("label", "doc_id").alias("label")))
-    open_ = materialize(named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token"))
-    left = materialize(named.join(open_, "token"))
-    right = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "at", "label")])
-    meet = left.join(right, "token").where((F.col("doc_id") < F.col("doc_id2")) & (F.col("label") != F.col("label2")) & fit(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
-    rest = meet.select(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return edges.unionByName(similar_pairs(docs, materialize(rest), id_col, text_col))
+    named = materialize(rows.join(labels, rows.doc_id == labels.node, "left").select("token", "doc_id", "n", F.coalesce("label", "doc_id").alias("label")))
+    groups = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    open_ = materialize(named.join(groups.where("x <> y").select("token", "docs", "shingles"), "token"))
+    left = open_.where(F.col("docs") <= GROUP)
+    right = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "label")])
+    fit = 5 * F.least("n", "n2") >= 4 * F.greatest("n", "n2")
+    meet = left.join(right, "token").where((F.col("doc_id") < F.col("doc_id2")) & (F.col("label") != F.col("label2")) & fit)
+    rest = materialize(meet.select(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    return edges.unionByName(similar_pairs(docs, rest, id_col, text_col)).unionByName(similar_in_blocks(docs, open_.where(F.col("docs") > GROUP), id_col, text_col))
+
+
+def similar(both, n, m):
+    """Whether sets of n and m members with ``both`` in common have a similarity of 0.8 or more."""
+    return 9 * both >= 4 * (n + m)
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of ``SIMILARITY`` or more, worked out exactly."""
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = without(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ids, "doc_id", keep=True)
-    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text"))
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``SIMILARITY`` or more, worked out exactly.
+
+    A pair's centre is the document that stands in more pairs. A centre's text is sent once for each ``PART`` of its
+    partners, in front of theirs, so texts aren't paired in rows, and a centre of many is split.
+    """
+    degree = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("k")))
+    known = pairs.join(degree.select(F.col("doc_id").alias("a"), F.col("k").alias("ka")), "a").join(degree.select(F.col("doc_id").alias("b"), F.col("k").alias("kb")), "b")
+    flip = F.col("kb") > F.col("ka")
+    dealt = materialize(known.select(
+        F.when(flip, F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(flip, F.col("a")).otherwise(F.col("b")).alias("partner"), F.ceil(F.greatest("ka", "kb") / PART).alias("parts")
+    ).select("centre", "partner", F.pmod(F.xxhash64("partner"), F.col("parts")).alias("part")))
+    texts = without(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), degree, "doc_id", keep=True)
+    leads = dealt.select("centre", "part").distinct().join(texts, F.col("centre") == F.col("doc_id")).select("centre", "part", F.lit(None).cast(docs.schema[id_col].dataType).alias("partner"), "text")
+    others = dealt.join(texts, F.col("partner") == F.col("doc_id")).select("centre", "part", "partner", "text")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def check(batches):
-        last, known = "", shingle_set("")
+        own = np.zeros(0, np.uint64)
         for b in text_slices(batches, "text"):
             keep = []
-            for ta, tb in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if (ta or "") != last:
-                    last, known = ta or "", shingle_set(ta)
-                keep.append(jaccard(known, shingle_set(tb)) >= SIMILARITY)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for partner, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                tokens = shingle_array(text)
+                if partner is None:
+                    own = tokens
+                keep.append(partner is not None and similar(len(np.intersect1d(own, tokens, assume_unique=True)), len(own), len(tokens)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = leads.unionByName(others).repartition("centre", "part").sortWithinPartitions("centre", "part", F.col("partner").asc_nulls_first())
+    found = rows.mapInArrow(check, f"a {id_type}, b {id_type}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def block_links(sets: list[np.ndarray], label: list, block: np.ndarray) -> list[tuple[int, int]]:
+    """Places (i, j) of similar sets of different labels, without those that close a circle. If there are two blocks, pairs within
+    one are left to the call for that block."""
+    n = np.array([len(s) for s in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = np.cumsum(count > 1) - 1  # shingles of one set only are in no intersection
+    row, shared = np.repeat(np.arange(len(sets)), n), count[place] > 1
+    row, column = row[shared], often[place[shared]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(often[-1]) + 1, 4096):
+        here = (column >= a) & (column < a + 4096)
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[here], column[here] - a] = 1
+        both += m @ m.T
+    fine = similar(both.astype(np.int64), n[:, None], n[None, :])
+    if len(set(block.tolist())) > 1:
+        fine &= block[:, None] != block[None, :]
+    root, out = {x: x for x in label}, []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j in np.argwhere(np.triu(fine, 1)).tolist():
+        x, y = find(label[i]), find(label[j])
+        if x != y:
+            root[y] = x
+            out.append((i, j))
+    return out
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "text").mapInArrow(check, f"a {id_type}, b {id_type}")
+
+def similar_in_blocks(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Similar documents (a, b) of different labels within each group of ``groups(token, doc_id, label, docs, shingles)``.
+
+    A group is dealt into blocks of a bounded number of documents and shingles, and every two blocks meet. Only links that
+    join labels come out, fewer than a meeting's documents.
+    """
+    schema = docs.schema[id_col].dataType.simpleString()
+    ids = materialize(groups.select("doc_id").distinct())
+    texts = without(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ids, "doc_id", keep=True)
+
+    def pack(batches):
+        for b in text_slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_array(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "tokens"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = block_links([np.frombuffer(t, np.uint64) for t in table["tokens"].to_pylist()], table["label"].to_pylist(), table["own"].to_numpy())
+        i, j = zip(*found) if found else ((), ())
+        return pa.table({"a": table["doc_id"].take(pa.array(i, pa.int64())), "b": table["doc_id"].take(pa.array(j, pa.int64()))})
+
+    blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = groups.select("token", "doc_id", "label", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sets = texts.mapInArrow(pack, f"doc_id {schema}, tokens binary")
+    met = other.join(sets, "doc_id").groupBy("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    links_ = met.applyInArrow(compare, f"a {schema}, b {schema}")
+    return links_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

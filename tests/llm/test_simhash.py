@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from docs import documents, rows, simple, words
@@ -42,9 +43,23 @@ def test_edge_cases_equal_brute_force(spark):
     assert got == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("max_cell", [32, 2, 1])
-def test_links_give_the_components(spark, max_cell):
-    """Chains and clouds of fingerprints at distances 1 to 4; with small cells the crowded way does the work."""
+def linked(spark, prints):
+    """The groups of fingerprints that ``links`` joins."""
+    signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
+    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))
+    label = {r["node"]: r["label"] for r in common.connected_components(edges).collect()}
+    return partition([label.get(s, s) for s in signed])
+
+
+def partition(labels):
+    groups = {}
+    for i, x in enumerate(labels):
+        groups.setdefault(x, []).append(i)
+    return {tuple(g) for g in groups.values()}
+
+
+def test_links_give_the_components(spark):
+    """Chains and clouds of fingerprints at distances 1 to 4."""
     r = random.Random(1)
     prints = {0, (1 << 64) - 1}
     for _ in range(6):
@@ -53,12 +68,30 @@ def test_links_give_the_components(spark, max_cell):
             p ^= sum(1 << b for b in r.sample(range(64), r.choice([1, 2, 2, 3, 4])))
             prints.add(p)
     prints = sorted(prints)
-    signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
-    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), max_cell=max_cell)
-    label = {r["node"]: r["label"] for r in common.connected_components(edges).collect()}
-    want = components(list(range(len(prints))), prints)
-    got = [label.get(s, s) for s in signed]
-    assert {tuple(sorted(i for i, x in enumerate(got) if x == g)) for g in set(got)} == {tuple(sorted(i for i, x in enumerate(want) if x == w)) for w in set(want)}
+    assert linked(spark, prints) == partition(components(list(range(len(prints))), prints))
+
+
+def test_crowded_cells(spark):
+    """3,000 fingerprints around one centre, up to five bits away: most share every cell with thousands."""
+    r = random.Random(2)
+    centre, prints = r.getrandbits(64), set()
+    while len(prints) < 3000:
+        prints.add(centre ^ sum(1 << b for b in r.sample(range(64), r.choice([2, 3, 4, 5]))))
+    prints = sorted(prints)
+    assert linked(spark, prints) == partition(components(list(range(len(prints))), prints))
+
+
+def test_popcounts_and_fine_cells(spark):
+    r = random.Random(3)
+    prints = [0, -1, 1 << 62, -(1 << 63), *(r.getrandbits(64) - (1 << 63) for _ in range(20))]
+    table = spark.createDataFrame([(p,) for p in prints], "fp long")
+    unpack = lambda x: [x >> 2 * s & 3 for s in range(32)]
+    pc = simhash.popcounts(table.fp)
+    for row in table.select("fp", pc.alias("pc"), simhash.fine_cells(pc).alias("cells")).collect():
+        counts = [bin(row["fp"] >> 2 * s & 3).count("1") for s in range(32)]
+        assert unpack(row["pc"]) == counts
+        near = {tuple(counts)} | {tuple(counts[:s] + [counts[s] + d] + counts[s + 1 :]) for s in range(32) for d in (-1, 1) if 0 <= counts[s] + d <= 2}
+        assert sorted(map(tuple, map(unpack, row["cells"]))) == sorted(near)
 
 
 def similar_groups(texts):
@@ -141,14 +174,57 @@ def test_keep_one(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
-def test_pieces_survive_edits():
-    r = random.Random(9)
-    w = words(r, 400).split()
-    before = set(simhash.piece_hashes(" ".join(w)).tolist())
-    w[200] = "edited"
-    after = set(simhash.piece_hashes(" ".join(w)).tolist())
-    assert len(before) > 12 and len(before & after) >= len(before) - 5
-    assert len(simhash.piece_hashes("")) == 0 and len(simhash.piece_hashes("a")) == 1
+def test_prefixes_meet(spark):
+    """Sets at the limit of the similarity have as many prefix shingles in common as the docstring says, in any common order."""
+    r = np.random.default_rng(5)
+    for n in (*range(1, 60), 100, 333, 1000):
+        for m in {n, -(-4 * n // 5), 5 * n // 4, max(1, n - 1)}:
+            common_n = -(-4 * (n + m) // 9)
+            if common_n > min(n, m):
+                continue
+            for lean in (0, 1, 2):  # what differs stands first, anywhere, or last
+                both, one, two = np.split(np.sort(r.permutation(10**6)[: n + m - common_n]) if lean == 1 else np.arange(n + m - common_n), [common_n, n])
+                if lean == 0:
+                    both, one, two = both + 10**6, one, two
+                a, b = (simhash.prefix_of(np.sort(np.concatenate((both, x))).astype(np.uint64), np.zeros(0, np.uint64), np.zeros(0)) for x in (one, two))
+                assert len(np.intersect1d(a, b)) >= 1 + min(n, m) // 20 >= 1 + n // 25
+
+
+@pytest.mark.parametrize("group", [1, 64])
+def test_common_shingle_in_many_documents(spark, monkeypatch, group):
+    """A cluster in which most are too far from each other, compared as rows and in small blocks."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(simhash, "PART", 3)
+    r = random.Random(8)
+    original = " ".join(f"w{r.randrange(10**6)}" for _ in range(120))
+    chain = [original]
+    for _ in range(60):
+        chain.append(edited(r, r.choice(chain), r.randrange(1, 5)))
+    r.shuffle(chain)
+    want = set(similar_groups(chain))
+    assert 1 < len(want) < 50
+    assert {row["doc_id"] for row in simhash.keep_one(simple(spark, chain)).collect()} == want
+
+
+def test_block_links_equal_all_pairs():
+    r = np.random.default_rng(6)
+    base = np.arange(400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[r.random(400) > 0.08], r.integers(10**6, 10**9, r.integers(0, 30)).astype(np.uint64)))) for _ in range(60)]
+    label = [int(x) for x in r.integers(0, 40, 60)]
+    for block in (np.zeros(60, int), np.arange(60) % 2):
+        pairs = [(i, j) for i, j in itertools.combinations(range(60), 2) if (block[i] != block[j] or not block.any()) and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))]
+        found = simhash.block_links(sets, label, block)
+        assert set(found) <= set(pairs) and len(found) < 60
+
+        def joined(links):
+            at = {x: x for x in label}
+            for i, j in links:
+                a, b = at[label[i]], at[label[j]]
+                at = {k: a if v == b else v for k, v in at.items()}
+            return partition([at[x] for x in label])
+
+        assert joined(found) == joined(pairs)
 
 
 def test_empty_and_single(spark):
