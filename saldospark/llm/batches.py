@@ -1,15 +1,12 @@
-"""Batches of documents and packed columns of hashes, for joins that would be too wide as one row per item.
+"""Batches of documents: runs of rows of one scan partition, for operators that combine before they shuffle.
 
-A batch is a run of documents of one scan partition. Its key holds the partition's number, its place there and
-a hash of its ids and texts. An operator emits per batch and hash bucket one row with sorted, distinct hashes
-(map-side combine); a bucket is reduced on its own, and its answers go back to the batches, in the order of the
-hashes, so that no hash is sent twice. The input is planned twice, so it must be a stable relation (files or a
+A batch's key is a hash of its place (partition, and number there), its ids and its texts. What an operator finds for a
+batch goes back to it by this key. The input is planned twice, so it must be a stable relation (files or a
 checkpoint); where the two plans see different batches, the join fails loudly instead of giving wrong rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import text_slices
 
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+BATCH_BYTES = 8 << 20
 BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
@@ -61,49 +58,20 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
-def planes(a: np.ndarray) -> bytes:
-    """An integer array byte plane by byte plane: the planes of high bytes are nearly constant, so a shuffle's compression removes them."""
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
+def batches(source: Iterator[pa.RecordBatch], max_bytes: int = BATCH_BYTES) -> Iterator[tuple[int, int, pa.Array, list[bytes]]]:
+    """(key, place, ids, texts as UTF-8) of the batches of a partition; column 0 is the id, column "text" binary.
 
-
-def unplanes(data: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
-
-
-def pack_sorted(a: np.ndarray) -> bytes:
-    return planes(np.diff(a, prepend=a.dtype.type(0)))
-
-
-def unpack_sorted(data: bytes, dtype=np.uint64) -> np.ndarray:
-    return np.cumsum(unplanes(data, dtype), dtype=dtype)
-
-
-def bucket_bits(docs: DataFrame, text_col: str = "text") -> int:
-    """log2 of the number of buckets: one for each ``BUCKET_BYTES`` of text."""
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return min(24, max(0, math.ceil(math.log2(max(1, total / BUCKET_BYTES)))))
-
-
-def by_bucket(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted hashes; the bucket is the highest ``bits`` bits."""
-    if not len(keys):
-        return []
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]))
-    return [(int(bucket[a]), int(a), int(b)) for a, b in zip(cut[:-1], cut[1:])]
-
-
-def batches(source: Iterator[pa.RecordBatch], max_bytes: int = BATCH_BYTES) -> Iterator[tuple[str, pa.Array, list[bytes]]]:
-    """(key, ids, texts as UTF-8) of the batches of a partition; column 0 is the id, column "text" binary."""
+    Places are numbers in the order of the partitions and of the batches in them; keys are hashes of place, ids and texts.
+    """
     part = TaskContext.get().partitionId()
     for k, b in enumerate(text_slices(source, "text", max_bytes)):
+        place = part << 32 | k
         texts = [t or b"" for t in b.column(1).to_pylist()]
-        seal = xxhash.xxh3_128(str(b.column(0).to_pylist()).encode())
+        seal = xxhash.xxh3_64(f"{place} {b.column(0).to_pylist()}".encode())
         for t in texts:
             seal.update(len(t).to_bytes(8, "little"))
             seal.update(t)
-        yield f"{part}-{k}-{seal.hexdigest()}", b.column(0), texts
+        yield int.from_bytes(seal.digest(), "big", signed=True), place, b.column(0), texts
 
 
 def text_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -111,11 +79,11 @@ def text_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def whole_batches(docs: DataFrame, id_col: str, text_col: str, max_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(batch, ids, texts): a row for each batch."""
+    """(batch, place, ids, texts): a row for each batch."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(source):
-        for key, ids, texts in batches(source, max_bytes):
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([texts], pa.list_(pa.binary()))], names=["batch", "ids", "texts"])
+        for key, place, ids, texts in batches(source, max_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([place]), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([texts], pa.list_(pa.binary()))], names=["batch", "place", "ids", "texts"])
 
-    return text_bytes(docs, id_col, text_col).mapInArrow(run, f"batch string, ids array<{id_type}>, texts array<binary>")
+    return text_bytes(docs, id_col, text_col).mapInArrow(run, f"batch long, place long, ids array<{id_type}>, texts array<binary>")

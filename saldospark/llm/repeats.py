@@ -12,53 +12,72 @@ where covers differ ("mixed", at the edges of repeats) must windows be compared
 their anchors, go through a column-wise construction (see ``columns``) that inserts one symbol per cover in each round and
 updates transform and common prefixes; neighbours with a common prefix of ``WINDOW`` bytes hold equal windows.
 
-All comparing is done by hash bucket on packed columns (see ``batches``): a batch sends each distinct anchor once,
-so frequent passages are combined before the shuffle. For mixed anchors it sends each distinct cover once, as bytes;
-if an anchor has more than ``HOT`` occurrences, its windows are sent as hashes instead, in buckets of their own, so
-that no bucket grows with one passage.
+A batch of documents sends a row for each distinct anchor, so frequent passages are combined before the shuffle and rows grow
+with the text. Anchors are counted and their states found by a native aggregation and a join in the same partitioning;
+an anchor that stands in no other batch and once in its own needs no answer. For mixed anchors a batch sends each distinct
+cover once, as bytes. An anchor of more than ``HOT`` occurrences is "crowded": its covers would all meet in one
+construction, so its windows are rows of their own and a native aggregation over their bytes finds the first of each kind.
+That is as exact (bytes are compared, not hashes), and no task gets one passage whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .batches import batches, bucket_bits, by_bucket, mix, pack_sorted, planes, prefix_hash, span_hash, text_bytes, unpack_sorted, unplanes, whole_batches
+from .batches import batches, mix, prefix_hash, span_hash, text_bytes, whole_batches
 from .columns import window_groups
 from .common import materialize
 
 WINDOW, GRAM = 100, 32
 HOT = 5_000
-BATCH_BYTES = 2 << 20
-UNIQUE, LATER, FIRST, MIXED, CROWDED = range(5)
+BATCH_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
+STEP = 1 << 18  # places of a text that are looked at together
+LATER, FIRST, MIXED, CROWDED = range(1, 5)  # states of an anchor; 0: it occurs once
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, ...] | None:
-    """(first window, last window, hash of the anchor, hash of the cover, place of the anchor in the cover) of every anchor occurrence; None below ``WINDOW`` bytes."""
-    n = len(text)
-    if n < WINDOW:
+    """(first window, last window, hash of the anchor, hash of the cover, place of the anchor in the cover) of every anchor occurrence; None below ``WINDOW`` bytes.
+
+    Works through the text in steps, with some 10 bytes of memory a byte besides.
+    """
+    windows = len(text) - WINDOW + 1
+    if windows <= 0:
         return None
-    prefix = prefix_hash(np.frombuffer(text, np.uint8))
-    place = np.arange(n - GRAM + 1)
-    h = span_hash(prefix, place, place + GRAM)
-    shift = np.uint64(max(20, (n - 1).bit_length()))
-    least = (h >> shift << shift) | place.astype(np.uint64)  # least hash, then leftmost
-    span, width = WINDOW - GRAM + 1, 1
-    while width * 2 <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if span > width:
-        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    anchor = (least & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+    data, anchor = np.frombuffer(text, np.uint8), np.empty(windows, np.int64)
+    for a in range(0, windows, STEP):
+        b = min(windows, a + STEP)
+        prefix = prefix_hash(data[a : b + WINDOW - 1])
+        place = np.arange(b - a + WINDOW - GRAM)
+        h = span_hash(prefix, place, place + GRAM)
+        least = (h >> np.uint64(20) << np.uint64(20)) | place.astype(np.uint64)  # least hash, then leftmost
+        span, width = WINDOW - GRAM + 1, 1
+        while width * 2 <= span:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if span > width:
+            least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+        anchor[a:b] = (least & np.uint64((1 << 20) - 1)).astype(np.int64) + a
     first = np.flatnonzero(np.diff(anchor, prepend=-1))
-    last = np.append(first[1:], len(anchor)) - 1
+    last = np.append(first[1:], windows) - 1
     at = anchor[first]
-    cover = mix(span_hash(prefix, first, last + WINDOW) + (at - first).astype(np.uint64)) & _LOW48
-    return first, last, mix(h[at] + np.uint64(0x9E3779B97F4A7C15)), cover, at - first  # least hashes crowd the low buckets: mixed anew
+    h, cover = np.empty(len(first), np.uint64), np.empty(len(first), np.uint64)
+    step = first // STEP
+    for k in range(int(step[-1]) + 1):
+        i = slice(*np.searchsorted(step, [k, k + 1]))
+        if i.start < i.stop:
+            base = first[i.start]
+            prefix = prefix_hash(data[base : last[i.stop - 1] + WINDOW])
+            h[i] = span_hash(prefix, at[i] - base, at[i] - base + GRAM)
+            cover[i] = span_hash(prefix, first[i] - base, last[i] - base + WINDOW)
+    cover = mix(cover + (at - first).astype(np.uint64)) & _LOW48
+    return first, last, mix(h + np.uint64(0x9E3779B97F4A7C15)), cover, at - first  # least hashes crowd the low partitions: mixed anew
 
 
 class Batch:
@@ -81,22 +100,15 @@ class Batch:
         return np.searchsorted(self.begin, place, side="right") - 1
 
     def covers(self, state: np.ndarray, wanted: int) -> np.ndarray:
-        """The first occurrence of each distinct cover of the anchors in a state."""
+        """The first occurrence of each distinct cover of the anchors in a state, by hash of the anchor."""
         at = np.flatnonzero(state[self.back] == wanted)
         _, first = np.unique(np.stack((self.back[at].astype(np.uint64), self.cover[at])), axis=1, return_index=True) if len(at) else (None, at)
-        return np.sort(at[first])
+        at = np.sort(at[first])
+        return at[np.argsort(self.hash[at], kind="stable")]
 
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, place) of all windows of some anchor occurrences, in order."""
-        if not len(at):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        place = ramp(self.first[at], self.last[at] - self.first[at] + 1)
-        out, doc = np.zeros(len(place), np.uint64), self.doc(place)
-        for k in np.unique(doc):
-            i = slice(*np.searchsorted(doc, [k, k + 1]))
-            p = place[i] - self.begin[k]
-            out[i] = span_hash(prefix_hash(np.frombuffer(self.texts[k], np.uint8)), p, p + WINDOW)
-        return out, place
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        """The places of all windows of some anchor occurrences."""
+        return ramp(self.first[at], self.last[at] - self.first[at] + 1)
 
 
 def ramp(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -105,123 +117,98 @@ def ramp(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(total)
 
 
-def _record(rows: list[dict], names: tuple[str, ...]) -> pa.RecordBatch:
-    types = {"bucket": pa.int32(), "kind": pa.int32(), "batch": pa.string()}
-    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], types.get(c, pa.binary())) for c in names], names=list(names))
+ANCHOR_ROWS = "hash long, batch long, place long, doc long, n long, low long, high long"
+EDGE_ROWS = "hash long, batch long, place long, doc long, first long, size int, shift int, data binary"
 
 
-ANCHOR_COLUMNS = ("bucket", "batch", "keys", "n", "low", "high", "doc", "place")
+def _table(schema: str, **columns) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.table({name: pa.array(columns[name], kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))})
 
 
-def anchor_rows(key: str, b: Batch, bits: int, hot: int) -> list[dict]:
-    """A row for each bucket: the batch's distinct anchors, number, least and (xor) greatest cover, and their first place."""
+def anchor_rows(key: int, place: int, b: Batch) -> pa.Table:
+    """A row for each distinct anchor: its number, least and greatest cover, and the id of the document where it first stands."""
     by = np.argsort(b.back, kind="stable")
     edges = np.searchsorted(b.back[by], np.arange(len(b.keys)))
-    low = np.minimum.reduceat(b.cover[by], edges) if len(by) else b.cover
-    high = np.maximum.reduceat(b.cover[by], edges) if len(by) else b.cover
+    low, high = (f.reduceat(b.cover[by], edges).view(np.int64) if len(by) else np.zeros(0, np.int64) for f in (np.minimum, np.maximum))
     doc = b.ids[b.doc(b.first[b.where])] if len(b.where) else np.zeros(0, np.int64)
-    return [
-        {"bucket": k, "batch": key, "keys": pack_sorted(b.keys[i:j]), "n": planes(np.minimum(b.count[i:j], max(2, hot + 1)).astype(np.uint32)), "low": planes(low[i:j]),
-         "high": planes(low[i:j] ^ high[i:j]), "doc": planes(doc[i:j]), "place": planes(b.first[b.where[i:j]].astype(np.uint64))}
-        for k, i, j in by_bucket(b.keys, bits)
-    ]
-
-
-def earliest(group: np.ndarray, doc: np.ndarray, source: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """True for the first member of each group in the order of (id, batch, place)."""
-    order = np.lexsort((place, source, doc, group))
-    lead = np.ones(len(order), bool)
-    lead[1:] = group[order][1:] != group[order][:-1]
-    out = np.zeros(len(order), bool)
-    out[order[lead]] = True
+    here = np.ones(len(b.keys), np.int64)
+    return _table(ANCHOR_ROWS, hash=b.keys.view(np.int64), batch=here * key, place=here * place, doc=doc, n=b.count.astype(np.int64), low=low, high=high)
+
+
+def anchor_states(rows: DataFrame, hot: int) -> DataFrame:
+    """(batch, hash, state) of the anchors that occur more than once."""
+    rows = rows.repartition("hash")
+    lead = F.min(F.struct("doc", "place", "batch")).alias("lead")
+    all_ = rows.groupBy("hash").agg(F.sum("n").alias("total"), F.min("low").alias("least"), F.max("high").alias("most"), lead).where("total > 1")
+    first = (F.col("lead.doc") == F.col("doc")) & (F.col("lead.place") == F.col("place")) & (F.col("lead.batch") == F.col("batch"))
+    state = F.when(F.col("least") != F.col("most"), F.when(F.col("total") > hot, CROWDED).otherwise(MIXED)).when(first, FIRST).otherwise(LATER)
+    return rows.join(all_, "hash").select("batch", "hash", state.cast("int").alias("state"))
+
+
+def state_of(b: Batch, hashes: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """The state of each of the batch's distinct anchors."""
+    out = np.zeros(len(b.keys), np.uint8)
+    at = np.searchsorted(b.keys, hashes)
+    if len(hashes) and (at[-1] >= len(b.keys) or (b.keys[at] != hashes).any()):
+        raise ValueError("the batches of the two plans differ: pass files or a checkpoint")
+    out[at] = states
     return out
 
 
-def anchor_states(table: pa.Table, hot: int) -> pa.Table:
-    """The states of one bucket's anchors, for each batch in the order it sent them."""
-    order = np.argsort(np.array(table["batch"].to_pylist(), dtype=object), kind="stable")
-    table = table.take(pa.array(order))
-    keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
-    size = np.array([len(k) for k in keys])
-    column = lambda name, kind: np.concatenate([unplanes(x, kind) for x in table[name].to_pylist()])
-    _, back = np.unique(np.concatenate(keys), return_inverse=True)
-    n, low = np.bincount(back, column("n", np.uint32)), column("low", np.uint64)
-    high = column("high", np.uint64) ^ low
-    least, most = np.full(len(n), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(n), np.uint64)
-    np.minimum.at(least, back, low)
-    np.maximum.at(most, back, high)
-    first = earliest(back, column("doc", np.int64), np.repeat(np.arange(len(keys)), size), column("place", np.uint64))
-    state = np.where(n == 1, UNIQUE, np.where(least != most, np.where(n > hot, CROWDED, MIXED), LATER))[back]
-    state = np.where((state == LATER) & first, FIRST, state).astype(np.uint8)
-    parts = np.split(state, np.cumsum(size)[:-1])
-    return pa.table({"kind": pa.array([0] * len(keys), pa.int32()), "bucket": table["bucket"], "batch": table["batch"], "answer": pa.array([p.tobytes() for p in parts], pa.binary())})
-
-
-def states_of(keys: np.ndarray, bits: int, answers: dict) -> np.ndarray:
-    parts = [np.frombuffer(answers[0, k], np.uint8) for k, _, _ in by_bucket(keys, bits)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-
-
-EDGE_COLUMNS = ("kind", "bucket", "batch", "size", "shift", "data", "doc", "place")
-
-
-def edge_rows(key: str, b: Batch, state: np.ndarray, bits: int) -> list[dict]:
-    """What must be compared window by window: covers of mixed anchors as bytes (kind 1), windows of crowded ones as hashes (kind 2)."""
-    rows, data = [], b"".join(b.texts)
+def edge_rows(key: int, place: int, b: Batch, state: np.ndarray) -> pa.Table:
+    """What must be compared window by window: covers of mixed anchors, and windows of crowded ones (size 0)."""
+    data = b"".join(b.texts)
     at = b.covers(state, MIXED)
-    at = at[np.argsort(b.hash[at], kind="stable")]
-    doc = b.ids[b.doc(b.first[at])] if len(at) else np.zeros(0, np.int64)
-    for k, i, j in by_bucket(b.hash[at], bits):
-        first, last = b.first[at[i:j]], b.last[at[i:j]]
-        rows.append({"kind": 1, "bucket": k, "batch": key, "size": planes((last - first + 1).astype(np.uint32)), "shift": planes(b.shift[at[i:j]].astype(np.uint32)), "data": b"".join([data[f : e + WINDOW] for f, e in zip(first.tolist(), last.tolist())]),
-                     "doc": planes(doc[i:j]), "place": planes(first.astype(np.uint64))})
-    h, place = b.windows(b.covers(state, CROWDED))
-    h, where = np.unique(h, return_index=True)
-    doc = b.ids[b.doc(place[where])] if len(where) else np.zeros(0, np.int64)
-    for k, i, j in by_bucket(h, bits):
-        rows.append({"kind": 2, "bucket": k, "batch": key, "size": b"", "shift": b"", "data": pack_sorted(h[i:j]), "doc": planes(doc[i:j]), "place": planes(place[where[i:j]].astype(np.uint64))})
-    return rows
+    first, last = b.first[at], b.last[at]
+    windows = b.windows(b.covers(state, CROWDED))
+    once: dict[bytes, int] = {}
+    for p in np.sort(windows).tolist():
+        once.setdefault(data[p : p + WINDOW], p)
+    where = np.concatenate((first, np.fromiter(once.values(), np.int64, len(once))))
+    here = np.ones(len(where), np.int64)
+    zero = np.zeros(len(once), np.int64)
+    return _table(
+        EDGE_ROWS, hash=np.concatenate((b.hash[at].view(np.int64), zero)), batch=here * key, place=here * place, doc=b.ids[b.doc(where)] if len(where) else where, first=where,
+        size=np.concatenate((last - first + 1, zero)), shift=np.concatenate((b.shift[at], zero)),
+        data=[data[f : e + WINDOW] for f, e in zip(first.tolist(), last.tolist())] + list(once),
+    )
+
+
+def earliest(group: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """True for the first member of each group in the given order."""
+    by = np.lexsort((*reversed(order), group))
+    lead = np.ones(len(by), bool)
+    lead[1:] = group[by][1:] != group[by][:-1]
+    out = np.zeros(len(by), bool)
+    out[by[lead]] = True
+    return out
 
 
 def edge_answers(table: pa.Table) -> pa.Table:
-    """For each window sent, in order, whether it is the first of its kind.
+    """(batch, first, later) for each cover of a bucket: a bit for each of its windows, whether it isn't the first of its kind.
 
     Covers are aligned at their anchors, so that equal windows stand in one column, and compared by a column-wise
-    construction over the bucket's distinct covers; windows of crowded anchors come as hashes.
+    construction over the bucket's distinct covers.
+    """
+    size, shift, data = (table[c].to_pylist() for c in ("size", "shift", "data"))
+    known = {c: i for i, c in enumerate(dict.fromkeys(zip(shift, data)))}
+    column = WINDOW - GRAM - np.array([s for s, _ in known], np.int64)
+    group = window_groups([c for _, c in known], column, WINDOW)
+    count = np.array([len(c) - WINDOW + 1 for _, c in known], np.int64)
+    use, n = np.array([known[c] for c in zip(shift, data)]), np.array(size, np.int64)
+    doc, place, first = (np.repeat(table[c].to_numpy(), n) for c in ("doc", "place", "first"))
+    lead = earliest(group[ramp((np.cumsum(count) - count)[use], count[use])], doc, place, first + ramp(np.zeros(len(n), np.int64), n))
+    parts = np.split(~lead, np.cumsum(n)[:-1])
+    return pa.table({"batch": table["batch"], "first": table["first"], "later": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
+
+
+def repeated(b: Batch, state: np.ndarray, later: dict[int, bytes], lead: np.ndarray) -> np.ndarray:
+    """A mask over the batch's bytes: covered by a window that starts earlier elsewhere.
+
+    ``later``: the bits of each cover of a mixed anchor, by its place; ``lead``: the places of crowded anchors' windows that
+    are the first of their kind.
     """
-    order = np.argsort(np.array(table["batch"].to_pylist(), dtype=object), kind="stable")
-    rows = table.take(pa.array(order)).to_pylist()
-    groups, size, doc, place = [], [], [], []
-    if rows[0]["kind"] == 1:
-        covers: list[tuple[int, bytes]] = []
-        for r in rows:
-            n, shift = (unplanes(r[c], np.uint32).astype(np.int64) for c in ("size", "shift"))
-            d, p = unplanes(r["doc"], np.int64), unplanes(r["place"], np.uint64).astype(np.int64)
-            start = np.concatenate(([0], np.cumsum(n + WINDOW - 1)[:-1]))
-            covers += [(s, r["data"][a : a + k + WINDOW - 1]) for s, a, k in zip(shift.tolist(), start.tolist(), n.tolist())]
-            size.append(int(n.sum()))
-            doc.append(np.repeat(d, n))
-            place.append(ramp(p, n))
-        known = {c: i for i, c in enumerate(dict.fromkeys(covers))}
-        column = WINDOW - GRAM - np.array([s for s, _ in known], np.int64)
-        group = window_groups([c for _, c in known], column, WINDOW)
-        count = np.array([len(c) - WINDOW + 1 for _, c in known], np.int64)
-        use = np.array([known[c] for c in covers])
-        groups = [group[ramp((np.cumsum(count) - count)[use], count[use])]]
-    else:
-        for r in rows:
-            groups.append(unpack_sorted(r["data"]))
-            size.append(len(groups[-1]))
-            doc.append(unplanes(r["doc"], np.int64))
-            place.append(unplanes(r["place"], np.uint64).astype(np.int64))
-    _, back = np.unique(np.concatenate(groups), return_inverse=True)
-    first = earliest(back, np.concatenate(doc), np.repeat(np.arange(len(rows)), size), np.concatenate(place))
-    parts = np.split(first, np.cumsum(size)[:-1])
-    return pa.table({c: pa.array([r[c] for r in rows], t) for c, t in (("kind", pa.int32()), ("bucket", pa.int32()), ("batch", pa.string()))} | {"answer": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
-
-
-def repeated(b: Batch, state: np.ndarray, bits: int, answers: dict) -> np.ndarray:
-    """A mask over the batch's bytes: covered by a window that starts earlier elsewhere."""
     change = np.zeros(b.begin[-1] + 1, np.int32)
 
     def cover(first: np.ndarray, last: np.ndarray) -> None:
@@ -229,29 +216,20 @@ def repeated(b: Batch, state: np.ndarray, bits: int, answers: dict) -> np.ndarra
         np.add.at(change, last + WINDOW, -1)
 
     s = state[b.back]
-    lead = np.zeros(len(s), bool)
-    lead[b.where] = True
-    whole = (s == LATER) | ((s == FIRST) & ~lead)
+    own = np.zeros(len(s), bool)
+    own[b.where] = True
+    whole = (s == LATER) | ((s == FIRST) & ~own)
     mixed, crowded = b.covers(state, MIXED), b.covers(state, CROWDED)
     edge = np.zeros(len(s), bool)
     edge[mixed] = edge[crowded] = True
     whole |= ((s == MIXED) | (s == CROWDED)) & ~edge
     cover(b.first[whole], b.last[whole])
-    mixed = mixed[np.argsort(b.hash[mixed], kind="stable")]
-    for k, i, j in by_bucket(b.hash[mixed], bits):
-        size = b.last[mixed[i:j]] - b.first[mixed[i:j]] + 1
-        place = ramp(b.first[mixed[i:j]], size)
-        later = np.unpackbits(np.frombuffer(answers[1, k], np.uint8), count=len(place)) == 0
-        cover(place[later], place[later])
-    if len(crowded):
-        h, place = b.windows(crowded)
-        keys, where, back = np.unique(h, return_index=True, return_inverse=True)
-        first = np.concatenate([np.unpackbits(np.frombuffer(answers[2, k], np.uint8), count=j - i) for k, i, j in by_bucket(keys, bits)]) == 1
-        later = ~first[back]
-        here = np.zeros(len(h), bool)
-        here[where] = True
-        later |= ~here  # the same window once more in this batch
-        cover(place[later], place[later])
+    for f, e in zip(b.first[mixed].tolist(), b.last[mixed].tolist()):
+        place = f + np.flatnonzero(np.unpackbits(np.frombuffer(later[f], np.uint8), count=e - f + 1))
+        cover(place, place)
+    place = b.windows(crowded)
+    place = place[~np.isin(place, lead)]
+    cover(place, place)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -260,32 +238,45 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Texts are UTF-8 bytes; null counts as empty. A byte is removed if a ``WINDOW``-byte string covers it that also
     starts earlier: in a document with a smaller id, or earlier in the same one. Rows that repeat an id are
-    documents in the order of their place in the input; null ids come last. ``kept`` (the remaining bytes) is null
-    unless asked for. Ids are integers. ``docs`` must be a stable relation (files or a checkpoint).
+    documents in the order of their place in the input (partition, then row); null ids come last. ``kept`` (the remaining
+    bytes) is null unless asked for. Ids are integers. ``docs`` must be a stable relation (files or a checkpoint). A text
+    is never split: a task takes some 30 bytes of memory for each byte of its longest text, so texts of 20 MB need 600 MB.
     """
-    id_type, bits = docs.schema[id_col].dataType.simpleString(), bucket_bits(docs, text_col)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(1, math.ceil(total / BUCKET_BYTES))
 
     def send(source):
-        for key, ids, texts in batches(source, batch_bytes):
-            yield _record(anchor_rows(key, Batch(ids.to_pylist(), texts), bits, hot), ANCHOR_COLUMNS)
+        for key, place, ids, texts in batches(source, batch_bytes):
+            yield from anchor_rows(key, place, Batch(ids.to_pylist(), texts)).to_batches()
+
+    def pack(table: pa.Table) -> pa.Table:
+        """A batch's states in one row, by hash: a checkpoint of rows would be larger than the text."""
+        h = table["hash"].to_numpy().view(np.uint64)
+        by = np.argsort(h)
+        return pa.table({"batch": table["batch"][:1], "hashes": [h[by].tobytes()], "states": [table["state"].to_numpy()[by].astype(np.uint8).tobytes()]})
 
-    def opened(left: pa.Table, right: pa.Table):
-        """Each batch with its answers; copies of a batch share them."""
+    def opened(left: pa.Table, hashes: list, states: list):
+        """Each batch with the states of its anchors."""
         if left.num_rows == 0:
             raise ValueError("the batches of the two plans differ: pass files or a checkpoint")
-        answers = {(r["kind"], r["bucket"]): r["answer"] for r in right.to_pylist()}
+        h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in hashes)])
+        s = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in states)])
         for row in left.to_pylist():
             b = Batch(row["ids"], [t or b"" for t in row["texts"]])
-            yield row, b, states_of(b.keys, bits, answers), answers
+            yield row, b, state_of(b, h, s)
 
     def edges(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = [r for row, b, state, _ in opened(left, right) for r in edge_rows(row["batch"], b, state, bits)]
-        return pa.Table.from_batches([_record(rows, EDGE_COLUMNS)])
+        return pa.concat_tables([edge_rows(row["batch"], row["place"], b, state) for row, b, state in opened(left, right["hashes"].to_pylist(), right["states"].to_pylist())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, n, gone, spans, sha, kept = [], [], [], [], [], []
-        for row, b, state, answers in opened(left, right):
-            mask = repeated(b, state, bits, answers)
+        rows = right.to_pylist()
+        later = {r["first"]: r["later"] for r in rows if r["later"] is not None}
+        lead = np.array([r["first"] for r in rows if r["later"] is None and r["hashes"] is None], np.int64)
+        known = [r for r in rows if r["hashes"] is not None]
+        for row, b, state in opened(left, [r["hashes"] for r in known], [r["states"] for r in known]):
+            mask = repeated(b, state, later, lead)
             for k, t in enumerate(b.texts):
                 m = mask[b.begin[k] : b.begin[k + 1]]
                 rest = np.frombuffer(t, np.uint8)[~m].tobytes()
@@ -297,11 +288,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 kept.append(rest if with_text else None)
         return pa.table({"doc_id": pa.array(ids, left.schema.field("ids").type.value_type), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary())})
 
-    binary = lambda names: ", ".join(f"{c} binary" for c in names)
-    sent = text_bytes(docs, id_col, text_col).mapInArrow(send, f"bucket int, batch string, {binary(ANCHOR_COLUMNS[2:])}")
-    states = materialize(sent.groupBy("bucket").applyInArrow(lambda t: anchor_states(t, hot), "kind int, bucket int, batch string, answer binary"))
+    found = anchor_states(text_bytes(docs, id_col, text_col).mapInArrow(send, ANCHOR_ROWS), hot)
+    states = materialize(found.groupBy("batch").applyInArrow(pack, "batch long, hashes binary, states binary"))
     whole = whole_batches(docs, id_col, text_col, batch_bytes)
-    asked = whole.groupBy("batch").cogroup(states.groupBy("batch")).applyInArrow(edges, f"kind int, bucket int, batch string, {binary(EDGE_COLUMNS[3:])}")
-    found = asked.groupBy("kind", "bucket").applyInArrow(edge_answers, "kind int, bucket int, batch string, answer binary")
-    answers = states.unionByName(found)
+    asked = materialize(whole.groupBy("batch").cogroup(states.groupBy("batch")).applyInArrow(edges, EDGE_ROWS))
+    mixed = asked.where("size > 0").groupBy(F.pmod("hash", F.lit(buckets))).applyInArrow(edge_answers, "batch long, first long, later binary")
+    lead = F.min(F.struct("doc", "place", "first", "batch")).alias("lead")
+    crowded = asked.where("size = 0").groupBy("data").agg(lead).select("lead.batch", "lead.first", F.lit(None).cast("binary").alias("later"))
+    nothing = F.lit(None).cast("binary")
+    answers = states.select("batch", F.lit(None).cast("long").alias("first"), nothing.alias("later"), "hashes", "states").unionByName(
+        mixed.unionByName(crowded).select("batch", "first", "later", nothing.alias("hashes"), nothing.alias("states"))
+    )
     return whole.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

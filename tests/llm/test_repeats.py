@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from docs import rows, written, words
 
@@ -33,7 +35,7 @@ def corpus():
 
 @pytest.mark.parametrize("hot, batch_bytes", [(5000, 2 << 20), (2, 3000), (5000, 1500), (0, 1 << 20), (3, 1500)])
 def test_equals_brute_force(spark, tmp_path, monkeypatch, hot, batch_bytes):
-    monkeypatch.setattr(batches, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 4000)
     data = corpus()
     docs = written(spark, tmp_path / "d", [(i, t, *rows()[0][2:]) for i, t in data])
     got = sorted((tuple(r)[:5] for r in repeats.removals(docs, hot=hot, batch_bytes=batch_bytes).collect()), key=str)
@@ -61,15 +63,24 @@ def test_anchors_depend_on_content_only():
     assert kept and len(kept & inside) >= len(kept) - 2
 
 
-def test_column_wise_construction():
-    """Order, transform, common prefixes and window groups of every column against plain sorting."""
+@pytest.mark.parametrize("block", [1, 3, 1 << 18])
+def test_column_wise_construction(monkeypatch, block):
+    """Order, transform, common prefixes and window groups of every column against plain sorting, in blocks of several sizes."""
+    monkeypatch.setattr(columns, "BLOCK", block)
+    monkeypatch.setattr(columns, "SLICE", 2 if block < 9 else 32)
     r = random.Random(1)
     for _ in range(60):
-        strings = ["".join(r.choice("ab") for _ in range(r.randrange(10))).encode() for _ in range(r.randrange(1, 8))]
+        strings = ["".join(r.choice("ab") for _ in range(r.randrange(10))).encode() for _ in range(r.randrange(1, 12))]
         begin = np.array([r.randrange(4) for _ in strings])
         width = int((begin + [len(s) for s in strings]).max())
         padded = [[0] * b + [c + 1 for c in s] + [0] * (width - b - len(s)) for s, b in zip(strings, begin)]
-        for column, order, transform, common in columns.rounds(strings, begin, width):
+        found = {}
+        for column, *block_ in columns.rounds(strings, begin, width):
+            assert len(block_[0]) <= max(block, 1)
+            found.setdefault(column, []).append(block_)
+        assert list(found) == list(range(width - 1, -1, -1))
+        for column, parts in found.items():
+            order, transform, common = (np.concatenate(x) for x in zip(*parts))
             rest = [p[column:] for p in padded]
             assert order.tolist() == sorted(range(len(strings)), key=lambda i: rest[i])
             assert transform.tolist() == [rest[i][0] for i in order]
@@ -83,11 +94,28 @@ def test_column_wise_construction():
         assert place == len(groups) and all(len(g) == 1 for g in want.values()) and len({next(iter(g)) for g in want.values()}) == len(want)
 
 
-def test_packed_columns():
-    r = np.random.default_rng(0)
-    a = np.sort(r.integers(0, 1 << 63, 100).astype(np.uint64))
-    assert (batches.unpack_sorted(batches.pack_sorted(a)) == a).all() and len(batches.unpack_sorted(b"")) == 0
-    assert sum(j - i for _, i, j in batches.by_bucket(a, 3)) == 100
+def test_hash_of_spans():
     data = np.frombuffer(b"abcabc", np.uint8)
     h = batches.span_hash(batches.prefix_hash(data), np.array([0, 3]), np.array([3, 6]))
     assert h[0] == h[1]
+
+
+def test_anchors_in_steps(monkeypatch):
+    """A text that is looked at in steps has the anchors of the whole one."""
+    text = words(random.Random(4), 900).encode()
+    whole = repeats.anchors(text)
+    monkeypatch.setattr(repeats, "STEP", 333)
+    assert all((a == b).all() for a, b in zip(whole, repeats.anchors(text)))
+
+
+def test_repeated_ids_go_by_place(spark, tmp_path):
+    """Documents of one id are in the order of their partitions and rows, also beyond ten batches."""
+    passage = words(random.Random(7), 40)
+    data = [(5, passage + f" {i:03d}") for i in range(40)]
+    (tmp_path / "d").mkdir()
+    pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in data]), "text": [t for _, t in data]}), tmp_path / "d" / "a.parquet")
+    got = repeats.removals(spark.read.parquet(str(tmp_path / "d")), batch_bytes=600, with_text=True).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute(data)
+    assert [bytes(r["kept"]).decode() for r in got if r["n_removed"] == 0] == [data[0][1]]
+
+
