@@ -4,10 +4,11 @@ An n-gram of order n scores count(n-gram) / count(its context), or ``BACKOFF`` t
 where the count is 0; order 0 is the empty n-gram, whose count is the number of words, and below it stands
 1 / (count + 1). A document is scored against all others: its own occurrences are taken off every count.
 
-The counts are tables partitioned by hash of the n-gram; the n-grams of the documents are joined to them and the
-logarithms summed per document. To keep the join narrow, both sides are packed: a batch of documents sends each
-distinct n-gram once to its bucket, with the number of times it stands in the batch, and gets the total back.
-Very frequent n-grams are thus combined before the shuffle, and no bucket holds more than one entry of a batch.
+The counts are a table partitioned by hash of the n-gram, made by a native aggregation; the exploded n-grams are joined to
+it in the same partitioning (one shuffle), and the logarithms are summed per document. N-grams are exploded for each batch of
+documents, a row (n-gram, batch, count) for each distinct one, so frequent n-grams are combined before the shuffle, no
+key holds more than a row of each batch, and the number of rows grows with the text. A count goes back to a batch only if the
+n-gram stands in another batch too; for all others the batch's own count is the whole.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .batches import batches, bucket_bits, by_bucket, mix, pack_sorted, planes, prefix_hash, span_hash, text_bytes, unpack_sorted, unplanes, whole_batches
+from .batches import batches, mix, prefix_hash, span_hash, text_bytes, whole_batches
 
 ORDER, BACKOFF = 2, 0.4
 BATCH_BYTES = 6 << 20
+ROWS = 1 << 16  # of an Arrow batch
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _BEGIN = np.uint64(0x5851F42D4C957F2D)
@@ -92,38 +95,35 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col:
     Null texts count as empty. Rows that repeat an id or a text are documents of their own. ``docs`` must be a
     stable relation (files or a checkpoint). Other columns are not read.
     """
-    id_type, bits = docs.schema[id_col].dataType.simpleString(), bucket_bits(docs, text_col)
-
-    def send(source):
-        for key, _, texts in batches(source, BATCH_BYTES):
-            keys, n = distinct(ngrams(texts, order)[2])
-            rows = [(b, key, pack_sorted(keys[i:j]), planes(n[i:j].astype(np.uint32))) for b, i, j in by_bucket(keys, bits)]
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["bucket", "batch", "keys", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
-        n = np.concatenate([unplanes(c, np.uint32) for c in table["counts"].to_pylist()])
-        _, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, n)[back].astype(np.uint64)
-        cut = np.cumsum([len(k) for k in keys])[:-1]
-        return pa.table({"batch": table["batch"], "bucket": table["bucket"], "totals": pa.array([planes(t) for t in np.split(total, cut)], pa.binary())})
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def explode(source):
+        for key, _, _, texts in batches(source, BATCH_BYTES):
+            grams, n = distinct(ngrams(texts, order)[2])
+            for a in range(0, len(grams), ROWS):
+                part = grams[a : a + ROWS].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), key)), pa.array(n[a : a + ROWS])], names=["gram", "batch", "n"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:
             raise ValueError("the batches of the two plans differ: pass files or a checkpoint")
-        answers = dict(zip(right["bucket"].to_pylist(), right["totals"].to_pylist()))
+        known = right["gram"].to_numpy().view(np.uint64)
+        by = np.argsort(known)
+        known, counts = known[by], right["total"].to_numpy()[by]
         ids, n, s = [], [], []
-        for row in left.to_pylist():  # copies of a batch have the same key, and the same answers
-            keys, _ = distinct(ngrams(row["texts"], order)[2])
-            totals = [unplanes(answers[b], np.uint64) for b, _, _ in by_bucket(keys, bits)]
-            a, b = score_batch(row["texts"], np.concatenate(totals).astype(np.int64) if totals else np.zeros(0, np.int64), keys, order, backoff)
+        for row in left.to_pylist():
+            grams, totals = distinct(ngrams(row["texts"], order)[2])
+            if len(known):
+                at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                totals = np.where(known[at] == grams, counts[at], totals)
+            a, b = score_batch(row["texts"], totals, grams, order, backoff)
             ids += row["ids"]
             n.append(a)
             s.append(b)
         return pa.table({"doc_id": pa.array(ids, left.schema.field("ids").type.value_type), "n_words": pa.array(np.concatenate(n).astype(np.int64)), "log_score": pa.array(np.concatenate(s))})
 
-    sent = text_bytes(docs, id_col, text_col).mapInArrow(send, "bucket int, batch string, keys binary, counts binary")
-    answers = sent.groupBy("bucket").applyInArrow(add, "batch string, bucket int, totals binary")
+    grams = text_bytes(docs, id_col, text_col).mapInArrow(explode, "gram long, batch long, n long").repartition("gram")
+    counts = grams.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("batches")).where("batches > 1")
+    answers = grams.join(counts, "gram").select("batch", "gram", "total")
     whole = whole_batches(docs, id_col, text_col, BATCH_BYTES)
     return whole.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, f"doc_id {id_type}, n_words long, log_score double")

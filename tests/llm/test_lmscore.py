@@ -10,7 +10,7 @@ from docs import rows, written
 sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
 from against_sql import assert_same, connect
 
-from saldospark.llm import batches, lmscore, queries
+from saldospark.llm import lmscore, queries
 
 
 def brute(data, order=2, backoff=0.4):
@@ -44,7 +44,8 @@ def brute(data, order=2, backoff=0.4):
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_equals_brute_force(spark, tmp_path, monkeypatch, order):
-    monkeypatch.setattr(batches, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(lmscore, "BATCH_BYTES", 50_000)
+    monkeypatch.setattr(lmscore, "ROWS", 100)
     data = [(r[0], r[1]) for r in rows()]
     got = lmscore.score(written(spark, tmp_path / "d"), order=order).collect()
     want = brute(data, order)
