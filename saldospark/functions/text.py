@@ -125,6 +125,12 @@ def token_sort(c: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(c, " "), lambda w: w != "")), " ")
 
 
+def numbered_chars(c: Column) -> Column:
+    """The characters of a string, each with its number among equal ones: sets of them intersect as bags of characters do."""
+    chars = F.split(c, "")
+    return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda y: y == x)).cast("string")))
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two non-empty strings."""
     left, right = F.split(a, ""), F.split(b, "")

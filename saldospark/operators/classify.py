@@ -59,15 +59,17 @@ def fuzzy_matches(names: DataFrame, dictionary: DataFrame, norm: str = "nombre_n
     """(nombre_norm, fuz_codigo, fuz_clave, fuz_puntaje): the most similar entry of each distinct name, from ``FUZZY_MIN``.
 
     A ratio of 0.9 bounds the ratio of lengths by 9 / 11 (losslessly), so names meet entries in an equi-join on
-    the lengths that can still match. Ties go to the earlier entry. Empty names match nothing.
+    the lengths that can still match. The characters that both have bound the common subsequence from above, so most pairs
+    end there. Ties go to the earlier entry. Empty names match nothing.
     """
     entries = dedupe_dictionary(dictionary).select(
         T.token_sort(F.col("clave")).alias("_b"), F.col("clave").alias("_clave"), F.col("codigo_estandar").alias("_code"), F.col("pos").alias("_pos")
-    ).withColumn("_len", F.length("_b"))
-    asked = names.select(norm).where(F.col(norm) != "").distinct().withColumn("_a", T.token_sort(F.col(norm))).withColumn("_n", F.length("_a"))
+    ).withColumn("_len", F.length("_b")).withColumn("_cb", T.numbered_chars(F.col("_b")))
+    asked = names.select(norm).where(F.col(norm) != "").distinct().withColumn("_a", T.token_sort(F.col(norm))).withColumn("_n", F.length("_a")).withColumn("_ca", T.numbered_chars(F.col("_a")))
     asked = asked.where("_n > 0").withColumn("_len", F.explode(F.sequence(F.ceil(F.col("_n") * 9 / 11).cast("int"), F.floor(F.col("_n") * 11 / 9).cast("int"))))
     entries = F.broadcast(entries) if small(entries) else entries
-    scored = asked.join(entries, "_len").withColumn("_s", T.similarity(F.col("_a"), F.col("_b"))).where(F.col("_s") >= FUZZY_MIN)
+    close = 200.0 * F.size(F.array_intersect("_ca", "_cb")) >= FUZZY_MIN * (F.col("_n") + F.col("_len"))
+    scored = asked.join(entries, "_len").where(close).withColumn("_s", T.similarity(F.col("_a"), F.col("_b"))).where(F.col("_s") >= FUZZY_MIN)
     best = scored.groupBy(norm).agg(F.max(F.struct("_s", (-F.col("_pos")).alias("_o"), "_code", "_clave")).alias("m"))
     return best.select(norm, F.col("m._code").alias("fuz_codigo"), F.col("m._clave").alias("fuz_clave"), F.col("m._s").alias("fuz_puntaje"))
 
@@ -119,15 +121,23 @@ def classify(accounts: DataFrame, dictionary: DataFrame, activity: str | None =
     """The whole cascade: adds codigo_clasificado ('' if none), metodo, confianza, requiere_revision and nota to accounts.
 
     Accounts have doc_id, linea, codigo, nombre, monto, origen_columna and es_total; ``activity`` names a column with
-    the company's activity. The fuzzy search sees only distinct names that code and dictionary leave open.
+    the company's activity. Account names repeat from document to document, so similarity and patterns are worked out once
+    per distinct name that code and dictionary leave open. These names are found first and kept; only open rows are joined
+    to them, by broadcast if a count says that they are few.
     """
     df = accounts.withColumn("nombre_norm", T.normalize_name(F.coalesce(F.col("nombre"), F.lit(""))))
     df = by_dictionary(by_code_prefix(df), dictionary)
-    # account names repeat from document to document: similarity and patterns are worked out once per distinct open name
-    open_ = df.where(F.col("cod_codigo").isNull() & F.col("dic_codigo").isNull()).select("nombre_norm").distinct()
+    unknown = F.col("cod_codigo").isNull() & F.col("dic_codigo").isNull()
+    open_ = df.where(unknown).select("nombre_norm").distinct().persist()
     fuzzy = fuzzy_matches(open_, dictionary).select(F.col("nombre_norm").alias("_m"), "fuz_codigo", "fuz_puntaje")
     names = open_.withColumn("_re", regex_rule(F.col("nombre_norm"))).join(fuzzy, F.col("nombre_norm") == F.col("_m"), "left")
-    df = df.join(names.select(F.col("nombre_norm").alias("_n"), "_re", "fuz_codigo", "fuz_puntaje"), df.nombre_norm == F.col("_n"), "left").drop("_n")
+    names = names.select(F.col("nombre_norm").alias("_n"), "_re", "fuz_codigo", "fuz_puntaje")
+    key = F.when(unknown, F.col("nombre_norm"))
+    if small(open_):
+        names = F.broadcast(names)
+    else:  # rows that aren't open match nothing, and are spread
+        key = F.coalesce(key, F.concat_ws("\0", F.lit(""), F.col("doc_id").cast("string"), F.col("linea").cast("string")))
+    df = df.withColumn("_k", key).join(names, F.col("_k") == F.col("_n"), "left").drop("_k", "_n")
 
     name, origin = F.col("nombre_norm"), F.col("origen_columna")
     df = df.withColumn("_amb", ambiguous_code(name, origin))
@@ -140,13 +150,11 @@ def classify(accounts: DataFrame, dictionary: DataFrame, activity: str | None =
         F.when(by_code, F.col("cod_confianza")).when(by_dic, F.lit(0.98)).when(by_fuzzy, F.bround(0.80 + (F.col("fuz_puntaje") - 90) * 0.01, 3))
         .when(by_rule, F.col("_re.conf")).otherwise(F.lit(0.0)).alias("_k0"),
     )
-    df = fence(df.drop("_re"))
     fix = column_correction(name, F.col("_c0"), origin, F.col("monto"))
     df = df.withColumn("_fix", F.when((origin != "desconocido") & F.col("_c0").isNotNull() & (fix != F.col("_c0")), fix))
-    df = fence(df).withColumn("_c1", F.coalesce("_fix", "_c0")).withColumn("_fixed", F.col("_fix").isNotNull())
+    df = df.withColumn("_c1", F.coalesce("_fix", "_c0")).withColumn("_fixed", F.col("_fix").isNotNull())
     giro = F.col(activity) if activity else F.lit(None).cast("string")
     df = df.withColumn("_sp", special_rule(F.col("nombre"), F.coalesce("_c1", F.lit("AC.08")), F.col("monto"), giro))
-    df = fence(df)
     early, ruled = F.col("_amb").isNotNull(), F.col("_sp").isNotNull()
     method = F.concat("_m0", F.when(F.col("_fixed"), F.lit("+columna")).otherwise(F.lit("")),
                       F.when(ruled, F.concat(F.lit("+regla_especial("), F.col("_sp.flag"), F.lit(")"))).otherwise(F.lit("")))
@@ -158,7 +166,7 @@ def classify(accounts: DataFrame, dictionary: DataFrame, activity: str | None =
         .withColumn("requiere_revision", F.col("confianza") < REVIEW_BELOW)
         .withColumn("nota", F.when(~early & ruled, F.col("_sp.flag")).otherwise(F.lit("")))
     )
-    return fence(df.drop("_amb", "_c0", "_m0", "_k0", "_fix", "_c1", "_fixed", "_sp", "cod_codigo", "cod_confianza", "cod_formato", "dic_codigo", "fuz_codigo", "fuz_puntaje"))
+    return fence(df.drop("_re", "_amb", "_c0", "_m0", "_k0", "_fix", "_c1", "_fixed", "_sp", "cod_codigo", "cod_confianza", "cod_formato", "dic_codigo", "fuz_codigo", "fuz_puntaje"))
 
 
 def is_account(df: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from saldospark.functions import text as T
 from saldospark.functions.plan import fence
-from saldospark.operators.profile import AMOUNT, profile
+from saldospark.operators.profile import profile
 from saldospark.rules import patterns, special
 
+# Codes at the start of a line, by format.
 LINE_CODES = {"guion": r"^(\d+(?:-\d+){2,})\s+(.+)", "punto": r"^(\d+(?:\.\d+){2,})\s+(.+)", "compacto": r"^(\d{6,10})\s+(.+)"}
 COLUMNS = ("activo", "pasivo", "perdida", "ganancia")
 
@@ -19,68 +20,51 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("linea", "texto"))
 
 
-def _code_parts(line: Column, fmt: Column) -> tuple[Column, Column]:
-    """Code (or null) and rest. A document of known format uses that pattern only; without one, three are tried."""
-    def part(f: str, g: int) -> Column:
-        return F.nullif(F.regexp_extract(line, "(?U)" + LINE_CODES[f], g), F.lit(""))
+def _code(line: Column, fmt: Column) -> Column:
+    """The code at the start of a line, or null. A document of known format uses that pattern only; without one, three are tried."""
+    part = {f: F.nullif(F.regexp_extract(line, "(?U)" + p, 1), F.lit("")) for f, p in LINE_CODES.items()}
+    out = F.coalesce(*[part[f] for f in ("punto", "guion", "compacto")])
+    for f in LINE_CODES:
+        out = F.when(fmt == f, part[f]).otherwise(out)
+    return out
 
-    any_ = lambda g: F.coalesce(*[part(f, g) for f in ("punto", "guion", "compacto")])
-    out = []
-    for g in (1, 2):
-        c = any_(g)
-        for f in LINE_CODES:
-            c = F.when(fmt == f, part(f, g)).otherwise(c)
-        out.append(c)
-    return out[0], F.coalesce(out[1], line)
 
+#: Up to two last words without a digit and of at most two characters.
+_IDLE = r"(?U)(?:(?:^| )[^\d ]{1,2}){1,2}$"
+#: Words that stand for amounts, at the end: a dash, the letter o for a zero, or an amount with currency signs anywhere.
+_AMOUNTS = r"((?:(?:^| )(?:[oO]|-|\$*-?\$*\(?\$*(?:[\d.,]\$*){1,18}\)?\$*))*)$"
 
-def _drop_short(tokens: Column) -> Column:
-    """Up to two last tokens without a digit and of at most two characters go."""
-    last = lambda t: F.element_at(t, -1)
-    idle = lambda t: (F.size(t) > 0) & ~F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit("0")).rlike(r"(?U)\d") & (F.length(F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit("000"))) <= 2)
-    cut = lambda t: F.slice(t, F.lit(1), F.size(t) - 1)
-    once = F.when(idle(tokens), cut(tokens)).otherwise(tokens)
-    return F.when(idle(tokens) & idle(once), cut(once)).otherwise(once)
 
-
-def _amount_token(t: Column) -> Column:
-    """The amount that a token stands for, or null."""
-    zero, bare = T.fix_ocr_zero(t), F.replace(T.fix_ocr_zero(t), F.lit("$"), F.lit(""))
-    return F.when(zero == "-", F.lit("0")).when(bare.rlike("^" + AMOUNT + "$"), bare)
+def _clean(word: Column) -> Column:
+    return F.when(word.isin("o", "O", "-"), F.lit("0")).otherwise(F.replace(word, F.lit("$"), F.lit("")))
 
 
 def parse_lines(lines: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """Accounts (doc_id, linea, codigo, nombre, monto, origen_columna, es_total, confianza_extraccion) of lines.
 
     Lines under four characters and names under three are dropped. Profiles are made from the lines if not given;
-    they have one row per document and are joined by its id.
+    they have one row per document and are joined by its id. Each step reads the columns of the one before; one pattern cuts
+    all amounts off a line, and at most the last four are read.
     """
     profiles = profile(lines) if profiles is None else profiles
     df = lines.join(profiles.select("doc_id", "formato_codigo", "separador_miles", "confianza_base"), "doc_id")
-    df = df.withColumn("_l", T.strip(T.fix_ocr_code(F.col("texto")))).where(F.char_length("_l") >= 4)
-    code, rest = _code_parts(F.col("_l"), F.col("formato_codigo"))
-    df = fence(df.select("doc_id", "linea", "_l", "formato_codigo", "separador_miles", "confianza_base"))
-    df = df.withColumn("codigo", code).withColumn("_t", F.filter(F.split(rest, r"(?U)\s+"), lambda w: w != ""))
-    df = fence(df).withColumn("_t", _drop_short(F.col("_t")))
-    df = fence(df.select("doc_id", "linea", "codigo", "_t", "separador_miles", "confianza_base"))
-    # the longest run of amounts at the end: every token is looked at once, and the first gap from the end counts
-    df = fence(df.withColumn("_a", F.transform("_t", _amount_token)))
-    gap = F.array_position(F.reverse(F.transform("_a", lambda a: a.isNull())), True).cast("int")
-    df = df.withColumn("_n", F.when(gap == 0, F.size("_a")).otherwise(gap - 1))
-    df = fence(df.withColumn("_m", F.slice("_a", F.size("_a") - F.col("_n") + 1, F.col("_n"))).drop("_a"))
-    df = df.withColumn("nombre", F.btrim(F.array_join(F.slice("_t", F.lit(1), F.size("_t") - F.col("_n")), " "), F.lit(" .-")))
-    df = fence(df.drop("_t")).where(F.char_length("nombre") >= 3)
-    df = df.withColumn("es_total", F.col("nombre").rlike("(?iU)^" + patterns.TOTAL))
-
-    df = fence(df.withColumn("_v", F.transform("_m", lambda t: T.parse_amount(t, F.col("separador_miles")))))
-    tail = F.slice("_v", -4, 4)
-    by_column = F.filter(F.arrays_zip(tail.alias("v"), F.array(*map(F.lit, COLUMNS)).alias("o")), lambda x: x["v"].isNotNull() & (x["v"] != 0))
-    few = F.filter("_v", lambda v: v.isNotNull() & (v != 0))
-    df = df.withColumn("_w", F.when(F.col("_n") >= 4, by_column)).withColumn("_f", F.when(F.col("_n") < 4, few))
-    df = fence(df)
-    amount = F.when(F.col("_n") >= 4, F.coalesce(F.try_element_at(F.col("_w"), F.lit(1))["v"], F.try_element_at(F.col("_v"), F.lit(-4)))).otherwise(
-        F.coalesce(F.try_element_at(F.col("_f"), F.lit(-1)), F.try_element_at(F.col("_v"), F.lit(-1)))
-    )
+    df = df.select("doc_id", "linea", "formato_codigo", "separador_miles", "confianza_base", T.strip(T.fix_ocr_code(F.col("texto"))).alias("_l"))
+    df = df.withColumn("codigo", _code(F.col("_l"), F.col("formato_codigo")))
+    rest = F.substr("_l", F.coalesce(F.length("codigo"), F.lit(0)) + 1)
+    df = df.withColumn("_t", F.regexp_replace(F.btrim(F.regexp_replace(rest, r"(?U)\s+", " ")), _IDLE, ""))
+    df = df.withColumn("_m", F.regexp_extract("_t", _AMOUNTS, 1))
+    df = df.withColumn("nombre", F.btrim(F.left("_t", F.length("_t") - F.length("_m")), F.lit(" .-")))
+    words = F.filter(F.split("_m", " "), lambda w: w != "")
+    df = df.select("doc_id", "linea", "codigo", "nombre", "separador_miles", "confianza_base", F.char_length("_l").alias("_size"), words.alias("_a"))
+    df = fence(df).where((F.col("_size") >= 4) & (F.char_length("nombre") >= 3))
+    df = df.withColumn("_n", F.size("_a")).withColumn("es_total", F.col("nombre").rlike("(?iU)^" + patterns.TOTAL))
+    last = F.when(F.col("_n") > 4, F.slice("_a", -4, 4)).otherwise(F.col("_a"))
+    df = df.withColumn("_v", F.transform(last, lambda t: T.parse_amount(_clean(t), F.col("separador_miles"))))
+    # of four columns the first amount that isn't zero counts, of fewer the last
+    hits = F.transform("_v", lambda v: F.coalesce(v != 0, F.lit(False)))
+    wide = F.col("_n") >= 4
+    df = df.withColumn("_p", F.nullif(F.array_position(F.when(wide, hits).otherwise(F.reverse(hits)), True), F.lit(0)).cast("int"))
+    amount = F.try_element_at("_v", F.when(wide, F.coalesce("_p", F.lit(1))).otherwise(-F.coalesce("_p", F.lit(1))))
     root, low = F.left(F.translate(F.col("codigo"), ".-", ""), F.lit(1)), F.lower("nombre")
     by_root = (
         F.when(root == "1", F.lit("activo")).when(root == "2", F.lit("pasivo"))
@@ -89,10 +73,10 @@ def parse_lines(lines: DataFrame, profiles: DataFrame | None = None) -> DataFram
     )
     by_word = F.coalesce(*[F.when(T.contains_any(low, words), F.lit(o)) for o, words in special.COLUMN_WORDS.items()])
     origin = (
-        F.when(F.col("_n") >= 4, F.coalesce(F.try_element_at(F.col("_w"), F.lit(1))["o"], F.lit("activo")))
+        F.when(wide, F.element_at(F.array(*map(F.lit, COLUMNS)), F.coalesce("_p", F.lit(1))))
         .when(F.col("_n") > 0, F.coalesce(by_root, by_word, F.lit("desconocido"))).otherwise(F.lit("desconocido"))
     )
-    return fence(df.select("doc_id", "linea", "codigo", "nombre", amount.alias("monto"), origin.alias("origen_columna"), "es_total", F.col("confianza_base").alias("confianza_extraccion")))
+    return df.select("doc_id", "linea", "codigo", "nombre", amount.alias("monto"), origin.alias("origen_columna"), "es_total", F.col("confianza_base").alias("confianza_extraccion"))
 
 
 def parse_cells(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from saldospark.operators import metadata as M
 from saldospark.operators import parse as P
 from saldospark.operators import profile as R
 from saldospark.plans import oracle as O
-from saldospark.plans.ledger import DICTIONARY, ledger, seed_dictionary
+from saldospark.plans.ledger import DICTIONARY, LEDGER_SQL, ledger, seed_dictionary
 from saldospark.rules import patterns, special
 from saldospark.rules.catalog import catalog
 from saldospark.schemas import EXCLUDED
@@ -115,13 +115,13 @@ def tieout_diag_er(spark, sf_dir):
     select doc_id, linea, nombre_original, monto, codigo_clasificado from clasificadas join utilidad using (doc_id)
     where estado = 'descuadre' and abs(abs(monto) - diferencia) <= greatest(diferencia * 0.05::double, 1000)""", _PROFIT_SQL))
 def tieout_diag_candidates(spark, sf_dir):
-    result = _result(spark, sf_dir)
+    result = _result(spark, sf_dir).persist()  # read twice
     return B.sign_candidates(result, B.profit_check(result, by=("doc_id",)))
 
 
 def _marked(spark, sf_dir):
     """The result after reviewers excluded one kind of account."""
-    result = _result(spark, sf_dir)
+    result = _result(spark, sf_dir).persist()  # read twice
     fixes = result.where("nombre_original = 'Cuenta Puente X' and linea % 2 = 0").select("doc_id", "linea", F.lit(H.LABELS["skip"]).alias("codigo_nuevo"))
     return H.apply_corrections(result, fixes)
 
@@ -165,7 +165,7 @@ def classify_dict_fuzzy(spark, sf_dir):
 
 
 _PART_PAIRS = """
-    with p as (select distinct p_name from part), d as (select distinct p_name as clave from part where p_partkey % 7 = 0),
+    with p as (select distinct p_name from part), d as (select distinct p_name as clave from part),
     c as (select p_name, clave, """ + O.SORTED.format("p_name") + " as a, " + O.SORTED.format("clave") + """ as b from p cross join d where p_name <> clave),
     m as (select *, list_reduce(list_transform(string_split(a, ''), lambda c: [ord(c)]),
         lambda fila, c: list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j::integer]),
@@ -178,7 +178,7 @@ _PART_PAIRS = """
 def name_similarity(spark, sf_dir):
     names = spark.read.parquet(f"{sf_dir}/part.parquet")
     a = names.select("p_name").distinct().withColumn("_a", T.token_sort(F.col("p_name"))).withColumn("_n", F.length("_a"))
-    b = names.where("p_partkey % 7 = 0").select(F.col("p_name").alias("clave")).distinct().withColumn("_b", T.token_sort(F.col("clave"))).withColumn("_len", F.length("_b"))
+    b = names.select(F.col("p_name").alias("clave")).distinct().withColumn("_b", T.token_sort(F.col("clave"))).withColumn("_len", F.length("_b"))
     # a ratio of 0.75 bounds the ratio of lengths by 3 / 5
     a = a.withColumn("_len", F.explode(F.sequence(F.ceil(F.col("_n") * 3 / 5).cast("int"), F.floor(F.col("_n") * 5 / 3).cast("int"))))
     scored = a.join(b, "_len").where("p_name <> clave").withColumn("puntaje", T.similarity(F.col("_a"), F.col("_b")))
@@ -284,7 +284,7 @@ def propagate_correction(spark, sf_dir):
 
 
 def _corrected(spark, sf_dir, mode: str) -> DataFrame:
-    result = _result(spark, sf_dir)
+    result = _result(spark, sf_dir).persist()  # read twice
     chosen = F.when(F.col("linea") % 3 == 0, F.lit(H.LABELS["skip"])).when(F.col("linea") % 3 == 1, F.lit("PC.08")).otherwise(F.lit(H.LABELS["new"]))
     fixes = result.where("codigo_clasificado = ''").select("doc_id", "linea", chosen.alias("codigo_nuevo"))
     return H.apply_corrections(result, fixes, mode).select("doc_id", "linea", "codigo_clasificado", "metodo", F.round("confianza", 6).alias("confianza"), "requiere_revision")
@@ -487,13 +487,51 @@ def detect_thousands_sep(spark, sf_dir):
     return R.detect_thousands_separator(_lines(spark, sf_dir))
 
 
-@query()
+_AMOUNT_SQL = """case when v in ('', '-') then null when v in ('0', '0.00', '0,00') then 0.0::double else
+    (case when starts_with(v, '(') and ends_with(v, ')') or starts_with(v, '-') then -1 else 1 end) * try_cast(case when separador_miles = '.' then
+        replace(replace(regexp_replace(regexp_replace(v, '^\\((.*)\\)$', '\\1'), '^-', ''), '.', ''), ',', '.') else replace(regexp_replace(regexp_replace(v, '^\\((.*)\\)$', '\\1'), '^-', ''), ',', '') end as double) end"""
+_IS_AMOUNT_SQL = "(x in ('o', 'O', '-') or regexp_matches(replace(x, '$', ''), '^-?\\(?[\\d.,]{1,18}\\)?$'))"
+_IDLE_SQL = "(len({0}) > 0 and not regexp_matches(coalesce({0}[-1], ''), '\\d') and len({0}[-1]) <= 2)"
+_CODE_SQL = {f: "nullif(regexp_extract(l, '" + p[: p.index(r"\s+")] + r"\s', 1), '')" for f, p in P.LINE_CODES.items()}
+_ACCOUNTS_SQL = f"""partidas as (
+    select *, case formato_codigo {" ".join(f"when '{f}' then {c}" for f, c in _CODE_SQL.items())} else coalesce({_CODE_SQL['punto']}, {_CODE_SQL['guion']}, {_CODE_SQL['compacto']}) end as codigo
+    from (select *, trim(texto) as l from lineas join formatos using (doc_id) join votos using (doc_id)) where len(l) >= 4
+), palabras as (
+    select *, list_filter(string_split_regex(substr(l, coalesce(len(codigo), 0) + 1), '\\s+'), lambda x: x <> '') as w0 from partidas
+), cortas as (
+    select *, case when {_IDLE_SQL.format('w0')} then case when {_IDLE_SQL.format('w0[:-2]')} then w0[:-3] else w0[:-2] end else w0 end as w from palabras
+), contadas as (
+    select *, coalesce(nullif(list_position(list_transform(list_reverse(w), lambda x: not {_IS_AMOUNT_SQL}), true), 0) - 1, len(w)) as n from cortas
+), nombradas as (
+    select *, trim(array_to_string(w[1:len(w) - n], ' '), ' .-') as nombre, list_transform(w[len(w) - n + 1:], lambda x: case when x in ('o', 'O', '-') then '0' else replace(x, '$', '') end) as cifras from contadas
+), valoradas as (
+    select *, lower(nombre) as bajo, left(translate(codigo, '.-', ''), 1) as raiz, list_transform(cifras, lambda v: {_AMOUNT_SQL}) as vs from nombradas where len(nombre) >= 3
+), ubicadas as (
+    select *, list_position(list_transform(vs[-4:], lambda v: v is not null and v <> 0), true) as en, list_position(list_transform(list_reverse(vs), lambda v: v is not null and v <> 0), true) as fin from valoradas
+), cuentas as (
+    select doc_id, linea, codigo, nombre, case when n >= 4 then coalesce(vs[-4:][nullif(en, 0)], vs[-4]) else coalesce(list_reverse(vs)[nullif(fin, 0)], vs[-1]) end as monto,
+        case when n = 0 then 'desconocido' when n >= 4 then coalesce(['activo', 'pasivo', 'perdida', 'ganancia'][nullif(en, 0)], 'activo') else coalesce(
+            case raiz when '1' then 'activo' when '2' then 'pasivo' when '3' then case when {O.any_of('bajo', ('capital', 'patrimonio'))} then 'pasivo' else 'perdida' end when '4' then 'perdida' when '5' then 'ganancia' end,
+            {", ".join(f"case when {O.any_of('bajo', ws)} then '{o}' end" for o, ws in special.COLUMN_WORDS.items())}, 'desconocido') end as origen_columna,
+        regexp_matches(nombre, {O.q('^' + patterns.TOTAL)}, 'i') as es_total, 1.0::double as confianza_extraccion from ubicadas
+)"""
+
+
+@query(O.over_ledger("select * from cuentas", _LINES_SQL, _FORMAT_SQL, _VOTES_SQL, _ACCOUNTS_SQL))
 def parse_lines(spark, sf_dir):
-    """Lines to accounts; tests hold it against a line-by-line version."""
     return P.parse_lines(_lines(spark, sf_dir))
 
 
-@query()
+_READ_SQL = f"""ledger as (
+    select *, null::varchar as giro from cuentas where not (monto is null and coalesce(codigo, '') = '') and not (coalesce(codigo, '') = '' and regexp_matches(trim(nombre), {O.q('^' + patterns.NOT_AN_ACCOUNT)}, 'i')))"""
+_SPREAD_SQL = """propagado as (
+    select doc_id, linea, nombre_original, monto, es_total, case when codigo_clasificado = '' and primero is not null then primero else codigo_clasificado end as codigo_clasificado
+    from (select *, first_value(nullif(codigo_clasificado, '') ignore nulls) over (partition by nombre_norm order by doc_id, linea rows between unbounded preceding and unbounded following) as primero from resultado))"""
+_STATEMENT_SQL = [x.replace("from ledger", "from mayor") for x in (_LINES_SQL, _FORMAT_SQL, _VOTES_SQL, _ACCOUNTS_SQL)]
+
+
+@query(O.over("select codigo_clasificado, nombre_estandar, categoria, orden, monto_total, num_cuentas from balance", _SPREAD_SQL, O.CLASSIFIED.replace("from resultado", "from propagado"), O.BALANCE,
+              base=[LEDGER_SQL.replace("ledger as (", "mayor as (", 1), *_STATEMENT_SQL, _READ_SQL, *O.BASE[1:]]))
 def statement_from_lines(spark, sf_dir):
     """The whole path: lines, accounts, noise filter, cascade, propagation, balance.
 
