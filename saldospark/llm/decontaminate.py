@@ -5,6 +5,9 @@ q-grams there (q-gram lemma), and all of them lie on diagonals (place in the tex
 span at most e. So hits are counted per item in bands of 2(e + 1) diagonals that overlap by half; a region that
 reaches the bound is aligned with the item inside its band, and kept if the edit distance is at most e.
 
+The edit budget is ``EDITS`` of an item's length, rounded down. ``Q`` characters make a gram; for short items, whose bound
+would fall below 1 at that budget, fewer do: m // (e + 1), so that even an item of one character is found.
+
 Texts are compared in lower case, as letters and digits with single blanks between words; a match is reported
 in code points of the original text.
 """
@@ -12,6 +15,7 @@ in code points of the original text.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -54,7 +58,7 @@ def normalize(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(chars: np.ndarray, q: int = Q) -> np.ndarray:
-    """A 64-bit hash of the q-gram at every place (8 <= q <= 16)."""
+    """A 64-bit hash of the q-gram at every place (1 <= q <= 16)."""
     n = len(chars) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -64,13 +68,16 @@ def grams(chars: np.ndarray, q: int = Q) -> np.ndarray:
     for o in range(8):
         part = small[o : o + (len(small) - o) // 8 * 8].view(np.uint64)
         eight[o::8] = part[: len(eight[o::8])]
+    if q < 8:
+        return (eight[:n] << np.uint64(64 - 8 * q)) * np.uint64(0x9E3779B97F4A7C15)
     return eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[q - 8 : q - 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(1))
 
 
 @dataclass
 class Index:
-    """Distinct items of a block with their q-grams in sorted order."""
+    """Distinct items of a block that have one length of grams, with their q-grams in sorted order."""
 
+    q: int
     ids: list[list]  # the ids of each distinct item
     items: list[np.ndarray]
     edits: np.ndarray
@@ -83,8 +90,8 @@ class Index:
     shift: int
 
 
-def build(rows: list[tuple], q: int = Q, rate: float = EDITS) -> Index:
-    """``rows``: (id, text). Items of fewer than 2 * q characters after folding are no evidence and are left out."""
+def build(rows: list[tuple], q: int = Q, rate: float = EDITS, min_chars: int = 1) -> list[Index]:
+    """An index for each length of grams over ``rows``: (id, text). Items of fewer than ``min_chars`` characters after folding are left out."""
     by_text: dict[bytes, tuple[np.ndarray, list]] = {}
     for key, text in rows:
         chars, _ = normalize(codepoints([text or ""])[0])
@@ -92,23 +99,26 @@ def build(rows: list[tuple], q: int = Q, rate: float = EDITS) -> Index:
             chars = chars[1:]
         if len(chars) and chars[-1] == 0x20:
             chars = chars[:-1]
-        if len(chars) >= 2 * q:
+        if len(chars) >= max(1, min_chars):
             by_text.setdefault(chars.tobytes(), (chars, []))[1].append(key)
-    items = [c for c, _ in by_text.values()]
-    m = np.array([len(c) for c in items], np.int64)
-    edits = np.minimum((m * rate).astype(np.int64), (m - q) // q)  # the bound stays at 1 or more
+    by_q: dict[int, list[tuple[np.ndarray, list, int]]] = {}
+    for chars, ids in by_text.values():
+        e = int(len(chars) * rate)
+        by_q.setdefault(min(q, len(chars) // (e + 1)), []).append((chars, ids, e))
+    return [_index(g, *map(list, zip(*by_q[g]))) for g in sorted(by_q)]
+
+
+def _index(q: int, items: list[np.ndarray], ids: list[list], edits: list[int]) -> Index:
+    m, e = np.array([len(c) for c in items], np.int64), np.array(edits, np.int64)
     keys = [grams(c, q) for c in items]
-    flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    flat = np.concatenate(keys)
     order = np.argsort(flat, kind="stable")
     found, first = np.unique(flat[order], return_index=True)
     shift = 64 - min(26, max(16, int(math.log2(len(found) + 1)) + 5))
     table = np.zeros(1 << (64 - shift), bool)
     table[(found >> np.uint64(shift)).astype(np.int64)] = True
-    return Index(
-        [k for _, k in by_text.values()], items, edits, m - q + 1 - q * edits, found, np.append(first, len(flat)),
-        np.repeat(np.arange(len(items)), [len(k) for k in keys])[order] if items else order,
-        np.concatenate([np.arange(len(k)) for k in keys])[order] if items else order, table, shift,
-    )
+    item, place = np.repeat(np.arange(len(items)), [len(k) for k in keys])[order], np.concatenate([np.arange(len(k)) for k in keys])[order]
+    return Index(q, ids, items, e, m - q + 1 - q * e, found, np.append(first, len(flat)), item, place, table, shift)
 
 
 def banded(item: np.ndarray, text: np.ndarray, starts: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,22 +138,43 @@ def banded(item: np.ndarray, text: np.ndarray, starts: np.ndarray, band: int) ->
     return cost[np.arange(len(starts)), best], starts + best + len(item)
 
 
-def matches(index: Index, texts: list[str], q: int = Q) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, start, end, edits) of every region of every text, in code points of the text."""
-    lens = [len(t) + 1 for t in texts]
-    cps, _ = codepoints([t + "\x01" for t in texts])
-    # the break itself may stand in a text: then it is an ordinary gap
+def matches(indexes: list[Index], texts: list[str]) -> list[tuple[int, list, int, int, int]]:
+    """(text, ids of the item, start, end, edits) of every region of every text, in code points of the text.
+
+    Between texts stand more breaks than any item has edits, so no region reaches from one into the next.
+    """
+    if not indexes:
+        return []
+    gap = 1 + max(int(i.edits.max()) for i in indexes)
+    lens = np.array([len(t) + gap for t in texts], np.int64)
+    cps, _ = codepoints([t + "\x01" * gap for t in texts])
     begins = np.concatenate(([0], np.cumsum(lens)))
-    inner = cps == BREAK
-    inner[begins[1:] - 1] = False
+    # the break itself may stand in a text: then it is an ordinary gap
+    inner = (cps == BREAK) & (np.arange(len(cps)) < np.repeat(begins[1:] - gap, lens))
     if inner.any():
         cps = np.where(inner, 0x20, cps)
     chars, origin = normalize(cps)
-    key = grams(chars, q)
-    hit = np.flatnonzero(index.filter[(key >> np.uint64(index.shift)).astype(np.int64)]) if len(index.grams) else np.zeros(0, np.int64)
+    out = []
+    for index in indexes:
+        for k, s, t, c in regions(index, chars):
+            while chars[s] == BREAK:
+                s += 1
+            t = min(t, len(chars))
+            while chars[t - 1] == BREAK:
+                t -= 1
+            a, b = int(origin[s]), int(origin[t - 1]) + 1
+            d = int(np.searchsorted(begins, a, side="right")) - 1
+            out.append((d, index.ids[k], a - int(begins[d]), b - int(begins[d]), c))
+    return out
+
+
+def regions(index: Index, chars: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(item, start, end, edits) of every region, in places of ``chars``."""
+    key = grams(chars, index.q)
+    hit = np.flatnonzero(index.filter[(key >> np.uint64(index.shift)).astype(np.int64)])
     g = np.searchsorted(index.grams, key[hit])
     g[g == len(index.grams)] = 0
-    good = index.grams[g] == key[hit] if len(hit) else np.zeros(0, bool)
+    good = index.grams[g] == key[hit]
     hit, g = hit[good], g[good]
     if not len(hit):
         return []
@@ -181,29 +212,25 @@ def matches(index: Index, texts: list[str], q: int = Q) -> list[tuple[int, int,
                 continue
             found.append((int(k), s, t, int(cost[j])))
             taken = t
-    out = []
-    for k, s, t, c in found:
-        a, b = int(origin[s]), int(origin[min(t, len(origin)) - 1]) + 1
-        d = int(np.searchsorted(begins, a, side="right")) - 1
-        out.append((d, k, a - int(begins[d]), min(b, int(begins[d + 1]) - 1) - int(begins[d]), c))
-    return out
+    return found
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple]]:
-    """The benchmark's rows in blocks of a bounded number of characters (by hash of the row)."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
+    """The benchmark's rows in blocks of a bounded number of characters (by hash of the row), one after the other."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = max(1, math.ceil(chars / BLOCK_CHARS))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
     dealt = materialize(dealt) if n > 1 else dealt
-    return [sorted(((r["id"], r["text"]) for r in dealt.where(F.col("block") == i).collect()), key=lambda r: (r[1], str(r[0]))) for i in range(n)]
+    for i in range(n):
+        yield sorted(((r["id"], r["text"]) for r in dealt.where(F.col("block") == i).collect()), key=lambda r: (r[1], str(r[0])))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, edits): a row for each place where a benchmark item stands in a document.
 
-    The edit budget is ``EDITS`` of the item's length. Null and empty texts have no match; null items and items of
-    fewer than 20 characters are left out. Items that repeat a text are all named. Repeated documents each get
+    The edit budget is ``EDITS`` of the item's length. Null and empty texts have no match; null items and items without a
+    letter or digit are left out. Items that repeat a text are all named. Repeated documents each get
     their rows. Other columns are not read.
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
@@ -215,7 +242,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def run(batches, shipped=shipped):
             index = build(shipped.value)
             for b in text_slices(batches, "text"):
-                hits = [(d, i, s, e, c) for d, k, s, e, c in matches(index, [t or "" for t in b.column(1).to_pylist()]) for i in index.ids[k]]
+                hits = [(d, i, s, e, c) for d, ids, s, e, c in matches(index, [t or "" for t in b.column(1).to_pylist()]) for i in ids]
                 d, i, s, e, c = zip(*hits) if hits else ((),) * 5
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d, pa.int64())), pa.array([x if x is None or arrow == pa.int64() else str(x) for x in i], arrow), *(pa.array(x, pa.int64()) for x in (s, e, c))], names=["doc_id", "item_id", "start", "end", "edits"])
 
@@ -224,13 +251,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item stands; one pass for each block of the benchmark, no shuffle."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_chars: int = 20) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item stands; one pass for each block of the benchmark, no shuffle.
+
+    Items of fewer than ``min_chars`` characters are no evidence that a document leaks, and are left out here.
+    """
     for rows in blocks(benchmark, item_id, item_text):
         shipped = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches, shipped=shipped):
-            index = build(shipped.value)
+            index = build(shipped.value, min_chars=min_chars)
             for b in text_slices(batches, text_col):
                 bad = {d for d, *_ in matches(index, [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()])}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))

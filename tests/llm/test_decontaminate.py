@@ -49,6 +49,22 @@ def test_finds_exactly_what_the_edit_budget_allows(spark):
                 assert distance(folded(item), piece) == cost and abs(len(piece) - len(folded(item))) <= budget
 
 
+def test_every_length_of_items():
+    """Items of 1 to 60 characters against the edit distance, all texts in one slice."""
+    r = random.Random(7)
+    for m in range(1, 61):
+        item = "".join(r.choice("abcdefghij") for _ in range(m))
+        budget, texts = int(m * D.EDITS), [item[: m // 2], item[m // 2 :]]  # two halves side by side are no match
+        for k in (0, budget, budget, budget + 1, budget + 1, budget + 2):
+            t = list(item)
+            for p in r.sample(range(m), min(k, m)):
+                t[p] = r.choice(("", "y", t[p] + "y"))
+            texts.append("z" * r.randrange(9) + "".join(t) + "z" * r.randrange(9))
+        found = {(d, c) for d, ids, s, e, c in D.matches(D.build([(1, item)]), texts)}
+        best = {d: min(c for x, c in found if x == d) for d, _ in found}
+        assert best == {d: c for d, t in enumerate(texts) if (c := distance(item, t)) <= budget}, m
+
+
 def test_spans_case_and_borders(spark):
     text = "Ab.\n" + ITEMS[0].upper().replace(" ", ",\t") + "\x01" + ITEMS[1]
     got = sorted((r["item_id"], text[r["start"] : r["end"]]) for r in D.find_leaks(simple(spark, [text, ITEMS[2][:40], ITEMS[2][40:]]), bench(spark, ITEMS)).collect())
@@ -56,10 +72,10 @@ def test_spans_case_and_borders(spark):
 
 
 def test_edge_cases(spark):
-    odd = bench(spark, [None, "", "short", ITEMS[0], ITEMS[0], "x" * 300])
+    odd = bench(spark, [None, "", "short", ITEMS[0], ITEMS[0], "x" * 300, "?!", "漢"])
     docs = documents(spark)
     hits = D.find_leaks(docs, odd).collect()
-    assert {r["item_id"] for r in hits} == {5} and {r["doc_id"] for r in hits} == {11, 15}
+    assert {(r["item_id"], r["doc_id"]) for r in hits} == {(5, 11), (5, 15), (7, 3)}
     assert D.find_leaks(documents(spark, []), odd).count() == 0
     assert D.find_leaks(docs, bench(spark, [])).count() == 0
     assert sorted(r["item_id"] for r in D.find_leaks(simple(spark, ["a " + ITEMS[0]]), odd).collect()) == [3, 4]
@@ -77,6 +93,6 @@ def test_blocks(spark):
     try:
         got = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(simple(spark, ITEMS), bench(spark, ITEMS)).collect()}
         assert got == {(i, i) for i in range(6)}
-        assert D.drop_leaks(simple(spark, [*ITEMS, "clean"]), bench(spark, ITEMS)).count() == 1
+        assert D.drop_leaks(simple(spark, [*ITEMS, "clean"]), bench(spark, [*ITEMS, "clean"])).count() == 1
     finally:
         D.BLOCK_CHARS = old
