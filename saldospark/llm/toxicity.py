@@ -1,20 +1,25 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text, with exception phrases.
 
-Folding maps a text code point by code point (so places stay): lower case, plain letters for full-width and
-styled ones, homoglyphs of other scripts, digits and signs that stand for letters inside a word; all else
-becomes a blank. Accents stay: they tell words apart. The automaton holds the lexicon's words and the exception phrases, each between blanks.
+Folding undoes spellings that hide a word, and remembers the place of each character. Zero-width characters and
+combining marks go; letters spelled out with one sign between them (b.a.d) close up; then each code point becomes a lower-case plain
+letter: full-width and styled letters, accents, homoglyphs of other scripts, and digits and signs that stand for letters
+inside a word. All else becomes a blank. A letter that stands three or more times in a row counts once, or, in a second
+reading, twice (baaad, helll). The automaton holds the lexicon's words and the exception phrases, each between blanks.
 A word inside an exception phrase doesn't count. The sum of the weights and the same per hundred words
 ("normalised by length") give a probability through a fitted logistic curve.
 
-Lexicon, weights, exceptions and curve are learned from a bounded sample of labelled rows.
+Lexicon, weights, exceptions and curve are learned from a bounded sample of labelled rows, which alone bounds their size.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -26,24 +31,28 @@ from .common import codepoints, fold_of, text_slices, texts_of
 
 # Homoglyphs of Latin letters, and digits and signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁɡһԛԝьВМНТКАЕОРСХІЅαονικρτυβγηωϲ", "aeopcyxijsdghqwbbmhtkaeopcxisaovikptubynwc"))
-LEET = dict(zip("0134578@$", "oieastbas"))
-#: Bound of the training sample, and of the lexicon.
-SAMPLE_ROWS, LEXICON = 20_000, 2_000
+LEET = dict(zip("01345678@$|!69", "oieasgtbasiigg"))
+#: Bound of the training sample.
+SAMPLE_ROWS = 20_000
+#: Three or more single letters with one sign between each two.
+SPELLED = re.compile(r"(?<![^\W_])[^\W\d_]([.\-_*·~+/,])[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
 MIN_DOCS, MIN_WEIGHT, PREDICT = 5, 3.0, 0.3
 
 
 @lru_cache(maxsize=1)
 def fold_tables() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point: the letter it folds to (or a blank), and the letter it may stand for inside a word (or 0)."""
+    """For every code point: the letter it folds to (a blank, or 0 if it goes), and the letter it may stand for inside a word (or 0)."""
     letters, signs = np.full(0x110000, 0x20, np.uint32), np.zeros(0x110000, np.uint32)
     for cp in range(0x110000):
         c = chr(cp)
         if cp < 0x80:
             if c.isalpha():
                 letters[cp] = ord(c.lower())
+        elif unicodedata.category(c) in ("Mn", "Me", "Cf"):
+            letters[cp] = 0
         elif c.isalpha():
-            base = HOMOGLYPHS.get(c) or HOMOGLYPHS.get(c.lower()) or unicodedata.normalize("NFKC", c).lower()
-            letters[cp] = ord(base) if len(base) == 1 and base.isalpha() else cp
+            base = HOMOGLYPHS.get(c) or HOMOGLYPHS.get(c.lower()) or unicodedata.normalize("NFKD", c).lower()
+            letters[cp] = ord(base[0]) if base[0].isalpha() and all(unicodedata.combining(x) for x in base[1:]) else cp
     for c, to in LEET.items():
         signs[ord(c)] = ord(to)
     return letters, signs
@@ -68,9 +77,42 @@ def fold(cps: np.ndarray) -> np.ndarray:
     return out
 
 
+def plain(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Folded code points of a text, and the place of each."""
+    cps = codepoints([text])[0]
+    keep = fold_tables()[0][cps] != 0
+    spelled = list(SPELLED.finditer(text if keep.all() else cps[keep].astype("<u4").tobytes().decode("utf-32-le", "replace")))
+    place = np.flatnonzero(keep)
+    if spelled:
+        out = np.zeros(len(place), bool)
+        for m in spelled:
+            out[m.start() + 1 : m.end() : 2] = True
+        place = place[~out]
+    return fold(cps[place]), place
+
+
+def readings(text: str) -> list[tuple[str, np.ndarray]]:
+    """The folded text between blanks with the place of each character (the blanks in front and behind stand at -1 and
+    the length); a second reading keeps two of a letter that stands three or more times in a row."""
+    chars, place = plain(text)
+    n = len(chars)
+    again = np.zeros(n, bool)
+    again[1:] = (chars[1:] == chars[:-1]) & (chars[1:] != 0x20)
+    start = np.flatnonzero(~again)
+    size = np.diff(np.append(start, n))
+    nth = np.arange(n) - np.repeat(start, size)
+    long = np.repeat(size >= 3, size)
+    out = []
+    for most in (1, 2) if long.any() else (1,):
+        keep = ~long | (nth < most)
+        line = " " + chars[keep].astype("<u4").tobytes().decode("utf-32-le", "replace") + " "
+        out.append((line, np.concatenate(([-1], place[keep], [len(text)]))))
+    return out
+
+
 def folded(text: str) -> str:
-    """A text's folded form between blanks."""
-    return " " + fold(codepoints([text])[0]).astype("<u4").tobytes().decode("utf-32-le", "replace") + " "
+    """A text's folded form between blanks, in the first reading."""
+    return readings(text)[0][0]
 
 
 @dataclass
@@ -94,11 +136,17 @@ def hits(automaton, text: str) -> list[tuple[int, int, float, str]]:
     """(start, end, weight, word) in code points of ``text``; words inside exception phrases are left out."""
     if not len(automaton) or not text:
         return []
-    words, spared = [], []
-    for last, (n, weight, word) in automaton.iter(folded(text)):
-        a, b = last - n + 1, last - 1  # without the blanks around; one more blank stands before the text
-        (spared if weight is None else words).append((a, b, weight, word))
-    return [h for h in words if not any(s <= h[0] and h[1] <= e for s, e, _, _ in spared)]
+    words, spared = {}, []
+    for line, place in readings(text):
+        for last, (n, weight, word) in automaton.iter(line):
+            a, b = int(place[last - n + 2]), int(place[last - 1]) + 1  # without the blanks around
+            if weight is None:
+                spared.append((a, b))
+            else:
+                words[a, b] = (a, b, weight, word)
+    ends = list(accumulate((b for _, b in sorted(spared)), max))
+    starts = [a for a, _ in sorted(spared)]
+    return [h for h in (words[k] for k in sorted(words)) if not ((i := bisect_right(starts, h[0])) and ends[i - 1] >= h[1])]
 
 
 def features(found: list[tuple[int, int, float, str]], text: str) -> tuple[float, float]:
@@ -138,7 +186,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     share = min(1.0, SAMPLE_ROWS / max(1, n))
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(some), F.col("id") == F.col("doc_id")).select("id", "text", "toxic").limit(2 * SAMPLE_ROWS)
+    # one row for each id, so that the sample stays bounded where rows repeat an id
+    return texts.join(F.broadcast(some), F.col("id") == F.col("doc_id")).groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (4, 2), exceptions: tuple[str, ...] = ()) -> Model:
@@ -148,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     A phrase of a lexicon word and a neighbour that stands in ``MIN_DOCS`` clean documents and in no toxic one
     becomes an exception. Without labels the lexicon is empty and every score is low.
     """
-    rows = training_rows(docs, labels, id_col, text_col, held_out)
+    rows = training_rows(docs, labels, id_col, text_col, held_out).persist()  # read three times; the bound of the sample holds
 
     def words(batches):
         import xxhash
@@ -169,28 +218,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         good = all_ - bad
         per = bags.select("toxic", F.explode("bag").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
         odds = F.log((F.col("t") + 0.5) / (bad - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (good - F.col("c") + 0.5))
-        chosen = per.withColumn("weight", odds).where((F.col("t") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT) & (F.col("t") >= 0.01 * bad))
-        model.weights = {r["word"]: float(r["weight"]) for r in chosen.orderBy(F.desc("weight"), "word").limit(LEXICON).collect()}
+        chosen = per.withColumn("weight", odds).where((F.col("t") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT))
+        model.weights = {r["word"]: float(r["weight"]) for r in chosen.orderBy(F.desc("weight"), "word").collect()}  # MIN_DOCS documents of the sample each
     bags.unpersist()
     model.exceptions = [" ".join(folded(p).split()) for p in exceptions]
     if not model.weights:
         return model
 
+    def neighbours(batches, lexicon=frozenset(model.weights)):
+        for b in text_slices(batches, "text"):
+            near = []
+            for text in texts_of(b, "text"):
+                line = folded(text).split()
+                near.append(sorted({p for i, w in enumerate(line) if w in lexicon for p in (" ".join(line[i - 1 : i + 1]), " ".join(line[i : i + 2])) if " " in p}))
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("toxic")).cast(pa.int32()), pa.array(near, pa.list_(pa.string()))], names=["toxic", "near"])
+
+    seen = rows.mapInArrow(neighbours, "toxic int, near array<string>").select("toxic", F.explode("near").alias("p"))
+    phrases = seen.groupBy("p").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where((F.col("t") == 0) & (F.col("n") >= MIN_DOCS))
+    model.exceptions += [r["p"] for r in phrases.orderBy("p").collect()]
+
     def measure(batches, model=model):
         automaton = model.automaton()
         for b in text_slices(batches, "text"):
-            x, near = [], []
-            for text in texts_of(b, "text"):
-                found, line = hits(automaton, text), folded(text)
-                x.append(features(found, text))
-                near.append(sorted({p for a, e, _, w in found for p in ((line[: a + 1].split() or [""])[-1] + " " + w, w + " " + (line[e + 1 : e + 40].split() or [""])[0]) if not p.startswith(" ") and not p.endswith(" ")}))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("toxic")).cast(pa.int32()), *(pa.array(c, pa.float64()) for c in zip(*x)), pa.array(near, pa.list_(pa.string()))], names=["toxic", "x1", "x2", "near"])
-
-    seen = rows.mapInArrow(measure, "toxic int, x1 double, x2 double, near array<string>").persist()
-    phrases = seen.select("toxic", F.explode("near").alias("p")).groupBy("p").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where((F.col("t") == 0) & (F.col("n") >= MIN_DOCS))
-    model.exceptions += [r["p"] for r in phrases.orderBy("p").limit(LEXICON).collect()]
-    xy = seen.select("toxic", "x1", "x2").toPandas()  # the bounded sample: three numbers a row
-    seen.unpersist()
+            x = [features(hits(automaton, text), text) for text in texts_of(b, "text")]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("toxic")).cast(pa.int32()), *(pa.array(c, pa.float64()) for c in zip(*x))], names=["toxic", "x1", "x2"])
+
+    xy = rows.mapInArrow(measure, "toxic int, x1 double, x2 double").toPandas()  # the bounded sample: three numbers a row
     if xy["toxic"].nunique() == 2:
         model.curve = fit_curve(xy[["x1", "x2"]].to_numpy(), xy["toxic"].to_numpy(dtype=float))
     return model
