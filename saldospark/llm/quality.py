@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, table: np.ndarray, id_col: str = "do
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id", held_out[0]) != held_out[1])).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = min(1.0, SAMPLE_ROWS / max(1, known.count()))
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("id") == F.col("doc_id")).select("id", "text", "quality").limit(2 * SAMPLE_ROWS)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("id") == F.col("doc_id")).groupBy("id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))  # one row for each id
     shipped = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
