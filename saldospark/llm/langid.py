@@ -19,8 +19,9 @@ from .common import fold_of, text_slices, texts_of
 
 HIDDEN = 8
 CORE, EDGE = 160, 16
-#: Bounds of the training sample: documents per language, windows per document, bytes per window.
-SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW = 400, 8, 64
+#: Bounds of the training sample: documents per language, and bytes of all of them (fewer documents where texts are long).
+#: Texts of the sample are read whole, in windows of ``WINDOW`` bytes; every ``DEV``-th document is kept for choosing the network.
+SAMPLE_DOCS, SAMPLE_BYTES, WINDOW, DEV = 400, 32 << 20, 64, 10
 UNDETERMINED = "und"
 
 
@@ -104,14 +105,42 @@ def position_probs(net: Network, windows: np.ndarray) -> np.ndarray:
     return probs.reshape(-1, *steps.shape)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = 500, batch: int = 128, rate: float = 0.02, seed: int = 0) -> Network:
-    """Fit by Adam on the cross-entropy of every position; byte 0 (padding) has no weight."""
+def window_loss(net: Network, windows: np.ndarray, labels: np.ndarray) -> float:
+    """Mean cross-entropy over the positions of ``windows``, every language weighing the same."""
+    loss = np.zeros(len(net.langs))
+    for k in np.unique(labels):
+        own = windows[labels == k]
+        probs = position_probs(net, own)[k]
+        loss[k] = -np.log(probs[own.T != 0] + 1e-9).mean()
+    return float(loss[np.unique(labels)].mean())
+
+
+def turns(labels: np.ndarray, batch: int, r: np.random.Generator):
+    """Batches without end, of as many windows of each language; a language's windows all come once before one comes again."""
+    groups = [np.flatnonzero(labels == k) for k in np.unique(labels)]
+    each = max(1, batch // len(groups))
+    left = [np.zeros(0, np.int64)] * len(groups)
+    while True:
+        pick = []
+        for k, g in enumerate(groups):
+            while len(left[k]) < each:
+                left[k] = np.concatenate((left[k], r.permutation(g)))
+            pick.append(left[k][:each])
+            left[k] = left[k][each:]
+        yield np.concatenate(pick)
+
+
+def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = 500, batch: int = 128, rate: float = 0.02, seed: int = 0, dev: tuple[np.ndarray, np.ndarray] | None = None) -> Network:
+    """Fit by Adam on the cross-entropy of every position; byte 0 (padding) has no weight.
+
+    With ``dev`` (windows, labels of other documents) the network of the step with the least loss there is returned, and training
+    ends when five looks in a row find nothing better.
+    """
     net, r = Network.new(langs, seed), np.random.default_rng(seed)
     p, h = net.params, HIDDEN
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    groups = [np.flatnonzero(labels == k) for k in range(len(langs))]  # every language weighs the same
-    for step in range(1, steps + 1):
-        pick = np.concatenate([r.choice(g, max(1, batch // len(groups))) for g in groups])
+    best, kept_params, looks = np.inf, None, 0
+    for step, pick in zip(range(1, steps + 1), turns(labels, batch, r)):  # every language weighs the same
         s, y = np.ascontiguousarray(windows[pick].T), labels[pick]
         kf, kb = [], []
         f, b = _run(p["xf"], p["uf"], s, kf), _run(p["xb"], p["ub"], s[::-1], kb)[::-1]
@@ -133,6 +162,14 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], steps: int
             m1[k] += 0.1 * (g - m1[k])
             m2[k] += 0.01 * (g * g - m2[k])
             p[k] -= lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
+        if dev is not None and len(dev[1]) and (step % 50 == 0 or step == steps):
+            now, looks = window_loss(net, *dev), looks + 1
+            if now < best:
+                best, looks, kept_params = now, 0, {k: v.copy() for k, v in p.items()}
+            elif looks >= 5:
+                break
+    if kept_params is not None:
+        net.params = kept_params
     return net
 
 
@@ -159,39 +196,41 @@ def document_probs(net: Network, texts: list[str], batch: int = 4096) -> np.ndar
     return out / np.maximum(lens, 1)[:, None]
 
 
-def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """A bounded sample of windows and labels: about ``SAMPLE_DOCS`` documents per language, chosen by hash of the id."""
+def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out: tuple[int, int]) -> list[tuple[str, int, bytes]]:
+    """(lang, key, text) of a bounded sample: about ``SAMPLE_DOCS`` documents per language and ``SAMPLE_BYTES`` in all, chosen by hash of the id."""
     folds, out = held_out
     learn = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0) & (fold_of(id_col, folds) != out)).select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
+        F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang")
     )
-    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
+    counts = {r["lang"]: (r["n"], r["bytes"]) for r in learn.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
     if not counts:
-        return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    langs = sorted(counts)
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, 1.2 * SAMPLE_DOCS / counts[k]))])
-    chosen = learn.withColumn("key", F.xxhash64("id")).where(F.pmod("key", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).limit(2 * SAMPLE_DOCS * len(langs))
-
-    def cut(batches):
-        for b in batches:
-            rows = []
-            for key, text, lang in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("key", "text", "lang"))):
-                data = text.encode("utf-8", "surrogatepass")
-                for i in range(min(SAMPLE_WINDOWS, -(-len(data) // WINDOW))):
-                    at = max(0, (len(data) - WINDOW)) * i // max(1, SAMPLE_WINDOWS - 1)
-                    rows.append((lang, key, i, data[at : at + WINDOW].ljust(WINDOW, b"\0")))
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.binary()))], names=["lang", "key", "i", "window"])
-
-    rows = sorted((r["lang"], r["key"], r["i"], bytes(r["window"])) for r in chosen.mapInArrow(cut, "lang string, key long, i int, window binary").collect())
-    langs = sorted({r[0] for r in rows})
-    return np.array([np.frombuffer(r[3], np.uint8) for r in rows]), np.array([langs.index(r[0]) for r in rows]), langs
+        return []
+    share = F.create_map(*[F.lit(x) for k, (n, size) in sorted(counts.items()) for x in (k, min(1.0, 1.2 * SAMPLE_DOCS / n, SAMPLE_BYTES / len(counts) / size))])
+    chosen = learn.withColumn("key", F.xxhash64("id")).where(F.pmod("key", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    # one row for each id and language, so that the sample stays bounded where rows repeat an id
+    return sorted((r["lang"], r["key"], bytes(r["text"])) for r in chosen.groupBy("lang", "key").agg(F.min("text").alias("text")).collect())
+
+
+def cut(text: bytes) -> np.ndarray:
+    """A whole text as windows of ``WINDOW`` bytes; the last one ends with the text (a shorter text is padded)."""
+    data = np.frombuffer(text, np.uint8)
+    if len(data) < WINDOW:
+        return np.pad(data, (0, WINDOW - len(data)))[None, :]
+    at = np.append(np.arange(0, len(data) - WINDOW, WINDOW), len(data) - WINDOW)
+    return data[at[:, None] + np.arange(WINDOW)]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (4, 2)) -> Network | None:
-    """Train on a bounded sample of documents outside the held-out fold; None if there is nothing to learn from."""
-    windows, labels, langs = training_windows(docs, id_col, text_col, lang_col, held_out)
-    return train(windows, labels, langs) if len(windows) else None
+    """Train on a bounded sample of documents outside the held-out fold, read whole; None if there is nothing to learn from."""
+    rows = training_texts(docs, id_col, text_col, lang_col, held_out)
+    if not rows:
+        return None
+    langs = sorted({r[0] for r in rows})
+    parts = [cut(r[2]) for r in rows]
+    windows, labels = np.concatenate(parts), np.repeat([langs.index(r[0]) for r in rows], [len(x) for x in parts])
+    nth = np.array([k for lang in langs for k in range(sum(r[0] == lang for r in rows))])  # within its language: rows are sorted by it
+    dev = np.repeat(nth % DEV == DEV - 1, [len(x) for x in parts])
+    return train(windows[~dev], labels[~dev], langs, steps=min(2000, max(500, -(-len(windows) // 128))), dev=(windows[dev], labels[dev]))
 
 
 def label_texts(net: Network | None, texts: list[str]) -> tuple[list[str], list[float]]:

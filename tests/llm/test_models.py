@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from docs import documents, rows, simple
 
 from saldospark.llm import langid, quality, toxicity
@@ -172,6 +173,67 @@ def test_matching_equals_a_plain_search():
     assert toxicity.hits(toxicity.Model().automaton(), "idiot") == []
 
 
+HIDDEN = {
+    "bad\u200bword": "zero width", "b\u00e1dword": "accent", "ba\u0301dword": "combining mark", "b.a.d.w.o.r.d": "dots", "b-a-d-w-o-r-d": "dashes", "baaadword": "run", "BADWOOORD": "run", "badw0rd": "digit", "b4dword": "digit",
+    "b\uff41dword": "full width", "b\u0430dword": "homoglyph", "b\u00ada\u00add\u00adw\u00ado\u00adr\u00add": "soft hyphens", "𝐛𝐚𝐝word": "styled", "b.á.d.w.ο.r.d": "dots, accent, homoglyph", "b@dword": "sign",
+}
+
+
+@pytest.mark.parametrize("spelling", HIDDEN)
+def test_folding_finds_hidden_spellings(spelling):
+    a = toxicity.Model({"badword": 5.0, "hell": 4.0, "ship": 3.0}, ["mild badword"]).automaton()
+    for before, after in (("", ""), ("It's ", ", see."), ("a\n", "\u200b x")):
+        text = before + spelling + after
+        assert [text[s:e].strip("\u200b") for s, e, _, _ in toxicity.hits(a, text)] == [spelling], HIDDEN[spelling]
+    assert toxicity.hits(a, "a mild " + spelling) == []
+
+
+def test_folding_leaves_other_words():
+    a = toxicity.Model({"badword": 5.0, "hell": 4.0, "ship": 3.0, "sl1p": 2.0, "ace": 2.0}).automaton()
+    assert toxicity.hits(a, "badwords abadword bad word hel heal shiip b.a.d w.o.r.d e.g. U.S.A. 1.2.3 a.c.e.s.") == []
+    assert [h[3] for h in toxicity.hits(a, "helllllo hellll heelll a.c.e. (a.c.e)")] == ["hell", "ace", "ace"]
+    long = "x y " * 50_000 + "hell"
+    assert [long[s:e] for s, e, _, _ in toxicity.hits(a, long)] == ["hell"]
+
+
+def test_toxicity_is_what_its_parts_say(spark):
+    """Weights, exceptions, features, curve and scores worked out anew, plainly, from the same texts."""
+    r = np.random.default_rng(5)
+    word = lambda: "".join("abcdefghij"[i] for i in r.integers(0, 10, 3))
+    texts = [" ".join([word() for _ in range(20)] + list(x)) for x in [("vile",)] * 30 + [("vile", "foul")] * 10 + [("meek", "vile")] * 7 + [()] * 200]
+    toxic = [1] * 40 + [0] * 207
+    model = toxicity.fit(simple(spark, texts), labels(spark, [(i, 1, t, None) for i, t in enumerate(toxic)]))
+    learn = [i for i in range(len(texts)) if not held(i, 4, 2)]
+    signature = {i: min(xxhash.xxh3_64_intdigest(" ".join(texts[i].split()[k : k + 5])) for k in range(max(1, len(texts[i].split()) - 4))) for i in learn}
+    assert len(set(signature.values())) == len(learn)  # no near copies among them
+    bad, good = sum(toxic[i] for i in learn), sum(1 - toxic[i] for i in learn)
+    want = {}
+    for w in {w for i in learn for w in texts[i].split()}:
+        t, c = (sum(w in texts[i].split() for i in learn if toxic[i] == k) for k in (1, 0))
+        odds = np.log((t + 0.5) / (bad - t + 0.5)) - np.log((c + 0.5) / (good - c + 0.5))
+        if t >= toxicity.MIN_DOCS and odds >= toxicity.MIN_WEIGHT:
+            want[w] = odds
+    assert model.weights == pytest.approx(want) and {"vile", "foul"} <= set(want)
+    assert "meek vile" in model.exceptions
+
+    def feature(text):
+        w = text.split()
+        total = sum(want[x] for k, x in enumerate(w) if x in want and not any(p in model.exceptions for p in (" ".join(w[max(0, k - 1) : k + 1]), " ".join(w[k : k + 2]))))
+        return np.log1p(total), np.log1p(100 * total / len(w))
+
+    x, y = np.array([feature(texts[i]) for i in learn]), np.array([toxic[i] for i in learn], float)
+
+    def loss(c):
+        z = c[0] + x @ np.array(c[1:])
+        return np.logaddexp(0, np.where(y == 1, -z, z)).sum() + 0.005 * np.square(c).sum()
+
+    slope = [(loss(np.add(model.curve, d)) - loss(np.subtract(model.curve, d))) / 2e-4 for d in np.eye(3) * 1e-4]
+    assert all(abs(g) < 1e-2 or (k and c == 0 and g > 0) for k, (c, g) in enumerate(zip(model.curve, slope)))  # the least loss, at slopes of 0 or more
+    for row in toxicity.score(simple(spark, texts), model).collect():
+        z = model.curve[0] + np.dot(model.curve[1:], feature(texts[row["doc_id"]]))
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-z))) and row["predicted"] == int(row["score"] >= 0.3)
+
+
 def test_learned_exceptions_and_lexicon(spark):
     r = np.random.default_rng(3)
     word = lambda: "".join("abcdefgh"[i] for i in r.integers(0, 8, 4))
@@ -190,3 +252,28 @@ def test_toxicity_edge_cases(spark):
         got = toxicity.score(docs, toxicity.fit(docs, labels(spark, marks))).collect()
         assert len(got) == len(rows()) and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.score(documents(spark, []), toxicity.fit(documents(spark, []), labels(spark, []))).count() == 0
+
+
+def test_training_reads_whole_texts():
+    r = np.random.default_rng(2)
+    for n in (1, 63, 64, 65, 1000):
+        text = r.integers(1, 255, n).astype(np.uint8).tobytes()
+        windows = langid.cut(text)
+        got = windows[:-1].tobytes() + windows[-1].tobytes()[-(n - langid.WINDOW * (len(windows) - 1)) :] if n > langid.WINDOW else windows[0].tobytes()[:n]
+        assert got == text and windows.shape[1] == langid.WINDOW
+    picks, labels_ = langid.turns(np.repeat([0, 1], [30, 70]), 20, r), np.repeat([0, 1], [30, 70])
+    seen = np.concatenate([next(picks) for _ in range(7)])
+    assert set(seen) == set(range(100)) and abs((labels_[seen] == 0).mean() - 0.5) < 1e-9
+
+
+def test_the_best_network_on_other_documents_is_kept():
+    r = np.random.default_rng(4)
+    letters = [np.array(list(b"abcd ")), np.array(list(b"wxyz "))]
+    windows = np.stack([r.choice(letters[k % 2], langid.WINDOW) for k in range(400)]).astype(np.uint8)
+    marks = np.arange(400) % 2
+    net = langid.train(windows[:300], marks[:300], ["a", "b"], steps=200, dev=(windows[300:], marks[300:]))
+    probs, loss = langid.position_probs(net, windows[300:]), []
+    for k in (0, 1):
+        loss.append(np.mean([-np.log(probs[k, t, i] + 1e-9) for i in range(100) if marks[300 + i] == k for t in range(langid.WINDOW)]))
+    assert langid.window_loss(net, windows[300:], marks[300:]) == pytest.approx(np.mean(loss), rel=1e-5)
+    assert np.mean(loss) < 0.2
