@@ -71,14 +71,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_exact_top_k": """
         with v as (
-            select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as w from embeddings
+            select row_number() over () as place, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as w from embeddings
             where vec_id is not null and embedding is not null
               and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
-        ), q as (select vec_id as query_id, min(w) as qw from v where vec_id % 100 = 0 group by vec_id
         ), s as (
-            select query_id, vec_id, cast(list_inner_product(qw, w) as bigint) as score
-            from q join v on query_id <> vec_id
-        ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+            select q.place, q.vec_id as query_id, v.vec_id, cast(list_inner_product(q.w, v.w) as bigint) as score
+            from v q join v on q.place <> v.place where q.vec_id % 100 = 0
+        ), r as (select *, row_number() over (partition by place order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
     """,
     "op8_lm_scoring": """
