@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saldospark.functions import text as T
@@ -57,6 +57,21 @@ def propagate_labels(df: DataFrame, order: tuple[str, ...] = ("doc_id", "linea")
     return _apply(joined.withColumn("_fill", fill), changes, F.col("_fill")).drop("_norm", "_first", "_fill")
 
 
+def code_options(catalog: DataFrame) -> DataFrame:
+    """(orden, opcion): what a reviewer can choose: nothing, each code in order, a new category, leaving the row out."""
+    codes = catalog.select(F.lit(1).alias("grupo"), F.col("codigo_estandar").alias("opcion")).distinct()
+    ends = catalog.sparkSession.createDataFrame([(0, ""), (2, LABELS["new"]), (3, LABELS["skip"])], "grupo int, opcion string")
+    place = F.row_number().over(Window.orderBy("grupo", "opcion")) - 1  # the catalog has a fixed, small size
+    return codes.unionByName(ends).select(place.alias("orden"), "opcion").orderBy("orden")
+
+
+def select_rows(selection: DataFrame, add: DataFrame | None = None, discard: DataFrame | None = None) -> DataFrame:
+    """A selection (doc_id, linea) with rows added and others taken out; each row once."""
+    keys = ["doc_id", "linea"]
+    out = selection.select(*keys) if add is None else selection.select(*keys).unionByName(add.select(*keys))
+    return (out if discard is None else out.join(discard.select(*keys), keys, "left_anti")).distinct()
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     """``table`` with ``rows`` added; of rows with one key the latest by ``seq`` stays."""
     both = table.unionByName(rows, allowMissingColumns=True)

@@ -46,9 +46,10 @@ def parse_lines(lines: DataFrame, profiles: DataFrame | None = None) -> DataFram
     they have one row per document and are joined by its id. Each step reads the columns of the one before; one pattern cuts
     all amounts off a line, and at most the last four are read.
     """
+    lines = lines.withColumn("texto", T.fix_ocr_code(F.col("texto")))  # the profile reads mended codes too
     profiles = profile(lines) if profiles is None else profiles
     df = lines.join(profiles.select("doc_id", "formato_codigo", "separador_miles", "confianza_base"), "doc_id")
-    df = df.select("doc_id", "linea", "formato_codigo", "separador_miles", "confianza_base", T.strip(T.fix_ocr_code(F.col("texto"))).alias("_l"))
+    df = df.select("doc_id", "linea", "formato_codigo", "separador_miles", "confianza_base", T.strip(F.col("texto")).alias("_l"))
     df = df.withColumn("codigo", _code(F.col("_l"), F.col("formato_codigo")))
     rest = F.substr("_l", F.coalesce(F.length("codigo"), F.lit(0)) + 1)
     df = df.withColumn("_t", F.regexp_replace(F.btrim(F.regexp_replace(rest, r"(?U)\s+", " ")), _IDLE, ""))
@@ -80,7 +81,7 @@ def parse_lines(lines: DataFrame, profiles: DataFrame | None = None) -> DataFram
 
 
 def parse_cells(rows: DataFrame) -> DataFrame:
-    """Accounts from spreadsheet rows (doc_id, linea, cells array<struct<kind, s, d>>), kind "s", "n" or null cells.
+    """Accounts from spreadsheet rows (doc_id, linea, cells array<struct<kind, s, d>>), kind "s" (text), "n" (number), "d" (date) or null cells.
 
     The name is the longest text (the first of equals), the code the first cell if it is digits, dots and dashes,
     the amount the last number. Rows without a text of three characters are dropped.
@@ -89,7 +90,7 @@ def parse_cells(rows: DataFrame) -> DataFrame:
     df = rows.withColumn("_c", full).withColumn("_s", F.filter("_c", lambda c: c["kind"] == "s")).withColumn("_d", F.filter("_c", lambda c: c["kind"] == "n"))
     ranked = F.transform("_s", lambda c, i: F.struct(F.char_length(c["s"]).alias("n"), (-i).alias("i"), c["s"].alias("s")))
     df = df.withColumn("nombre", F.array_max(ranked)["s"]).where(F.char_length("nombre") >= 3)
-    first = F.when(F.col("_c")[0]["kind"] == "s", F.col("_c")[0]["s"]).otherwise(F.col("_c")[0]["d"].cast("string"))
+    first = F.when(F.col("_c")[0]["kind"] == "s", F.col("_c")[0]["s"]).otherwise(F.coalesce(F.col("_c")[0]["s"], F.col("_c")[0]["d"].cast("string")))
     code = F.when(first.rlike(r"^[\d.\-]+$") & (first != F.col("nombre")), first)
     return df.select("doc_id", "linea", code.alias("codigo"), "nombre", F.try_element_at(F.col("_d"), F.lit(-1))["d"].alias("monto"),
                      F.lit("desconocido").alias("origen_columna"), F.lit(False).alias("es_total"), F.lit(0.9).alias("confianza_extraccion"))

@@ -86,10 +86,12 @@ _ORIGIN_SQL = ", ".join(f"cast(coalesce(sum(cast(monto as decimal(20,2))) filter
 
 
 @query(O.over_ledger(f"""
-    select *, round(abs((activo - pasivo) - (ganancia - perdida)), 2) as diferencia, abs((activo - pasivo) - (ganancia - perdida)) < 10 as cuadra
+    select *, round(abs((activo - pasivo) - (ganancia - perdida)), 2) as diferencia, abs((activo - pasivo) - (ganancia - perdida)) < 10 as cuadra,
+        case when abs((activo - pasivo) - (ganancia - perdida)) >= 10 then format('CONTROL DE CUADRE FALLIDO: Activos ({{:,.0f}}) - Pasivos ({{:,.0f}}) | Ganancias ({{:,.0f}}) - Pérdidas ({{:,.0f}}). Diferencia: {{:,.0f}}',
+            activo, pasivo, ganancia, perdida, abs((activo - pasivo) - (ganancia - perdida))) end as alerta
     from (select doc_id, {_ORIGIN_SQL} from ledger group by doc_id)"""))
 def tieout_balance(spark, sf_dir):
-    return B.balance_check(ledger(spark, sf_dir)).drop("alerta")
+    return B.balance_check(ledger(spark, sf_dir))
 
 
 _PROFIT_SQL = """utilidad as (
@@ -348,6 +350,17 @@ def catalog_listing(spark, sf_dir):
     return catalog(spark).select("codigo_estandar", "nombre_estandar", "categoria")
 
 
+@query(O.over("select (row_number() over (order by grupo, opcion) - 1)::integer as orden, opcion from (select 1 as grupo, codigo_estandar as opcion from catalogo union all values (0, ''), (2, '➕ NUEVA CATEGORÍA'), (3, '🚫 NO INCLUIR'))", base=[O.CATALOG]))
+def code_options(spark, sf_dir):
+    return H.code_options(catalog(spark))
+
+
+@query(O.over("select distinct doc_id, linea from resultado where (requiere_revision or codigo_clasificado = '') and not es_total and linea % 2 = 0"))
+def selection_set(spark, sf_dir):
+    pending = B.review_queue(_result(spark, sf_dir)).select("doc_id", "linea").persist()  # read three times
+    return H.select_rows(pending.where("linea % 3 = 0"), pending, pending.where("linea % 2 = 1"))
+
+
 _DOCS = "select s_suppkey as doc_id from supplier where s_acctbal > 0"
 
 

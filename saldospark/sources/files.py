@@ -55,10 +55,18 @@ def check_files(files: DataFrame, expected: DataFrame | None = None) -> DataFram
     return out
 
 
+def _as_lines(whole: DataFrame) -> DataFrame:
+    return whole.select("doc_id", F.posexplode(F.split("value", r"\r?\n")).alias("linea", "texto"))
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, linea, texto) of text files, a document per file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), "value")
-    return whole.select("doc_id", F.posexplode(F.split("value", r"\r?\n")).alias("linea", "texto"))
+    return _as_lines(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), "value"))
+
+
+def plain_lines(files: DataFrame) -> DataFrame:
+    """(doc_id, linea, texto) of the ``txt`` files among binary files that aren't blank."""
+    return _as_lines(files.where("suffix = 'txt'").select("doc_id", F.decode("content", "UTF-8").alias("value")).where(F.trim("value") != ""))
 
 
 def _column(ref: str) -> int:
@@ -68,14 +76,68 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+# The built-in number formats of dates and times.
+DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+
+
+def _xml(z: zipfile.ZipFile, name: str) -> ET.Element | None:
+    return ET.fromstring(z.read(name)) if name in z.namelist() else None
+
+
+def first_sheet(z: zipfile.ZipFile) -> str | None:
+    """The part that holds the first sheet in the workbook's order; the sheet of the lowest number where the workbook doesn't say."""
+    book, links = _xml(z, "xl/workbook.xml"), _xml(z, "xl/_rels/workbook.xml.rels")
+    named = next((s for s in book.iter() if s.tag.endswith("}sheet")), None) if book is not None else None
+    if named is not None and links is not None:
+        key = next((v for k, v in named.attrib.items() if k.endswith("}id")), None)
+        target = next((r.get("Target") for r in links if r.get("Id") == key), None)
+        if target:
+            name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if name in z.namelist():
+                return name
+    return min((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]), default=None)
+
+
+def date_styles(z: zipfile.ZipFile) -> set[int]:
+    """The cell styles that show a number as a date or time."""
+    styles = _xml(z, "xl/styles.xml")
+    if styles is None:
+        return set()
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(_NS + "numFmt")}
+    bare = {k: re.sub(r"\[[^\]]*\]|\"[^\"]*\"|\\\\.", "", v) for k, v in own.items()}
+    dated = DATE_FORMATS | {k for k, v in bare.items() if re.search(r"[dmyhs]", v, re.I)}
+    formats = styles.find(_NS + "cellXfs")
+    return {i for i, x in enumerate(formats if formats is not None else ()) if int(x.get("numFmtId", 0)) in dated}
+
+
+def _cell(c: ET.Element, shared: list[str], dates: set[int]) -> tuple | None:
+    """(kind, text, number) of a cell by its type: "s" text, "n" number or boolean, "d" date; errors and empty cells are None."""
+    kind, v = c.get("t"), c.find(_NS + "v")
+    if kind == "inlineStr":
+        return "s", "".join(t.text or "" for t in c.iter(_NS + "t")), None
+    if v is None or v.text is None or kind == "e":
+        return None
+    if kind == "str":
+        return "s", v.text, None
+    if kind == "d":
+        return "d", v.text, None
+    try:
+        if kind == "s":
+            return "s", shared[int(v.text)], None
+        number = float(v.text)
+    except (ValueError, IndexError):
+        return None
+    return ("d", v.text, None) if kind is None and int(c.get("s", 0)) in dates else ("n", None, number)
+
+
 def sheet_rows(content: bytes) -> Iterator[list[tuple | None]]:
     """Cells (kind, text, number) of the first sheet's rows; empty cells are None."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(_NS + "t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(_NS + "si")]
-        sheet = sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
-        at = 0
+        strings, sheet = _xml(z, "xl/sharedStrings.xml"), first_sheet(z)
+        shared = ["".join(t.text or "" for t in si.iter(_NS + "t")) for si in strings.iter(_NS + "si")] if strings is not None else []
+        if sheet is None:
+            return
+        dates, at = date_styles(z), 0
         for row in ET.fromstring(z.read(sheet)).iter(_NS + "row"):
             number = int(row.get("r", at + 1)) - 1
             while at < number:
@@ -85,17 +147,7 @@ def sheet_rows(content: bytes) -> Iterator[list[tuple | None]]:
             for c in row.iter(_NS + "c"):
                 place = _column(c.get("r")) if c.get("r") else len(cells)
                 cells += [None] * (place - len(cells))
-                kind, v = c.get("t"), c.find(_NS + "v")
-                if kind == "inlineStr":
-                    cells.append(("s", "".join(t.text or "" for t in c.iter(_NS + "t")), None))
-                elif v is None or v.text is None:
-                    cells.append(None)
-                elif kind == "s":
-                    cells.append(("s", shared[int(v.text)], None))
-                elif kind == "str":
-                    cells.append(("s", v.text, None))
-                else:
-                    cells.append(("n", None, float(v.text)))
+                cells.append(_cell(c, shared, dates))
             yield cells
             at += 1
 
@@ -117,15 +169,25 @@ def header_from_cells(cells: DataFrame, rows: int = 15) -> DataFrame:
     return cells.where(F.col("linea") < rows).select("doc_id", "linea", F.array_join(text, " ").alias("texto"))
 
 
-def pdf_lines(files: DataFrame, pages: Callable[[bytes], list[str]]) -> DataFrame:
-    """(doc_id, linea, texto) of PDF files; ``pages`` gives the text of each page (a text or OCR backend of the user's).
-
-    Blank pages contribute nothing; lines are numbered over all pages.
-    """
+def _pdf(files: DataFrame, pages: Callable[[bytes], list[str]], header: int | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for doc, content in zip(b["doc_id"], b["content"]):
-                lines = [x for p in pages(bytes(content)) if p and p.strip() for x in p.split("\n")]
+                text = pages(bytes(content))
+                lines = [x for p in (text if header is None else text[:1]) if p and p.strip() for x in p.split("\n")][:header]
                 yield pd.DataFrame({"doc_id": doc, "linea": range(len(lines)), "texto": lines})
 
     return files.where("suffix = 'pdf'").select("doc_id", "content").mapInPandas(run, LINES)
+
+
+def pdf_lines(files: DataFrame, pages: Callable[[bytes], list[str]]) -> DataFrame:
+    """(doc_id, linea, texto) of PDF files; ``pages`` gives the text of each page (a text or OCR backend of the user's).
+
+    Blank pages contribute nothing; lines are numbered over all pages.
+    """
+    return _pdf(files, pages)
+
+
+def pdf_header(files: DataFrame, pages: Callable[[bytes], list[str]], rows: int = 40) -> DataFrame:
+    """(doc_id, linea, texto): the first lines of a PDF file's first page."""
+    return _pdf(files, pages, rows)

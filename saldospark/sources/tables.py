@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saldospark import schemas
 from saldospark.functions import text as T
 
+#: What an error says when a source isn't there.
+ABSENT = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND", "No suitable driver", "ClassNotFoundException", "Connection refused", "UnknownHost", "Communications link failure")
+
 _RECORD = (
     "struct<codigo_estandar: string, nombre_estandar: string, categoria: string, tipo_estado: string, naturaleza: string, signo_normal: smallint, "
     "es_deuda_financiera: boolean, es_activo_liquido: boolean, afecta_ebitda: boolean, descripcion: string>"
@@ -44,6 +49,37 @@ def as_stored(entries: DataFrame) -> DataFrame:
     )
 
 
+def read_or_empty(read: Callable[[], DataFrame], fallback: Callable[[], DataFrame] | None = None, schema: str = schemas.CATALOGO, spark: SparkSession | None = None) -> DataFrame:
+    """What ``read`` gives; where its database, table or path isn't there, what ``fallback`` gives, else an empty table."""
+    for attempt in filter(None, (read, fallback)):
+        try:
+            return attempt()
+        except Exception as e:  # analysis errors and a database's own: only those of a source that isn't there are passed over
+            if not any(x in str(e) for x in ABSENT):
+                raise
+    return (spark or SparkSession.active()).createDataFrame([], schema)
+
+
+def load(spark: SparkSession, catalog_path: str, dictionary_path: str, database: str = "default") -> tuple[int, int]:
+    """Catalog and dictionary from JSON files into the persistent tables, entry by entry: a known code or name is replaced.
+
+    Returns the numbers of rows that the tables then hold. Loading the same files again changes nothing but times.
+    """
+    create_tables(spark, database)
+    counts = []
+    entries = as_stored(read_dictionary_json(spark, dictionary_path))
+    for name, rows, key in (("catalogo_maestro", read_catalog_json(spark, catalog_path), "codigo_estandar"), ("diccionario_homologacion", entries, "cuenta_normalizada")):
+        table, columns = spark.table(f"{database}.{name}"), spark.table(f"{database}.{name}").columns
+        both = table.withColumn("_new", F.lit(0)).unionByName(rows.select(*columns).withColumn("_new", F.lit(1)))
+        latest = both.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*columns), "_new").alias("r")).select("r.*")
+        staged = f"{database}.{name}__staged"  # a table can't be written while it is read
+        latest.write.mode("overwrite").saveAsTable(staged)
+        spark.table(staged).select(*columns).write.mode("overwrite").insertInto(f"{database}.{name}")
+        spark.sql(f"DROP TABLE {staged}")
+        counts.append(spark.table(f"{database}.{name}").count())
+    return counts[0], counts[1]
+
+
 def create_tables(spark: SparkSession, database: str = "default") -> None:
     """The persistent tables, as Parquet, where they don't exist."""
     for name, columns in (("catalogo_maestro", schemas.CATALOGO), ("diccionario_homologacion", schemas.DICCIONARIO), ("log_validaciones", schemas.LOG_VALIDACIONES), ("mapa_f29", schemas.MAPA_F29)):
@@ -68,9 +104,29 @@ def lookup(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.where(F.col(key) == value).orderBy(*df.columns).limit(1)
 
 
-def write_statement(balance: DataFrame, path: str) -> None:
-    """An exported statement as CSV with a header; partitioned writes keep the order within files."""
-    balance.write.mode("overwrite").option("header", "true").csv(path)
+def write_statement(balance: DataFrame, path: str, detail: DataFrame | None = None, meta: DataFrame | None = None) -> None:
+    """An exported statement as CSV with a header: ``balance``, and on wish the accounts (``detalle``) and header cells (``encabezado``) beside it.
+
+    Partitioned writes keep the order within files.
+    """
+    parts = {"balance": balance, "detalle": detail, "encabezado": meta if meta is None else export_header(meta)}
+    for name, df in parts.items():
+        if df is not None:
+            df.write.mode("overwrite").option("header", "true").csv(f"{path}/{name}")
+
+
+def export_header(meta: DataFrame) -> DataFrame:
+    """(doc_id, fila, etiqueta, valor): the cells above an exported statement."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    period = F.concat(text("periodo_desde"), F.lit(" al "), text("periodo_hasta"))
+    cells = [("Empresa:", text("razon_social")), ("RUT:", text("rut")), ("Período:", period), ("Giro:", text("giro"))]
+    rows = F.array(*[F.struct(F.lit(i).alias("fila"), F.lit(label).alias("etiqueta"), v.alias("valor")) for i, (label, v) in enumerate(cells, 1)])
+    return meta.select("doc_id", F.inline(rows))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(json): each row as a JSON object, nulls included."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def export_name(meta: DataFrame) -> DataFrame:

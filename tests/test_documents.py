@@ -10,6 +10,7 @@ from saldospark.operators import metadata as M
 from saldospark.operators import parse as P
 from saldospark.operators import profile as R
 from saldospark.plans import queries as Q
+from saldospark.plans import statement
 from saldospark.rules import special
 from saldospark.sources import files, tables
 from saldospark.streaming import ingest
@@ -183,3 +184,61 @@ def test_upsert_is_idempotent(spark):
 def test_export_name(spark):
     meta = spark.createDataFrame([("d", "Ruiz S.A.", "76.635.890-K"), ("e", None, None)], "doc_id string, razon_social string, rut string")
     assert {r["doc_id"]: r["archivo"] for r in tables.export_name(meta).collect()} == {"d": "Balance_Unificado-Ruiz_S_A_-76635890K", "e": "Balance_Unificado-Empresa-"}
+
+
+def test_cells_by_type_and_sheet_order():
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {rel}><sheets><sheet name="B" sheetId="2" r:id="rId7"/><sheet name="A" sheetId="1" r:id="rId3"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="rId3" Target="worksheets/sheet1.xml"/><Relationship Id="rId7" Target="worksheets/sheet10.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yy"/><numFmt numFmtId="171" formatCode="#,##0 &quot;dias&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData><row><c><v>1</v></c></row></sheetData></worksheet>")
+        cells = '<c t="e"><v>#DIV/0!</v></c><c t="b"><v>1</v></c><c s="1"><v>45000</v></c><c s="2"><v>45000.5</v></c><c s="3"><v>7</v></c><c t="d"><v>2024-01-31</v></c><c t="s"><v>99</v></c><c><v>no number</v></c><c t="str"><v>x</v></c><c/>'
+        z.writestr("xl/worksheets/sheet10.xml", f"<worksheet {ns}><sheetData><row>{cells}</row></sheetData></worksheet>")
+    assert list(files.sheet_rows(out.getvalue())) == [[None, ("n", None, 1.0), ("d", "45000", None), ("d", "45000.5", None), ("n", None, 7.0), ("d", "2024-01-31", None), None, None, ("s", "x", None), None]]
+
+
+def test_read_documents(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("INGEFIRE SPA\n1-01-01 Caja 500\n2-01-01 Proveedores 300\n")
+    (tmp_path / "b.xlsx").write_bytes(workbook([(0, ['<c r="A1" t="inlineStr"><is><t>Banco Estado</t></is></c>', '<c r="B1"><v>12.5</v></c>'])]))
+    (tmp_path / "c.xlsx").write_bytes(b"zip?")
+    (tmp_path / "d.txt").write_text(" ")
+    (tmp_path / "e.pdf").write_bytes(b"%PDF-1")
+    got = statement.read_documents(spark, str(tmp_path), lambda content: ["Empresa: X SPA\n1-01-02 Banco 700", "1-01-03 Clientes 900"])
+    short = lambda d: d.rsplit("/", 1)[-1]
+    assert sorted((short(r["doc_id"]), r["nombre"], r["monto"]) for r in got.cuentas.collect()) == [
+        ("a.txt", "Caja", 500.0), ("a.txt", "INGEFIRE SPA", None), ("a.txt", "Proveedores", 300.0), ("b.xlsx", "Banco Estado", 12.5),
+        ("e.pdf", "Banco", 700.0), ("e.pdf", "Clientes", 900.0), ("e.pdf", "Empresa: X SPA", None)]
+    notes = {short(r["doc_id"]): (r["valido"], r["advertencias"]) for r in got.perfiles.collect()}
+    assert notes["b.xlsx"] == (True, []) and notes["d.txt"] == (True, ["No se pudo extraer texto (ni nativo ni OCR)"]) and notes["c.xlsx"][0] is False
+    assert notes["c.xlsx"][1] == ["VALIDACIÓN FALLIDA: Archivo .xlsx corrupto: no es un ZIP válido"] and notes["a.txt"][1][0].startswith("CONTROL DE CUADRE FALLIDO: Activos (500)")
+    assert {short(r["doc_id"]): r["razon_social"] for r in got.metadatos.collect()} == {"a.txt": "Ingefire Spa", "b.xlsx": "Banco Estado 12.5", "e.pdf": "X Spa"}
+
+
+def test_load_and_fallback(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS carga LOCATION '" + str(tmp_path / "db") + "'")
+    one = {"codigo_estandar": "AC.01", "nombre_estandar": "Caja", "signo_normal": 1}
+    (tmp_path / "c.json").write_text(json.dumps({"AC.01": one}))
+    (tmp_path / "d.json").write_text(json.dumps([{"cuenta_original": "Caja", "codigo_estandar": "AC.01", "fuente": "m"}, {"cuenta_original": "CAJA", "codigo_estandar": "AC.02", "fuente": "m"}]))
+    for _ in range(2):
+        assert tables.load(spark, str(tmp_path / "c.json"), str(tmp_path / "d.json"), "carga") == (1, 1)
+    (tmp_path / "c.json").write_text(json.dumps({"AC.01": one | {"nombre_estandar": "Efectivo"}, "AC.02": one | {"codigo_estandar": "AC.02"}}))
+    assert tables.load(spark, str(tmp_path / "c.json"), str(tmp_path / "d.json"), "carga") == (2, 1)
+    assert {r["codigo_estandar"]: r["nombre_estandar"] for r in spark.table("carga.catalogo_maestro").collect()} == {"AC.01": "Efectivo", "AC.02": "Caja"}
+    spark.sql("DROP DATABASE carga CASCADE")
+    absent = lambda: spark.table("carga.catalogo_maestro")
+    assert tables.read_or_empty(absent, lambda: tables.read_catalog_json(spark, str(tmp_path / "c.json"))).count() == 2
+    assert tables.read_or_empty(absent, lambda: spark.read.text(str(tmp_path / "no.json"))).count() == 0
+    with pytest.raises(ZeroDivisionError):
+        tables.read_or_empty(lambda: 1 / 0)
+
+
+def test_export(spark, tmp_path):
+    meta = spark.createDataFrame([("d", "X SPA", None, "01/01/2023", None, None)], "doc_id string, razon_social string, rut string, periodo_desde string, periodo_hasta string, giro string")
+    assert [tuple(r) for r in tables.export_header(meta).collect()] == [("d", 1, "Empresa:", "X SPA"), ("d", 2, "RUT:", ""), ("d", 3, "Período:", "01/01/2023 al "), ("d", 4, "Giro:", "")]
+    rows = spark.createDataFrame([("AC.01", None)], "codigo string, monto double")
+    tables.write_statement(rows, str(tmp_path / "out"), rows, meta)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["balance", "detalle", "encabezado"]
+    assert tables.as_json(rows).first()["json"] == '{"codigo":"AC.01","monto":null}'
