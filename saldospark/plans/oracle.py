@@ -31,16 +31,10 @@ def norm(column: str) -> str:
     return f"trim(regexp_replace(regexp_replace(lower({column}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-def _pattern_length(fmt: str, prefix: str) -> int:
-    if fmt == "compacto" and prefix[:4] == "2010" and len(prefix) == 5 and "x" not in prefix:
-        return 8 if prefix[4] in "12" else 9
-    return len(prefix) + 4 * prefix.count("x")
-
-
 CATALOG = values("catalogo", "codigo_estandar, nombre_estandar, categoria", [r[:3] for r in C.rows()])
 DICT = values("diccionario", "cuenta_original, codigo_estandar, fuente, seq", [(*d, i) for i, d in enumerate(DICTIONARY)])
-PREFIXES = values("prefijos", "fmt, prefijo, code, conf, largo, ord", [
-    (fmt, p.replace("x", "_") + "%", code, conf, _pattern_length(fmt, p), i) for fmt in prefixes.LENGTHS for i, (p, code, conf) in enumerate(prefixes.listed(fmt))
+PREFIXES = values("prefijos", "fmt, patron, code, conf, largo, ord", [
+    (fmt, "^" + p.replace(".", "\\."), code, conf, len(p), i) for fmt, listed in prefixes.LISTED.items() for i, (p, code, conf) in enumerate(listed)
 ])
 RULES = values("reglas", "ord, code, conf, pat", [(i, code, conf, p) for i, (code, conf, p) in enumerate(patterns.RULES)])
 
@@ -48,7 +42,7 @@ LOOSE = "case when coalesce({0}, '') = '' then 'sin_codigo' when regexp_matches(
 NAMED = f"nombrado as (select *, {norm('nombre')} as nombre_norm, {LOOSE.format('codigo')} as cod_formato from ledger)"
 CODE_HITS = """codigos as (
     select c.codigo, arg_min(p.code, -p.largo * 1000 + p.ord) as cod_codigo, arg_min(p.conf, -p.largo * 1000 + p.ord)::double as cod_confianza
-    from (select distinct codigo, cod_formato from nombrado where codigo is not null) c join prefijos p on p.fmt = c.cod_formato and c.codigo like p.prefijo group by c.codigo)"""
+    from (select distinct codigo, cod_formato from nombrado where codigo is not null) c join prefijos p on p.fmt = c.cod_formato and regexp_matches(c.codigo, p.patron) group by c.codigo)"""
 DICT_KEYS = f"""claves as (
     select clave, arg_max(codigo_estandar, seq) as dic_codigo, min(seq) as pos from (select *, {norm('cuenta_original')} as clave from diccionario) group by clave)"""
 NAMES = "nombres as (select distinct nombre_norm from nombrado)"

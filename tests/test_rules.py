@@ -28,17 +28,15 @@ def test_two_joins_equal_the_ranked_search(spark):
     """Every listed prefix, tried by falling pattern length, agrees with the two equi-joins."""
     import re
 
-    codes = [p.replace("x", "7") + tail for fmt in prefixes.LENGTHS for p, _, _ in prefixes.listed(fmt) for tail in ("", "00", "-01-02", ".05.06", "1")]
+    codes = [p + tail for listed in prefixes.LISTED.values() for pattern, _, _ in listed for p in prefixes.literals(pattern)[-2:] for tail in ("", "00", "-01-02", ".05.06", "1")]
     got = {r["codigo"]: r["cod_codigo"] for r in C.by_code_prefix(spark.createDataFrame([(c,) for c in set(codes)], "codigo string")).collect()}
 
     def ranked(code):
         fmt = "guion" if re.match(r"\d+-\d+", code) else "punto" if re.match(r"\d+\.\d+", code) else "compacto" if re.fullmatch(r"\d{6,10}", code) else None
         if not fmt:
             return None
-        from saldospark.plans.oracle import _pattern_length
-
-        tried = sorted(((-_pattern_length(fmt, p), i, p, c) for i, (p, c, _) in enumerate(prefixes.listed(fmt))))
-        return next((c for _, _, p, c in tried if re.match(p.replace(".", r"\.").replace("x", "[0-9]"), code)), None)
+        tried = sorted((-len(p), i, p, c) for i, (p, c, _) in enumerate(prefixes.LISTED[fmt]))
+        return next((c for _, _, p, c in tried if re.match(p.replace(".", r"\."), code)), None)
 
     assert {c: ranked(c) for c in got} == got
 
@@ -67,7 +65,7 @@ def test_regex_rules(spark, name, code):
 
 def test_catalog(spark):
     rows = {r["codigo_estandar"]: r for r in catalog.catalog(spark).collect()}
-    assert len(rows) == 52 and len(patterns.RULES) == 37 and sum(len(prefixes.listed(f)) for f in prefixes.LENGTHS) == 129 + 1 + 6
+    assert len(rows) == 52 and len(patterns.RULES) == 37 and sum(map(len, prefixes.LISTED.values())) == 129
     assert (rows["ER.02"]["naturaleza"], rows["ER.02"]["signo_normal"], rows["ER.02"]["afecta_ebitda"]) == ("deudora", -1, True)
     assert (rows["PC.04"]["signo_normal"], rows["PC.04"]["es_deuda_financiera"], rows["AC.02"]["es_activo_liquido"]) == (-1, True, True)
 
