@@ -13,11 +13,11 @@ their anchors, go through a column-wise construction (see ``columns``) that inse
 updates transform and common prefixes; neighbours with a common prefix of ``WINDOW`` bytes hold equal windows.
 
 A batch of documents sends a row for each distinct anchor, so frequent passages are combined before the shuffle and rows grow
-with the text. Anchors are counted and their states found by a native aggregation and a join in the same partitioning;
+with the text. Anchors are counted and their states found by a native window over the anchor, in one shuffle;
 an anchor that stands in no other batch and once in its own needs no answer. For mixed anchors a batch sends each distinct
 cover once, as bytes. An anchor of more than ``HOT`` occurrences is "crowded": its covers would all meet in one
-construction, so its windows are rows of their own and a native aggregation over their bytes finds the first of each kind.
-That is as exact (bytes are compared, not hashes), and no task gets one passage whole.
+construction, so its windows are rows of their own, dealt by a hash of their bytes, and the bytes tell the first of each kind.
+That is as exact, and no task gets one passage whole.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import batches, mix, prefix_hash, span_hash, text_bytes, whole_batches
@@ -138,12 +139,12 @@ def anchor_rows(key: int, place: int, b: Batch) -> pa.Table:
 
 def anchor_states(rows: DataFrame, hot: int) -> DataFrame:
     """(batch, hash, state) of the anchors that occur more than once."""
-    rows = rows.repartition("hash")
-    lead = F.min(F.struct("doc", "place", "batch")).alias("lead")
-    all_ = rows.groupBy("hash").agg(F.sum("n").alias("total"), F.min("low").alias("least"), F.max("high").alias("most"), lead).where("total > 1")
+    own = Window.partitionBy("hash")
+    lead = F.min(F.struct("doc", "place", "batch")).over(own).alias("lead")
+    all_ = rows.select("*", F.sum("n").over(own).alias("total"), F.min("low").over(own).alias("least"), F.max("high").over(own).alias("most"), lead).where("total > 1")
     first = (F.col("lead.doc") == F.col("doc")) & (F.col("lead.place") == F.col("place")) & (F.col("lead.batch") == F.col("batch"))
     state = F.when(F.col("least") != F.col("most"), F.when(F.col("total") > hot, CROWDED).otherwise(MIXED)).when(first, FIRST).otherwise(LATER)
-    return rows.join(all_, "hash").select("batch", "hash", state.cast("int").alias("state"))
+    return all_.select("batch", "hash", state.cast("int").alias("state"))
 
 
 def state_of(b: Batch, hashes: np.ndarray, states: np.ndarray) -> np.ndarray:
@@ -187,10 +188,23 @@ def earliest(group: np.ndarray, *order: np.ndarray) -> np.ndarray:
 
 def edge_answers(table: pa.Table) -> pa.Table:
     """(batch, first, later) for each cover of a bucket: a bit for each of its windows, whether it isn't the first of its kind.
+    Of single windows (size 0) only those that are the first of their kind are named, with ``later`` null.
 
     Covers are aligned at their anchors, so that equal windows stand in one column, and compared by a column-wise
     construction over the bucket's distinct covers.
     """
+    apart = table.filter(pc.equal(table["size"], 0))
+    table = table.filter(pc.greater(table["size"], 0))
+    seen: set[bytes] = set()
+    leads = []
+    for i in np.lexsort([apart[c].to_numpy() for c in ("first", "place", "doc")]).tolist():
+        if (window := apart["data"][i].as_py()) not in seen:
+            seen.add(window)
+            leads.append(i)
+    lead_rows = apart.take(pa.array(leads, pa.int64()))
+    found = pa.table({"batch": lead_rows["batch"], "first": lead_rows["first"], "later": pa.nulls(len(leads), pa.binary())})
+    if not table.num_rows:
+        return found
     size, shift, data = (table[c].to_pylist() for c in ("size", "shift", "data"))
     known = {c: i for i, c in enumerate(dict.fromkeys(zip(shift, data)))}
     column = WINDOW - GRAM - np.array([s for s, _ in known], np.int64)
@@ -200,7 +214,8 @@ def edge_answers(table: pa.Table) -> pa.Table:
     doc, place, first = (np.repeat(table[c].to_numpy(), n) for c in ("doc", "place", "first"))
     lead = earliest(group[ramp((np.cumsum(count) - count)[use], count[use])], doc, place, first + ramp(np.zeros(len(n), np.int64), n))
     parts = np.split(~lead, np.cumsum(n)[:-1])
-    return pa.table({"batch": table["batch"], "first": table["first"], "later": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
+    covers = pa.table({"batch": table["batch"], "first": table["first"], "later": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
+    return pa.concat_tables([found, covers])
 
 
 def repeated(b: Batch, state: np.ndarray, later: dict[int, bytes], lead: np.ndarray) -> np.ndarray:
@@ -291,12 +306,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     found = anchor_states(text_bytes(docs, id_col, text_col).mapInArrow(send, ANCHOR_ROWS), hot)
     states = materialize(found.groupBy("batch").applyInArrow(pack, "batch long, hashes binary, states binary"))
     whole = whole_batches(docs, id_col, text_col, batch_bytes)
-    asked = materialize(whole.groupBy("batch").cogroup(states.groupBy("batch")).applyInArrow(edges, EDGE_ROWS))
-    mixed = asked.where("size > 0").groupBy(F.pmod("hash", F.lit(buckets))).applyInArrow(edge_answers, "batch long, first long, later binary")
-    lead = F.min(F.struct("doc", "place", "first", "batch")).alias("lead")
-    crowded = asked.where("size = 0").groupBy("data").agg(lead).select("lead.batch", "lead.first", F.lit(None).cast("binary").alias("later"))
+    asked = whole.groupBy("batch").cogroup(states.groupBy("batch")).applyInArrow(edges, EDGE_ROWS)
+    bucket = F.pmod(F.when(F.col("size") > 0, F.col("hash")).otherwise(F.xxhash64("data")), F.lit(buckets))
+    edge = asked.groupBy(bucket).applyInArrow(edge_answers, "batch long, first long, later binary")
     nothing = F.lit(None).cast("binary")
     answers = states.select("batch", F.lit(None).cast("long").alias("first"), nothing.alias("later"), "hashes", "states").unionByName(
-        mixed.unionByName(crowded).select("batch", "first", "later", nothing.alias("hashes"), nothing.alias("states"))
+        edge.select("batch", "first", "later", nothing.alias("hashes"), nothing.alias("states"))
     )
     return whole.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
