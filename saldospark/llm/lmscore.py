@@ -4,8 +4,8 @@ An n-gram of order n scores count(n-gram) / count(its context), or ``BACKOFF`` t
 where the count is 0; order 0 is the empty n-gram, whose count is the number of words, and below it stands
 1 / (count + 1). A document is scored against all others: its own occurrences are taken off every count.
 
-The counts are a table partitioned by hash of the n-gram, made by a native aggregation; the exploded n-grams are joined to
-it in the same partitioning (one shuffle), and the logarithms are summed per document. N-grams are exploded for each batch of
+The counts are a table partitioned by hash of the n-gram; the exploded n-grams are joined to it in the same
+partitioning (both in one native window, so one shuffle), and the logarithms are summed per document. N-grams are exploded for each batch of
 documents, a row (n-gram, batch, count) for each distinct one, so frequent n-grams are combined before the shuffle, no
 key holds more than a row of each batch, and the number of rows grows with the text. A count goes back to a batch only if the
 n-gram stands in another batch too; for all others the batch's own count is the whole.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import batches, mix, prefix_hash, span_hash, text_bytes, whole_batches
@@ -122,8 +122,8 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col:
             s.append(b)
         return pa.table({"doc_id": pa.array(ids, left.schema.field("ids").type.value_type), "n_words": pa.array(np.concatenate(n).astype(np.int64)), "log_score": pa.array(np.concatenate(s))})
 
-    grams = text_bytes(docs, id_col, text_col).mapInArrow(explode, "gram long, batch long, n long").repartition("gram")
-    counts = grams.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("batches")).where("batches > 1")
-    answers = grams.join(counts, "gram").select("batch", "gram", "total")
+    grams = text_bytes(docs, id_col, text_col).mapInArrow(explode, "gram long, batch long, n long")
+    # count table and join in one: every row gets its n-gram's total in the partitioning by n-gram, so one shuffle does for both
+    answers = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram"))).where("total > n").select("batch", "gram", "total")
     whole = whole_batches(docs, id_col, text_col, BATCH_BYTES)
     return whole.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, f"doc_id {id_type}, n_words long, log_score double")
