@@ -66,13 +66,14 @@ def fix_ocr_code(c: Column) -> Column:
     return F.when(head != "", F.concat(F.translate(head, ",", "."), F.substr(c, F.length(head) + 1))).otherwise(c)
 
 
-def parse_amount(c: Column, thousands: Column | str) -> Column:
+def parse_amount(c: Column, thousands: Column | str, bare: bool = False) -> Column:
     """A double from an amount with the given thousands separator; null where it isn't one.
 
     Parentheses or a leading minus negate, both together once; after one leading minus a second one is the number's own.
+    ``bare`` says that the amount has no white space.
     """
     sep = F.lit(thousands) if isinstance(thousands, str) else thousands
-    v = F.replace(strip(c), F.lit(" "), F.lit(""))
+    v = c if bare else F.replace(strip(c), F.lit(" "), F.lit(""))
     wrapped = v.startswith("(") & v.endswith(")")
     inner = F.when(wrapped, F.substr(v, F.lit(2), F.greatest(F.length(v) - 2, F.lit(0)))).otherwise(v)
     minus = inner.startswith("-")

@@ -55,17 +55,17 @@ def parse_lines(lines: DataFrame, profiles: DataFrame | None = None) -> DataFram
     df = df.withColumn("_t", F.regexp_replace(F.btrim(F.regexp_replace(rest, r"(?U)\s+", " ")), _IDLE, ""))
     df = df.withColumn("_m", F.regexp_extract("_t", _AMOUNTS, 1))
     df = df.withColumn("nombre", F.btrim(F.left("_t", F.length("_t") - F.length("_m")), F.lit(" .-")))
-    words = F.filter(F.split("_m", " "), lambda w: w != "")
-    df = df.select("doc_id", "linea", "codigo", "nombre", "separador_miles", "confianza_base", F.char_length("_l").alias("_size"), words.alias("_a"))
+    tail = F.btrim("_m")
+    df = df.select("doc_id", "linea", "codigo", "nombre", "separador_miles", "confianza_base", F.char_length("_l").alias("_size"), F.split(F.nullif(tail, F.lit("")), " ").alias("_a"))
     df = fence(df).where((F.col("_size") >= 4) & (F.char_length("nombre") >= 3))
-    df = df.withColumn("_n", F.size("_a")).withColumn("es_total", F.col("nombre").rlike("(?iU)^" + patterns.TOTAL))
-    last = F.when(F.col("_n") > 4, F.slice("_a", -4, 4)).otherwise(F.col("_a"))
-    df = df.withColumn("_v", F.transform(last, lambda t: T.parse_amount(_clean(t), F.col("separador_miles"))))
+    df = df.withColumn("_n", F.coalesce(F.size("_a"), F.lit(0))).withColumn("es_total", F.col("nombre").rlike("(?iU)^" + patterns.TOTAL))
+    wide = F.col("_n") >= 4
+    last = F.when(wide, F.slice("_a", -4, 4)).otherwise(F.col("_a"))
+    df = df.withColumn("_v", F.transform(last, lambda t: T.parse_amount(_clean(t), F.col("separador_miles"), bare=True)))
     # of four columns the first amount that isn't zero counts, of fewer the last
     hits = F.transform("_v", lambda v: F.coalesce(v != 0, F.lit(False)))
-    wide = F.col("_n") >= 4
-    df = df.withColumn("_p", F.nullif(F.array_position(F.when(wide, hits).otherwise(F.reverse(hits)), True), F.lit(0)).cast("int"))
-    amount = F.try_element_at("_v", F.when(wide, F.coalesce("_p", F.lit(1))).otherwise(-F.coalesce("_p", F.lit(1))))
+    df = df.withColumn("_p", F.coalesce(F.nullif(F.array_position(F.when(wide, hits).otherwise(F.reverse(hits)), True), F.lit(0)), F.lit(1)).cast("int"))
+    amount = F.try_element_at("_v", F.when(wide, F.col("_p")).otherwise(-F.col("_p")))
     root, low = F.left(F.translate(F.col("codigo"), ".-", ""), F.lit(1)), F.lower("nombre")
     by_root = (
         F.when(root == "1", F.lit("activo")).when(root == "2", F.lit("pasivo"))
@@ -74,7 +74,7 @@ def parse_lines(lines: DataFrame, profiles: DataFrame | None = None) -> DataFram
     )
     by_word = F.coalesce(*[F.when(T.contains_any(low, words), F.lit(o)) for o, words in special.COLUMN_WORDS.items()])
     origin = (
-        F.when(wide, F.element_at(F.array(*map(F.lit, COLUMNS)), F.coalesce("_p", F.lit(1))))
+        F.when(wide, F.element_at(F.array(*map(F.lit, COLUMNS)), F.col("_p")))
         .when(F.col("_n") > 0, F.coalesce(by_root, by_word, F.lit("desconocido"))).otherwise(F.lit("desconocido"))
     )
     return df.select("doc_id", "linea", "codigo", "nombre", amount.alias("monto"), origin.alias("origen_columna"), "es_total", F.col("confianza_base").alias("confianza_extraccion"))
