@@ -15,10 +15,9 @@ from saldospark.operators import metadata as M
 from saldospark.operators import parse as P
 from saldospark.operators import profile as R
 from saldospark.plans import oracle as O
-from saldospark.plans.ledger import DICTIONARY, LEDGER_SQL, ledger, seed_dictionary
+from saldospark.plans.ledger import LEDGER_SQL, ledger, seed_dictionary
 from saldospark.rules import patterns, special
 from saldospark.rules.catalog import catalog
-from saldospark.schemas import EXCLUDED
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
