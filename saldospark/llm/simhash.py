@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- one document of each group, at a similarity of five-word shingles -------------------------------------------
 
-SIMILARITY, WIDTH = 0.8, 5
+WIDTH = 5
 FREQUENT, SLICE_BYTES = 1 << 18, 8 << 20
 BROADCAST_IDS = 1_000_000  # ids up to which a set of documents is broadcast (8 MB); larger sets are shuffled
 #: Partners of one document that are compared in one run of rows; members up to which a group's pairs are rows (at most
@@ -166,19 +166,8 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str, keep: bool = False) ->
     return docs.join(ids, id_col, "left_semi" if keep else "left_anti")
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> set[int]:
-    """Hashes of the distinct shingles of ``width`` words; a shorter text is one shingle, also an empty one."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return {xxhash.xxh3_64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))}
-
-
-def jaccard(a: set[int], b: set[int]) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
-
-
 def shingle_array(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct shingles of ``shingle_set`` as sorted hashes of another kind, worked out column-wise."""
+    """Sorted hashes of the distinct shingles of ``width`` words; a shorter text is one shingle, also an empty one."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(1, np.uint64)
@@ -271,7 +260,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def similar_edges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs of similar documents, with the same components as all pairs of similarity ``SIMILARITY`` or more.
+    """Pairs of similar documents, with the same components as all pairs of similarity 0.8 or more.
 
     Any such pair shares a shingle of ``rare_shared``. First a document is compared with the smallest and the largest that
     hold one of its shingles, and over fingerprint links: linear, and it joins most groups. Then all documents that
@@ -302,7 +291,7 @@ def similar(both, n, m):
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``SIMILARITY`` or more, worked out exactly.
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more, worked out exactly.
 
     A pair's centre is the document that stands in more pairs. A centre's text is sent once for each ``PART`` of its
     partners, in front of theirs, so texts aren't paired in rows, and a centre of many is split.

@@ -249,10 +249,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def score_texts(model: Model, automaton, texts: list[str]) -> list[float]:
-    return [probability(model.curve, features(hits(automaton, t), t)) for t in texts]
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (4, 2)) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_hits): a row for each row of ``docs``.
 

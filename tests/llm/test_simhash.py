@@ -94,8 +94,13 @@ def test_popcounts_and_fine_cells(spark):
         assert sorted(map(tuple, map(unpack, row["cells"]))) == sorted(near)
 
 
+def shingle_set(text, width=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
 def similar_groups(texts):
-    sets = [simhash.shingle_set(t) for t in texts]
+    sets = [shingle_set(t) for t in texts]
     parent = list(range(len(texts)))
 
     def find(x):
@@ -104,7 +109,7 @@ def similar_groups(texts):
         return x
 
     for i, j in itertools.combinations(range(len(texts)), 2):
-        if simhash.jaccard(sets[i], sets[j]) >= 0.8:
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
             parent[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(texts))]
 
@@ -237,3 +242,12 @@ def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(400, 401), (401, 400), (500, 500)], "a long, b long")
     got = {r["node"]: r["label"] for r in common.connected_components(edges).collect()}
     assert got == {i: 0 for i in range(301)} | {400: 400, 401: 400}
+
+
+def test_common_passage_proposes_no_pairs(spark):
+    """A passage in 3,000 documents that share nothing else: none of its shingles is kept, and all documents stay."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [" ".join(f"d{i}w{k}" for k in range(60)) + " " + passage for i in range(3000)] + [passage, passage + " end"]
+    docs = simple(spark, texts)
+    assert simhash.rare_shared(docs, "doc_id", "text").where("doc_id < 3000").count() == 0
+    assert {row["doc_id"] for row in simhash.keep_one(docs).collect()} == set(range(3001))
