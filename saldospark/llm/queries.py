@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lmscore, quality, repeats, secrets, simhash, topk, toxicity
+from . import bpe, cells, decontaminate, langid, lmscore, quality, repeats, resample, secrets, simhash, topk, toxicity, whitening
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -63,9 +63,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_long_repeats, op3_exact_top_k, op4_benchmark_decontamination, op5_byte_bpe, op6_quality_classifier, op7_simhash_near_dedup, op8_lm_scoring, op9_toxicity, op10_language_id)
+    for f in (op1_secret_scan, op2_long_repeats, op3_exact_top_k, op4_benchmark_decontamination, op5_byte_bpe, op6_quality_classifier, op7_simhash_near_dedup, op8_lm_scoring, op9_toxicity, op10_language_id,
+              op11_embedding_near_dedup, op12_embedding_whitening, op13_importance_resampling)
 }
 
 ORACLES: dict[str, str] = {
@@ -80,6 +93,17 @@ ORACLES: dict[str, str] = {
         ), r as (select *, row_number() over (partition by place order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
     """,
+    "op11_embedding_near_dedup": """
+        with recursive v as (
+            select vec_id, list_transform(embedding, lambda x: x::double) as w from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), e as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.w, b.w) >= 0.9
+        ), r as (select vec_id as node, vec_id as seen from v union select r.node, e.b from r join e on r.seen = e.a
+        ), c as (select node, min(seen) as component from r group by node), n as (select a, count(*) as links from e group by a)
+        select vec_id, coalesce(links, 0) as n_links, coalesce(component, vec_id) as component_id, coalesce(vec_id = coalesce(component, vec_id), false) as kept
+        from embeddings left join c on vec_id = node left join n on vec_id = a
+    """,
     "op8_lm_scoring": """
         with w as (
             select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') as ws from documents
