@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows up to which a table is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
+
 
 def fence(df: DataFrame) -> DataFrame:
     """The same rows, with every column worked out once.
@@ -13,3 +18,25 @@ def fence(df: DataFrame) -> DataFrame:
     each use of a column; a generator is where the optimizer stops doing so.
     """
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint, for tables that are read more than once.
+
+    It lies in the folder that the cluster names in ``spark.checkpoint.dir`` (a temporary one only where that is unset). Spark removes it
+    with the table if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="saldospark-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """True if ``df`` has at most ``limit`` rows; counts no further than that."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if a bounded count says that it is small. A table cut before is counted at no cost."""
+    return F.broadcast(df) if small(df) else df

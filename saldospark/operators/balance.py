@@ -11,6 +11,8 @@ from saldospark.rules.special import METHOD_LABELS
 from saldospark.schemas import EXCLUDED
 
 BALANCE_TOLERANCE, PROFIT_TOLERANCE = 10.0, 1000.0
+#: Order of a statement.
+BALANCE_ORDER = ("orden", "codigo_clasificado")
 
 
 def classified(df: DataFrame) -> DataFrame:
@@ -44,14 +46,15 @@ def _total(c: str = "monto") -> Column:
 def balance(df: DataFrame, catalog: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Amount and number of accounts per standard code, with name, category and rank; ``by`` adds keys such as doc_id.
 
-    Sums are decimal, so they don't depend on the order of rows. The catalog has a fixed, small size.
+    Sums are decimal, so they don't depend on the order of rows. The catalog has a fixed, small size. Rows come in no order: the
+    statement's order is ``BALANCE_ORDER``, and the sink sorts.
     """
     grouped = classified(df).groupBy(*by, "codigo_clasificado").agg(_total().alias("monto_total"), F.count("nombre_original").alias("num_cuentas"))
     names = F.broadcast(catalog.select(F.col("codigo_estandar").alias("codigo_clasificado"), "nombre_estandar", "categoria"))
     out = grouped.join(names, "codigo_clasificado", "left").withColumns(
         {"nombre_estandar": F.coalesce("nombre_estandar", "codigo_clasificado"), "categoria": F.coalesce("categoria", F.lit(""))}
     )
-    return out.withColumn("orden", category_rank(F.col("categoria"))).orderBy(*by, "orden", "codigo_clasificado")
+    return out.withColumn("orden", category_rank(F.col("categoria")))
 
 
 def balance_rollup(df: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -62,19 +65,21 @@ def balance_rollup(df: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def balance_export(df: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The statement as exported: whole amounts (half to even), in the order of the statement."""
-    return balance(df, catalog).select(
+    """The statement as exported: whole amounts (half to even), in the order of the statement (a row for each standard code)."""
+    return balance(df, catalog).orderBy(*BALANCE_ORDER).select(
         F.col("codigo_clasificado").alias("codigo"), F.col("nombre_estandar").alias("cuenta"), F.bround("monto_total", 0).cast("long").alias("monto"), "num_cuentas"
     )
 
 
 def account_detail(df: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Accounts with their standard name, by code and falling absolute amount (then document and line)."""
+    """Accounts with their standard name. Their order is by code and falling absolute amount (``detail_order``); the sink sorts."""
     names = F.broadcast(catalog.select(F.col("codigo_estandar").alias("codigo_clasificado"), "nombre_estandar"))
     out = classified(df).join(names, "codigo_clasificado", "left").withColumn("nombre_estandar", F.coalesce("nombre_estandar", "codigo_clasificado"))
-    return out.select("doc_id", "linea", "codigo_clasificado", "nombre_estandar", "nombre_original", "monto", T.percent(F.col("confianza")).alias("confianza_pct")).orderBy(
-        "codigo_clasificado", F.abs("monto").desc_nulls_last(), "doc_id", "linea"
-    )
+    return out.select("doc_id", "linea", "codigo_clasificado", "nombre_estandar", "nombre_original", "monto", T.percent(F.col("confianza")).alias("confianza_pct"))
+
+
+def detail_order() -> list[Column]:
+    return [F.col("codigo_clasificado"), F.abs("monto").desc_nulls_last(), F.col("doc_id"), F.col("linea")]
 
 
 def summary(df: DataFrame) -> DataFrame:

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saldospark.functions import text as T
-from saldospark.functions.plan import fence
+from saldospark.functions.plan import cut, fence, small
+from saldospark.operators.similar import similar_pairs
 from saldospark.rules import patterns, prefixes, special
 from saldospark.schemas import REVIEW_BELOW
 
 FUZZY_MIN = 90.0
-#: Entries up to which a dictionary is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def by_code_prefix(df: DataFrame, code: str = "codigo") -> DataFrame:
@@ -43,33 +42,21 @@ def dedupe_dictionary(dictionary: DataFrame) -> DataFrame:
     return keyed.groupBy("clave").agg(F.max_by("codigo_estandar", "seq").alias("codigo_estandar"), F.min("seq").alias("pos"))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``limit`` rows; counts no further than that."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def by_dictionary(df: DataFrame, dictionary: DataFrame, norm: str = "nombre_norm") -> DataFrame:
     """Add ``dic_codigo``: the code of the dictionary entry with the same normalised name."""
     entries = dedupe_dictionary(dictionary).select(F.col("clave").alias("_clave"), F.col("codigo_estandar").alias("dic_codigo"))
-    entries = F.broadcast(entries) if small(entries) else entries
     return df.join(entries, F.col(norm) == F.col("_clave"), "left").drop("_clave")
 
 
 def fuzzy_matches(names: DataFrame, dictionary: DataFrame, norm: str = "nombre_norm") -> DataFrame:
     """(nombre_norm, fuz_codigo, fuz_clave, fuz_puntaje): the most similar entry of each distinct name, from ``FUZZY_MIN``.
 
-    A ratio of 0.9 bounds the ratio of lengths by 9 / 11 (losslessly), so names meet entries in an equi-join on
-    the lengths that can still match. The characters that both have bound the common subsequence from above, so most pairs
-    end there. Ties go to the earlier entry. Empty names match nothing.
+    Names are compared with sorted words, through the index of ``similar``. Ties go to the earlier entry. Empty
+    names match nothing.
     """
-    entries = dedupe_dictionary(dictionary).select(
-        T.token_sort(F.col("clave")).alias("_b"), F.col("clave").alias("_clave"), F.col("codigo_estandar").alias("_code"), F.col("pos").alias("_pos")
-    ).withColumn("_len", F.length("_b")).withColumn("_cb", T.numbered_chars(F.col("_b")))
-    asked = names.select(norm).where(F.col(norm) != "").distinct().withColumn("_a", T.token_sort(F.col(norm))).withColumn("_n", F.length("_a")).withColumn("_ca", T.numbered_chars(F.col("_a")))
-    asked = asked.where("_n > 0").withColumn("_len", F.explode(F.sequence(F.ceil(F.col("_n") * 9 / 11).cast("int"), F.floor(F.col("_n") * 11 / 9).cast("int"))))
-    entries = F.broadcast(entries) if small(entries) else entries
-    close = 200.0 * F.size(F.array_intersect("_ca", "_cb")) >= FUZZY_MIN * (F.col("_n") + F.col("_len"))
-    scored = asked.join(entries, "_len").where(close).withColumn("_s", T.similarity(F.col("_a"), F.col("_b"))).where(F.col("_s") >= FUZZY_MIN)
+    entries = dedupe_dictionary(dictionary).select(T.token_sort(F.col("clave")).alias("_b"), F.col("clave").alias("_clave"), F.col("codigo_estandar").alias("_code"), F.col("pos").alias("_pos"))
+    asked = names.select(norm).where(F.col(norm) != "").distinct().withColumn("_a", T.token_sort(F.col(norm)))
+    scored = similar_pairs(asked, entries, "_a", "_b", FUZZY_MIN, "_s")
     best = scored.groupBy(norm).agg(F.max(F.struct("_s", (-F.col("_pos")).alias("_o"), "_code", "_clave")).alias("m"))
     return best.select(norm, F.col("m._code").alias("fuz_codigo"), F.col("m._clave").alias("fuz_clave"), F.col("m._s").alias("fuz_puntaje"))
 
@@ -101,72 +88,103 @@ def column_correction(name: Column, code: Column, origin: Column, amount: Column
     return F.coalesce(*steps)
 
 
-def special_rule(raw_name: Column, code: Column, amount: Column, activity: Column, fold_accents: bool = False) -> Column:
-    """struct(codigo_final, flag) of the first of five credit rules that applies, or null. The name is only lowered and stripped."""
+def name_marks(raw_name: Column) -> Column:
+    """What the special rules ask of a name, which is only lowered and stripped: a struct of booleans (null for a null name)."""
     name = T.strip(F.lower(raw_name))
+    return F.struct(
+        T.contains_any(name, special.BANK_WORDS).alias("bank"), name.rlike("(?U)" + special.LAND).alias("land"), name.rlike("(?U)" + special.DEFERRED_INCOME).alias("deferred"),
+        T.contains_any(name, special.CLIENT_WORDS).alias("client"), name.rlike("(?U)" + special.SHAREHOLDER).alias("holder"),
+    )
+
+
+def special_rule(marks: Column, code: Column, amount: Column, activity: Column, fold_accents: bool = False) -> Column:
+    """struct(codigo_final, flag) of the first of five credit rules that applies, or null. ``marks`` are those of the name (``name_marks``)."""
     giro = F.translate(F.lower(activity), "áéíóú", "aeiou") if fold_accents else F.lower(activity)
     negative = F.coalesce(amount < 0, F.lit(False))
     conditions = (
-        ((code == "AC.01") | T.contains_any(name, special.BANK_WORDS)) & negative,
-        name.rlike("(?U)" + special.LAND) & (code == "ANC.01") & F.coalesce(T.contains_any(giro, special.PROPERTY_SECTORS), F.lit(False)),
-        name.rlike("(?U)" + special.DEFERRED_INCOME) & (code.startswith("AC") | code.startswith("ANC")),
-        (code.isin("AC.03", "AC.04") | T.contains_any(name, special.CLIENT_WORDS)) & negative,
-        name.rlike("(?U)" + special.SHAREHOLDER),
+        negative & ((code == "AC.01") | marks["bank"]),
+        (code == "ANC.01") & marks["land"] & F.coalesce(T.contains_any(giro, special.PROPERTY_SECTORS), F.lit(False)),
+        marks["deferred"] & (code.startswith("AC") | code.startswith("ANC")),
+        negative & (code.isin("AC.03", "AC.04") | marks["client"]),
+        marks["holder"],
     )
     targets = ("PC.02", "AC.05", "PC.08", "PC.08", "AC.06S")
     return F.coalesce(*[F.when(c, F.struct(F.lit(t).alias("codigo_final"), F.lit(f).alias("flag"))) for c, t, f in zip(conditions, targets, special.FLAGS)])
 
 
-def classify(accounts: DataFrame, dictionary: DataFrame, activity: str | None = None) -> DataFrame:
-    """The whole cascade: adds codigo_clasificado ('' if none), metodo, confianza, requiere_revision and nota to accounts.
+def name_facts(names: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """All that the cascade asks of an account's name, a row for each distinct ``nombre`` of ``names``.
 
-    Accounts have doc_id, linea, codigo, nombre, monto, origen_columna and es_total; ``activity`` names a column with
-    the company's activity. Account names repeat from document to document, so similarity and patterns are worked out once
-    per distinct name that code and dictionary leave open. These names are found first and kept; only open rows are joined
-    to them, by broadcast if a count says that they are few.
+    (nombre, nombre_norm, dic_codigo, fuz_codigo, fuz_puntaje, regla, marcas). Similarity and patterns are worked out only for names
+    that the dictionary doesn't have. ``names`` is read twice.
+    """
+    named = by_dictionary(names.select("nombre").withColumn("nombre_norm", T.normalize_name(F.coalesce(F.col("nombre"), F.lit("")))), dictionary)
+    fuzzy = fuzzy_matches(named.where("dic_codigo is null"), dictionary).select(F.col("nombre_norm").alias("_m"), "fuz_codigo", "fuz_puntaje")
+    ruled = F.when(F.col("dic_codigo").isNull(), regex_rule(F.col("nombre_norm")))
+    return named.join(fuzzy, F.col("nombre_norm") == F.col("_m"), "left").select(
+        "nombre", "nombre_norm", "dic_codigo", "fuz_codigo", "fuz_puntaje", ruled.alias("regla"), name_marks(F.col("nombre")).alias("marcas")
+    )
+
+
+def _cascade(accounts: DataFrame, dictionary: DataFrame, activity: str | None) -> DataFrame:
+    """``accounts`` with the cascade's columns, as plain expressions over the facts of the name and of the code.
+
+    Account names repeat from document to document, so facts are worked out once per distinct name: the names are cut (the only
+    job that runs here, with a count of what it wrote) and joined back, by broadcast if they are few. Otherwise the join is a
+    shuffle on the name, whose skew adaptive execution splits.
     """
-    df = accounts.withColumn("nombre_norm", T.normalize_name(F.coalesce(F.col("nombre"), F.lit(""))))
-    df = by_dictionary(by_code_prefix(df), dictionary)
-    unknown = F.col("cod_codigo").isNull() & F.col("dic_codigo").isNull()
-    open_ = df.where(unknown).select("nombre_norm").distinct().persist()
-    fuzzy = fuzzy_matches(open_, dictionary).select(F.col("nombre_norm").alias("_m"), "fuz_codigo", "fuz_puntaje")
-    names = open_.withColumn("_re", regex_rule(F.col("nombre_norm"))).join(fuzzy, F.col("nombre_norm") == F.col("_m"), "left")
-    names = names.select(F.col("nombre_norm").alias("_n"), "_re", "fuz_codigo", "fuz_puntaje")
-    key = F.when(unknown, F.col("nombre_norm"))
-    if small(open_):
-        names = F.broadcast(names)
-    else:  # rows that aren't open match nothing, and are spread
-        key = F.coalesce(key, F.concat_ws("\0", F.lit(""), F.col("doc_id").cast("string"), F.col("linea").cast("string")))
-    df = df.withColumn("_k", key).join(names, F.col("_k") == F.col("_n"), "left").drop("_k", "_n")
+    names = cut(accounts.select("nombre").distinct())
+    facts = name_facts(names, dictionary).withColumnRenamed("nombre", "_name")
+    facts = F.broadcast(facts) if small(names) else facts
+    df = by_code_prefix(accounts).join(facts, F.col("nombre").eqNullSafe(F.col("_name")), "left").drop("_name")
 
     name, origin = F.col("nombre_norm"), F.col("origen_columna")
     df = df.withColumn("_amb", ambiguous_code(name, origin))
-    by_code, by_dic, by_fuzzy, by_rule = (F.col(c).isNotNull() for c in ("cod_codigo", "dic_codigo", "fuz_codigo", "_re"))
+    by_code, by_dic, by_fuzzy, by_rule = (F.col(c).isNotNull() for c in ("cod_codigo", "dic_codigo", "fuz_codigo", "regla"))
     df = df.select(
         "*",
-        F.coalesce("cod_codigo", "dic_codigo", "fuz_codigo", F.col("_re.code")).alias("_c0"),
+        F.coalesce("cod_codigo", "dic_codigo", "fuz_codigo", F.col("regla.code")).alias("_c0"),
         F.when(by_code, F.lit("codigo")).when(by_dic, F.lit("diccionario_exacto")).when(by_fuzzy, F.lit("diccionario_fuzzy"))
         .when(by_rule, F.lit("regla_regex")).otherwise(F.lit("sin_clasificar")).alias("_m0"),
         F.when(by_code, F.col("cod_confianza")).when(by_dic, F.lit(0.98)).when(by_fuzzy, F.bround(0.80 + (F.col("fuz_puntaje") - 90) * 0.01, 3))
-        .when(by_rule, F.col("_re.conf")).otherwise(F.lit(0.0)).alias("_k0"),
+        .when(by_rule, F.col("regla.conf")).otherwise(F.lit(0.0)).alias("_k0"),
     )
-    fix = column_correction(name, F.col("_c0"), origin, F.col("monto"))
-    df = df.withColumn("_fix", F.when((origin != "desconocido") & F.col("_c0").isNotNull() & (fix != F.col("_c0")), fix))
+    fix = F.when((origin != "desconocido") & F.col("_c0").isNotNull(), column_correction(name, F.col("_c0"), origin, F.col("monto")))
+    df = df.withColumn("_fix", F.nullif(fix, F.col("_c0")))
     df = df.withColumn("_c1", F.coalesce("_fix", "_c0")).withColumn("_fixed", F.col("_fix").isNotNull())
     giro = F.col(activity) if activity else F.lit(None).cast("string")
-    df = df.withColumn("_sp", special_rule(F.col("nombre"), F.coalesce("_c1", F.lit("AC.08")), F.col("monto"), giro))
+    df = df.withColumn("_sp", special_rule(F.col("marcas"), F.coalesce("_c1", F.lit("AC.08")), F.col("monto"), giro))
     early, ruled = F.col("_amb").isNotNull(), F.col("_sp").isNotNull()
     method = F.concat("_m0", F.when(F.col("_fixed"), F.lit("+columna")).otherwise(F.lit("")),
                       F.when(ruled, F.concat(F.lit("+regla_especial("), F.col("_sp.flag"), F.lit(")"))).otherwise(F.lit("")))
     confidence = F.when(F.col("_fixed"), F.least(F.col("_k0") + 0.05, F.lit(0.99))).otherwise(F.col("_k0"))
-    df = (
+    return (
         df.withColumn("codigo_clasificado", F.coalesce(F.when(early, F.col("_amb")).when(ruled, F.col("_sp.codigo_final")).otherwise(F.col("_c1")), F.lit("")))
         .withColumn("metodo", F.when(early, F.lit("columna_ambiguo")).otherwise(method))
+        .withColumn("metodo_base", F.when(early, F.lit("columna_ambiguo")).otherwise(F.col("_m0")))
         .withColumn("confianza", F.when(early, F.lit(0.88)).otherwise(confidence))
         .withColumn("requiere_revision", F.col("confianza") < REVIEW_BELOW)
         .withColumn("nota", F.when(~early & ruled, F.col("_sp.flag")).otherwise(F.lit("")))
     )
-    return fence(df.drop("_re", "_amb", "_c0", "_m0", "_k0", "_fix", "_c1", "_fixed", "_sp", "cod_codigo", "cod_confianza", "cod_formato", "dic_codigo", "fuz_codigo", "fuz_puntaje"))
+
+
+def classify(accounts: DataFrame, dictionary: DataFrame, activity: str | None = None) -> DataFrame:
+    """The whole cascade: adds codigo_clasificado ('' if none), metodo, confianza, requiere_revision and nota to accounts.
+
+    Accounts have doc_id, linea, codigo, nombre, monto, origen_columna and es_total; ``activity`` names a column with
+    the company's activity.
+    """
+    added = ("nombre_norm", "codigo_clasificado", "metodo", "confianza", "requiere_revision", "nota")
+    return fence(_cascade(accounts, dictionary, activity).select(*accounts.columns, *added))
+
+
+def classified(accounts: DataFrame, dictionary: DataFrame, activity: str | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``result_table(classify(...))``, or of it only the given ``columns``: what they don't need isn't worked out.
+
+    ``metodo_base``, the method without its corrections, can be asked for too.
+    """
+    df = _cascade(accounts, dictionary, activity)
+    return fence(result_table(df, "metodo_base").select(*columns) if columns else result_table(df))
 
 
 def is_account(df: DataFrame) -> DataFrame:
@@ -176,10 +194,10 @@ def is_account(df: DataFrame) -> DataFrame:
     return df.where(~(F.col("monto").isNull() & (code == "")) & ~((code == "") & F.coalesce(noise, F.lit(False))))
 
 
-def result_table(df: DataFrame) -> DataFrame:
-    """The result's columns, with '' for a missing code, original code or note."""
+def result_table(df: DataFrame, *more: str) -> DataFrame:
+    """The result's columns, with '' for a missing code, original code or note, and ``more`` columns."""
     return df.select(
         "doc_id", "linea", F.coalesce("codigo", F.lit("")).alias("codigo_original"), F.col("nombre").alias("nombre_original"), "monto", "origen_columna",
         "es_total", "codigo_clasificado", "metodo", "confianza", "requiere_revision", "nota", "confianza_extraccion",
-        F.col("origen_columna").alias("origen_columna_display"),
+        F.col("origen_columna").alias("origen_columna_display"), *more,
     )

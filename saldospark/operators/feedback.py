@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saldospark.functions import text as T
+from saldospark.functions.plan import broadcast_if_small, cut
 from saldospark.schemas import EXCLUDED
 
 LABELS = {"new": "➕ NUEVA CATEGORÍA", "skip": "🚫 NO INCLUIR"}
@@ -32,29 +33,41 @@ def apply_corrections(df: DataFrame, corrections: DataFrame, mode: str = "batch"
 def propagate_corrections(df: DataFrame, corrections: DataFrame) -> DataFrame:
     """Spread corrections(nombre_original, codigo_nuevo, seq) to open rows of the same normalised name in every document.
 
-    Open: in review, without a code, or below full confidence. The last correction of a name wins. The names are
-    aggregated first, so a frequent account name meets one row; adaptive execution splits it if it is skewed.
+    Open: in review, without a code, or below full confidence. The last correction of a name wins. Only open rows look for a
+    correction, among the names corrected (broadcast if they are few, which a bounded count tells).
     """
     last = corrections.groupBy(T.normalize_name(F.col("nombre_original")).alias("_norm")).agg(F.max_by("codigo_nuevo", "seq").alias("_new"))
-    joined = df.withColumn("_norm", T.normalize_name(F.coalesce(F.col("nombre_original"), F.lit("")))).join(last, "_norm", "left")
-    open_ = F.col("_new").isNotNull() & (F.col("requiere_revision") | (F.col("codigo_clasificado") == "") | (F.col("confianza") < 1.0))
+    open_ = F.col("requiere_revision") | (F.col("codigo_clasificado") == "") | (F.col("confianza") < 1.0)
+    joined = df.withColumn("_k", F.when(open_, T.normalize_name(F.coalesce(F.col("nombre_original"), F.lit(""))))).join(broadcast_if_small(last), F.col("_k") == F.col("_norm"), "left")
     changes = {"codigo_clasificado": F.col("_new"), "metodo": F.lit("validacion_humana_lote_propagada"), "confianza": F.lit(1.0), "requiere_revision": F.lit(False)}
-    return _apply(joined.withColumn("_open", open_), changes, F.col("_open")).drop("_norm", "_new", "_open")
+    return _apply(joined, changes, F.col("_new").isNotNull()).drop("_k", "_norm", "_new")
+
+
+def first_labels(df: DataFrame, order: tuple[str, ...] = ("doc_id", "linea")) -> DataFrame:
+    """(_norm, _first): the first code of each normalised name, in document and line order.
+
+    An aggregate in two steps: by the name as written (combined before the shuffle), then by the normalised one, so that a name
+    with a large share of all rows is neither sorted in one task nor normalised row by row.
+    """
+    raw = F.coalesce(F.col("nombre_original"), F.lit(""))
+    usable = (F.col("codigo_clasificado") != "") & (F.col("codigo_clasificado") != EXCLUDED) & (raw != "")
+    written = df.where(usable).groupBy(raw.alias("_raw")).agg(F.min(F.struct(*order, "codigo_clasificado")).alias("_at"))
+    return written.groupBy(T.normalize_name(F.col("_raw")).alias("_norm")).agg(F.min("_at")["codigo_clasificado"].alias("_first"))
 
 
 def propagate_labels(df: DataFrame, order: tuple[str, ...] = ("doc_id", "linea")) -> DataFrame:
     """Rows without a code take the first code of the same normalised name, in document and line order.
 
-    The first code per name is an aggregate (combined before the shuffle) joined back to the open rows, rather than
-    a window, so that a name with a large share of all rows isn't sorted in one task.
+    ``df`` is read twice, for first labels and for rows: hand over a stored table or one that is cut. Only open
+    rows look for a label; the labels are broadcast if a bounded count says that they are few, and else a shuffle whose key is null
+    for the other rows joins them.
     """
-    named = df.withColumn("_norm", T.normalize_name(F.coalesce(F.col("nombre_original"), F.lit(""))))
-    usable = (F.col("codigo_clasificado") != "") & (F.col("codigo_clasificado") != EXCLUDED) & (F.coalesce(F.col("nombre_original"), F.lit("")) != "")
-    first = named.where(usable).groupBy("_norm").agg(F.min_by("codigo_clasificado", F.struct(*order)).alias("_first"))
-    joined = named.join(first, "_norm", "left")
-    fill = F.col("_first").isNotNull() & (F.col("codigo_clasificado") == "") & (F.coalesce(F.col("nombre_original"), F.lit("")) != "")
+    raw = F.coalesce(F.col("nombre_original"), F.lit(""))
+    first = broadcast_if_small(cut(first_labels(df, order)))
+    wanting = (F.col("codigo_clasificado") == "") & (raw != "")
+    joined = df.withColumn("_k", F.when(wanting, T.normalize_name(raw))).join(first, F.col("_k") == F.col("_norm"), "left")
     changes = {"codigo_clasificado": F.col("_first"), "metodo": F.lit("propagado_automático"), "confianza": F.lit(1.0), "requiere_revision": F.lit(False)}
-    return _apply(joined.withColumn("_fill", fill), changes, F.col("_fill")).drop("_norm", "_first", "_fill")
+    return _apply(joined, changes, F.col("_first").isNotNull()).drop("_k", "_norm", "_first")
 
 
 def code_options(catalog: DataFrame) -> DataFrame:

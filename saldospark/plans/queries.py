@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saldospark.functions import text as T
+from saldospark.functions.plan import broadcast_if_small, cut
 from saldospark.operators import balance as B
 from saldospark.operators import classify as C
 from saldospark.operators import feedback as H
 from saldospark.operators import metadata as M
 from saldospark.operators import parse as P
 from saldospark.operators import profile as R
+from saldospark.operators.similar import similar_pairs
 from saldospark.plans import oracle as O
 from saldospark.plans.ledger import LEDGER_SQL, ledger, seed_dictionary
 from saldospark.rules import patterns, special
@@ -38,8 +40,13 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).withColumn("nombre_norm", T.normalize_name(F.col("nombre")))
 
 
-def _result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.result_table(C.classify(ledger(spark, sf_dir), seed_dictionary(spark), activity="giro"))
+def _result(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The ledger's result table, or the given columns of it."""
+    return C.classified(ledger(spark, sf_dir), seed_dictionary(spark), activity="giro", columns=columns)
+
+
+_SUMS = ("codigo_clasificado", "monto", "es_total")
+_OPEN = ("doc_id", "linea", "nombre_original", "codigo_clasificado", "metodo", "confianza", "requiere_revision")
 
 
 # --- balance and reconciliation -------------------------------------------------------------------------------
@@ -47,7 +54,7 @@ def _result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.over_result("select codigo_clasificado, nombre_estandar, categoria, orden, monto_total, num_cuentas from balance"))
 def balance_by_code(spark, sf_dir):
-    return B.balance(_result(spark, sf_dir), catalog(spark))
+    return B.balance(_result(spark, sf_dir, *_SUMS, "nombre_original"), catalog(spark))
 
 
 @query(O.over_result("""
@@ -56,12 +63,12 @@ def balance_by_code(spark, sf_dir):
     from (select c.*, coalesce(k.categoria, '') as categoria from clasificadas c left join catalogo k on codigo_estandar = codigo_clasificado)
     group by rollup (categoria, codigo_clasificado)"""))
 def balance_rollup_category(spark, sf_dir):
-    return B.balance_rollup(_result(spark, sf_dir), catalog(spark))
+    return B.balance_rollup(_result(spark, sf_dir, *_SUMS, "nombre_original"), catalog(spark))
 
 
 @query(O.over_result("select codigo_clasificado as codigo, nombre_estandar as cuenta, cast(round_even(monto_total, 0) as bigint) as monto, num_cuentas from balance"))
 def balance_export(spark, sf_dir):
-    return B.balance_export(_result(spark, sf_dir), catalog(spark))
+    return B.balance_export(_result(spark, sf_dir, *_SUMS, "nombre_original"), catalog(spark))
 
 
 @query(O.over_result("""
@@ -69,7 +76,7 @@ def balance_export(spark, sf_dir):
         cast(cast(round_even(confianza * 100, 0) as integer) as varchar) || '%' as confianza_pct
     from clasificadas left join catalogo on codigo_estandar = codigo_clasificado"""))
 def balance_detail_sorted(spark, sf_dir):
-    return B.account_detail(_result(spark, sf_dir), catalog(spark))
+    return B.account_detail(_result(spark, sf_dir, *_SUMS, "doc_id", "linea", "nombre_original", "confianza"), catalog(spark))
 
 
 @query(O.over_result("""
@@ -78,7 +85,7 @@ def balance_detail_sorted(spark, sf_dir):
             cast(sum(case when codigo_clasificado = 'AC.06S' then cast(coalesce(monto, 0) as decimal(20,2)) else 0 end) as double) as m,
             count(*) filter (where starts_with(codigo_clasificado, 'PAT')) as n from clasificadas group by doc_id) where n > 0"""))
 def effective_equity(spark, sf_dir):
-    return B.effective_equity(_result(spark, sf_dir), by=("doc_id",))
+    return B.effective_equity(_result(spark, sf_dir, "doc_id", *_SUMS), by=("doc_id",))
 
 
 _ORIGIN_SQL = ", ".join(f"cast(coalesce(sum(cast(monto as decimal(20,2))) filter (where not es_total and origen_columna = '{o}'), 0) as double) as {o}" for o in ("activo", "pasivo", "perdida", "ganancia"))
@@ -104,25 +111,25 @@ _PROFIT_SQL = """utilidad as (
 
 @query(O.over_result("select * from utilidad", _PROFIT_SQL))
 def tieout_profit(spark, sf_dir):
-    return B.profit_check(_result(spark, sf_dir), by=("doc_id",))
+    return B.profit_check(_result(spark, sf_dir, "doc_id", *_SUMS), by=("doc_id",))
 
 
 @query(O.over_result("select codigo_clasificado, nombre_estandar, monto_total from balance where starts_with(codigo_clasificado, 'ER')"))
 def tieout_diag_er(spark, sf_dir):
-    return B.result_detail(_result(spark, sf_dir), catalog(spark))
+    return B.result_detail(_result(spark, sf_dir, *_SUMS, "nombre_original"), catalog(spark))
 
 
 @query(O.over_result("""
     select doc_id, linea, nombre_original, monto, codigo_clasificado from clasificadas join utilidad using (doc_id)
     where estado = 'descuadre' and abs(abs(monto) - diferencia) <= greatest(diferencia * 0.05::double, 1000)""", _PROFIT_SQL))
 def tieout_diag_candidates(spark, sf_dir):
-    result = _result(spark, sf_dir).persist()  # read twice
+    result = cut(_result(spark, sf_dir, "doc_id", "linea", "nombre_original", *_SUMS))  # read twice
     return B.sign_candidates(result, B.profit_check(result, by=("doc_id",)))
 
 
 def _marked(spark, sf_dir):
     """The result after reviewers excluded one kind of account."""
-    result = _result(spark, sf_dir).persist()  # read twice
+    result = cut(_result(spark, sf_dir, *_OPEN, "monto"))  # read twice
     fixes = result.where("nombre_original = 'Cuenta Puente X' and linea % 2 = 0").select("doc_id", "linea", F.lit(H.LABELS["skip"]).alias("codigo_nuevo"))
     return H.apply_corrections(result, fixes)
 
@@ -178,12 +185,9 @@ _PART_PAIRS = """
 @query(_PART_PAIRS)
 def name_similarity(spark, sf_dir):
     names = spark.read.parquet(f"{sf_dir}/part.parquet")
-    a = names.select("p_name").distinct().withColumn("_a", T.token_sort(F.col("p_name"))).withColumn("_n", F.length("_a"))
-    b = names.select(F.col("p_name").alias("clave")).distinct().withColumn("_b", T.token_sort(F.col("clave"))).withColumn("_len", F.length("_b"))
-    # a ratio of 0.75 bounds the ratio of lengths by 3 / 5
-    a = a.withColumn("_len", F.explode(F.sequence(F.ceil(F.col("_n") * 3 / 5).cast("int"), F.floor(F.col("_n") * 5 / 3).cast("int"))))
-    scored = a.join(b, "_len").where("p_name <> clave").withColumn("puntaje", T.similarity(F.col("_a"), F.col("_b")))
-    return scored.where("puntaje >= 75").select("p_name", "clave", F.round("puntaje", 6).alias("puntaje"))
+    a = names.select("p_name").distinct().withColumn("_a", T.token_sort(F.col("p_name")))
+    b = names.select(F.col("p_name").alias("clave")).distinct().withColumn("_b", T.token_sort(F.col("clave")))
+    return similar_pairs(a, b, "_a", "_b", 75.0).where("p_name <> clave").select("p_name", "clave", F.round("puntaje", 6).alias("puntaje"))
 
 
 @query(O.over("select doc_id, linea, nombre_norm, re_code as codigo_regla, re_conf as confianza_regla from nombrado left join por_regla using (nombre_norm)"))
@@ -211,8 +215,10 @@ def column_correction(spark, sf_dir):
 
 
 def _special(spark, sf_dir, flag: str | None = None) -> DataFrame:
-    coded = C.by_code_prefix(ledger(spark, sf_dir)).withColumn("c", F.coalesce("cod_codigo", F.lit("AC.08")))
-    ruled = coded.withColumn("_r", C.special_rule(F.col("nombre"), F.col("c"), F.col("monto"), F.col("giro"))).where("_r is not null")
+    t = ledger(spark, sf_dir)
+    marks = cut(t.select("nombre").distinct()).select("nombre", C.name_marks(F.col("nombre")).alias("_marks"))
+    coded = C.by_code_prefix(t).withColumn("c", F.coalesce("cod_codigo", F.lit("AC.08"))).join(broadcast_if_small(marks), "nombre")
+    ruled = coded.withColumn("_r", C.special_rule(F.col("_marks"), F.col("c"), F.col("monto"), F.col("giro"))).where("_r is not null")
     out = ruled.select("doc_id", "linea", "nombre", F.col("c").alias("codigo_previo"), F.col("_r.codigo_final").alias("codigo_final"), F.col("_r.flag").alias("flag"))
     return out.where(F.col("flag") == flag) if flag else out
 
@@ -234,24 +240,24 @@ def special_rules_all(spark, sf_dir):
 
 @query(O.over("select doc_id, linea, nombre_original, codigo_clasificado, round(confianza, 6) as confianza from resultado where (requiere_revision or codigo_clasificado = '') and not es_total"))
 def review_queue(spark, sf_dir):
-    return B.review_queue(_result(spark, sf_dir)).select("doc_id", "linea", "nombre_original", "codigo_clasificado", F.round("confianza", 6).alias("confianza"))
+    return B.review_queue(_result(spark, sf_dir, *_OPEN, "es_total")).select("doc_id", "linea", "nombre_original", "codigo_clasificado", F.round("confianza", 6).alias("confianza"))
 
 
 @query(O.over("select doc_id, linea, nombre_original from resultado where (requiere_revision or codigo_clasificado = '') and not es_total and codigo_clasificado = ''"))
 def review_unclassified(spark, sf_dir):
-    return B.review_queue(_result(spark, sf_dir)).where("codigo_clasificado = ''").select("doc_id", "linea", "nombre_original")
+    return B.review_queue(_result(spark, sf_dir, "doc_id", "linea", "nombre_original", "codigo_clasificado", "requiere_revision", "es_total")).where("codigo_clasificado = ''").select("doc_id", "linea", "nombre_original")
 
 
 @query(O.over("select doc_id, count(*) filter (where (requiere_revision or codigo_clasificado = '') and not es_total) as pendientes, count(*) as total from resultado group by doc_id"))
 def review_counts_by_doc(spark, sf_dir):
-    return B.pending_by_document(_result(spark, sf_dir))
+    return B.pending_by_document(_result(spark, sf_dir, "doc_id", "codigo_clasificado", "requiere_revision", "es_total"))
 
 
 @query(O.over("""
     select count(*) as total, count(*) filter (where codigo_clasificado = '') as sin_clasificar, count(*) filter (where requiere_revision) as en_revision,
         round(avg(confianza) filter (where confianza > 0), 6) as confianza_promedio, round(100.0::double * count(*) filter (where requiere_revision) / count(*), 6) as porcentaje_revision from resultado"""))
 def quality_summary(spark, sf_dir):
-    return B.summary(_result(spark, sf_dir))
+    return B.summary(_result(spark, sf_dir, "codigo_clasificado", "requiere_revision", "confianza"))
 
 
 _LABELS_SQL = "case metodo " + " ".join(f"when '{k}' then '{v}'" for k, v in special.METHOD_LABELS.items()) + " else metodo end"
@@ -259,7 +265,7 @@ _LABELS_SQL = "case metodo " + " ".join(f"when '{k}' then '{v}'" for k, v in spe
 
 @query(O.over(f"select metodo, {_LABELS_SQL} as etiqueta, count(*) as cuentas from (select split_part(metodo, '+', 1) as metodo from resultado) group by metodo"))
 def method_distribution(spark, sf_dir):
-    return B.method_distribution(_result(spark, sf_dir))
+    return B.method_distribution(_result(spark, sf_dir, "metodo_base").withColumnRenamed("metodo_base", "metodo"))
 
 
 @query(O.over("""
@@ -268,7 +274,7 @@ def method_distribution(spark, sf_dir):
         round(case when codigo_clasificado = '' and first_code is not null then 1.0::double else confianza end, 6) as confianza
     from (select *, first_value(nullif(codigo_clasificado, '') ignore nulls) over (partition by nombre_norm order by doc_id, linea rows between unbounded preceding and unbounded following) as first_code from resultado)"""))
 def propagate_labels(spark, sf_dir):
-    return H.propagate_labels(_result(spark, sf_dir)).select("doc_id", "linea", "codigo_clasificado", "metodo", F.round("confianza", 6).alias("confianza"))
+    return H.propagate_labels(cut(_result(spark, sf_dir, *_OPEN))).select("doc_id", "linea", "codigo_clasificado", "metodo", F.round("confianza", 6).alias("confianza"))
 
 
 _FIXES = [("Cuenta Puente X", "PC.08", 1), ("prestamo bancario", "PNC.01", 2), ("Cuenta  Puente x", "AC.07", 3)]
@@ -281,11 +287,11 @@ _FIXES = [("Cuenta Puente X", "PC.08", 1), ("prestamo bancario", "PNC.01", 2), (
         from resultado r left join (values ('cuenta puente x', 'AC.07'), ('prestamo bancario', 'PNC.01')) f(n, nuevo) on f.n = nombre_norm)"""))
 def propagate_correction(spark, sf_dir):
     fixes = spark.createDataFrame(_FIXES, "nombre_original string, codigo_nuevo string, seq int")
-    return H.propagate_corrections(_result(spark, sf_dir), fixes).select("doc_id", "linea", "codigo_clasificado", "metodo", F.round("confianza", 6).alias("confianza"), "requiere_revision")
+    return H.propagate_corrections(_result(spark, sf_dir, *_OPEN), fixes).select("doc_id", "linea", "codigo_clasificado", "metodo", F.round("confianza", 6).alias("confianza"), "requiere_revision")
 
 
 def _corrected(spark, sf_dir, mode: str) -> DataFrame:
-    result = _result(spark, sf_dir).persist()  # read twice
+    result = cut(_result(spark, sf_dir, *_OPEN))  # read twice
     chosen = F.when(F.col("linea") % 3 == 0, F.lit(H.LABELS["skip"])).when(F.col("linea") % 3 == 1, F.lit("PC.08")).otherwise(F.lit(H.LABELS["new"]))
     fixes = result.where("codigo_clasificado = ''").select("doc_id", "linea", chosen.alias("codigo_nuevo"))
     return H.apply_corrections(result, fixes, mode).select("doc_id", "linea", "codigo_clasificado", "metodo", F.round("confianza", 6).alias("confianza"), "requiere_revision")
@@ -356,7 +362,8 @@ def code_options(spark, sf_dir):
 
 @query(O.over("select distinct doc_id, linea from resultado where (requiere_revision or codigo_clasificado = '') and not es_total and linea % 2 = 0"))
 def selection_set(spark, sf_dir):
-    pending = B.review_queue(_result(spark, sf_dir)).select("doc_id", "linea").persist()  # read three times
+    pending = B.review_queue(_result(spark, sf_dir, "doc_id", "linea", "codigo_clasificado", "requiere_revision", "es_total")).select("doc_id", "linea")
+    pending = cut(pending)  # read three times
     return H.select_rows(pending.where("linea % 3 = 0"), pending, pending.where("linea % 2 = 1"))
 
 
@@ -378,7 +385,7 @@ def removed_docs_anti(spark, sf_dir):
 @query(O.over("select doc_id, linea, codigo_clasificado from resultado where starts_with(codigo_clasificado, 'ER')"))
 def er_semi(spark, sf_dir):
     codes = catalog(spark).where("categoria = 'resultado'").select(F.col("codigo_estandar").alias("codigo_clasificado"))
-    return _result(spark, sf_dir).join(F.broadcast(codes), "codigo_clasificado", "left_semi").select("doc_id", "linea", "codigo_clasificado")
+    return _result(spark, sf_dir, "doc_id", "linea", "codigo_clasificado").join(F.broadcast(codes), "codigo_clasificado", "left_semi").select("doc_id", "linea", "codigo_clasificado")
 
 
 @query(O.over_ledger("""
@@ -387,7 +394,7 @@ def er_semi(spark, sf_dir):
     *O.BASE[1:], O.CLASSIFIED, "declared as (select s_suppkey as doc_id, 1000.0::double * s_suppkey as ventas_anuales from supplier where s_suppkey > 0)"))
 def sales_deviation(spark, sf_dir):
     declared = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey > 0").select(F.col("s_suppkey").alias("doc_id"), (F.lit(1000.0) * F.col("s_suppkey")).alias("ventas_anuales"))
-    return B.sales_deviation(_result(spark, sf_dir), declared)
+    return B.sales_deviation(_result(spark, sf_dir, "doc_id", *_SUMS), declared)
 
 
 # --- text, profile and parsing ----------------------------------------------------------------------------------
@@ -547,11 +554,11 @@ _STATEMENT_SQL = [x.replace("from ledger", "from mayor") for x in (_LINES_SQL, _
 def statement_from_lines(spark, sf_dir):
     """The whole path: lines, accounts, noise filter, cascade, propagation, balance.
 
-    Accounts and labels are read twice each (distinct names and rows; first labels and rows), so both are kept;
-    a lost block is worked out again from its lineage.
+    Accounts and labels are read twice each (distinct names and rows; first labels and rows), so both are stages in the shared
+    folder, not blocks in memory.
     """
-    accounts = C.is_account(P.parse_lines(_lines(spark, sf_dir))).persist()
-    labelled = C.result_table(C.classify(accounts, seed_dictionary(spark))).persist()
+    accounts = cut(C.is_account(P.parse_lines(_lines(spark, sf_dir))).select("doc_id", "linea", "codigo", "nombre", "monto", "origen_columna", "es_total", "confianza_extraccion"))
+    labelled = cut(C.classified(accounts, seed_dictionary(spark), columns=(*_OPEN, "monto", "es_total")))
     return B.balance(H.propagate_labels(labelled), catalog(spark))
 
 

@@ -52,7 +52,7 @@ def test_two_joins_equal_the_ranked_search(spark):
 ])
 def test_special_rules(spark, name, code, amount, giro, final, flag):
     df = spark.createDataFrame([(name, code, amount, giro)], "n string, c string, m double, g string")
-    r = df.select(C.special_rule(F.col("n"), F.col("c"), F.col("m"), F.col("g")).alias("r")).first()["r"]
+    r = df.select(C.special_rule(C.name_marks(F.col("n")), F.col("c"), F.col("m"), F.col("g")).alias("r")).first()["r"]
     assert (r["codigo_final"], r["flag"]) == (final, flag) if final else r is None
 
 
