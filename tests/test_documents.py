@@ -242,3 +242,61 @@ def test_export(spark, tmp_path):
     tables.write_statement(rows, str(tmp_path / "out"), rows, meta)
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["balance", "detalle", "encabezado"]
     assert tables.as_json(rows).first()["json"] == '{"codigo":"AC.01","monto":null}'
+
+
+def broken_sheet():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", "<workbook/>")
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c t="inlineStr"><is><t>Caja</t></is></c><c><v>5</v></c></row><row><c>')
+    return out.getvalue()
+
+
+def put_documents(folder):
+    (folder / "a.txt").write_text("INGEFIRE SPA\r\n1-01-01 Caja 500\n2-01-01 Proveedores 300\n")
+    (folder / "b.xlsx").write_bytes(workbook([(0, ['<c r="A1" t="inlineStr"><is><t>Banco Estado</t></is></c>', '<c r="B1"><v>12.5</v></c>'])]))
+    (folder / "broken.xlsx").write_bytes(broken_sheet())
+    (folder / "torn.pdf").write_bytes(b"%PDF-1 bad")
+    (folder / "whole.pdf").write_bytes(b"%PDF-1")
+    (folder / "no.xlsx").write_bytes(b"zip?")
+
+
+def test_each_file_is_read_once_and_errors_are_notes(spark, tmp_path):
+    marks, docs = tmp_path / "marks", tmp_path / "docs"
+    marks.mkdir(), docs.mkdir()
+    put_documents(docs)
+    where = str(marks)
+
+    def pages(content):
+        """A text backend for PDF files that leaves a mark for each call."""
+        import uuid
+
+        open(f"{where}/{uuid.uuid4().hex}", "w").close()
+        if b"bad" in content:
+            raise OSError("page 1 is torn")
+        return ["Empresa: X SPA\n1-01-02 Banco 700", "1-01-03 Clientes 900"]
+
+    got = statement.read_documents(spark, str(docs), pages)
+    short = lambda d: d.rsplit("/", 1)[-1]
+    notes = {short(r["doc_id"]): list(r["advertencias"]) for r in got.perfiles.collect()}
+    accounts = {(short(r["doc_id"]), r["nombre"]) for r in got.cuentas.collect()}
+    got.metadatos.collect(), got.perfiles.collect()
+    assert len(list(marks.iterdir())) == 2  # one call for each PDF file, whatever was collected
+    assert notes["broken.xlsx"][0].startswith("LECTURA INCOMPLETA: ParseError") and "LECTURA INCOMPLETA: OSError: page 1 is torn" in notes["torn.pdf"] and notes["no.xlsx"][0].startswith("VALIDACIÓN FALLIDA")
+    assert {("broken.xlsx", "Caja"), ("whole.pdf", "Clientes"), ("a.txt", "Caja"), ("b.xlsx", "Banco Estado")} <= accounts
+
+
+def test_data_source_equals_the_binary_reader(spark, tmp_path):
+    from saldospark.sources import documents
+
+    put_documents(tmp_path)
+    documents.register(spark)
+    read = lambda **o: spark.read.format(documents.NAME).options(**o).load(str(tmp_path))
+    flat = lambda df: sorted(((r["doc_id"].rsplit("/", 1)[-1], *map(str, tuple(r)[1:])) for r in df.collect()), key=str)
+    assert flat(read()) == flat(files.document_parts(files.binary_files(spark, str(tmp_path))))
+    assert read(group_bytes="1").rdd.getNumPartitions() == 6 and read().rdd.getNumPartitions() == 1
+    assert {r["parte"] for r in read(partes="control,nota").collect()} == {"control", "nota"}
+    both = read()
+    assert both.where("parte = 'linea'").unionByName(both.where("parte = 'control'")).groupBy("parte").count().count() == 2
+    from_source = statement.from_parts(read())
+    assert {r["nombre"] for r in from_source.cuentas.collect()} == {"INGEFIRE SPA", "Caja", "Proveedores", "Banco Estado"}
