@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saldospark.functions import text as T
@@ -57,6 +57,17 @@ def balance(df: DataFrame, catalog: DataFrame, by: tuple[str, ...] = ()) -> Data
     return out.withColumn("orden", category_rank(F.col("categoria")))
 
 
+def balance_sections(df: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The statement by sections: (orden, titulo, codigo, cuenta, monto_total, num_cuentas, subtotal) of the six categories, empty ones left out.
+
+    Codes of no known category are in no section.
+    """
+    rows = balance(df, catalog).where(F.col("orden") < C.UNKNOWN_RANK)
+    title = F.element_at(F.array(*map(F.lit, C.SECTIONS)), F.col("orden") + 1)
+    total = F.sum(T.exact(F.col("monto_total"))).over(Window.partitionBy("orden")).cast("double")  # a row for each standard code
+    return rows.select("orden", title.alias("titulo"), F.col("codigo_clasificado").alias("codigo"), F.col("nombre_estandar").alias("cuenta"), "monto_total", "num_cuentas", total.alias("subtotal"))
+
+
 def balance_rollup(df: DataFrame, catalog: DataFrame) -> DataFrame:
     """Totals per code, per category and overall, in one pass; ``nivel`` is 0, 1 or 3."""
     names = F.broadcast(catalog.select(F.col("codigo_estandar").alias("codigo_clasificado"), "categoria"))

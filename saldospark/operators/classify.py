@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saldospark.functions import text as T
-from saldospark.functions.plan import cut, fence, small
+from saldospark.functions.plan import BROADCAST_ROWS, cut, fence, spread
 from saldospark.operators.similar import similar_pairs
 from saldospark.rules import patterns, prefixes, special
 from saldospark.schemas import REVIEW_BELOW
@@ -134,8 +134,9 @@ def _cascade(accounts: DataFrame, dictionary: DataFrame, activity: str | None) -
     shuffle on the name, whose skew adaptive execution splits.
     """
     names = cut(accounts.select("nombre").distinct())
-    facts = name_facts(names, dictionary).withColumnRenamed("nombre", "_name")
-    facts = F.broadcast(facts) if small(names) else facts
+    known = names.count()
+    facts = name_facts(spread(names, known), dictionary).withColumnRenamed("nombre", "_name")
+    facts = F.broadcast(facts) if known <= BROADCAST_ROWS else facts
     df = by_code_prefix(accounts).join(facts, F.col("nombre").eqNullSafe(F.col("_name")), "left").drop("_name")
 
     name, origin = F.col("nombre_norm"), F.col("origen_columna")

@@ -48,7 +48,8 @@ def parse_lines(lines: DataFrame, profiles: DataFrame | None = None) -> DataFram
     """
     lines = lines.withColumn("texto", T.fix_ocr_code(F.col("texto")))  # the profile reads mended codes too
     profiles = profile(lines) if profiles is None else profiles
-    df = lines.join(profiles.select("doc_id", "formato_codigo", "separador_miles", "confianza_base"), "doc_id")
+    # lines are dealt out by document and meet a hash table of their profiles: neither side is broadcast on an estimate
+    df = lines.join(profiles.select("doc_id", "formato_codigo", "separador_miles", "confianza_base").hint("shuffle_hash"), "doc_id")
     df = df.select("doc_id", "linea", "formato_codigo", "separador_miles", "confianza_base", T.strip(F.col("texto")).alias("_l"))
     df = df.withColumn("codigo", _code(F.col("_l"), F.col("formato_codigo")))
     rest = F.substr("_l", F.coalesce(F.length("codigo"), F.lit(0)) + 1)

@@ -29,7 +29,9 @@ DICTIONARY = [
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, linea, codigo, nombre, monto, origen_columna, es_total, confianza_extraccion, giro."""
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    if t.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # fewer splits than cores: a small table of large row groups
+        t = t.repartition(spark.sparkContext.defaultParallelism)
     k = F.col
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     a, b, c = 1 + k("l_suppkey") % 9, 1 + k("l_partkey") % 3, k("l_linenumber") + k("l_orderkey") % 5

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saldospark.functions import text as T
-from saldospark.functions.plan import broadcast_if_small, cut
+from saldospark.functions import tables as table_functions
+from saldospark.functions.plan import broadcast_if_small, cut, shared_folder
 from saldospark.operators import balance as B
 from saldospark.operators import classify as C
 from saldospark.operators import feedback as H
 from saldospark.operators import metadata as M
 from saldospark.operators import parse as P
 from saldospark.operators import profile as R
+from saldospark.operators import risk as K
+from saldospark.operators import terms as S
 from saldospark.operators.similar import similar_pairs
 from saldospark.plans import oracle as O
 from saldospark.plans.ledger import LEDGER_SQL, ledger, seed_dictionary
 from saldospark.rules import patterns, special
-from saldospark.rules.catalog import catalog
+from saldospark.rules.catalog import NAMES, SECTIONS, catalog
+from saldospark.schemas import EXCLUDED
+from saldospark.sources import ordered, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,6 +72,13 @@ def balance_rollup_category(spark, sf_dir):
     return B.balance_rollup(_result(spark, sf_dir, *_SUMS, "nombre_original"), catalog(spark))
 
 
+@query(O.over_result(f"""
+    select orden, ([{', '.join(map(O.q, SECTIONS))}])[1 + orden] as titulo, codigo_clasificado as codigo, nombre_estandar as cuenta, monto_total, num_cuentas,
+        cast(sum(cast(monto_total as decimal(20,2))) over (partition by orden) as double) as subtotal from balance where orden < 99"""))
+def balance_sections(spark, sf_dir):
+    return B.balance_sections(_result(spark, sf_dir, *_SUMS, "nombre_original"), catalog(spark))
+
+
 @query(O.over_result("select codigo_clasificado as codigo, nombre_estandar as cuenta, cast(round_even(monto_total, 0) as bigint) as monto, num_cuentas from balance"))
 def balance_export(spark, sf_dir):
     return B.balance_export(_result(spark, sf_dir, *_SUMS, "nombre_original"), catalog(spark))
@@ -79,6 +92,15 @@ def balance_detail_sorted(spark, sf_dir):
     return B.account_detail(_result(spark, sf_dir, *_SUMS, "doc_id", "linea", "nombre_original", "confianza"), catalog(spark))
 
 
+@query(O.over_result("select doc_id, linea, row_number() over (order by codigo_clasificado, abs(monto) desc nulls last, doc_id, linea) as lugar from clasificadas"))
+def detail_in_order(spark, sf_dir):
+    """The place of each account in the exported detail: by file and row, over files written in order."""
+    path = f"{shared_folder(spark)}/detalle-{uuid.uuid4().hex}"
+    detail = B.account_detail(_result(spark, sf_dir, *_SUMS, "doc_id", "linea", "nombre_original", "confianza"), catalog(spark))
+    ordered.write_ordered(detail, path, B.detail_order())
+    return ordered.read_places(spark, path).select("doc_id", "linea", "lugar")
+
+
 @query(O.over_result("""
     select doc_id, round(pat, 2) as patrimonio_contable, round(abs(m), 2) as ajuste_cta_socios, round(pat - abs(m), 2) as patrimonio_efectivo, m > 0 as tiene_ajuste, m > pat * 0.2::double as alerta
     from (select doc_id, cast(sum(case when codigo_clasificado in ('PAT.01', 'PAT.02', 'PAT.03', 'PAT.04') then cast(coalesce(monto, 0) as decimal(20,2)) else 0 end) as double) as pat,
@@ -312,52 +334,110 @@ def apply_corrections_batch(spark, sf_dir):
     return _corrected(spark, sf_dir, "batch")
 
 
-_NEW = [("Caja General", "AC.02", "validacion", 100), ("Fondo Fijo", "AC.01", "validacion", 101), ("Caja General", "AC.07", "validacion", 99)]
-_NEW_SQL = O.values("nuevas", "cuenta_original, codigo_estandar, fuente, seq", _NEW)
+_CODES = [*(code for code, _ in NAMES), "XX.99"]  # one that the catalog doesn't have
+_PARTS_SQL = f"partes as (select p_name as cuenta_original, ([{', '.join(map(O.q, _CODES))}])[1 + p_size % {len(_CODES)}] as codigo_estandar, p_brand as fuente, p_partkey as seq from part)"
+
+
+def _code_at(number) -> Column:
+    return F.element_at(F.array(*map(F.lit, _CODES)), (number % len(_CODES) + 1).cast("int"))
+
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of the parts' names."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("cuenta_original"), _code_at(F.col("p_size")).alias("codigo_estandar"), F.col("p_brand").alias("fuente"), F.col("p_partkey").alias("seq"))
 
-def _new(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_NEW, "cuenta_original string, codigo_estandar string, fuente string, seq long")
+
+_NEW_SQL = f"nuevas as (select upper(p_name) as cuenta_original, ([{', '.join(map(O.q, _CODES))}])[1 + p_partkey % {len(_CODES)}] as codigo_estandar, p_type as fuente, 1000000 + p_partkey as seq from part where p_retailprice > 950)"
 
 
 @query(O.over(f"""select clave as cuenta_normalizada, arg_max(cuenta_original, seq) as cuenta_original, arg_max(codigo_estandar, seq) as codigo_estandar, arg_max(fuente, seq) as fuente
-    from (select *, {O.norm('cuenta_original')} as clave from (select * from diccionario union all select * from nuevas)) group by clave""", _NEW_SQL, base=[O.DICT]))
+    from (select *, {O.norm('cuenta_original')} as clave from (select * from partes union all select * from nuevas)) group by clave""", _PARTS_SQL, _NEW_SQL, base=[]))
 def dictionary_upsert(spark, sf_dir):
     key = T.normalize_name(F.col("cuenta_original"))
-    out = H.upsert(seed_dictionary(spark).withColumn("cuenta_normalizada", key), _new(spark).withColumn("cuenta_normalizada", key), "cuenta_normalizada")
+    new = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_retailprice > 950").select(
+        F.upper("p_name").alias("cuenta_original"), _code_at(F.col("p_partkey")).alias("codigo_estandar"), F.col("p_type").alias("fuente"), (F.col("p_partkey") + 1000000).alias("seq"))
+    out = H.upsert(_parts(spark, sf_dir).withColumn("cuenta_normalizada", key), new.withColumn("cuenta_normalizada", key), "cuenta_normalizada")
     return out.select("cuenta_normalizada", "cuenta_original", "codigo_estandar", "fuente")
 
 
-@query(O.over("select cuenta_original, codigo_estandar, fuente, seq from diccionario union all values ('Cuenta Puente X', 'PC.08', 'validacion_humana_lote', 1), ('prestamo bancario', 'PNC.01', 'validacion_humana_lote', 2), ('Cuenta  Puente x', 'AC.07', 'validacion_humana_lote', 3)", base=[O.DICT]))
+_CHOSEN = ["PC.08", H.LABELS["skip"], "AC.07", H.LABELS["new"], "", EXCLUDED]
+
+
+@query(O.over(f"""select cuenta_original, codigo_estandar, fuente, seq from partes union all
+    select s_name, elegido, 'validacion_humana_lote', s_suppkey from (select *, ([{', '.join(map(O.q, _CHOSEN))}])[1 + s_nationkey % 6] as elegido from supplier) where elegido in ('PC.08', 'AC.07')""", _PARTS_SQL, base=[]))
 def dictionary_append(spark, sf_dir):
-    return H.append_corrections(seed_dictionary(spark), spark.createDataFrame(_FIXES, "nombre_original string, codigo_nuevo string, seq long"))
+    chosen = F.element_at(F.array(*map(F.lit, _CHOSEN)), F.col("s_nationkey") % 6 + 1)
+    fixes = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("nombre_original"), chosen.alias("codigo_nuevo"), F.col("s_suppkey").alias("seq"))
+    return H.append_corrections(_parts(spark, sf_dir), fixes)
 
 
 @query(O.over("""
     select cuenta_original, case when coalesce(nombre_estandar, '') = '' then codigo_estandar else codigo_estandar || ' — ' || nombre_estandar end as codigo_y_nombre, fuente
-    from diccionario left join catalogo using (codigo_estandar) where regexp_matches(cuenta_original, 'ban|client', 'i') or regexp_matches(coalesce(nombre_estandar, ''), 'ban|client', 'i') or regexp_matches(codigo_estandar, 'ban|client', 'i')""", base=[O.DICT, O.CATALOG]))
+    from partes left join catalogo using (codigo_estandar) where regexp_matches(cuenta_original, 'ring|client', 'i') or regexp_matches(coalesce(nombre_estandar, ''), 'ring|client', 'i') or regexp_matches(codigo_estandar, 'ring|client', 'i')""", _PARTS_SQL, base=[O.CATALOG]))
 def dictionary_search(spark, sf_dir):
-    return H.search_dictionary(seed_dictionary(spark), catalog(spark), "ban|client")
+    return H.search_dictionary(_parts(spark, sf_dir), catalog(spark), "ring|client")
 
 
-@query(O.over("select cuenta_original, codigo_estandar from diccionario where codigo_estandar not in (select codigo_estandar from catalogo)", base=[O.DICT, O.CATALOG]))
+@query(O.over("select cuenta_original, codigo_estandar from partes where codigo_estandar not in (select codigo_estandar from catalogo)", _PARTS_SQL, base=[O.CATALOG]))
 def fk_check(spark, sf_dir):
-    return H.missing_references(seed_dictionary(spark), catalog(spark)).select("cuenta_original", "codigo_estandar")
+    return H.missing_references(_parts(spark, sf_dir), catalog(spark)).select("cuenta_original", "codigo_estandar")
 
 
-@query(O.over(f"select {O.norm('cuenta_original')} as clave, count(*) as veces from diccionario group by 1 having count(*) > 1", base=[O.DICT]))
+@query(O.over(f"select {O.norm('cuenta_original')} as clave, count(*) as veces from partes group by 1 having count(*) > 1", _PARTS_SQL, base=[]))
 def unique_check(spark, sf_dir):
-    return H.repeated_keys(seed_dictionary(spark).select(T.normalize_name(F.col("cuenta_original")).alias("clave")), "clave")
+    return H.repeated_keys(_parts(spark, sf_dir).select(T.normalize_name(F.col("cuenta_original")).alias("clave")), "clave")
+
 
+def _entries(spark, sf_dir) -> DataFrame:
+    return _parts(spark, sf_dir).groupBy("codigo_estandar").agg(F.count("*").alias("entradas"))
 
-@query(O.over("select * from catalogo", base=[O.CATALOG]))
+
+@query(O.over("select c.*, coalesce(entradas, 0) as entradas from catalogo c left join (select codigo_estandar, count(*) as entradas from partes group by all) using (codigo_estandar)", _PARTS_SQL, base=[O.CATALOG]))
 def catalog_listing(spark, sf_dir):
-    return catalog(spark).select("codigo_estandar", "nombre_estandar", "categoria")
+    """The catalog, with the number of dictionary entries of each code."""
+    listed = catalog(spark).select("codigo_estandar", "nombre_estandar", "categoria")
+    return listed.join(_entries(spark, sf_dir), "codigo_estandar", "left").withColumn("entradas", F.coalesce("entradas", F.lit(0)))
 
 
-@query(O.over("select (row_number() over (order by grupo, opcion) - 1)::integer as orden, opcion from (select 1 as grupo, codigo_estandar as opcion from catalogo union all values (0, ''), (2, '➕ NUEVA CATEGORÍA'), (3, '🚫 NO INCLUIR'))", base=[O.CATALOG]))
+@query(O.over("""select orden, opcion, coalesce(entradas, 0) as entradas from (
+        select (row_number() over (order by grupo, opcion) - 1)::integer as orden, opcion from (select 1 as grupo, codigo_estandar as opcion from catalogo union all values (0, ''), (2, '➕ NUEVA CATEGORÍA'), (3, '🚫 NO INCLUIR'))
+    ) left join (select codigo_estandar as opcion, count(*) as entradas from partes group by all) using (opcion)""", _PARTS_SQL, base=[O.CATALOG]))
 def code_options(spark, sf_dir):
-    return H.code_options(catalog(spark))
+    """What a reviewer can choose, with the number of dictionary entries that have it."""
+    used = _entries(spark, sf_dir).withColumnRenamed("codigo_estandar", "opcion")
+    return H.code_options(catalog(spark)).join(used, "opcion", "left").select("orden", "opcion", F.coalesce("entradas", F.lit(0)).alias("entradas"))
+
+
+@query("select * from part where p_partkey in (select s_suppkey * 3 from supplier where s_acctbal > 0)")
+def lookup_keys(spark, sf_dir):
+    """Rows of a table stored by key, for keys that another table names."""
+    path = f"{shared_folder(spark)}/consulta-{uuid.uuid4().hex}"
+    tables.write_lookup(spark.read.parquet(f"{sf_dir}/part.parquet"), path, "p_partkey")
+    wanted = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal > 0").select((F.col("s_suppkey") * 3).alias("p_partkey"))
+    return tables.lookup_many(spark.read.parquet(path), wanted, "p_partkey")
+
+
+_GRAMS_SQL = """gramas as (
+        select texto, unnest(list_distinct(list_transform(range(1, len(texto) + 1), lambda i: (' ' || texto || ' ')[i:i + 2]))) as g from (select nombre_norm as texto from nombres where nombre_norm <> '' union select clave from conocidos where clave <> '')
+    ), frecuencias as (select g, count(*) as df from gramas where texto in (select clave from conocidos) group by g
+    ), pesos as (select texto, g, ln((1.0::double + (select count(*) from conocidos)) / (1.0::double + coalesce(df, 0))) + 1.0::double as w from gramas left join frecuencias using (g)
+    ), normas as (select texto, sqrt(sum(w * w)) as n from pesos group by texto
+    ), cosenos as (
+        select a.texto as nombre_norm, b.texto as parecido, round(sum(a.w * b.w) / any_value(na.n * nb.n), 9) as coseno
+        from pesos a join pesos b on a.g = b.g join normas na on na.texto = a.texto join normas nb on nb.texto = b.texto
+        where a.texto in (select nombre_norm from nombres) and b.texto in (select clave from conocidos) group by all)"""
+_KNOWN_SQL = f"""conocidos as (select clave, arg_min(codigo, k) as codigo from (
+        select clave, arg_max(codigo_estandar, seq) as codigo, 0 as k from (select *, {O.norm('cuenta_original')} as clave from diccionario) group by clave
+        union all select {O.norm('nombre_estandar')} as clave, min(codigo_estandar), 1 from catalogo group by 1) group by clave)"""
+
+
+@query(O.over("""select nombre_norm, parecido, codigo, round(coseno, 6) as coseno from (
+        select *, row_number() over (partition by nombre_norm order by coseno desc, parecido) as k from cosenos where coseno >= 0.5) join conocidos on clave = parecido where k = 1""",
+              _KNOWN_SQL, _GRAMS_SQL, base=[LEDGER_SQL, O.CATALOG, O.DICT, O.NAMED, O.NAMES]))
+def open_name_matches(spark, sf_dir):
+    """The known name that each account name of the ledger is most like, by the cosine of trigrams."""
+    names = _named(spark, sf_dir).select("nombre_norm").distinct()
+    return S.matches(names, S.known_names(seed_dictionary(spark), catalog(spark))).withColumn("coseno", F.round("coseno", 6))
 
 
 @query(O.over("select distinct doc_id, linea from resultado where (requiere_revision or codigo_clasificado = '') and not es_total and linea % 2 = 0"))
@@ -397,6 +477,48 @@ def sales_deviation(spark, sf_dir):
     return B.sales_deviation(_result(spark, sf_dir, "doc_id", *_SUMS), declared)
 
 
+def _with_activity(spark, sf_dir) -> DataFrame:
+    return C.classify(ledger(spark, sf_dir), seed_dictionary(spark), activity="giro").select("doc_id", "linea", "giro", "codigo_clasificado", "monto", "es_total")
+
+
+_WITHDRAWN_SQL = "retiros as (select doc_id, linea, coalesce(giro, '') as giro, abs(c.monto) as retiro from clasificadas c join (select doc_id, linea, giro from ledger) using (doc_id, linea) where codigo_clasificado = 'AC.06S' and c.monto is not null)"
+_LIMIT = 60000.0
+
+
+@query(O.over_result("select giro, count(*) as n, true as en_rango from retiros group by giro", _WITHDRAWN_SQL))
+def withdrawal_quantiles(spark, sf_dir):
+    """Whether each quartile that the sketches give has its rank among all withdrawals of the activity, within the stated error."""
+    rows = cut(K.withdrawals(_with_activity(spark, sf_dir)))  # read twice
+    found = K.quantiles(K.merged(K.sketches(rows)))  # a row for each activity
+    parts = [("q1", 0.25), ("mediana", 0.5), ("q3", 0.75)]
+    ranks = rows.join(found, "giro").groupBy("giro").agg(
+        F.count("*").alias("n"), *[F.avg((F.col("retiro") < F.col(c)).cast("double")).alias(f"_a{c}") for c, _ in parts], *[F.avg((F.col("retiro") <= F.col(c)).cast("double")).alias(f"_b{c}") for c, _ in parts])
+    near = [(F.col(f"_a{c}") <= p + K.RANK_ERROR) & (F.col(f"_b{c}") >= p - K.RANK_ERROR) for c, p in parts]
+    return ranks.select("giro", "n", (near[0] & near[1] & near[2]).alias("en_rango"))
+
+
+@query(O.over_result(f"select doc_id, linea, giro, retiro, {_LIMIT}::double as limite from retiros where retiro > {_LIMIT}", _WITHDRAWN_SQL))
+def withdrawal_alerts(spark, sf_dir):
+    rows = K.withdrawals(_with_activity(spark, sf_dir))
+    return K.large_withdrawals(rows, spark.createDataFrame([(g, _LIMIT) for g in ("", "Inmobiliaria Sur", "Comercio")], "giro string, limite double"))
+
+
+_NOTES_SQL = "notas(actividad, textos) as (values " + ", ".join(f"('{a}', [{', '.join(map(O.q, ts))}])" for a, ts in K.NOTES.items()) + ")"
+
+
+@query(O.over_result(f"""
+    select doc_id, 'ventas' as tipo, 0 as orden, format('Ventas del balance ({{:,.0f}}) se desvían de las declaradas ({{:,.0f}})', ventas_balance, ventas_anuales) as alerta
+    from declared join (select doc_id, cast(sum(cast(coalesce(monto, 0) as decimal(20,2))) as double) as ventas_balance from clasificadas where codigo_clasificado = 'ER.01' group by doc_id) using (doc_id)
+    where abs(ventas_balance - ventas_anuales) / ventas_anuales * 100 > 2
+    union all select doc_id, 'retiro', linea, format('Retiro de socios ({{:,.0f}}) sobre el límite del giro ({{:,.0f}})', retiro, {_LIMIT}::double) from retiros where retiro > {_LIMIT}
+    union all select doc_id, 'giro', cast(unnest([0, 1, 2]) as integer), unnest(textos) from (select doc_id, min(giro) as giro from ledger group by doc_id) join notas on contains(lower(giro), actividad)""",
+                     _WITHDRAWN_SQL, _NOTES_SQL, "declared as (select s_suppkey as doc_id, 1000.0::double * s_suppkey as ventas_anuales from supplier where s_suppkey > 0)"))
+def risk_alerts(spark, sf_dir):
+    declared = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey > 0").select(F.col("s_suppkey").alias("doc_id"), (F.lit(1000.0) * F.col("s_suppkey")).alias("ventas_anuales"))
+    limits = spark.createDataFrame([(g, _LIMIT) for g in ("", "Inmobiliaria Sur", "Comercio")], "giro string, limite double")
+    return K.alerts(cut(_with_activity(spark, sf_dir)), declared, limits)  # read three times
+
+
 # --- text, profile and parsing ----------------------------------------------------------------------------------
 
 _SHAPES = ["%s", "(%s)", "-%s", "$ %s", "%s-", "-(%s)", "--%s", "%s"]
@@ -567,6 +689,14 @@ def split_lines(spark, sf_dir):
     return P.split_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("texto", F.md5("texto"))
 
 
+@query(ORACLES["split_lines"])
+def document_lines_sql(spark, sf_dir):
+    """The same lines by SQL: a table function in a lateral join."""
+    table_functions.register(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.sql("SELECT doc_id, linea, md5(contenido) AS texto FROM {docs} d, LATERAL document_lines(d.text)", docs=docs)
+
+
 @query(O.over_ledger(f"select doc_id, linea, nombre from ledger where not (monto is null and codigo is null) and not (codigo is null and regexp_matches(nombre, {O.q('^' + patterns.NOT_AN_ACCOUNT)}, 'i'))"))
 def noise_filter(spark, sf_dir):
     return C.is_account(ledger(spark, sf_dir)).select("doc_id", "linea", "nombre")

@@ -66,6 +66,8 @@ CATEGORIES = {
     "AC": "activo_corriente", "ANC": "activo_no_corriente", "PC": "pasivo_corriente",
     "PNC": "pasivo_no_corriente", "PAT": "patrimonio", "ER": "resultado",
 }
+# Titles of the sections, in that order.
+SECTIONS = ("🟦 Activo Corriente", "🟦 Activo No Corriente", "🟥 Pasivo Corriente", "🟥 Pasivo No Corriente", "🟩 Patrimonio", "🟨 Estado de Resultados")
 FINANCIAL_DEBT = ("PC.02", "PC.03", "PC.04", "PNC.01", "PNC.02", "PNC.03")
 LIQUID = ("AC.01", "AC.02")
 IN_EBITDA = ("ER.01", "ER.02", "ER.04", "ER.05")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saldospark import schemas
 from saldospark.functions import text as T
 from saldospark.sources import merge
 from saldospark.sources.jsonarray import read_json_array
+from saldospark.sources.ordered import write_ordered
 
 #: What an error says when a source isn't there: no path, no table, no driver. A database that refuses or times out is an error.
 ABSENT = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND", "No suitable driver", "ClassNotFoundException")
@@ -151,11 +152,14 @@ def lookup_many(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return table.join(keys, key, "left_semi")
 
 
-def write_statement(balance: DataFrame, path: str, detail: DataFrame | None = None, meta: DataFrame | None = None) -> None:
+def write_statement(balance: DataFrame, path: str, detail: DataFrame | None = None, meta: DataFrame | None = None, detail_order: Sequence[str | Column] = (), files: int = 8) -> None:
     """An exported statement as CSV with a header: ``balance``, and on wish the accounts (``detalle``) and header cells (``encabezado``) beside it.
 
-    Partitioned writes keep the order within files.
+    The accounts are in the order of ``detail_order``, over numbered files; the other two have few rows and keep theirs.
     """
+    if detail is not None and detail_order:
+        write_ordered(detail, f"{path}/detalle", detail_order, files, "csv", header="true")
+        detail = None
     parts = {"balance": balance, "detalle": detail, "encabezado": meta if meta is None else export_header(meta)}
     for name, df in parts.items():
         if df is not None:

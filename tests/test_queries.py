@@ -14,9 +14,8 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     assert_same(QUERIES[name](spark, sf_dir), con, ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark, sf_dir):
