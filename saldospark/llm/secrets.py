@@ -13,6 +13,7 @@ import base64
 import math
 import re
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterable
 from itertools import accumulate
 
@@ -29,11 +30,20 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-#: A credential word, then a separator or "is", then a value without white space or quotes.
-CONTEXT = re.compile(
-    r"""(?ai:\b(?:password|passphrase|passcode|passwd|pass|pwd|pin|secret|token|bearer|credentials?|auth|login|"""
-    r"""api[_ -]?key|access[_ -]?key|private[_ -]?key|client[_ -]?secret))["']?(?:\x20*(?:=>|:=|[:=])\x20*|\x20+is\x20+)["']?([^\s"']{6,})"""
+_WORDS = (
+    r"(?ai:password|passphrase|passcode|passwd|pass|pwd|pin|secret|token|bearer|credentials?|auth|login|"
+    r"api[_ -]?key|access[_ -]?key|private[_ -]?key|client[_ -]?secret)"
+)
+#: A credential word is no part of a longer word, but may stand in a joined name: DB_PASS, aws_secret_access_key.
+_NAME = rf"(?<![A-Za-z0-9]){_WORDS}(?:[_-][A-Za-z0-9]{{1,32}}){{0,3}}"
+_VALUE = r"""["']?([^\s"']{6,})"""
+#: What a value can stand behind: a name with a separator (the value on the same line or the next) or "is"; an option of a command
+#: line; a scheme of an authorization header; a user in an address.
+CONTEXTS = (
+    re.compile(rf"""{_NAME}["']?(?:\x20*(?:=>|:=|[:=])\x20*(?:\r?\n[\x20\t]*)?|\x20+is\x20+){_VALUE}"""),
+    re.compile(rf"(?<![^\s\"'])--(?:[A-Za-z0-9]{{1,32}}-){{0,3}}{_WORDS}(?:-[A-Za-z0-9]{{1,32}}){{0,3}}\x20+{_VALUE}"),
+    re.compile(rf"""(?<![A-Za-z0-9])(?ai:authorization)["']?\x20*[:=]\x20*["']?(?ai:bearer|basic|token|digest|apikey)\x20+{_VALUE}"""),
+    re.compile(r"""://[^\s/:@"']{0,256}:([^\s/@"']{6,})@"""),
 )
 MIN_COST = 10.0
 
@@ -82,52 +92,77 @@ def _run_ends(true: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(stops[::-1])[::-1]
 
 
-def _jumps(value: str, plain: str, price: list[float]) -> list[tuple[int, int, float]]:
-    """(start, end, cost) of repeats, walks and dates, by start.
+class _Starts:
+    """Where segments of one kind began, to find the cheapest for each end when the cost is g(start) + log10(end - start).
 
-    A repeat is a unit of one to four characters (not itself a repeat) as often as it stands there; a walk goes on over
-    neighbouring keys as far as it can. So both have one end for each start, and their number is linear.
+    An earlier start gains on a later one as the end moves on. So a start that is no better than a later one is never needed
+    again, nor is a later one that an earlier one has overtaken; few are left at any time.
     """
-    found, ends_of = [], {}
-    cps = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n, paid = len(cps), np.concatenate(([0.0], np.cumsum(price)))
+
+    def __init__(self, least: int):
+        self.least, self.waiting, self.held = least, deque(), []
+
+    def add(self, start: int, g: float) -> None:
+        self.waiting.append((start, g))
+
+    def best(self, end: int) -> float:
+        """The least g(start) + log10(end - start) over starts at least ``least`` before the end."""
+        held = self.held
+        while self.waiting and end - self.waiting[0][0] >= self.least:
+            start, g = self.waiting.popleft()
+            while held and held[-1][1] >= g:
+                held.pop()
+            held.append((start, g))
+        low, kept = math.inf, 0
+        for start, g in held:
+            value = g + math.log10(end - start)
+            if value < low:  # later starts that cost more now always will
+                low = value
+                held[kept] = (start, g)
+                kept += 1
+        del held[kept:]
+        return low
+
+
+def _repeats(cps: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+    """By start: (end, start, width) of the longest runs of a repeated unit of one to four characters that isn't itself a repeat."""
+    found, n, ends_of = {}, len(cps), {}
     for width in range(1, min(4, n // 2) + 1):
-        ends = _run_ends(cps[width:] == cps[:-width])
-        i = np.arange(n - width)
-        times = (ends - i) // width + 1
-        many = times > 1
-        for shorter in range(1, width):
-            if width % shorter == 0:
-                many &= ends_of[shorter][: n - width] - i < width - shorter
+        same = cps[width:] == cps[:-width]
+        ends = _run_ends(same)
         ends_of[width] = ends
-        i, times = i[many], times[many]
-        found.append((i, i + times * width, paid[i + width] - paid[i] + np.log10(times)))
-    if n >= 3:
-        row, col = np.full(128, -9), np.zeros(128, np.int64)
-        for c, (r, k) in _PLACE.items():
-            row[ord(c)], col[ord(c)] = r, k
-        keys = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
-        keys = np.where(keys < 128, keys, 0)
-        down, right = np.diff(row[keys]), np.diff(col[keys])
-        on = (row[keys[1:]] >= 0) & (row[keys[:-1]] >= 0) & (abs(down) <= 1) & (abs(right) <= 1) & ((down != 0) | (right != 0))
-        turn = np.concatenate(([0], np.cumsum((np.diff(down) != 0) | (np.diff(right) != 0))))
-        ends = _run_ends(on)
-        i = np.flatnonzero(ends - np.arange(n - 1) >= 2)
-        last = ends[i]
-        found.append((i, last + 1, np.log10(47 * (last + 1 - i)) + (1 + turn[last - 1] - turn[i]) * math.log10(8)))
-    for shape, cost in _DATES:
-        at = np.array([m.span(1) for m in shape.finditer(value)], np.int64).reshape(-1, 2)
-        found.append((at[:, 0], at[:, 1], np.full(len(at), cost)))
-    i, j, cost = map(np.concatenate, zip(*found))
-    order = np.argsort(i, kind="stable")
-    return list(zip(i[order].tolist(), j[order].tolist(), cost[order].tolist()))
+        first = np.flatnonzero(same & ~np.concatenate(([False], same[:-1])))
+        for i in first[ends[first] - first >= width].tolist():
+            if not any(width % shorter == 0 and ends_of[shorter][i] - i >= width - shorter for shorter in range(1, width)):
+                found.setdefault(i, []).append((int(ends[i]) + width, i, width))
+    return found
+
+
+def _walks(plain: str) -> tuple[list[int], list[int]]:
+    """For each character where the walk over neighbouring keys that goes through it ends, and the number of turns up to there."""
+    n = len(plain)
+    row, col = np.full(128, -9), np.zeros(128, np.int64)
+    for c, (r, k) in _PLACE.items():
+        row[ord(c)], col[ord(c)] = r, k
+    keys = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
+    keys = np.where(keys < 128, keys, 0)
+    down, right = np.diff(row[keys]), np.diff(col[keys])
+    on = (row[keys[1:]] >= 0) & (row[keys[:-1]] >= 0) & (abs(down) <= 1) & (abs(right) <= 1) & ((down != 0) | (right != 0))
+    turn = np.concatenate(([0], np.cumsum((np.diff(down) != 0) | (np.diff(right) != 0))))
+    return [*(_run_ends(on) + 1).tolist(), n], turn.tolist()
+
+
+def _dates(value: str) -> list[tuple[int, int, float]]:
+    """(start, end, cost) of dates, by start."""
+    return sorted((*m.span(1), cost) for shape, cost in _DATES for m in shape.finditer(value))
 
 
 def guess_cost(value: str, words: ahocorasick.Automaton) -> float:
     """log10 of the guesses for the cheapest segmentation into words, dates, repeats, walks and brute-force spans.
 
-    One pass over the value, linear in its length (and in the number of words found). An empty value costs 0. Each
-    further segment costs a factor of two for the choice of its place.
+    The minimum is over all segmentations: repeats and walks of every length, words, dates and brute force anywhere. One pass
+    over the value; repeats and walks keep the few starts that can still be the cheapest (``_Starts``). An empty value costs 0.
+    Each further segment costs a factor of two for the choice of its place.
     """
     n = len(value)
     if not n:
@@ -136,36 +171,57 @@ def guess_cost(value: str, words: ahocorasick.Automaton) -> float:
     glue = math.log10(2)
     costs = {c: _class_cost(c) for c in set(value)}
     price = [costs[c] for c in value]
-    jumps = iter([*_jumps(value, low.translate(_SHIFTED), price), (n, 0, 0.0)])
+    cps = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    dates = iter([*_dates(value), (n, 0, 0.0)])
+    runs = _repeats(cps) if n > 1 else {}
+    reach, turn = _walks(low.translate(_SHIFTED)) if n > 2 else ([0] * n, [])
     found = words.iter(low) if len(words) else iter(())
     capitals = None
     if low != value:
-        cps = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
         capitals = np.concatenate(([0], np.cumsum((cps >= 65) & (cps <= 90)))).tolist()
-    jump, word = next(jumps), next(found, (n, None))
+    date, word = next(dates), next(found, (n, None))
     best = [math.inf] * (n + 1)
     best[0] = before = 0.0
     entry = [0.0]  # best, with the factor for the place of a next segment
     brute = math.inf  # the cheapest way that ends in a brute-force span: only its first character pays for the place
+    repeats: list[tuple[int, int, float, list[_Starts]]] = []
+    walk, walk_end, key, change = None, 0, math.log10(47), math.log10(8)
     for i in range(n):
-        while jump[0] == i:
-            if before + jump[2] < best[jump[1]]:
-                best[jump[1]] = before + jump[2]
-            jump = next(jumps)
+        while date[0] == i:
+            if before + date[2] < best[date[1]]:
+                best[date[1]] = before + date[2]
+            date = next(dates)
+        for end, start, width in runs.get(i, ()):
+            repeats.append((end, width, sum(price[start : start + width]) - math.log10(width), [_Starts(2 * width) for _ in range(width)]))
         brute = (brute if brute < before else before) + price[i]
-        least = best[i + 1]
+        least, j = best[i + 1], i + 1
         if brute < least:
             least = brute
+        if repeats:  # a unit in any rotation, as often as one likes
+            repeats = [r for r in repeats if r[0] > i]
+            for end, width, unit, starts in repeats:
+                starts[i % width].add(i, before)
+                cost = starts[j % width].best(j) + unit
+                if cost < least:
+                    least = cost
+        if reach[i] > i + 1:  # on a walk
+            if walk is None or i >= walk_end:
+                walk, walk_end = _Starts(3), reach[i]
+            walk.add(i, before - turn[i] * change)
+        if walk is not None and j <= walk_end and j >= 3:
+            cost = walk.best(j) + key + (1 + turn[j - 2]) * change
+            if cost < least:
+                least = cost
         while word[0] == i:
             size, cost = word[1]
-            start = i + 1 - size
-            if capitals and (upper := capitals[i + 1] - capitals[start]):  # a factor for capitals
+            start = j - size
+            if capitals and (upper := capitals[j] - capitals[start]):  # a factor for capitals
                 cost += glue if upper == size or upper == 1 and capitals[start + 1] > capitals[start] else size * glue
             cost += entry[start]
             if cost < least:
                 least = cost
             word = next(found, (n, None))
-        best[i + 1] = least
+        best[j] = least
         before = least + glue
         entry.append(before)
     return best[n]
@@ -185,17 +241,19 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 def guessed_spans(text: str, base: list[tuple[int, str, int]], words: ahocorasick.Automaton, min_cost: float = MIN_COST) -> list[tuple[int, str, int]]:
     """Values after credential words that overlap no base span and cost at least ``min_cost`` (log10 of guesses)."""
-    if not (":" in text or "=" in text or " is " in text):
+    if not (":" in text or "=" in text or " is " in text or "--" in text):
         return []
     out, far = [], list(accumulate((e for _, _, e in base), max))
     starts = [s for s, _, _ in base]
-    for m in CONTEXT.finditer(text):
+    last = -1
+    for m in sorted((m for context in CONTEXTS for m in context.finditer(text)), key=lambda m: m.span(1)):
         a = m.start(1)
         value = m.group(1).rstrip(".,;:!?)]}>")
         b = a + len(value)
         k = bisect_left(starts, b)  # base spans that begin before the value ends; the farthest of their ends
-        if len(value) >= 6 and not (k and far[k - 1] > a) and guess_cost(value, words) >= min_cost:
+        if len(value) >= 6 and a >= last and not (k and far[k - 1] > a) and guess_cost(value, words) >= min_cost:
             out.append((a, "guess", b))
+            last = b
     return out
 
 

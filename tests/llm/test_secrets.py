@@ -63,8 +63,9 @@ def segments(value, i):
         unit, times = value[i : i + width], 1
         while value[i + times * width : i + (times + 1) * width] == unit:
             times += 1
-        if len(unit) == width and times > 1 and not any(unit == unit[:k] * (width // k) for k in range(1, width) if width % k == 0):
-            yield i + times * width, sum(map(price, unit)) + math.log10(times)
+        if len(unit) == width and not any(unit == unit[:k] * (width // k) for k in range(1, width) if width % k == 0):
+            for often in range(2, times + 1):
+                yield i + often * width, sum(map(price, unit)) + math.log10(often)
     plain = value.lower().translate(str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./"))
     steps = []
     for a, b in zip(plain[i:], plain[i + 1 :]):
@@ -73,8 +74,8 @@ def segments(value, i):
         if step is None or step == (0, 0) or max(map(abs, step)) > 1:
             break
         steps.append(step)
-    if len(steps) >= 2:
-        yield i + len(steps) + 1, math.log10(47 * (len(steps) + 1)) + (1 + sum(a != b for a, b in zip(steps, steps[1:]))) * math.log10(8)
+    for k in range(2, len(steps) + 1):
+        yield i + k + 1, math.log10(47 * (k + 1)) + (1 + sum(a != b for a, b in zip(steps[:k], steps[1:k]))) * math.log10(8)
 
 
 def cheapest(value, at=0):
@@ -90,6 +91,7 @@ def test_guess_cost_equals_brute_force():
     words = [w for w in ("cat", "the", "house", "pass", "red") if w in RANKS]
     values = ["".join(r.choice(a) for _ in range(r.randrange(1, 9))) for a in alphabets for _ in range(60)]
     values += [(r.choice(words) + r.choice(words).title() + str(r.randrange(2100)))[: r.randrange(3, 9)] for _ in range(60)]
+    values += ["aaaapple", "sssummer", "appleeee", "qwertyer", "redsdfgh", "sasasasa", "catcatat", "aaabaaab", "poiuytre", "1111990/"]
     values += ["aaaaaa", "abababab", "abcabcab", "19991231", "31121999", "1/1/1999", "20010101", "qwerty", "asdfasdf", "!@#$%^", "2012"]
     for v in values:
         assert math.isclose(secrets.guess_cost(v, FINDER), cheapest(v), abs_tol=1e-9), v
@@ -118,13 +120,13 @@ def test_long_values_take_linear_time(spark):
 
 
 def guesses(text):
-    """The model's spans by the plain rule: every value in context, against every base span."""
+    """The model's spans by the plain rule: every value in a context, against every base span and the spans before it."""
     taken = secrets.base_spans(text)
     out = []
-    for m in secrets.CONTEXT.finditer(text):
-        value = m.group(1).rstrip(".,;:!?)]}>")
-        if len(value) >= 6 and not any(s < m.start(1) + len(value) and m.start(1) < e for s, _, e in taken) and cheapest(value) >= secrets.MIN_COST:
-            out.append((m.start(1), "guess", m.start(1) + len(value)))
+    for a, whole in sorted({(m.start(1), m.group(1)) for c in secrets.CONTEXTS for m in c.finditer(text)}):
+        value = whole.rstrip(".,;:!?)]}>")
+        if len(value) >= 6 and not any(s < a + len(value) and a < e for s, _, e in [*taken, *((s, k, e) for s, k, e in out)]) and cheapest(value) >= secrets.MIN_COST:
+            out.append((a, "guess", a + len(value)))
     return out
 
 
@@ -134,7 +136,7 @@ def test_guess_spans_equal_brute_force():
     values = ("".join(r.choice("aZ9$xQ7f") for _ in range(r.randrange(4, 10))) for _ in range(10**6))
     for _ in range(60):
         text = " ".join(r.choice(heads) + next(values) + r.choice((",", "", " deadbeef" * 3, "deadbeef" * 3)) for _ in range(r.randrange(1, 6)))
-        if all(len(m.group(1)) <= 11 for m in secrets.CONTEXT.finditer(text)):
+        if all(len(m.group(1)) <= 11 for c in secrets.CONTEXTS for m in c.finditer(text)):
             assert secrets.guessed_spans(text, secrets.base_spans(text), FINDER) == guesses(text), text
 
 
@@ -159,3 +161,20 @@ def test_masking(spark):
     assert masked == ['[SECRET]" and PassWd: x1', None]
     assert secrets.redact("abcdef", [(1, "hex", 3), (2, "hex", 4), (5, "hex", 6)], "#") == "a#e#"
     assert secrets.redact("abcdef", [(1, "hex", 5), (2, "hex", 3)], "#") == "a#f"
+
+
+def test_credential_contexts():
+    strong = "h7Gq2LpZ0w"
+    for text in (f"DB_PASS={strong}", f"my_pwd: {strong}", f"export MYSQL_PASSWORD_FILE = '{strong}'", "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG", f"Authorization: Bearer {strong}", f'"authorization": "Basic {strong}"',
+                 f"mysql --password {strong} -u root", f"tool --db-pass {strong}", f"postgres://user:{strong}@host/db", f"pass-phrase_pin:\n    {strong}", f"the pin is {strong}."):
+        (span,) = secrets.guessed_spans(text, secrets.base_spans(text), FINDER) or [(0, "", 0)]
+        assert text[span[0] : span[2]] in (strong, "wJalrXUtnFEMI/K7MDENG"), text
+    for text in (f"compass={strong}", f"bypass: {strong}", "http://host:8080/path@x", "password: welcome home", "the token is expired", f"see --passive {strong}", "ftp://user:password@host"):
+        assert not secrets.guessed_spans(text, secrets.base_spans(text), FINDER), text
+
+
+def test_contexts_take_linear_time():
+    for text in ("secret_" * 150_000, "--a-" * 250_000, "://" * 300_000, "pass:" * 200_000, "--" + "a-" * 400_000):
+        began = time.time()
+        secrets.guessed_spans(text, secrets.base_spans(text), FINDER)
+        assert time.time() - began < 20, text[:10]
