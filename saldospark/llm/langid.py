@@ -12,16 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold_of, text_slices, texts_of
 
 HIDDEN = 8
 CORE, EDGE = 160, 16
-#: Bounds of the training sample: documents per language, and bytes of all of them (fewer documents where texts are long).
-#: Texts of the sample are read whole, in windows of ``WINDOW`` bytes; every ``DEV``-th document is kept for choosing the network.
-SAMPLE_DOCS, SAMPLE_BYTES, WINDOW, DEV = 400, 32 << 20, 64, 10
+#: Bounds of the training sample: about so many documents per language, and bytes of all of them (no more, so fewer documents where texts
+#: are long). Texts of the sample are read whole, in windows of ``WINDOW`` bytes; every ``DEV``-th document is kept for choosing the network.
+SAMPLE_DOCS, SAMPLE_BYTES, WINDOW, DEV = 400, 16 << 20, 64, 10
+BATCH, LEAST_STEPS = 128, 500
 UNDETERMINED = "und"
 
 
@@ -130,7 +131,13 @@ def turns(labels: np.ndarray, batch: int, r: np.random.Generator):
         yield np.concatenate(pick)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = 500, batch: int = 128, rate: float = 0.02, seed: int = 0, dev: tuple[np.ndarray, np.ndarray] | None = None) -> Network:
+def steps_for(labels: np.ndarray, batch: int = BATCH) -> int:
+    """Steps in which the language with the most windows is read to the end."""
+    _, sizes = np.unique(labels, return_counts=True)
+    return max(LEAST_STEPS, -(-int(sizes.max(initial=0)) // max(1, batch // max(1, len(sizes)))))
+
+
+def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = 500, batch: int = BATCH, rate: float = 0.02, seed: int = 0, dev: tuple[np.ndarray, np.ndarray] | None = None) -> Network:
     """Fit by Adam on the cross-entropy of every position; byte 0 (padding) has no weight.
 
     With ``dev`` (windows, labels of other documents) the network of the step with the least loss there is returned, and training
@@ -197,7 +204,10 @@ def document_probs(net: Network, texts: list[str], batch: int = 4096) -> np.ndar
 
 
 def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out: tuple[int, int]) -> list[tuple[str, int, bytes]]:
-    """(lang, key, text) of a bounded sample: about ``SAMPLE_DOCS`` documents per language and ``SAMPLE_BYTES`` in all, chosen by hash of the id."""
+    """(lang, key, text) of a bounded sample: about ``SAMPLE_DOCS`` documents per language and at most ``SAMPLE_BYTES`` in all, chosen by hash of the id.
+
+    Each language has an equal share of the bytes, filled in the order of the hashes; a text longer than the share isn't learned from.
+    """
     folds, out = held_out
     learn = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0) & (fold_of(id_col, folds) != out)).select(
         F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang")
@@ -208,7 +218,9 @@ def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, h
     share = F.create_map(*[F.lit(x) for k, (n, size) in sorted(counts.items()) for x in (k, min(1.0, 1.2 * SAMPLE_DOCS / n, SAMPLE_BYTES / len(counts) / size))])
     chosen = learn.withColumn("key", F.xxhash64("id")).where(F.pmod("key", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     # one row for each id and language, so that the sample stays bounded where rows repeat an id
-    return sorted((r["lang"], r["key"], bytes(r["text"])) for r in chosen.groupBy("lang", "key").agg(F.min("text").alias("text")).collect())
+    once = chosen.where(F.octet_length("text") <= SAMPLE_BYTES // len(counts)).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    filled = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("key"))
+    return sorted((r["lang"], r["key"], bytes(r["text"])) for r in once.withColumn("filled", filled).where(F.col("filled") <= SAMPLE_BYTES // len(counts)).collect())
 
 
 def cut(text: bytes) -> np.ndarray:
@@ -221,7 +233,11 @@ def cut(text: bytes) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (4, 2)) -> Network | None:
-    """Train on a bounded sample of documents outside the held-out fold, read whole; None if there is nothing to learn from."""
+    """Train on a bounded sample of documents outside the held-out fold; None if there is nothing to learn from.
+
+    The steps suffice to read every window of the sample; training ends before that only where the documents set aside show no
+    more gain (see ``train``).
+    """
     rows = training_texts(docs, id_col, text_col, lang_col, held_out)
     if not rows:
         return None
@@ -230,7 +246,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     windows, labels = np.concatenate(parts), np.repeat([langs.index(r[0]) for r in rows], [len(x) for x in parts])
     nth = np.array([k for lang in langs for k in range(sum(r[0] == lang for r in rows))])  # within its language: rows are sorted by it
     dev = np.repeat(nth % DEV == DEV - 1, [len(x) for x in parts])
-    return train(windows[~dev], labels[~dev], langs, steps=min(2000, max(500, -(-len(windows) // 128))), dev=(windows[dev], labels[dev]))
+    return train(windows[~dev], labels[~dev], langs, steps=steps_for(labels[~dev]), dev=(windows[dev], labels[dev]))
 
 
 def label_texts(net: Network | None, texts: list[str]) -> tuple[list[str], list[float]]:

@@ -277,3 +277,21 @@ def test_the_best_network_on_other_documents_is_kept():
         loss.append(np.mean([-np.log(probs[k, t, i] + 1e-9) for i in range(100) if marks[300 + i] == k for t in range(langid.WINDOW)]))
     assert langid.window_loss(net, windows[300:], marks[300:]) == pytest.approx(np.mean(loss), rel=1e-5)
     assert np.mean(loss) < 0.2
+
+
+def test_every_training_window_is_visited():
+    labels = np.repeat([0, 1, 2], [90_000, 100, 7])
+    seen = np.zeros(len(labels), bool)
+    for _, pick in zip(range(langid.steps_for(labels)), langid.turns(labels, langid.BATCH, np.random.default_rng(0))):
+        seen[pick] = True
+    assert seen.all()
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 20_000)
+    rows = [(i, "palabra " * (i % 300), "es") for i in range(400)] + [(1000 + i, "word " * 20, "en") for i in range(50)] + [(5000, "x" * 50_000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_texts(docs, "doc_id", "text", "lang", (4, 2))
+    for lang in ("es", "en"):
+        size = sum(len(t) for name, _, t in got if name == lang)
+        assert 0 < size <= 10_000
