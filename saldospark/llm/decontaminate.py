@@ -251,16 +251,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_chars: int = 20) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item stands; one pass for each block of the benchmark, no shuffle.
-
-    Items of fewer than ``min_chars`` characters are no evidence that a document leaks, and are left out here.
-    """
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item stands, of whatever length; one pass for each block of the benchmark, no shuffle."""
     for rows in blocks(benchmark, item_id, item_text):
         shipped = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches, shipped=shipped):
-            index = build(shipped.value, min_chars=min_chars)
+            index = build(shipped.value)
             for b in text_slices(batches, text_col):
                 bad = {d for d, *_ in matches(index, [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()])}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
