@@ -10,13 +10,14 @@ get finer:
    within Manhattan distance 2 differ in at most two groups, so they share a cell; a point alone in its ten cells
    has no link.
 2. A fine grid: a cell is one popcount vector. A point goes to its own cell and to those at distance 1. Two points within
-   Manhattan distance 2 meet in a cell; a point that meets no other has no link.
-3. Verification: a cell is split by the exact bits. A point stands at its own fingerprint and at the 64 that differ
-   in one bit (each in a cell of step 2). Points within two bits meet at one of them, and all that meet there are within
-   two bits of each other, 65 at most.
-
-Every step is linear in the points, however crowded a cell is, and nothing depends on how crowded it is. Points that
-meet are linked to the smallest of them, which gives the components of all links.
+   Manhattan distance 2 meet in a cell; what goes on is the points with the cells in which they met another.
+3. Cells are split by the exact bits: of a cell, a point takes the places that are its own fingerprint or differ from it in one bit (one
+   in its own cell, one or two in each of the others). Points of a cell that are within two bits meet at a place, and
+   few do: a place has 65 points at most, however crowded its cell is.
+4. Verification: points that met at a place are paired with the smallest of them, and the pair stands if they differ in at most two
+   bits. Those pairs give the components of all links.
+
+Every step is linear in the points, and nothing depends on how crowded a cell is.
 """
 
 from __future__ import annotations
@@ -102,31 +103,40 @@ def coarse_cells(pc: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("choice"), pc.bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(cell_masks())])
 
 
-def fine_cells(pc: Column) -> Column:
-    """The packed popcount vectors within Manhattan distance 1: every segment's count one up (below 2) or one down (above 0)."""
-    near = [pc]
+def fine_cells(pc: Column, fp: Column) -> Column:
+    """(cell, places) of the packed popcount vectors within Manhattan distance 1, with the fingerprints there that differ from ``fp`` in at most one bit.
+
+    In every segment the count goes one up (below 2) or one down (above 0), by its lower or its upper bit.
+    """
+    def struct(cell: Column, *places: Column) -> Column:
+        return F.struct(cell.alias("cell"), F.array(*places).alias("places"))
+
+    near = [struct(pc, fp)]
     for s in range(32):
         count = F.shiftrightunsigned(pc, 2 * s).bitwiseAND(F.lit(3).cast("long"))
         one, two = (pc.bitwiseXOR(F.lit(_long(bits << 2 * s))) for bits in (1, 3))  # 0 and 1, 1 and 2 change places
-        near += [F.when(count == 0, one).when(count == 1, two), F.when(count == 2, two).when(count == 1, one)]
+        low, high = (fp.bitwiseXOR(F.lit(_long(1 << (2 * s + k)))) for k in (0, 1))
+        lower_set = F.shiftrightunsigned(fp, 2 * s).bitwiseAND(F.lit(1).cast("long")) == 1
+        fall, rise = F.when(lower_set, low).otherwise(high), F.when(lower_set, high).otherwise(low)
+        near += [F.when(count == 0, struct(one, low, high)).when(count == 1, struct(two, rise)), F.when(count == 2, struct(two, low, high)).when(count == 1, struct(one, fall))]
     return F.array_compact(F.array(*near))
 
 
-def meeting(points: DataFrame, cells: Column) -> DataFrame:
-    """The points (fp) that share one of their cells with another point."""
-    dealt = points.select("fp", F.explode(cells).alias("cell"))
+def meeting(dealt: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` of the rows (fp, cell, ...) whose cell holds another point too."""
     crowd = dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    return materialize(dealt.join(crowd, "cell").select("fp").distinct())
+    return dealt.join(crowd, "cell").select(*keep)
 
 
 def links(points: DataFrame) -> DataFrame:
     """Edges (a, b) over the distinct fingerprints in ``points(fp)``, with the components of "differ by two bits or fewer"."""
     pc = popcounts(F.col("fp"))
-    near = meeting(meeting(points, coarse_cells(pc)), fine_cells(pc))
-    places = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_long(1 << i))) for i in range(64)])
-    # a place has 65 points at most
-    met = near.select("fp", F.explode(places).alias("place")).groupBy("place").agg(F.collect_list("fp").alias("met")).where(F.size("met") > 1)
-    return met.select(F.array_min("met").alias("a"), F.explode("met").alias("b")).where("a <> b").distinct()
+    coarse = materialize(meeting(points.select("fp", F.explode(coarse_cells(pc)).alias("cell")), "fp").distinct())
+    fine = coarse.select("fp", F.inline(fine_cells(pc, F.col("fp"))))
+    places = meeting(fine, "fp", F.explode("places").alias("place"))
+    met = places.groupBy("place").agg(F.collect_list("fp").alias("met")).where(F.size("met") > 1)
+    pairs = met.select(F.array_min("met").alias("a"), F.explode("met").alias("b")).where("a <> b").distinct()
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,11 +87,31 @@ def test_popcounts_and_fine_cells(spark):
     table = spark.createDataFrame([(p,) for p in prints], "fp long")
     unpack = lambda x: [x >> 2 * s & 3 for s in range(32)]
     pc = simhash.popcounts(table.fp)
-    for row in table.select("fp", pc.alias("pc"), simhash.fine_cells(pc).alias("cells")).collect():
+    for row in table.select("fp", pc.alias("pc"), simhash.fine_cells(pc, table.fp).alias("cells")).collect():
         counts = [bin(row["fp"] >> 2 * s & 3).count("1") for s in range(32)]
         assert unpack(row["pc"]) == counts
         near = {tuple(counts)} | {tuple(counts[:s] + [counts[s] + d] + counts[s + 1 :]) for s in range(32) for d in (-1, 1) if 0 <= counts[s] + d <= 2}
-        assert sorted(map(tuple, map(unpack, row["cells"]))) == sorted(near)
+        assert sorted(tuple(unpack(c["cell"])) for c in row["cells"]) == sorted(near)
+        places = [p for c in row["cells"] for p in c["places"]]
+        assert len(places) == len(set(places)) == 65 and all(bin((p ^ row["fp"]) & (1 << 64) - 1).count("1") <= 1 for p in places)
+        for c in row["cells"]:
+            for p in c["places"]:
+                assert [bin(p >> 2 * s & 3).count("1") for s in range(32)] == unpack(c["cell"])
+
+
+def test_one_cell_of_five_thousand_points(spark):
+    """Fingerprints with one bit in every segment: one cell, distances 2, 4, ... within it; few of the pairs are links."""
+    r, prints = random.Random(8), set()
+    while len(prints) < 5000:
+        p = sum(1 << 2 * s + r.randrange(2) for s in range(32))
+        prints.add(p)
+        for _ in range(r.randrange(3)):
+            p ^= 3 << 2 * r.randrange(32)
+            prints.add(p)
+    prints = sorted(prints)
+    table = spark.createDataFrame([(p,) for p in ((q - (1 << 64)) if q >= 1 << 63 else q for q in prints)], "fp long")
+    assert table.select(simhash.popcounts(table.fp)).distinct().count() == 1
+    assert linked(spark, prints) == partition(components(list(range(len(prints))), prints))
 
 
 def shingle_set(text, width=5):
