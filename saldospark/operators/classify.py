@@ -66,7 +66,7 @@ def regex_rule(name: Column) -> Column:
 
     The patterns are literals, so each compiles once.
     """
-    hits = [F.when(T.matches(name, p), F.struct(F.lit(conf).alias("conf"), F.lit(-i).alias("prio"), F.lit(code).alias("code"))) for i, (code, conf, p) in enumerate(patterns.RULES)]
+    hits = [F.when(T.matches(name, p), F.struct(F.lit(conf).alias("conf"), F.lit(-i).alias("prio"), F.lit(code).alias("code"))) for i, (p, code, conf) in enumerate(patterns.RULES)]
     return F.array_max(F.array_compact(F.array(*hits)))
 
 

@@ -12,8 +12,6 @@ An order that is fixed beforehand needs no pass over the data; it bears on the n
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

@@ -36,7 +36,7 @@ DICT = values("diccionario", "cuenta_original, codigo_estandar, fuente, seq", [(
 PREFIXES = values("prefijos", "fmt, patron, code, conf, largo, ord", [
     (fmt, "^" + p.replace(".", "\\."), code, conf, len(p), i) for fmt, listed in prefixes.LISTED.items() for i, (p, code, conf) in enumerate(listed)
 ])
-RULES = values("reglas", "ord, code, conf, pat", [(i, code, conf, p) for i, (code, conf, p) in enumerate(patterns.RULES)])
+RULES = values("reglas", "ord, code, conf, pat", [(i, code, conf, p) for i, (p, code, conf) in enumerate(patterns.RULES)])
 
 LOOSE = "case when coalesce({0}, '') = '' then 'sin_codigo' when regexp_matches({0}, '^\\d+-\\d+') then 'guion' when regexp_matches({0}, '^\\d+\\.\\d+') then 'punto' when regexp_matches({0}, '^\\d{{6,10}}$') then 'compacto' else 'desconocido' end"
 NAMED = f"nombrado as (select *, {norm('nombre')} as nombre_norm, {LOOSE.format('codigo')} as cod_formato from ledger)"

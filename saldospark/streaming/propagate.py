@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from saldospark.functions import text as T
 from saldospark.schemas import EXCLUDED
+from saldospark.streaming.ingest import refuse_new_checkpoint
 
 SALTS = 8
 ROW = "doc_id string, linea int, nombre_original string, codigo_clasificado string, metodo string, confianza double, requiere_revision boolean"
@@ -92,6 +93,7 @@ def run(rows: DataFrame, out: str, checkpoint: str, salts: int = SALTS, **trigge
     spark = rows.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != PROVIDER:
         raise ValueError(f"spark.sql.streaming.stateStore.providerClass must be {PROVIDER}")
+    refuse_new_checkpoint(spark, out, checkpoint)
 
     def write(kind: str):
         def save(df: DataFrame, batch: int) -> None:

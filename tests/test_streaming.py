@@ -3,7 +3,7 @@ import random
 import pytest
 
 from saldospark.operators import feedback as H
-from saldospark.streaming import propagate
+from saldospark.streaming import ingest, propagate
 
 COLUMNS = [c.split()[0] for c in propagate.ROW.split(", ")]
 
@@ -42,3 +42,13 @@ def test_provider_is_asked_for(spark, tmp_path):
     (tmp_path / "in").mkdir()
     with pytest.raises(ValueError, match="RocksDB"):
         propagate.run(spark.readStream.schema(propagate.ROW).parquet(str(tmp_path / "in")), str(tmp_path / "o"), str(tmp_path / "c"))
+
+
+def test_a_new_checkpoint_beside_old_output_is_refused(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.txt").write_text("1-01-01 Caja 500\n")
+    go = lambda ck: ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / ck)).awaitTermination()
+    go("a"), go("a")
+    with pytest.raises(ValueError, match="another checkpoint"):
+        go("b")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
