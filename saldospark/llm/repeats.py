@@ -18,6 +18,8 @@ an anchor that stands in no other batch and once in its own needs no answer. For
 cover once, as bytes. An anchor of more than ``HOT`` occurrences is "crowded": its covers would all meet in one
 construction, so its windows are rows of their own, dealt by a hash of their bytes, and the bytes tell the first of each kind.
 That is as exact, and no task gets one passage whole.
+
+Anchors, and the covers of pure ones, are told apart by 64-bit hashes; windows at edges by their bytes.
 """
 
 from __future__ import annotations
@@ -40,7 +42,6 @@ HOT = 5_000
 BATCH_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
 STEP = 1 << 18  # places of a text that are looked at together
 LATER, FIRST, MIXED, CROWDED = range(1, 5)  # states of an anchor; 0: it occurs once
-_LOW48 = np.uint64((1 << 48) - 1)
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, ...] | None:
@@ -77,7 +78,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...] | None:
             prefix = prefix_hash(data[base : last[i.stop - 1] + WINDOW])
             h[i] = span_hash(prefix, at[i] - base, at[i] - base + GRAM)
             cover[i] = span_hash(prefix, first[i] - base, last[i] - base + WINDOW)
-    cover = mix(cover + (at - first).astype(np.uint64)) & _LOW48
+    cover = mix(cover + (at - first).astype(np.uint64))
     return first, last, mix(h + np.uint64(0x9E3779B97F4A7C15)), cover, at - first  # least hashes crowd the low partitions: mixed anew
 
 
@@ -131,7 +132,8 @@ def anchor_rows(key: int, place: int, b: Batch) -> pa.Table:
     """A row for each distinct anchor: its number, least and greatest cover, and the id of the document where it first stands."""
     by = np.argsort(b.back, kind="stable")
     edges = np.searchsorted(b.back[by], np.arange(len(b.keys)))
-    low, high = (f.reduceat(b.cover[by], edges).view(np.int64) if len(by) else np.zeros(0, np.int64) for f in (np.minimum, np.maximum))
+    cover = b.cover[by].view(np.int64)  # signed, as the window over all batches compares them
+    low, high = (f.reduceat(cover, edges) if len(by) else np.zeros(0, np.int64) for f in (np.minimum, np.maximum))
     doc = b.ids[b.doc(b.first[b.where])] if len(b.where) else np.zeros(0, np.int64)
     here = np.ones(len(b.keys), np.int64)
     return _table(ANCHOR_ROWS, hash=b.keys.view(np.int64), batch=here * key, place=here * place, doc=doc, n=b.count.astype(np.int64), low=low, high=high)
