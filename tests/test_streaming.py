@@ -23,7 +23,7 @@ def ledger_rows(seed):
     return [(f"d{rng.randrange(6)}", i, rng.choice(names + ["Caja"] * 5), rng.choice(["", "", "AC.01", "PC.02", "__EXCLUIR__"]), "m", 0.5, True) for i in range(80)]
 
 
-@pytest.mark.parametrize("seed, batches", [(1, 1), (2, 4), (3, 7)])
+@pytest.mark.parametrize("seed, batches", [(1, 1), (3, 5)])
 def test_any_split_ends_like_the_whole(spark, tmp_path, rocks, seed, batches):
     rows = ledger_rows(seed)
     want = sorted(map(tuple, H.propagate_labels(spark.createDataFrame(rows, propagate.ROW)).select(*COLUMNS).collect()), key=str)
