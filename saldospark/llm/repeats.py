@@ -119,7 +119,7 @@ def ramp(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(total)
 
 
-ANCHOR_ROWS = "hash long, batch long, place long, doc long, n long, low long, high long"
+ANCHOR_ROWS = "hash long, batch long, place long, doc long, n long, low long, differ long"
 EDGE_ROWS = "hash long, batch long, place long, doc long, first long, size int, shift int, data binary"
 
 
@@ -136,14 +136,14 @@ def anchor_rows(key: int, place: int, b: Batch) -> pa.Table:
     low, high = (f.reduceat(cover, edges) if len(by) else np.zeros(0, np.int64) for f in (np.minimum, np.maximum))
     doc = b.ids[b.doc(b.first[b.where])] if len(b.where) else np.zeros(0, np.int64)
     here = np.ones(len(b.keys), np.int64)
-    return _table(ANCHOR_ROWS, hash=b.keys.view(np.int64), batch=here * key, place=here * place, doc=doc, n=b.count.astype(np.int64), low=low, high=high)
+    return _table(ANCHOR_ROWS, hash=b.keys.view(np.int64), batch=here * key, place=here * place, doc=doc, n=b.count.astype(np.int64), low=low, differ=low ^ high)  # nearly always 0, which costs no bytes in the shuffle
 
 
 def anchor_states(rows: DataFrame, hot: int) -> DataFrame:
     """(batch, hash, state) of the anchors that occur more than once."""
     own = Window.partitionBy("hash")
     lead = F.min(F.struct("doc", "place", "batch")).over(own).alias("lead")
-    all_ = rows.select("*", F.sum("n").over(own).alias("total"), F.min("low").over(own).alias("least"), F.max("high").over(own).alias("most"), lead).where("total > 1")
+    all_ = rows.select("*", F.sum("n").over(own).alias("total"), F.min("low").over(own).alias("least"), F.max(F.col("low").bitwiseXOR(F.col("differ"))).over(own).alias("most"), lead).where("total > 1")
     first = (F.col("lead.doc") == F.col("doc")) & (F.col("lead.place") == F.col("place")) & (F.col("lead.batch") == F.col("batch"))
     state = F.when(F.col("least") != F.col("most"), F.when(F.col("total") > hot, CROWDED).otherwise(MIXED)).when(first, FIRST).otherwise(LATER)
     return all_.select("batch", "hash", state.cast("int").alias("state"))
