@@ -51,3 +51,9 @@ def spread(df: DataFrame, rows: int, each: int = 2_000) -> DataFrame:
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """``df``, to be broadcast if a bounded count says that it is small. A table cut before is counted at no cost."""
     return F.broadcast(df) if small(df) else df
+
+
+def lookup_side(df: DataFrame) -> DataFrame:
+    """``df`` as the table that a larger one looks rows up in: broadcast if a bounded count says that it is small, else hashed in its
+    shuffled parts, so that the larger side isn't sorted and a frequent key takes time but no memory."""
+    return F.broadcast(df) if small(df) else df.hint("shuffle_hash")

@@ -130,13 +130,14 @@ def _cascade(accounts: DataFrame, dictionary: DataFrame, activity: str | None) -
     """``accounts`` with the cascade's columns, as plain expressions over the facts of the name and of the code.
 
     Account names repeat from document to document, so facts are worked out once per distinct name: the names are cut (the only
-    job that runs here, with a count of what it wrote) and joined back, by broadcast if they are few. Otherwise the join is a
-    shuffle on the name, whose skew adaptive execution splits.
+    job that runs here, with a count of what it wrote) and joined back, by broadcast if they are few. Otherwise accounts are shuffled
+    by name and run past a hash table of the names' facts: a task holds its share of the names and sorts no accounts, however many
+    have one name (adaptive execution splits such a partition).
     """
     names = cut(accounts.select("nombre").distinct())
     known = names.count()
     facts = name_facts(spread(names, known), dictionary).withColumnRenamed("nombre", "_name")
-    facts = F.broadcast(facts) if known <= BROADCAST_ROWS else facts
+    facts = F.broadcast(facts) if known <= BROADCAST_ROWS else facts.hint("shuffle_hash")
     df = by_code_prefix(accounts).join(facts, F.col("nombre").eqNullSafe(F.col("_name")), "left").drop("_name")
 
     name, origin = F.col("nombre_norm"), F.col("origen_columna")

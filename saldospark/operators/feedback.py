@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saldospark.functions import text as T
-from saldospark.functions.plan import broadcast_if_small, cut
+from saldospark.functions.plan import cut, lookup_side, small
 from saldospark.schemas import EXCLUDED
 
 LABELS = {"new": "➕ NUEVA CATEGORÍA", "skip": "🚫 NO INCLUIR"}
@@ -30,17 +30,30 @@ def apply_corrections(df: DataFrame, corrections: DataFrame, mode: str = "batch"
     return _apply(df.join(fixes, ["doc_id", "linea"], "left"), changes, F.col("_new").isNotNull()).drop("_new")
 
 
+def _looked_up(df: DataFrame, asking: Column, name: Column, table: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``table`` (_norm, ...) where a row asks for its normalised name and the table has it, else nulls.
+
+    A small table is broadcast. For a large one only the asking rows are shuffled: the others would all have one key, null, and meet
+    in one task. ``df`` is then read twice.
+    """
+    if small(table):
+        return df.withColumn("_k", F.when(asking, T.normalize_name(name))).join(F.broadcast(table), F.col("_k") == F.col("_norm"), "left").drop("_k", "_norm")
+    asks = F.coalesce(asking, F.lit(False))
+    found = df.where(asks).withColumn("_k", T.normalize_name(name)).join(lookup_side(table), F.col("_k") == F.col("_norm"), "left").drop("_k", "_norm")
+    return found.unionByName(df.where(~asks), allowMissingColumns=True)
+
+
 def propagate_corrections(df: DataFrame, corrections: DataFrame) -> DataFrame:
     """Spread corrections(nombre_original, codigo_nuevo, seq) to open rows of the same normalised name in every document.
 
     Open: in review, without a code, or below full confidence. The last correction of a name wins. Only open rows look for a
-    correction, among the names corrected (broadcast if they are few, which a bounded count tells).
+    correction, among the names corrected (broadcast if they are few, which a bounded count tells; else ``df`` is read twice).
     """
     last = corrections.groupBy(T.normalize_name(F.col("nombre_original")).alias("_norm")).agg(F.max_by("codigo_nuevo", "seq").alias("_new"))
     open_ = F.col("requiere_revision") | (F.col("codigo_clasificado") == "") | (F.col("confianza") < 1.0)
-    joined = df.withColumn("_k", F.when(open_, T.normalize_name(F.coalesce(F.col("nombre_original"), F.lit(""))))).join(broadcast_if_small(last), F.col("_k") == F.col("_norm"), "left")
+    joined = _looked_up(df, open_, F.coalesce(F.col("nombre_original"), F.lit("")), last)
     changes = {"codigo_clasificado": F.col("_new"), "metodo": F.lit("validacion_humana_lote_propagada"), "confianza": F.lit(1.0), "requiere_revision": F.lit(False)}
-    return _apply(joined, changes, F.col("_new").isNotNull()).drop("_k", "_norm", "_new")
+    return _apply(joined, changes, F.col("_new").isNotNull()).drop("_new")
 
 
 def first_labels(df: DataFrame, order: tuple[str, ...] = ("doc_id", "linea")) -> DataFrame:
@@ -59,15 +72,13 @@ def propagate_labels(df: DataFrame, order: tuple[str, ...] = ("doc_id", "linea")
     """Rows without a code take the first code of the same normalised name, in document and line order.
 
     ``df`` is read twice, for first labels and for rows: hand over a stored table or one that is cut. Only open
-    rows look for a label; the labels are broadcast if a bounded count says that they are few, and else a shuffle whose key is null
-    for the other rows joins them.
+    rows look for a label; the labels are broadcast if a bounded count says that they are few, and else the open rows alone are
+    shuffled to them (``df`` is read a third time for the rest).
     """
     raw = F.coalesce(F.col("nombre_original"), F.lit(""))
-    first = broadcast_if_small(cut(first_labels(df, order)))
-    wanting = (F.col("codigo_clasificado") == "") & (raw != "")
-    joined = df.withColumn("_k", F.when(wanting, T.normalize_name(raw))).join(first, F.col("_k") == F.col("_norm"), "left")
+    joined = _looked_up(df, (F.col("codigo_clasificado") == "") & (raw != ""), raw, cut(first_labels(df, order)))
     changes = {"codigo_clasificado": F.col("_first"), "metodo": F.lit("propagado_automático"), "confianza": F.lit(1.0), "requiere_revision": F.lit(False)}
-    return _apply(joined, changes, F.col("_first").isNotNull()).drop("_k", "_norm", "_first")
+    return _apply(joined, changes, F.col("_first").isNotNull()).drop("_first")
 
 
 def code_options(catalog: DataFrame) -> DataFrame:
