@@ -70,13 +70,20 @@ def regex_rule(name: Column) -> Column:
     return F.array_max(F.array_compact(F.array(*hits)))
 
 
+def ambiguous_sides(name: Column) -> Column:
+    """struct(ingreso, gasto): the codes of a name that means income or expense depending on its column; nulls otherwise."""
+    sides = [F.create_map(*[F.lit(x) for word, codes in special.AMBIGUOUS_NAMES.items() for x in (word, codes[i])]) for i in (0, 1)]
+    return F.struct(F.try_element_at(sides[0], name).alias("ingreso"), F.try_element_at(sides[1], name).alias("gasto"))
+
+
+def by_side(sides: Column, origin: Column) -> Column:
+    """The code of a struct(ingreso, gasto) for the column that an amount stands in; null in any other column."""
+    return F.when(origin.isin(*special.INCOME_SIDE), sides["ingreso"]).when(origin.isin(*special.EXPENSE_SIDE), sides["gasto"])
+
+
 def ambiguous_code(name: Column, origin: Column) -> Column:
     """Code of a name that means income or expense depending on its column; null otherwise."""
-    income, expense = origin.isin(*special.INCOME_SIDE), origin.isin(*special.EXPENSE_SIDE)
-    out = F.lit(None).cast("string")
-    for word, (a, b) in special.AMBIGUOUS_NAMES.items():
-        out = F.when((name == word) & income, F.lit(a)).when((name == word) & expense, F.lit(b)).otherwise(out)
-    return out
+    return by_side(ambiguous_sides(name), origin)
 
 
 def column_correction(name: Column, code: Column, origin: Column, amount: Column) -> Column:

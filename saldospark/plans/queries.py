@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from saldospark.functions import text as T
 from saldospark.functions import tables as table_functions
-from saldospark.functions.plan import broadcast_if_small, cut, shared_folder
+from saldospark.functions.plan import broadcast_if_small, cut, fence, shared_folder
 from saldospark.operators import balance as B
 from saldospark.operators import classify as C
 from saldospark.operators import feedback as H
@@ -42,8 +42,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger(spark, sf_dir).withColumn("nombre_norm", T.normalize_name(F.col("nombre")))
+def _named(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The ledger (or the given columns of it) with ``nombre_norm``, worked out once for each row however often a query names it."""
+    return fence(ledger(spark, sf_dir).select(*columns or "*", T.normalize_name(F.col("nombre")).alias("nombre_norm")))
 
 
 def _result(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -186,12 +187,12 @@ def classify_code_format(spark, sf_dir):
 
 @query(O.over("select doc_id, linea, nombre_norm, dic_codigo from nombrado left join claves on clave = nombre_norm"))
 def classify_dict_exact(spark, sf_dir):
-    return C.by_dictionary(_named(spark, sf_dir), seed_dictionary(spark)).select("doc_id", "linea", "nombre_norm", "dic_codigo")
+    return C.by_dictionary(_named(spark, sf_dir, "doc_id", "linea"), seed_dictionary(spark)).select("doc_id", "linea", "nombre_norm", "dic_codigo")
 
 
 @query(O.over("select nombre_norm, fuz_codigo, fuz_clave, round(fuz_puntaje, 6) as fuz_puntaje from difusos"))
 def classify_dict_fuzzy(spark, sf_dir):
-    return C.fuzzy_matches(_named(spark, sf_dir), seed_dictionary(spark)).withColumn("fuz_puntaje", F.round("fuz_puntaje", 6))
+    return C.fuzzy_matches(_named(spark, sf_dir, "nombre"), seed_dictionary(spark)).withColumn("fuz_puntaje", F.round("fuz_puntaje", 6))
 
 
 _PART_PAIRS = """
@@ -215,14 +216,14 @@ def name_similarity(spark, sf_dir):
 @query(O.over("select doc_id, linea, nombre_norm, re_code as codigo_regla, re_conf as confianza_regla from nombrado left join por_regla using (nombre_norm)"))
 def classify_regex_argmax(spark, sf_dir):
     rule = C.regex_rule(F.col("nombre_norm"))
-    named = _named(spark, sf_dir)
+    named = _named(spark, sf_dir, "doc_id", "linea")
     rules = named.select("nombre_norm").distinct().select("nombre_norm", rule.alias("_r"))
     return named.join(rules, "nombre_norm").select("doc_id", "linea", "nombre_norm", F.col("_r.code").alias("codigo_regla"), F.col("_r.conf").alias("confianza_regla"))
 
 
 @query(O.over(f"select doc_id, linea, {O.ambiguous('nombre_norm', 'origen_columna')} as codigo_ambiguo from nombrado where {O.ambiguous('nombre_norm', 'origen_columna')} is not null"))
 def classify_ambiguous(spark, sf_dir):
-    return _named(spark, sf_dir).select("doc_id", "linea", C.ambiguous_code(F.col("nombre_norm"), F.col("origen_columna")).alias("codigo_ambiguo")).where("codigo_ambiguo is not null")
+    return _named(spark, sf_dir, "doc_id", "linea", "origen_columna").select("doc_id", "linea", C.ambiguous_code(F.col("nombre_norm"), F.col("origen_columna")).alias("codigo_ambiguo")).where("codigo_ambiguo is not null")
 
 
 @query(O.over("select doc_id, linea, codigo_original, nombre_original, monto, origen_columna, es_total, codigo_clasificado, metodo, round(confianza, 6) as confianza, requiere_revision, nota from resultado"))
@@ -232,7 +233,7 @@ def classify_full_cascade(spark, sf_dir):
 
 @query(O.over(f"select doc_id, linea, {O.correction('nombre_norm', 'cod_codigo', 'origen_columna', 'monto')} as corregido from nombrado join codigos using (codigo) where origen_columna <> 'desconocido'"))
 def column_correction(spark, sf_dir):
-    coded = C.by_code_prefix(_named(spark, sf_dir)).where("cod_codigo is not null and origen_columna <> 'desconocido'")
+    coded = C.by_code_prefix(_named(spark, sf_dir, "doc_id", "linea", "codigo", "origen_columna", "monto")).where("cod_codigo is not null and origen_columna <> 'desconocido'")
     return coded.select("doc_id", "linea", C.column_correction(F.col("nombre_norm"), F.col("cod_codigo"), F.col("origen_columna"), F.col("monto")).alias("corregido"))
 
 
@@ -436,7 +437,7 @@ _KNOWN_SQL = f"""conocidos as (select clave, arg_min(codigo, k) as codigo from (
               _KNOWN_SQL, _GRAMS_SQL, base=[LEDGER_SQL, O.CATALOG, O.DICT, O.NAMED, O.NAMES]))
 def open_name_matches(spark, sf_dir):
     """The known name that each account name of the ledger is most like, by the cosine of trigrams."""
-    names = _named(spark, sf_dir).select("nombre_norm").distinct()
+    names = _named(spark, sf_dir, "nombre").select("nombre_norm").distinct()
     return S.matches(names, S.known_names(seed_dictionary(spark), catalog(spark))).withColumn("coseno", F.round("coseno", 6))
 
 

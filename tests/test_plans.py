@@ -73,3 +73,7 @@ def test_accounts_with_many_names_are_not_sorted(spark, large_tables, monkeypatc
     assert re.search(r"ShuffledHashJoin \[[^\]]*nombre#\d+[^\n]*LeftOuter, BuildRight", text(many, executed=True))
     monkeypatch.setattr(C, "BROADCAST_ROWS", 200_000)
     assert same(many, C.classified(accounts(spark), words, "giro"))
+
+
+def test_ambiguous_names_are_normalised_once(spark, sf_dir):
+    assert text(QUERIES["classify_ambiguous"](spark, sf_dir)).count("regexp_replace(") == 3
