@@ -94,9 +94,9 @@ def code_format(c: Column) -> Column:
     )
 
 
-def loose_code_format(c: Column) -> Column:
-    """Format of a code as the classifier sees it: one separator is enough."""
-    t = strip(F.coalesce(c, F.lit("")))
+def loose_code_format(c: Column, bare: bool = False) -> Column:
+    """Format of a code as the classifier sees it: one separator is enough. ``bare`` says that the code is stripped and not null."""
+    t = c if bare else strip(F.coalesce(c, F.lit("")))
     return (
         F.when(t == "", F.lit("sin_codigo")).when(t.rlike(r"^\d+-\d+"), F.lit("guion")).when(t.rlike(r"^\d+\.\d+"), F.lit("punto"))
         .when(t.rlike(r"^\d{6,10}$"), F.lit("compacto")).otherwise(F.lit("desconocido"))

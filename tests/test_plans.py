@@ -77,3 +77,9 @@ def test_accounts_with_many_names_are_not_sorted(spark, large_tables, monkeypatc
 
 def test_ambiguous_names_are_normalised_once(spark, sf_dir):
     assert text(QUERIES["classify_ambiguous"](spark, sf_dir)).count("regexp_replace(") == 3
+
+
+def test_keywords_are_sought_once_for_a_name(spark):
+    t = text(C.classified(accounts(spark), dictionary(spark, [("Caja 0", "AC.01", "manual")]), "giro"))
+    above = t[: t.index("LeftOuter")]  # what is worked out for each row
+    assert "Contains(nombre" not in above and "contains(nombre" not in above.lower()
