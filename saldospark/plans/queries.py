@@ -97,8 +97,9 @@ def balance_detail_sorted(spark, sf_dir):
 def detail_in_order(spark, sf_dir):
     """The place of each account in the exported detail: by file and row, over files written in order."""
     path = f"{shared_folder(spark)}/detalle-{uuid.uuid4().hex}"
-    detail = B.account_detail(_result(spark, sf_dir, *_SUMS, "doc_id", "linea", "nombre_original", "confianza"), catalog(spark))
-    ordered.write_ordered(detail, path, B.detail_order())
+    # read by a count, by the sample of the range partitioning and by the sort
+    detail = cut(B.account_detail(_result(spark, sf_dir, *_SUMS, "doc_id", "linea", "nombre_original", "confianza"), catalog(spark)))
+    ordered.write_ordered(detail, path, B.detail_order(), ordered.files_for(detail))
     return ordered.read_places(spark, path).select("doc_id", "linea", "lugar")
 
 

@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def files_for(df: DataFrame, rows: int = 500_000, least: int = 8) -> int:
+    """The number of files in which each has about ``rows`` rows, however large ``df`` is; ``df`` is counted, so hand over a stored table."""
+    return max(least, -(-df.count() // rows))
+
+
 def write_ordered(df: DataFrame, path: str, order: Sequence[str | Column], files: int = 8, kind: str = "parquet", **options: str) -> None:
     """Write ``df`` in ``files`` files at most, the parts of a range partitioning by ``order``, each sorted by it."""
     df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").options(**options).format(kind).save(path)

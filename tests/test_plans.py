@@ -83,3 +83,15 @@ def test_keywords_are_sought_once_for_a_name(spark):
     t = text(C.classified(accounts(spark), dictionary(spark, [("Caja 0", "AC.01", "manual")]), "giro"))
     above = t[: t.index("LeftOuter")]  # what is worked out for each row
     assert "Contains(nombre" not in above and "contains(nombre" not in above.lower()
+
+
+def test_files_grow_with_the_detail(spark, sf_dir):
+    assert ordered.files_for(spark.range(10)) == 8
+    assert ordered.files_for(spark.range(4_500_001)) == 10
+
+
+def test_detail_is_not_worked_out_again_for_the_ranges(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ordered, "write_ordered", lambda df, path, *a, write=ordered.write_ordered: (seen.append(text(df)), write(df, path, *a)))
+    assert QUERIES["detail_in_order"](spark, sf_dir).count() > 0
+    assert seen[0].startswith("LogicalRDD")
