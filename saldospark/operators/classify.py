@@ -202,10 +202,11 @@ def classify(accounts: DataFrame, dictionary: DataFrame, activity: str | None =
 def classified(accounts: DataFrame, dictionary: DataFrame, activity: str | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
     """``result_table(classify(...))``, or of it only the given ``columns``: what they don't need isn't worked out.
 
-    ``metodo_base``, the method without its corrections, can be asked for too.
+    ``metodo_base``, the method without its corrections, and the column ``activity`` can be asked for too.
     """
     df = _cascade(accounts, dictionary, activity)
-    return fence(result_table(df, "metodo_base").select(*columns) if columns else result_table(df))
+    more = ("metodo_base", *([activity] if activity else []))
+    return fence(result_table(df, *more).select(*columns) if columns else result_table(df))
 
 
 def is_account(df: DataFrame) -> DataFrame:

@@ -480,7 +480,7 @@ def sales_deviation(spark, sf_dir):
 
 
 def _with_activity(spark, sf_dir) -> DataFrame:
-    return C.classify(ledger(spark, sf_dir), seed_dictionary(spark), activity="giro").select("doc_id", "linea", "giro", "codigo_clasificado", "monto", "es_total")
+    return _result(spark, sf_dir, "doc_id", "linea", "giro", "codigo_clasificado", "monto", "es_total")
 
 
 _WITHDRAWN_SQL = "retiros as (select doc_id, linea, coalesce(giro, '') as giro, abs(c.monto) as retiro from clasificadas c join (select doc_id, linea, giro from ledger) using (doc_id, linea) where codigo_clasificado = 'AC.06S' and c.monto is not null)"

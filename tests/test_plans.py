@@ -95,3 +95,7 @@ def test_detail_is_not_worked_out_again_for_the_ranges(spark, sf_dir, monkeypatc
     monkeypatch.setattr(ordered, "write_ordered", lambda df, path, *a, write=ordered.write_ordered: (seen.append(text(df)), write(df, path, *a)))
     assert QUERIES["detail_in_order"](spark, sf_dir).count() > 0
     assert seen[0].startswith("LogicalRDD")
+
+
+def test_withdrawals_need_no_method(spark, sf_dir):
+    assert "regla_especial" not in text(QUERIES["withdrawal_alerts"](spark, sf_dir))
