@@ -20,14 +20,14 @@ def apply_corrections(df: DataFrame, corrections: DataFrame, mode: str = "batch"
     """Set the codes that reviewers chose: corrections(doc_id, linea, codigo_nuevo), one per row.
 
     The label for "don't include" becomes the exclusion mark, the one for a new category changes nothing. In mode
-    "batch" the method and full confidence are set too; "single" keeps both.
+    "batch" the method and full confidence are set too; "single" keeps both. ``corrections`` are counted, up to a bound, and then joined.
     """
     chosen = F.when(F.col("codigo_nuevo") == LABELS["skip"], F.lit(EXCLUDED)).when(F.col("codigo_nuevo") != LABELS["new"], F.col("codigo_nuevo"))
     fixes = corrections.select("doc_id", "linea", chosen.alias("_new")).where("_new is not null and _new <> ''")
     changes = {"codigo_clasificado": F.col("_new"), "requiere_revision": F.lit(False)}
     if mode == "batch":
         changes |= {"metodo": F.lit("validacion_humana_lote"), "confianza": F.lit(1.0)}
-    return _apply(df.join(fixes, ["doc_id", "linea"], "left"), changes, F.col("_new").isNotNull()).drop("_new")
+    return _apply(df.join(lookup_side(fixes), ["doc_id", "linea"], "left"), changes, F.col("_new").isNotNull()).drop("_new")
 
 
 def _looked_up(df: DataFrame, asking: Column, name: Column, table: DataFrame) -> DataFrame:

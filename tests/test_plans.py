@@ -99,3 +99,11 @@ def test_detail_is_not_worked_out_again_for_the_ranges(spark, sf_dir, monkeypatc
 
 def test_withdrawals_need_no_method(spark, sf_dir):
     assert "regla_especial" not in text(QUERIES["withdrawal_alerts"](spark, sf_dir))
+
+
+def test_corrections_sort_no_rows(spark, large_tables):
+    rows = result(spark)
+    fixes = rows.where("codigo_clasificado = ''").select("doc_id", "linea", F.lit("PC.08").alias("codigo_nuevo"))
+    got = H.apply_corrections(rows, fixes, "single")
+    assert "SortMergeJoin" not in text(got, executed=True)
+    assert sorted((r["codigo_clasificado"], r["count"]) for r in got.groupBy("codigo_clasificado").count().collect()) == [("AC.01", 3_600), ("PC.08", 400)]
