@@ -192,11 +192,21 @@ def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that stand in many documents, sorted, and their counts; at most ``FREQUENT``. Counted are repeats within
     slices of the text. The counts only order the shingles, so a shingle missed costs time and no pair."""
 
+    def count(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        many = n >= 3
+        return pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(n[many])], names=["token", "n"])
+
     def run(batches):
-        for b in text_slices(batches, "text", SLICE_BYTES):
-            found, n = np.unique(np.concatenate([shingle_array(t) for t in b.column(0).to_pylist()]), return_counts=True)
-            many = n >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(n[many])], names=["token", "n"])
+        sets, size = [], 0
+        for b in text_slices(batches, "text"):
+            sets += [shingle_array(t) for t in b.column(0).to_pylist()]
+            size += b.nbytes
+            if size >= SLICE_BYTES:
+                yield count(sets)
+                sets, size = [], 0
+        if sets:
+            yield count(sets)
 
     counts = materialize(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     power = F.floor(F.log2("n")).cast("int")

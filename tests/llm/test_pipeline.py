@@ -1,7 +1,9 @@
 import hashlib
 
 import corpus_pipeline
+import pyarrow as pa
 from docs import EXTRA
+from pyspark.sql import functions as F
 from test_simhash import similar_groups
 
 from saldospark.llm import bpe, decontaminate, langid, queries, secrets
@@ -51,3 +53,24 @@ def test_run_and_odd_tables(spark, sf_dir, tmp_path):
         got = corpus_pipeline.run(spark, str(tmp_path)).collect()
         assert {r["doc_id"] for r in got} <= {3, 4, None} and len(got) == len({r["doc_id"] for r in got})
     assert EXTRA and len(corpus_pipeline.STAGES) == 5 and langid.UNDETERMINED == "und" and bpe.MAX_CACHE > 0
+
+
+def test_stages_send_text_in_small_batches(spark, sf_dir):
+    """A task's whole text (here 20 MB) must not stand in one Arrow batch; the setting ends with the pipeline."""
+    before = spark.conf.get(corpus_pipeline.BATCH[0])
+    docs = spark.range(0, 200, 1, 1).select("id", F.repeat(F.lit("x"), 100_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    def largest(spark, docs, sf_dir):
+        return docs.mapInArrow(sizes, "bytes long").agg(F.max("bytes"))
+
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+    try:
+        assert corpus_pipeline.small_batches(largest)(spark, docs, sf_dir).first()[0] < 4 << 20
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH[0], before)
+    corpus_pipeline.run(spark, sf_dir)
+    assert spark.conf.get(corpus_pipeline.BATCH[0]) == before
