@@ -60,3 +60,14 @@ def test_empty(spark, tmp_path):
 
 def test_sql(spark, sf_dir):
     assert_same(queries.QUERIES["op8_lm_scoring"](spark, sf_dir), connect(sf_dir), queries.ORACLES["op8_lm_scoring"])
+
+
+def test_slices_hot_contexts_and_shuffle_files(spark, tmp_path, monkeypatch):
+    """The same scores whatever the slices and the contexts counted apart; the session's setting for shuffle files is as before."""
+    docs = written(spark, tmp_path / "d")
+    want = sorted(map(str, lmscore.score(docs).selectExpr("doc_id", "n_words", "round(log_score, 6)").collect()))
+    for slices, hot, splits in ((1, 1, 64), (3, 50, 3), (5, 10**9, 1)):
+        for name, value in (("SLICES", slices), ("HOT", hot), ("SPLITS", splits)):
+            monkeypatch.setattr(lmscore, name, value)
+        assert sorted(map(str, lmscore.score(docs).selectExpr("doc_id", "n_words", "round(log_score, 6)").collect())) == want
+    assert spark.conf.get(lmscore.CLEANUP) == "false"
